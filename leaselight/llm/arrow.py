@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 #: Texts are handed to the per-batch code in slices of about this many characters.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 2_000_000
 
 
 def text_slices(texts: pa.Array, limit: int = SLICE_CHARS) -> Iterator[list[str]]:

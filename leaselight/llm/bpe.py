@@ -23,6 +23,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -31,22 +32,33 @@ from .arrow import int_lists, text_slices, with_struct
 #: The contractions that the tokenizer's splitting rule keeps whole.
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 #: Distinct words whose tokens a worker remembers before it starts anew.
-REMEMBERED_WORDS = 400_000
-#: Symbols up to which looking at all pairs beats a heap.
-SHORT_WORD = 32
-_LAST = 2**62
-_NEVER = np.int64(_LAST)
+REMEMBERED_WORDS = 250_000
+#: Widths, in symbols, of the grids in which failing words are merged side by side; longer words use a heap.
+SIDE_BY_SIDE = (8, 16, 32)
+_NEVER = np.int64(2**62)
+#: Rows that are decoded together.
+DECODED_ROWS = 256
+
+
+#: Letters and numbers that Unicode 17 added, as first-last in hexadecimal.  The
+#: tokenizer splits by Unicode 16, the matcher here by Unicode 17.
+LATER_LETTERS = """
+558-558 58b-58c 88f-88f c5c-c5c cdc-cdc 208f-208f 209d-209f a7ce-a7cf a7d2-a7d2 a7d4-a7d4 a7dd-a7dd
+a7e2-a7e2 a7f1-a7f1 ab6c-ab6d 107bb-107bf 10940-10959 10ec5-10ec7 10ed9-10eee 11b0a-11b0a 11db0-11ddb
+11de0-11de9 11df1-11df1 1246f-1246f 12475-1247f 12550-12686 16ea0-16eb8 16ebb-16ed3 16ff2-16ff6
+187f8-187ff 18cd6-18cda 18d09-18d20 18d80-18df2 18e00-19191 191a0-191d2 1b123-1b128 1b168-1b168
+1d6a6-1d6a6 1df1f-1df24 1df2b-1df81 1df90-1df96 1dfcd-1dfff 1e6c0-1e6de 1e6e0-1e6e2 1e6e4-1e6e5
+1e6e7-1e6ed 1e6f0-1e6f4 1e6fe-1e6ff 2b73a-2b73f 2b81e-2b81e 2cea2-2cead 323b0-33479 3d000-3fc3f
+"""
+#: Lower-case forms that Unicode 16 and 17 added, which Python 3.13 doesn't know.
+LATER_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+LATER_LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
 
 
 @functools.cache
 def _wide_words() -> regex.Pattern:
-    """The splitting rule for any text.
-
-    The matcher knows letters of a later Unicode version than the tokenizer does;
-    those that Python's own tables lack are no letters here.
-    """
-    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
-    late = "".join(c for c in regex.findall(r"[\p{L}\p{N}]", every) if unicodedata.category(c) == "Cn") or "\ufffe"
+    """The splitting rule for any text."""
+    late = re.sub(r"(\w+)-(\w+)\s*", lambda m: f"\\U{m[1]:0>8}-\\U{m[2]:0>8}", LATER_LETTERS.strip())
     letter, digit = rf"[\p{{L}}--[{late}]]", rf"[\p{{N}}--[{late}]]"
     rest = rf"[^\p{{White_Space}}[\p{{L}}\p{{N}}--[{late}]]]"
     return regex.compile(f"{CONTRACTIONS}|{letter}+|{digit}|{rest}+", regex.VERSION1)
@@ -74,6 +86,41 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
 
 
+class PairRanks:
+    """The rank of each mergeable pair, in an open hash table that whole arrays are looked up in."""
+
+    BITS = 19
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.keys = np.full(2**self.BITS, -1, dtype=np.int64)
+        self.ranks = np.full(2**self.BITS, _NEVER, dtype=np.int64)
+        open_, self.probes = np.arange(len(keys))[::-1], 0  # the first of equal keys is written last and stays
+        while open_.size:
+            at = self._slot(keys[open_], self.probes)
+            free = self.keys[at] == -1
+            self.keys[at[free]] = keys[open_[free]]
+            won = self.keys[at] == keys[open_]
+            self.ranks[at[won]] = open_[won]
+            open_ = open_[~won]
+            self.probes += 1
+
+    def _slot(self, keys: np.ndarray, probe: int) -> np.ndarray:
+        mixed = (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.BITS)
+        return (mixed.astype(np.int64) + probe) & (2**self.BITS - 1)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        shape, keys = keys.shape, keys.ravel()
+        at = self._slot(keys, 0)
+        out = np.where(self.keys[at] == keys, self.ranks[at], _NEVER)
+        for probe in range(1, self.probes):
+            left = np.flatnonzero((out == _NEVER) & (self.keys[at] != -1)) if probe == 1 else left[out[left] == _NEVER]
+            if not left.size:
+                break
+            at_left = self._slot(keys[left], probe)
+            out[left] = np.where(self.keys[at_left] == keys[left], self.ranks[at_left], _NEVER)
+        return out.reshape(shape)
+
+
 class WordBpe:
     """A word-level BPE vocabulary with a word-end suffix, read from its JSON description."""
 
@@ -92,8 +139,8 @@ class WordBpe:
         right = np.array([ids[b] for _, b in pairs], dtype=np.int64)
         made = np.array([ids[a + b] for a, b in pairs], dtype=np.int64)
         self.size = size
-        order = np.argsort(left * size + right, kind="stable")
-        self.pair_keys, self.pair_ranks = (left * size + right)[order], order.astype(np.int64)
+        self.pairs = PairRanks(left * size + right)
+        self.made = made
         self.merges = {(a, b): (rank, c) for rank, (a, b, c) in reversed([*enumerate(zip(left.tolist(), right.tolist(), made.tolist()))])}
         self.rank = np.full(size, -1, dtype=np.int64)
         self.left, self.right = np.arange(size), np.arange(size)
@@ -119,9 +166,7 @@ class WordBpe:
 
     def _rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The rank of merging each pair, or a number above all ranks."""
-        keys = a * self.size + b
-        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
-        return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], _NEVER)
+        return self.pairs.find(a * self.size + b)
 
     def _reachable(self) -> np.ndarray:
         """Which entries merging can produce from their own characters."""
@@ -170,22 +215,41 @@ class WordBpe:
                     break
         return tuple(out)
 
+    def symbols(self, word: str) -> list[int]:
+        return [self.base[c] for c in word[:-1]] + [self.base_end[word[-1]]]
+
     def merge(self, word: str) -> tuple[int, ...]:
         """Exact merging by rank, then place, over ``word`` in the byte alphabet."""
-        symbols = [self.base[c] for c in word[:-1]] + [self.base_end[word[-1]]]
-        return self._merge_short(symbols) if len(symbols) <= SHORT_WORD else self._merge_long(symbols)
-
-    def _merge_short(self, symbols: list[int]) -> tuple[int, ...]:
-        """Looks at all pairs before each merge."""
-        get, nothing = self.merges.get, (_LAST, -1)
-        while len(symbols) > 1:
-            found = [get(p, nothing) for p in zip(symbols, symbols[1:])]
-            best = min(found)
-            if best is nothing:
-                break
-            i = found.index(best)
-            symbols[i : i + 2] = [best[1]]
-        return tuple(symbols)
+        return self._merge_long(self.symbols(word))
+
+    def merge_many(self, words: list[str]) -> list[tuple[int, ...]]:
+        """The same for many words: short ones of similar length side by side, one merge of each at a time."""
+        out: list[tuple[int, ...]] = [()] * len(words)
+        by_width: dict[int, list[int]] = {}
+        for i, word in enumerate(words):
+            width = next((w for w in SIDE_BY_SIDE if len(word) <= w), 0)
+            if width:
+                by_width.setdefault(width, []).append(i)
+            else:
+                out[i] = self.merge(word)
+        for width, places in by_width.items():
+            rows = np.array(places)
+            grid = np.full((len(rows), width + 1), -1, dtype=np.int64)
+            for row, i in enumerate(places):
+                grid[row, : len(words[i])] = self.symbols(words[i])
+            steps = np.arange(width)
+            while rows.size:
+                a, b = grid[:, :-1], grid[:, 1:]
+                ranks = np.where(b >= 0, self._rank_of(a, b), _NEVER)
+                best = ranks.argmin(axis=1)
+                rank = ranks[np.arange(len(rows)), best]
+                done = rank == _NEVER
+                for i, row in zip(rows[done].tolist(), grid[done].tolist()):
+                    out[i] = tuple(row[: row.index(-1)])
+                rows, grid, best, rank = rows[~done], grid[~done], best[~done], rank[~done]
+                grid[np.arange(len(rows)), best] = self.made[rank]
+                grid[:, :-1] = np.take_along_axis(grid, steps + (steps > best[:, None]), axis=1)
+        return out
 
     def _merge_long(self, symbols: list[int]) -> tuple[int, ...]:
         """Keeps the open merges in a heap."""
@@ -220,8 +284,9 @@ class WordBpe:
         keys, back = np.unique((flat[:-1] * self.size + flat[1:])[edge], return_inverse=True)
         fine = self.compatible(keys // self.size, keys % self.size)[back]
         failing = set(owner[:-1][edge][~fine].tolist())
-        for i, (word, tokens) in enumerate(zip(fresh, proposed)):
-            self.known[word] = self.merge(shown[i]) if i in failing else tokens
+        self.known.update(zip(fresh, proposed))
+        again = sorted(failing)
+        self.known.update(zip((fresh[i] for i in again), self.merge_many([shown[i] for i in again])))
 
     def split(self, text: str) -> list[str]:
         """Normalise as the vocabulary asks (NFC, lower case letter by letter) and cut into words."""
@@ -231,7 +296,7 @@ class WordBpe:
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
-            return _wide_words().findall(text)
+            return _wide_words().findall(text.translate(LATER_LOWER))
         return _NARROW_WORDS.findall(text)
 
     def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, list[int]]:
@@ -269,11 +334,18 @@ def load(description: str) -> WordBpe:
     return WordBpe(description)
 
 
-def _description(path: str) -> str:
+def read_description(path: str) -> str:
     with open(path, encoding="utf-8") as f:
         return f.read()
 
 
+def token_strings(description: str) -> list[str]:
+    """The string of each id; an id without a token has an empty one."""
+    spec = json.loads(description)
+    named = {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+    return [named.get(i, "") for i in range(max(named) + 1)]
+
+
 ENCODED = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType()))])
 DECODED = T.StructType([T.StructField("decoded", T.StringType())])
 
@@ -284,7 +356,7 @@ def encode(df: DataFrame, tokenizer_path: str, text_col: str = "text", ids_col:
     The vocabulary is read on the driver and sent to the executors as one broadcast,
     so they need no such file.  Its size (a few MB) does not depend on the data.
     """
-    sent = df.sparkSession.sparkContext.broadcast(_description(tokenizer_path))
+    sent = df.sparkSession.sparkContext.broadcast(read_description(tokenizer_path))
 
     @F.arrow_udf(ENCODED)
     def tokens(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -299,13 +371,21 @@ def encode(df: DataFrame, tokenizer_path: str, text_col: str = "text", ids_col:
 
 def decode(df: DataFrame, tokenizer_path: str, ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
     """Add the decoded text of an id column, special tokens included (null: empty)."""
-    sent = df.sparkSession.sparkContext.broadcast(_description(tokenizer_path))
+    sent = df.sparkSession.sparkContext.broadcast(token_strings(read_description(tokenizer_path)))
 
     @F.arrow_udf(DECODED)
     def texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        model = load(sent.value)
+        strings = pa.array(sent.value, pa.large_string())
         for rows in batches:
-            out = pa.array([model.decode(row.values.to_pylist()) if row.is_valid else "" for row in rows], pa.string())
-            yield pa.StructArray.from_arrays([out], ["decoded"])
+            pieces = pa.concat_arrays([_joined(rows[i : i + DECODED_ROWS], strings) for i in range(0, len(rows), DECODED_ROWS)] or [pa.array([], pa.string())])
+            yield pa.StructArray.from_arrays([pieces], ["decoded"])
 
     return with_struct(df, texts(F.col(ids_col)), DECODED, {"decoded": decoded_col})
+
+
+def _joined(rows: pa.Array, strings: pa.Array) -> pa.Array:
+    """Look up the string of each id and join each row's by a space (null: empty)."""
+    ids = rows.flatten()
+    lengths = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False)
+    offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
+    return pc.binary_join(pa.ListArray.from_arrays(offsets, strings.take(ids)), " ").cast(pa.string())
