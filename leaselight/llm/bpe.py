@@ -388,4 +388,4 @@ def _joined(rows: pa.Array, strings: pa.Array) -> pa.Array:
     ids = rows.flatten()
     lengths = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False)
     offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
-    return pc.binary_join(pa.ListArray.from_arrays(offsets, strings.take(ids)), " ").cast(pa.string())
+    return pc.binary_join(pa.ListArray.from_arrays(offsets, strings.take(ids)), pa.scalar(" ", strings.type)).cast(pa.string())
