@@ -18,26 +18,24 @@ import heapq
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, types as T
 
-from .arrow import int_lists, text_slices, with_struct
+from .arrow import int_lists, map_slices
 
 #: The contractions that the tokenizer's splitting rule keeps whole.
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 #: Distinct words whose tokens a worker remembers before it starts anew.
-REMEMBERED_WORDS = 250_000
+REMEMBERED_WORDS = 200_000
 #: Widths, in symbols, of the grids in which failing words are merged side by side; longer words use a heap.
 SIDE_BY_SIDE = (8, 16, 32)
 _NEVER = np.int64(2**62)
-#: Rows that are decoded together.
-DECODED_ROWS = 256
 
 
 #: Letters and numbers that Unicode 17 added, as first-last in hexadecimal.  The
@@ -346,44 +344,43 @@ def token_strings(description: str) -> list[str]:
     return [named.get(i, "") for i in range(max(named) + 1)]
 
 
-ENCODED = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType()))])
-DECODED = T.StructType([T.StructField("decoded", T.StringType())])
-
-
-def encode(df: DataFrame, tokenizer_path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+def encode(df: DataFrame, tokenizer_path: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None, drop: tuple[str, ...] = ()) -> DataFrame:
     """Add the token ids of every whole text (null: none) as an ``array<int>`` column.
 
-    The vocabulary is read on the driver and sent to the executors as one broadcast,
-    so they need no such file.  Its size (a few MB) does not depend on the data.
+    With ``decoded_col`` the same pass decodes the ids again, as ``decode`` does, and
+    adds the result.  ``drop`` names input columns that are not wanted further.  The
+    vocabulary is read on the driver and sent to the executors as one broadcast, so
+    they need no such file; its size (a few MB) does not depend on the data.
     """
     sent = df.sparkSession.sparkContext.broadcast(read_description(tokenizer_path))
+    fields = [T.StructField(ids_col, T.ArrayType(T.IntegerType()))]
+    fields += [T.StructField(decoded_col, T.StringType())] if decoded_col else []
 
-    @F.arrow_udf(ENCODED)
-    def tokens(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def make() -> Callable[[pa.Array], list[pa.Array]]:
         model = load(sent.value)
-        for texts in batches:
-            parts = [int_lists(*model.encode_batch(part), pa.int32()) for part in text_slices(texts)]
-            ids = pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
-            yield pa.StructArray.from_arrays([ids], ["ids"])
+        strings = pa.array(model.tokens, pa.large_string())
+
+        def work(texts: pa.Array) -> list[pa.Array]:
+            ids = int_lists(*model.encode_batch([t or "" for t in texts.to_pylist()]), pa.int32())
+            return [ids, joined(ids, strings)] if decoded_col else [ids]
+
+        return work
 
-    return with_struct(df, tokens(F.col(text_col)), ENCODED, {"ids": ids_col})
+    return map_slices(df, text_col, T.StructType(fields), make, drop)
 
 
-def decode(df: DataFrame, tokenizer_path: str, ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
+def decode(df: DataFrame, tokenizer_path: str, ids_col: str = "ids", decoded_col: str = "decoded", drop: tuple[str, ...] = ()) -> DataFrame:
     """Add the decoded text of an id column, special tokens included (null: empty)."""
     sent = df.sparkSession.sparkContext.broadcast(token_strings(read_description(tokenizer_path)))
 
-    @F.arrow_udf(DECODED)
-    def texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def make() -> Callable[[pa.Array], list[pa.Array]]:
         strings = pa.array(sent.value, pa.large_string())
-        for rows in batches:
-            pieces = pa.concat_arrays([_joined(rows[i : i + DECODED_ROWS], strings) for i in range(0, len(rows), DECODED_ROWS)] or [pa.array([], pa.string())])
-            yield pa.StructArray.from_arrays([pieces], ["decoded"])
+        return lambda ids: [joined(ids, strings)]
 
-    return with_struct(df, texts(F.col(ids_col)), DECODED, {"decoded": decoded_col})
+    return map_slices(df, ids_col, T.StructType([T.StructField(decoded_col, T.StringType())]), make, drop)
 
 
-def _joined(rows: pa.Array, strings: pa.Array) -> pa.Array:
+def joined(rows: pa.Array, strings: pa.Array) -> pa.Array:
     """Look up the string of each id and join each row's by a space (null: empty)."""
     ids = rows.flatten()
     lengths = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False)

@@ -19,7 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = bpe.decode(bpe.encode(docs, TOKENIZER_PATH).drop("text"), TOKENIZER_PATH)
+    coded = bpe.encode(docs, TOKENIZER_PATH, decoded_col="decoded", drop=("text",))
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -63,5 +63,7 @@ def test_frames(spark, library):
     for r in out:
         want = library.encode(r.text or "", add_special_tokens=False).ids
         assert r.ids == want and r.decoded == library.decode(want, skip_special_tokens=False)
+    once = bpe.encode(df, PATH, decoded_col="decoded", drop=("text",))
+    assert once.columns == ["doc_id", "ids", "decoded"] and sorted(map(str, once.collect())) == sorted(map(str, bpe.decode(bpe.encode(df, PATH), PATH, drop=("text",)).collect()))
     empty = bpe.encode(df.filter(F.lit(False)), PATH, ids_col="tokens")
     assert empty.columns == ["doc_id", "text", "IDS", "tokens"] and empty.count() == 0
