@@ -31,24 +31,27 @@ def text_slices(texts: pa.Array, limit: int = SLICE_CHARS) -> Iterator[list[str]
         yield part
 
 
-def map_slices(df: DataFrame, col: str, fields: T.StructType, make: Callable[[], Callable[[pa.Array], list[pa.Array]]], drop: tuple[str, ...] = (), limit: int = SLICE_CHARS) -> DataFrame:
-    """``df`` with ``fields`` added, computed by Arrow slices of a text or list column.
+def map_slices(df: DataFrame, cols: str | tuple[str, ...], fields: T.StructType, make: Callable[[], Callable[..., list[pa.Array]]], drop: tuple[str, ...] = (), limit: int = SLICE_CHARS) -> DataFrame:
+    """``df`` with ``fields`` added, computed by Arrow slices of columns, of which the first holds texts or lists.
 
     Unlike with a scalar function the results leave the worker slice by slice, so
     its memory follows ``limit`` (bytes of text or list items) and the largest
-    value, not a whole batch.  ``make`` runs once in each task.  Input columns that
+    value, not a whole batch.  ``make`` runs once in each task and makes a function
+    from one array for each of ``cols`` to one for each of ``fields``.  Input columns that
     are named like a new one, or in ``drop``, are left out.
     """
     taken = {f.name.lower() for f in fields} | {d.lower() for d in drop}
     keep = [f"`{c.replace('`', '``')}`" for c in df.columns if c.lower() not in taken]
-    source = df.select(*keep, F.col(col).alias("__value"))
-    schema = T.StructType([*source.schema.fields[:-1], *fields.fields])
+    cols = (cols,) if isinstance(cols, str) else cols
+    n = len(cols)
+    source = df.select(*keep, *(F.col(c).alias(f"__value_{i}") for i, c in enumerate(cols)))
+    schema = T.StructType([*source.schema.fields[:-n], *fields.fields])
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            values = batch.column(batch.num_columns - 1)
+            values = batch.column(batch.num_columns - n)
             size = pc.binary_length if pa.types.is_string(values.type) or pa.types.is_large_string(values.type) else pc.list_value_length
             ends = np.cumsum(pc.fill_null(size(values), 0).to_numpy(zero_copy_only=False).astype(np.int64))
             start = 0
@@ -56,7 +59,7 @@ def map_slices(df: DataFrame, col: str, fields: T.StructType, make: Callable[[],
                 before = int(ends[start - 1]) if start else 0
                 stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
                 part = batch.slice(start, stop - start)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *work(part.column(part.num_columns - 1))], names)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-n], *work(*part.columns[-n:])], names)
                 start = stop
 
     return source.mapInArrow(run, schema)
