@@ -12,8 +12,9 @@ alone.  Of these the least group of ``GROUP`` neighbours is the window's anchor,
 equal windows have equal anchors, and neighbouring windows mostly share one.
 
 Two exchanges settle what repeats.  In the first, anchors that occur in one document
-only are sent back to it; windows under them occur nowhere else.  In the second, the
-remaining windows' hashes are settled: each hash goes back to the first document that
+only are sent back to it; windows under them occur nowhere else.  The first of equal
+texts is told so, and its copies know themselves by hearing nothing.  In the second,
+the remaining windows' hashes are settled: each hash goes back to the first document that
 has it.  What neither holds back, and what a document repeats itself, is removed.
 Both are map-side combined aggregations by hash, so a passage in a third of all
 documents costs each task one row; neither a group nor its pairs are ever gathered.
@@ -26,12 +27,13 @@ row repeats itself is removed, so that repeated rows come out alike.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
-from itertools import chain
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .arrow import map_slices
@@ -43,6 +45,8 @@ ROUNDS, GROUP = 3, 2
 SLICE_BYTES = 1_500_000
 _LAST = 2**63 - 1
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+_BYTE_BASE, _WORD_BASE = 0x5851F42D4C957F2D, 0x2545F4914F6CDD1D
+_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
 def mixed(z: np.ndarray) -> np.ndarray:
@@ -57,26 +61,64 @@ def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mixed(a * _GOLDEN + mixed(b + np.uint64(0x632BE59BD9B4E019)))
 
 
+#: A random-looking number for each byte.
+_BYTES = mixed((np.arange(256, dtype=np.uint64) + np.uint64(1)) * _GOLDEN)
+
+
+@functools.cache
+def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2**64; ``n`` is a power of two, so few sizes are kept."""
+    with np.errstate(over="ignore"):
+        up = np.cumprod(np.full(n, base, dtype=np.uint64)) * np.uint64(pow(base, -1, 2**64))
+        down = np.cumprod(np.full(n, pow(base, -1, 2**64), dtype=np.uint64)) * np.uint64(base)
+    return up, down
+
+
+class Spans:
+    """Hashes of any span of a sequence, by differences of one running sum."""
+
+    def __init__(self, values: np.ndarray, base: int) -> None:
+        self.up, self.down = _powers(base, 1 << max(16, len(values).bit_length()))
+        self.sums = np.zeros(len(values) + 1, dtype=np.uint64)
+        np.cumsum(values * self.up[: len(values)], out=self.sums[1:])
+
+    def hashes(self, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mixed((self.sums[end] - self.sums[first]) * self.down[first] + (end - first).astype(np.uint64))
+
+
 class Parse:
     """The words of some texts, their windows, and each window's anchor and hash."""
 
-    def __init__(self, words: list[list[bytes]], window: int = WINDOW) -> None:
-        self.counts = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        n = int(self.counts.sum())
-        self.names = np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(words)), dtype=np.uint64, count=n)
-        self.text_of = np.repeat(np.arange(len(words)), self.counts)
+    def __init__(self, texts: pa.Array, window: int = WINDOW) -> None:
+        texts = pc.fill_null(texts, "").cast(pa.string())
+        ends = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[ends[0] : ends[-1]]
+        ends -= ends[0]
+        blank = _BLANK[data]
+        before, after = np.ones(len(data), dtype=bool), np.ones(len(data), dtype=bool)
+        before[1:], after[:-1] = blank[:-1], blank[1:]
+        inner = ends[(ends > 0) & (ends < len(data))]  # no word goes on into the next text
+        before[inner], after[inner - 1] = True, True
+        first, end = np.flatnonzero(~blank & before), np.flatnonzero(~blank & after) + 1
+        self.counts = np.diff(np.searchsorted(first, ends))
+        self.bounds = np.concatenate([[0], np.cumsum(self.counts)])
+        self.names = Spans(_BYTES[data], _BYTE_BASE).hashes(first, end)
+        self.sequence = Spans(mixed(self.names), _WORD_BASE)
+        self.text_of = np.repeat(np.arange(len(texts)), self.counts)
         self.window = window
-        fits = self.text_of[: max(0, n - window + 1)] == self.text_of[window - 1 :]
+        fits = self.text_of[: max(0, len(first) - window + 1)] == self.text_of[window - 1 :]
         self.starts = np.flatnonzero(fits)
         self.owner = self.text_of[self.starts]
 
     def hashes(self, at: np.ndarray) -> np.ndarray:
         """A hash of the whole window for the windows of these places in ``starts``."""
-        out = np.zeros(len(at), dtype=np.uint64)
         first = self.starts[at]
-        for k in range(self.window):
-            out = out * _GOLDEN + self.names[first + k]
-        return mixed(out)
+        return self.sequence.hashes(first, first + self.window)
+
+    def whole(self) -> tuple[np.ndarray, np.ndarray]:
+        """The texts that have a window, and a hash of all their words."""
+        texts = np.flatnonzero(self.counts >= self.window)
+        return texts, self.sequence.hashes(self.bounds[texts], self.bounds[texts + 1])
 
     def anchors(self) -> np.ndarray:
         """The anchor's name for every window; windows without any inner symbol are named by their own hash."""
@@ -87,24 +129,24 @@ class Parse:
         fresh = np.ones(n, dtype=bool)
         fresh[1:] = (text_of[1:] != text_of[:-1]) | (names[1:] != names[:-1])
         at = np.flatnonzero(fresh)
-        of = np.cumsum(fresh) - 1
+        run_of = np.cumsum(fresh) - 1
         runs = np.diff(np.append(at, n))
         symbols, own = np.where(runs > 1, paired(names[at], runs.astype(np.uint64)), names[at]), text_of[at]
-        # symbols low..high-1 depend on the window alone: the runs at its edges may go on outside
-        low, high = of[self.starts] + 1, of[self.starts + self.window - 1]
+        # For a window whose first and last words are in runs a and b, the symbols low[a] .. high[b] - 1
+        # depend on the window alone: the runs at its edges may go on outside.
+        low, high = np.arange(1, len(at) + 1), np.arange(len(at))
         for k in range(1, ROUNDS + 1):
-            right = (mixed(symbols + np.uint64(k)) & np.uint64(1)).astype(bool)
+            right = mixed(symbols + np.uint64(k)) & np.uint64(1) == 1
             joins = np.zeros(len(symbols), dtype=bool)  # with the symbol before
             joins[1:] = right[1:] & ~right[:-1] & (own[1:] == own[:-1])
-            of = np.cumsum(~joins) - 1
             # a right symbol in front may join one outside, and so may a left one at the end
-            fine = high > low
-            head, tail = np.where(fine, low, 0), np.where(fine, high - 1, 0)
-            low, high = np.where(fine, of[head] + right[head], 0), np.where(fine, of[tail] + right[tail], 0)
+            moved = np.append(np.cumsum(~joins) - 1 + right, len(symbols))
+            low, high = moved[np.minimum(low, len(symbols))], np.where(high > 0, moved[high - 1], 0)
             keep = np.flatnonzero(~joins)
             after = np.append(joins[1:], False)[keep]
             symbols = np.where(after, paired(symbols[keep], symbols[np.minimum(keep + 1, len(symbols) - 1)]), symbols[keep])
             own = own[keep]
+        low, high = low[run_of[self.starts]], high[run_of[self.starts + self.window - 1]]
         size = np.maximum(high - low, 0)
         grouped = [symbols]
         for g in range(1, GROUP):
@@ -114,12 +156,12 @@ class Parse:
             out[few] = grouped[g - 1][low[few]]
         many = np.flatnonzero(size >= GROUP)
         least, width = grouped[-1], 1
-        places = size[many] - GROUP + 1
+        head, places = low[many], size[many] - GROUP + 1
         while len(many):  # minima over spans of doubling width; two of them cover a window's range
             done = places < 2 * width
-            a, b = low[many[done]], low[many[done]] + places[done] - width
-            out[many[done]] = np.minimum(least[a], least[b])
-            many, places = many[~done], places[~done]
+            a = head[done]
+            out[many[done]] = np.minimum(least[a], least[a + places[done] - width])
+            many, head, places = many[~done], head[~done], places[~done]
             if len(many):
                 least = np.minimum(least[:-width], least[width:])
                 width *= 2
@@ -128,10 +170,6 @@ class Parse:
         return out
 
 
-def split(texts: pa.Array) -> list[list[bytes]]:
-    return [(t or "").encode().split() for t in texts.to_pylist()]
-
-
 def of_text(names: np.ndarray, text: np.ndarray) -> np.ndarray:
     """One number for a name in a text, so that sets of both can be compared at once."""
     return mixed(names + mixed(text.astype(np.uint64) + np.uint64(1)))
@@ -144,25 +182,44 @@ def known(names: np.ndarray, text: np.ndarray, lists: pa.Array) -> np.ndarray:
     return np.isin(of_text(names, text), listed)
 
 
-def open_windows(parse: Parse, held: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Windows whose anchor other documents have too, as places in ``starts``, and those anchors."""
-    names = parse.anchors()
+def records(parse: Parse) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches of windows with one anchor: its name (an even number), the first window, and the stretch of each window."""
+    names = parse.anchors() & ~np.uint64(1)
     fresh = np.ones(len(names), dtype=bool)
     fresh[1:] = (names[1:] != names[:-1]) | (parse.owner[1:] != parse.owner[:-1])
     first = np.flatnonzero(fresh)
-    at = np.flatnonzero(~known(names[first], parse.owner[first], held)[np.cumsum(fresh) - 1])
-    return at, names[at]
+    return names[first], first, np.cumsum(fresh) - 1
+
+
+def later_copies(parse: Parse, held: pa.Array) -> np.ndarray:
+    """By text: whether all its words stand in an earlier document."""
+    texts, hashes = parse.whole()
+    out = np.zeros(len(parse.counts), dtype=bool)
+    out[texts] = ~known(hashes | np.uint64(1), texts, held)
+    return out
+
+
+def open_windows(parse: Parse, stretches: tuple[np.ndarray, np.ndarray, np.ndarray], held: pa.Array, settled: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of texts not ``settled`` whose anchor other documents have too, as places in ``starts``, and those anchors."""
+    names, first, of = stretches
+    owner = parse.owner[first]
+    still = ~settled[owner]
+    still[still] = ~known(names[still], owner[still], held)
+    at = np.flatnonzero(still[of])
+    return at, names[of[at]]
 
 
 def removed(parse: Parse, held: pa.Array, firsts: pa.Array) -> np.ndarray:
     """Which words are in a window that starts earlier too."""
-    at, _ = open_windows(parse, held)
-    again = np.zeros(len(parse.starts), dtype=bool)
-    again[at] = ~known(parse.hashes(at), parse.owner[at], firsts)
-    every = of_text(parse.hashes(np.arange(len(parse.starts))), parse.owner)
-    once = np.zeros(len(every), dtype=bool)
-    once[np.unique(every, return_index=True)[1]] = True  # the first of a text's equal windows
-    starts = parse.starts[again | ~once]
+    copies = later_copies(parse, held)
+    gone = copies[parse.owner]
+    at, _ = open_windows(parse, records(parse), held, copies)
+    gone[at] = ~known(parse.hashes(at), parse.owner[at], firsts)
+    once = np.unique(of_text(parse.hashes(np.arange(len(gone))), parse.owner), return_index=True)[1]
+    again = np.ones(len(gone), dtype=bool)
+    again[once] = False  # the first of a text's equal windows
+    gone |= again
+    starts = parse.starts[gone]
     cover = np.zeros(len(parse.names) + 1, dtype=np.int32)
     cover[starts] += 1
     cover[starts + parse.window] -= 1
@@ -183,43 +240,47 @@ def _lists(values: np.ndarray, owner: np.ndarray, n: int) -> pa.Array:
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out_col: str = "kept_text", window: int = WINDOW) -> DataFrame:
     """Add ``n_words``, ``n_removed`` and the kept words, joined by a space, to every document."""
-    keyed = docs.withColumn("__key", F.coalesce(F.col(id_col), F.lit(_LAST))).withColumn("__text", F.col(text_col))
+    keyed = docs.withColumn("__key", F.coalesce(F.col(id_col), F.lit(_LAST)))
 
     def name_votes(texts: pa.Array) -> list[pa.Array]:
-        parse = Parse(split(texts), window)
-        names = parse.anchors()
-        place = np.unique(of_text(names, parse.owner), return_index=True)[1]
-        place.sort()
-        return [_lists(names[place], parse.owner[place], len(texts))]
+        parse = Parse(texts, window)
+        names, first, _ = records(parse)
+        owner = parse.owner[first]
+        place = np.unique(of_text(names, owner), return_index=True)[1]
+        whole, hashes = parse.whole()
+        names, owner = np.concatenate([names[place], hashes | np.uint64(1)]), np.concatenate([owner[place], whole])
+        order = np.argsort(owner, kind="stable")
+        return [_lists(names[order], owner[order], len(texts))]
 
     def window_votes(texts: pa.Array, held: pa.Array) -> list[pa.Array]:
-        parse = Parse(split(texts), window)
-        at, names = open_windows(parse, held)
+        parse = Parse(texts, window)
+        at, names = open_windows(parse, records(parse), held, later_copies(parse, held))
         hashes = parse.hashes(at)
         place = np.unique(of_text(hashes, parse.owner[at]), return_index=True)[1]
         place.sort()
         owner = parse.owner[at][place]
-        return [_lists(hashes[place], owner, len(texts)), _lists(names[place], owner, len(texts))]
+        proof = _lists(names[place], owner, len(texts))
+        return [_lists(hashes[place], owner, len(texts)), pa.ListArray.from_arrays(proof.offsets, pa.array((names[place] >> np.uint64(32)).astype(np.uint32).view(np.int32)))]
 
     def kept(texts: pa.Array, held: pa.Array, firsts: pa.Array) -> list[pa.Array]:
-        words = split(texts)
-        parse = Parse(words, window)
-        gone = removed(parse, held, firsts)
-        ends = np.cumsum(parse.counts)
+        parse = Parse(texts, window)
+        stay = ~removed(parse, held, firsts)
         out, lost = [], []
-        for own, end in zip(words, ends.tolist()):
-            mask = gone[end - len(own) : end]
-            lost.append(int(mask.sum()))
-            out.append(b" ".join([w for w, m in zip(own, mask.tolist()) if not m] if lost[-1] else own).decode())
+        for text, a, b in zip(texts.to_pylist(), parse.bounds[:-1].tolist(), parse.bounds[1:].tolist()):
+            own = (text or "").encode().split()
+            mask = stay[a:b]
+            lost.append(b - a - int(mask.sum()))
+            out.append(b" ".join(compress(own, mask.tolist()) if lost[-1] else own).decode())
         return [pa.array(parse.counts), pa.array(lost, pa.int64()), pa.array(out, pa.string())]
 
-    name, hash_ = T.StructField("name", T.LongType()), T.StructField("hash", T.LongType())
-    votes = _votes(keyed, ("__text",), T.StructType([name]), name_votes)
-    alone = votes.groupBy("name").agg(F.min("__key").alias("__key"), F.max("__key").alias("last")).where(F.col("__key") == F.col("last"))
-    held = alone.groupBy("__key").agg(F.collect_list("name").alias("__held"))
+    name, hash_, proof = T.StructField("name", T.LongType()), T.StructField("hash", T.LongType()), T.StructField("proof", T.IntegerType())
+    votes = _votes(keyed, (text_col,), T.StructType([name]), name_votes)
+    voted = votes.groupBy("name").agg(F.min("__key").alias("__key"), F.max("__key").alias("last"))
+    told = voted.where((F.col("__key") == F.col("last")) | (F.col("name").bitwiseAND(1) == 1))  # anchors that are alone, and every text's first copy
+    held = told.groupBy("__key").agg(F.collect_list("name").alias("__held"))
     known_docs = keyed.join(held, "__key", "left")
-    votes = _votes(known_docs, ("__text", "__held"), T.StructType([hash_, name]), window_votes)
-    first = votes.groupBy("hash", "name").agg(F.min("__key").alias("__key"))
+    votes = _votes(known_docs, (text_col, "__held"), T.StructType([hash_, proof]), window_votes)
+    first = votes.groupBy("hash", "proof").agg(F.min("__key").alias("__key"))
     firsts = first.groupBy("__key").agg(F.collect_list("hash").alias("__firsts"))
     fields = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField(out_col, T.StringType())])
-    return map_slices(known_docs.join(firsts, "__key", "left"), ("__text", "__held", "__firsts"), fields, lambda: kept, ("__key", "__text", "__held", "__firsts"), SLICE_BYTES)
+    return map_slices(known_docs.join(firsts, "__key", "left"), (text_col, "__held", "__firsts"), fields, lambda: kept, ("__key", "__held", "__firsts"), SLICE_BYTES)

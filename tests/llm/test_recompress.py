@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from leaselight.llm import recompress
@@ -71,14 +72,22 @@ def test_repeated_and_missing_ids(spark):
 
 def test_equal_windows_have_equal_anchors():
     rng = random.Random(4)
-    own = [(t or "").encode().split() for t in texts(rng)]
-    parse = recompress.Parse(own, WINDOW)
+    parse = recompress.Parse(pa.array(texts(rng)), WINDOW)
     by_gram = {}
     for s, name in zip(parse.starts.tolist(), parse.anchors().tolist()):
         by_gram.setdefault(tuple(parse.names[s : s + WINDOW].tolist()), set()).add(name)
     assert all(len(names) == 1 for names in by_gram.values()) and len(by_gram) > 1000
 
 
+def test_words_and_spans():
+    own = ["a b\x0bc\x85d  é", None, "", " x", "x", "\n", "ab", "b\x1cc", "é x" * 30]
+    parse = recompress.Parse(pa.array(own).slice(0), 2)
+    words = [w for t in own for w in (t or "").encode().split()]
+    assert parse.counts.tolist() == [len((t or "").encode().split()) for t in own]
+    assert len({*zip(words, parse.names.tolist())}) == len({*words}) == len({*parse.names.tolist()})
+    assert recompress.Parse(pa.array(own).slice(3, 3), 2).counts.tolist() == [1, 1, 0]
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert recompress.dedup(df).count() == 0
