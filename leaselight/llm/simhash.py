@@ -38,18 +38,22 @@ SAMPLE_SIZE = 16_384
 BLOCK = 4_000_000
 COUNTED = 65_536
 
-_hash = functools.partial(xxhash.xxh64_intdigest, seed=SEED)
-_PRINT = T.StructType([T.StructField("simhash", T.LongType())])
+_PRINTS = T.StructType([T.StructField("simhash", T.LongType()), T.StructField("second", T.LongType())])
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
+def fingerprint(text: str | None, shingle: int = 3, seed: int = SEED) -> int:
     """A bit is 1 if it is set in over half of the shingles' hashes; words are cut at ASCII white space, A-Z lower-cased."""
     words = (text or "").encode().lower().split()
     if not words:
         return 0
     n = max(1, len(words) - shingle + 1)
     grams = map(b" ".join, zip(*(words[k:] for k in range(shingle)))) if len(words) > shingle else [b" ".join(words)]
-    hashes = np.fromiter(map(_hash, grams), dtype=np.uint64, count=n)
+    hashes = np.fromiter(map(functools.partial(xxhash.xxh64_intdigest, seed=seed), grams), dtype=np.uint64, count=n)
+    return _majority(hashes)
+
+
+def _majority(hashes: np.ndarray) -> int:
+    n = len(hashes)
     ones = np.zeros(BITS, dtype=np.int64)
     for i in range(0, n, COUNTED):
         bits = np.unpackbits(hashes[i : i + COUNTED].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -57,16 +61,31 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
-def with_fingerprints(df: DataFrame, text_col: str = "text", out_col: str = "simhash", shingle: int = 3) -> DataFrame:
-    """Add the fingerprint of every whole text as a ``bigint`` that holds the 64 bits."""
+def two_fingerprints(text: str | None, shingle: int = 3) -> tuple[int, int]:
+    """The fingerprint, and one made of a remix of the same hashes, which is independent of it."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return 0, 0
+    n = max(1, len(words) - shingle + 1)
+    grams = map(b" ".join, zip(*(words[k:] for k in range(shingle)))) if len(words) > shingle else [b" ".join(words)]
+    hashes = np.fromiter(map(functools.partial(xxhash.xxh64_intdigest, seed=SEED), grams), dtype=np.uint64, count=n)
+    remixed = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return _majority(hashes), _majority(remixed ^ (remixed >> np.uint64(32)))
+
+
+def with_fingerprints(df: DataFrame, text_col: str = "text", out_col: str = "simhash", shingle: int = 3, second_col: str | None = None) -> DataFrame:
+    """Add the fingerprint of every whole text as a ``bigint`` that holds the 64 bits, and a second one if it is named."""
+    fields = T.StructType(_PRINTS.fields[: 1 + bool(second_col)])
 
-    @F.arrow_udf(_PRINT)
+    @F.arrow_udf(fields)
     def prints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            values = [fingerprint(t, shingle) for part in text_slices(texts) for t in part]
-            yield pa.StructArray.from_arrays([pa.array(np.array(values, dtype=np.uint64).view(np.int64))], ["simhash"])
+            every = [t for part in text_slices(texts) for t in part]
+            values = [two_fingerprints(t, shingle) if second_col else (fingerprint(t, shingle),) for t in every]
+            columns = np.array(values, dtype=np.uint64).reshape(len(every), len(fields)).view(np.int64)
+            yield pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns.T], fields.names)
 
-    return with_struct(df, prints(F.col(text_col)), _PRINT, {"simhash": out_col})
+    return with_struct(df, prints(F.col(text_col)), fields, {"simhash": out_col} | ({"second": second_col} if second_col else {}))
 
 
 def distances(points: np.ndarray, vantage: np.uint64) -> np.ndarray:
@@ -74,16 +93,13 @@ def distances(points: np.ndarray, vantage: np.uint64) -> np.ndarray:
 
 
 def best_cut(d: np.ndarray, radius: int) -> int | None:
-    """The ``mu`` that parts the points best for the share that must visit both sides; None if none parts them."""
+    """The ``mu`` that leaves the least to compare, given that the near inner points visit the outer side; None if none parts the points."""
     counts = np.bincount(d, minlength=BITS + 1)
     inner = np.cumsum(counts) / len(d)
     near = np.convolve(counts, np.ones(radius))[: BITS + 1] / len(d)  # at mu - radius + 1 .. mu
-    share = np.minimum(inner, 1 - inner)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        gain = -(inner * np.log2(inner) + (1 - inner) * np.log2(1 - inner))
-        cost = np.where(share > 0.05, (near + 0.01) / gain, np.inf)
-    mu = int(np.argmin(cost))
-    return mu if np.isfinite(cost[mu]) else None
+    work = inner * inner + (1 - inner) * (1 - inner + near)
+    mu = int(np.argmin(work))
+    return mu if work[mu] < 0.95 else None
 
 
 class VantageTree:
@@ -146,8 +162,11 @@ class Labels:
             self.parent = up
 
 
-def link_within(points: np.ndarray, home: np.ndarray, radius: int) -> np.ndarray:
-    """Component labels of ``points`` under all links of at most ``radius`` that touch a home point."""
+def link_within(points: np.ndarray, home: np.ndarray, radius: int, second: np.ndarray | None = None, second_radius: int = BITS) -> np.ndarray:
+    """Component labels of ``points`` under all links of at most ``radius`` that touch a home point.
+
+    With ``second`` fingerprints, a link must hold between those too, within their own radius.
+    """
     labels = Labels(len(points))
     todo = [(np.flatnonzero(home), np.flatnonzero(~home))]
     while todo:
@@ -165,6 +184,9 @@ def link_within(points: np.ndarray, home: np.ndarray, radius: int) -> np.ndarray
             for i in range(0, len(own), step):
                 near = np.bitwise_count(points[own[i : i + step], None] ^ points[None, every]) <= radius
                 x, y = np.nonzero(near)
+                if second is not None:
+                    sure = np.bitwise_count(second[own[i : i + step][x]] ^ second[every[y]]) <= second_radius
+                    x, y = x[sure], y[sure]
                 labels.join(own[i : i + step][x], every[y])
             continue
         inside, edge = d <= mu, d > mu - radius
@@ -173,26 +195,34 @@ def link_within(points: np.ndarray, home: np.ndarray, radius: int) -> np.ndarray
     return labels.parent
 
 
-def links(prints: DataFrame, radius: int = 2, shard_size: int = SHARD_SIZE, sample_size: int = SAMPLE_SIZE) -> DataFrame:
-    """Links (``a``, ``b``) whose components are those of all pairs of distinct ``simhash`` values within ``radius``."""
+def links(prints: DataFrame, radius: int = 2, shard_size: int = SHARD_SIZE, sample_size: int = SAMPLE_SIZE, second_radius: int | None = None) -> DataFrame:
+    """Links (``a``, ``b``) whose components are those of all pairs of distinct points within ``radius``.
+
+    Points are (``node``, ``simhash``), the node being the fingerprint itself unless
+    ``second`` fingerprints verify links.
+    """
     n = prints.count()
     every = max(16, math.ceil(n / sample_size))
-    sample = prints.where(F.pmod(F.xxhash64("simhash"), F.lit(every)) == 0)  # about sample_size values at most
+    sample = prints.where(F.pmod(F.xxhash64("node"), F.lit(every)) == 0).select("simhash")  # about sample_size values at most
     tree = VantageTree(np.array([r[0] for r in sample.collect()], dtype=np.int64).view(np.uint64), math.ceil(n / shard_size), radius)
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            points = batch.column("simhash").to_numpy()
-            for shard, places, home in tree.route(points.view(np.uint64)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(places), shard)), pa.array(points[places]), pa.array(np.full(len(places), home))], ["shard", "simhash", "home"])
+            points = batch.column("simhash").to_numpy().view(np.uint64)
+            for shard, places, home in tree.route(points):
+                own = batch.take(pa.array(places))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(places), shard)), pa.array(np.full(len(places), home)), *own.columns], ["shard", "home", *own.schema.names])
 
     def linked(table: pa.Table) -> pa.Table:
-        points = table.column("simhash").to_numpy()
-        label = link_within(points.view(np.uint64), table.column("home").to_numpy(), radius)
+        nodes, points, home = (table.column(c).to_numpy() for c in ("node", "simhash", "home"))
+        second = table.column("second").to_numpy().view(np.uint64) if second_radius is not None else None
+        label = link_within(points.view(np.uint64), home, radius, second, second_radius or 0)
         moved = label != np.arange(len(points))
-        return pa.table({"a": points[moved], "b": points[label[moved]]})
+        return pa.table({"a": nodes[moved], "b": nodes[label[moved]]})
 
-    return prints.select("simhash").mapInArrow(dealt, "shard long, simhash long, home boolean").groupBy("shard").applyInArrow(linked, "a long, b long")
+    columns = ["node", "simhash", "second"][: 2 + (second_radius is not None)]
+    schema = "shard long, home boolean, " + ", ".join(f"{c} long" for c in columns)
+    return prints.select(*columns).mapInArrow(dealt, schema).groupBy("shard").applyInArrow(linked, "a long, b long")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -220,16 +250,22 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("root")).union(pairs.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2, shard_size: int = SHARD_SIZE, sample_size: int = SAMPLE_SIZE) -> DataFrame:
-    """One row for each document: its id, ``fingerprint`` (16 hexadecimal digits) and ``component_id``, the least id that it reaches."""
-    named = with_fingerprints(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), shingle=shingle)
-    rows = cut(named.select("doc_id", "simhash"))
-    classes = cut(rows.groupBy("simhash").agg(F.min("doc_id").alias("least")))
-    linked = components(links(classes, radius, shard_size, sample_size))
-    rooted = classes.join(linked.withColumnRenamed("node", "simhash"), "simhash", "left").withColumn("root", F.coalesce("root", "simhash"))
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2, second_radius: int | None = None, shard_size: int = SHARD_SIZE, sample_size: int = SAMPLE_SIZE) -> DataFrame:
+    """One row for each document: its id, ``fingerprint`` (16 hexadecimal digits) and ``component_id``, the least id that it reaches.
+
+    A wide ``radius`` also meets texts that agree by chance; ``second_radius`` then
+    asks that an independent second fingerprint agrees as well.
+    """
+    second = "second" if second_radius is not None else None
+    named = with_fingerprints(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), shingle=shingle, second_col=second)
+    point = ["simhash", "second"][: 1 + bool(second)]
+    rows = cut(named.select("doc_id", *point, (F.xxhash64(*point) if second else F.col("simhash")).alias("node")))
+    classes = cut(rows.groupBy("node").agg(F.min("doc_id").alias("least"), *(F.min(c).alias(c) for c in point)))
+    linked = components(links(classes, radius, shard_size, sample_size, second_radius))
+    rooted = classes.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     by_root = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_class = rooted.join(by_root, "root").select("simhash", "component_id")
-    return rows.join(of_class, "simhash").select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id")
+    of_class = rooted.join(by_root, "root").select("node", "component_id")
+    return rows.join(of_class, "node").select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -28,11 +28,12 @@ def test_run_against_brute_force(spark):
         bad = bad or len(re.findall(r"[A-ZÀ-ÖØ-Þ]{3}", d["text"])) * 3 > n
         if not bad:
             kept.append(d)
-    prints = [simhash.fingerprint(d["text"], 5) for d in kept]
+    prints, second = zip(*(simhash.two_fingerprints(d["text"], 5) for d in kept))
+    roots = test_simhash.plain_components(prints, corpus_pipeline.RADIUS, second, corpus_pipeline.SECOND_RADIUS)
     best = {}
-    for root, d in zip(test_simhash.plain_components(prints), kept):
+    for root, d in zip(roots, kept):
         best[root] = min(best.get(root, d["doc_id"]), d["doc_id"])
-    kept = [d for root, d in zip(test_simhash.plain_components(prints), kept) if best[root] == d["doc_id"]]
+    kept = [d for root, d in zip(roots, kept) if best[root] == d["doc_id"]]
     kept = [d for d in kept if test_decontaminate.plain(d["text"], items)[1] == 0]
     library = Tokenizer.from_file(TOKENIZER_PATH)
     want = {}

@@ -19,7 +19,7 @@ def plain_print(text):
     return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
 
 
-def plain_components(prints, radius=2):
+def plain_components(prints, radius=2, second=None, second_radius=64):
     parent = list(range(len(prints)))
 
     def root(i):
@@ -29,7 +29,7 @@ def plain_components(prints, radius=2):
 
     for i, a in enumerate(prints):
         for j in range(i):
-            if (a ^ prints[j]).bit_count() <= radius:
+            if (a ^ prints[j]).bit_count() <= radius and (second is None or (second[i] ^ second[j]).bit_count() <= second_radius):
                 x, y = sorted((root(i), root(j)))
                 parent[y] = x
     return [root(i) for i in range(len(prints))]
@@ -67,7 +67,7 @@ def test_components_over_shards(spark):
     rng = random.Random(5)
     points = clustered(rng, 3000)
     signed = np.array(points, dtype=np.uint64).view(np.int64).tolist()
-    df = spark.createDataFrame([(p,) for p in signed], "simhash long").repartition(3)
+    df = spark.createDataFrame([(p, p) for p in signed], "node long, simhash long").repartition(3)
     edges = simhash.links(df, shard_size=100, sample_size=1000)
     got = {r.node: r.root for r in simhash.components(edges).collect()}
     want = plain_components(points)
@@ -78,6 +78,16 @@ def test_components_over_shards(spark):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, mine.values()))
 
 
+def test_second_fingerprints_verify():
+    rng = random.Random(6)
+    points = clustered(rng, 300)
+    second = np.array([rng.choice([0, 0, 2**64 - 1]) for _ in points], dtype=np.uint64)
+    label = simhash.link_within(np.array(points, dtype=np.uint64), np.ones(len(points), dtype=bool), 5, second, 3)
+    assert label.tolist() == plain_components(points, 5, second.tolist(), 3) != plain_components(points, 5)
+    first, other = simhash.two_fingerprints("a b c d e f g", 5)
+    assert first == simhash.fingerprint("a b c d e f g", 5) and (first ^ other).bit_count() > 10 and simhash.two_fingerprints(None) == (0, 0)
+
+
 def test_chain_and_star(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, i) for i in range(2000, 2300)] + [(5, 5)]
     got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
