@@ -61,7 +61,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = recompress.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = recompress.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), drop=("text",))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 

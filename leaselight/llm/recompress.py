@@ -228,7 +228,7 @@ def removed(parse: Parse, held: pa.Array, firsts: pa.Array) -> np.ndarray:
 
 def _votes(keyed: DataFrame, cols: tuple[str, ...], fields: T.StructType, emit: Callable[..., list[pa.Array]]) -> DataFrame:
     """The rows of equally long lists that ``emit`` makes for each document, one row for each item, with the document's ``__key``."""
-    lists = map_slices(keyed.select("__key", *cols), cols, T.StructType([T.StructField(f.name, T.ArrayType(f.dataType)) for f in fields]), lambda: emit, cols, SLICE_BYTES)
+    lists = map_slices(keyed, cols, T.StructType([T.StructField(f.name, T.ArrayType(f.dataType)) for f in fields]), lambda: emit, tuple(c for c in keyed.columns if c != "__key"), SLICE_BYTES)
     return lists.select("__key", F.explode(F.arrays_zip(*fields.names)).alias("v")).select("__key", "v.*") if len(fields) > 1 else lists.select("__key", F.explode(fields.names[0]).alias(fields.names[0]))
 
 
@@ -238,8 +238,11 @@ def _lists(values: np.ndarray, owner: np.ndarray, n: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out_col: str = "kept_text", window: int = WINDOW) -> DataFrame:
-    """Add ``n_words``, ``n_removed`` and the kept words, joined by a space, to every document."""
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out_col: str = "kept_text", window: int = WINDOW, drop: tuple[str, ...] = ()) -> DataFrame:
+    """Add ``n_words``, ``n_removed`` and the kept words, joined by a space, to every document.
+
+    ``drop`` names input columns that are not wanted further.
+    """
     keyed = docs.withColumn("__key", F.coalesce(F.col(id_col), F.lit(_LAST)))
 
     def name_votes(texts: pa.Array) -> list[pa.Array]:
@@ -252,7 +255,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out_c
         order = np.argsort(owner, kind="stable")
         return [_lists(names[order], owner[order], len(texts))]
 
-    def window_votes(texts: pa.Array, held: pa.Array) -> list[pa.Array]:
+    def window_votes(texts: pa.Array, held: pa.Array, *_: pa.Array) -> list[pa.Array]:
         parse = Parse(texts, window)
         at, names = open_windows(parse, records(parse), held, later_copies(parse, held))
         hashes = parse.hashes(at)
@@ -279,8 +282,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out_c
     told = voted.where((F.col("__key") == F.col("last")) | (F.col("name").bitwiseAND(1) == 1))  # anchors that are alone, and every text's first copy
     held = told.groupBy("__key").agg(F.collect_list("name").alias("__held"))
     known_docs = keyed.join(held, "__key", "left")
-    votes = _votes(known_docs, (text_col, "__held"), T.StructType([hash_, proof]), window_votes)
+    # with all columns, so that the exchange of the documents below is the one that the result needs, too
+    others = tuple(c for c in docs.columns if c != text_col)
+    votes = _votes(known_docs, (text_col, "__held", *others), T.StructType([hash_, proof]), window_votes)
     first = votes.groupBy("hash", "proof").agg(F.min("__key").alias("__key"))
     firsts = first.groupBy("__key").agg(F.collect_list("hash").alias("__firsts"))
     fields = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField(out_col, T.StringType())])
-    return map_slices(known_docs.join(firsts, "__key", "left"), (text_col, "__held", "__firsts"), fields, lambda: kept, ("__key", "__held", "__firsts"), SLICE_BYTES)
+    return map_slices(known_docs.join(firsts, "__key", "left"), (text_col, "__held", "__firsts"), fields, lambda: kept, ("__key", "__held", "__firsts", *drop), SLICE_BYTES)
