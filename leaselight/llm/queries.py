@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, quality, recompress, secrets, simhash
+from . import bpe, classifier, decontaminate, language, quality, recompress, secrets, simhash
 
 #: Where the tokenizer of op1 comes from; another vocabulary of the same kind does as well.
 TOKENIZER_PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -28,6 +28,17 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def held_out(of: int, remainder: int):
+    """Whether crc32 of the id leaves this remainder; rows without an id are never learnt from."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % of == remainder, F.lit(True)).alias("held_out")
+
+
+def op2_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = classifier.fit(docs, table(spark, sf_dir, "labels").where(~held_out(3, 1)))
+    return classifier.score(docs, model).select("doc_id", held_out(3, 1), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -48,6 +59,12 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).select("doc_id", *quality.COUNTS, "base_failed", "kept")
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs.where(~held_out(5, 0)))
+    return language.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out(5, 0), "lang_pred", "score")
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -67,9 +84,11 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_classifier": op2_classifier,
     "op4_simhash": op4_simhash,
     "op6_secrets": op6_secrets,
     "op7_quality": op7_quality,
+    "op8_language": op8_language,
     "op9_decontaminate": op9_decontaminate,
     "op10_substrings": op10_substrings,
 }
