@@ -105,11 +105,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return Model(b"", b"")
     model = Model(dictionary(good), dictionary(bad))
     rest = known.where(~even).orderBy("__order", "__id").limit(CALIBRATION)
-    measured = with_features(texts.join(F.broadcast(rest), "__id"), model, "__text").select("__label", *FEATURES).collect()
+    measured = sorted(with_features(texts.join(F.broadcast(rest), "__id"), model, "__text").select("__order", "__label", *FEATURES).collect())
     y = np.array([r["__label"] for r in measured], dtype=float)
     if len(set(y.tolist())) < 2:
         return Model(b"", b"")
-    mean, scale, w = calibrate(np.array([tuple(r)[1:] for r in measured]), y)
+    mean, scale, w = calibrate(np.array([tuple(r)[2:] for r in measured]), y)
     return Model(model.good, model.bad, tuple(mean.tolist()), tuple(scale.tolist()), tuple(w[:-1].tolist()), float(w[-1]))
 
 
