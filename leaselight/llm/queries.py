@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, classifier, decontaminate, language, quality, recompress, secrets, simhash
+from . import bpe, classifier, decontaminate, language, licenses, quality, recompress, secrets, simhash, warc
 
 #: Where the tokenizer of op1 comes from; another vocabulary of the same kind does as well.
 TOKENIZER_PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -39,6 +39,76 @@ def op2_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.score(docs, model).select("doc_id", held_out(3, 1), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
+def page_captures(pages: DataFrame) -> DataFrame:
+    """Captures of the page table: every page as a full response, and three days later one revisit of its URL.
+
+    Times, validators and cache headers follow from page_id and html.
+    """
+    def captured(kind: str, seconds: str, headers: dict[str, str]) -> DataFrame:
+        entries = ", ".join(f"'{k}', {v}" for k, v in headers.items())
+        return pages.selectExpr(
+            f"concat('{kind}-', page_id) AS record_id",
+            f"'{kind}' AS warc_type",
+            "url AS target_uri",
+            f"timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, {seconds}) AS date",
+            f"{200 if kind == 'response' else 304} AS status",
+            f"map_filter(map({entries}), (k, v) -> v IS NOT NULL) AS headers",
+            "html AS payload" if kind == "response" else "CAST(NULL AS STRING) AS payload",
+        )
+
+    full = captured("response", "page_id * 120", {"content-type": "'text/html'", "content-length": "CAST(length(html) AS STRING)", "cache-control": "'max-age=60'", "etag": "concat('\"', md5(html), '\"')", "last-modified": "concat('lm-', substr(md5(html), 1, 8))"})
+    again = captured(
+        "revisit",
+        "page_id * 120 + 259260",
+        {
+            "content-length": "'0'",
+            "cache-control": "IF(page_id % 2 = 0, 'max-age=600', NULL)",
+            "etag": "CASE page_id % 10 WHEN 0 THEN '\"other\"' WHEN 1 THEN NULL WHEN 2 THEN NULL ELSE concat('W/\"', md5(html), '\"') END",
+            "last-modified": "IF(page_id % 10 = 2 OR page_id % 3 = 0, NULL, concat('lm-', substr(md5(html), 1, 8)))",
+        },
+    )
+    return full.unionByName(again)
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolve(page_captures(table(spark, sf_dir, "pages")))
+    listed = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
+    return found.select("record_id", "url", "outcome", "base_id", listed.alias("merged_headers"), F.md5("payload").alias("payload_md5"))
+
+
+OP3_SQL = r"""
+WITH p AS (
+  SELECT page_id, url AS raw, html, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^(?i:https?)://(?i:www\.|m\.)?', '') AS bare FROM pages
+), q AS (
+  SELECT *, regexp_replace(regexp_replace(bare, '\?.*$', ''), '/+$', '') AS place,
+    list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|fbclid|gclid)(=|$)'))) AS pairs FROM p
+), c AS (
+  SELECT page_id, html, regexp_replace(lower(regexp_extract(place, '^[^/]*', 0)), ':(80|443)$', '') || regexp_replace(place, '^[^/]*', '')
+    || CASE WHEN len(pairs) > 0 THEN '?' || array_to_string(pairs, '&') ELSE '' END AS url,
+    '"' || md5(html) || '"' AS tag, 'lm-' || substr(md5(html), 1, 8) AS lm FROM q
+), v AS (
+  SELECT page_id, url, page_id * 120 + 259260 AS t,
+    CASE page_id % 10 WHEN 0 THEN '"other"' WHEN 1 THEN NULL WHEN 2 THEN NULL ELSE 'W/' || tag END AS etag,
+    CASE WHEN page_id % 10 = 2 OR page_id % 3 = 0 THEN NULL ELSE lm END AS lm,
+    CASE WHEN page_id % 2 = 0 THEN 'max-age=600' END AS cache FROM c
+), j AS (
+  SELECT v.*, s.page_id AS base, s.html, s.tag AS base_tag, s.lm AS base_lm,
+    coalesce(regexp_replace(v.etag, '^W/', '') = s.tag, v.lm = s.lm) AS same
+  FROM v ASOF LEFT JOIN (SELECT *, page_id * 120 AS t FROM c) s ON v.url = s.url AND v.t > s.t
+), r AS (
+  SELECT *, CASE WHEN base IS NULL THEN 'no_response' WHEN same IS NULL THEN 'unverified' WHEN same THEN 'resolved' ELSE 'changed' END AS outcome FROM j
+)
+SELECT 'revisit-' || page_id AS record_id, url, outcome, CASE WHEN outcome = 'resolved' THEN 'response-' || base END AS base_id,
+  CASE WHEN outcome = 'resolved' THEN 'cache-control=' || coalesce(cache, 'max-age=60') || ';content-length=' || length(html) || ';content-type=text/html;etag=' || coalesce(etag, base_tag) || ';last-modified=' || coalesce(lm, base_lm) END AS merged_headers,
+  CASE WHEN outcome = 'resolved' THEN md5(html) END AS payload_md5
+FROM r
+"""
+
+
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.known_notices(spark))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -85,7 +155,9 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_classifier": op2_classifier,
+    "op3_warc": op3_warc,
     "op4_simhash": op4_simhash,
+    "op5_licenses": op5_licenses,
     "op6_secrets": op6_secrets,
     "op7_quality": op7_quality,
     "op8_language": op8_language,
@@ -94,5 +166,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_warc": OP3_SQL,
+    "op5_licenses": licenses.oracle(),
     "op7_quality": quality.ORACLE,
 }
