@@ -73,44 +73,56 @@ def repeat_words(hashes: Column, n: int = WINDOW) -> Column:
     return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(let(pairs, covered))
 
 
+def counted(text: Column) -> Column:
+    """The five counts of ``COUNTS`` as one struct.
+
+    Texts, words and hashes are bound by ``let``: a filter that the optimiser moves
+    down, past the projection that holds this column, computes them once as well.
+    """
+    long = lambda c, name: c.cast("bigint").alias(name)
+
+    def of(t: Column) -> Column:
+        return let(
+            words(t),
+            lambda own: F.struct(
+                long(F.size(own), "n_words"),
+                long(F.length(t) - count_of(t, SPACE), "word_chars"),
+                long(count_of(t, SYMBOLS), "n_symbols"),
+                long(dup_lines(t), "n_dup_lines"),
+                long(let(window_hashes(own), lambda h: repeat_words(h)), "n_repeat_words"),
+            ),
+        )
+
+    return let(F.coalesce(text, F.lit("")), of)
+
+
 def with_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Add the five counts of ``COUNTS`` as ``bigint`` columns."""
     keep = [f"`{c}`" for c in df.columns if c.lower() not in COUNTS]
-    step = df.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    step = step.select(*keep, "__text", words(F.col("__text")).alias("__words"))
-    step = step.select(*keep, "__text", F.size("__words").alias("__n"), window_hashes(F.col("__words")).alias("__hashes"))
-    long = lambda c, name: c.cast("bigint").alias(name)
-    return step.select(
-        *keep,
-        long(F.col("__n"), "n_words"),
-        long(F.length("__text") - count_of(F.col("__text"), SPACE), "word_chars"),
-        long(count_of(F.col("__text"), SYMBOLS), "n_symbols"),
-        long(dup_lines(F.col("__text")), "n_dup_lines"),
-        long(repeat_words(F.col("__hashes")), "n_repeat_words"),
-    )
+    return df.select(*keep, counted(F.col(text_col)).alias("__counts")).select(*keep, "__counts.*")
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``rejects`` is true for a bad document; it reads the text column and the counts."""
+    """``rejects`` is true for a bad document, given its text and the struct of counts."""
 
     name: str
-    rejects: Callable[[str], Column]
+    rejects: Callable[[Column, Column], Column]
 
 
 #: Rules beyond the base.  Each is lenient: ordinary prose of any length passes.
 RULES = (
-    Rule("symbols", lambda text: F.col("n_symbols") * 4 > F.col("n_words")),
-    Rule("word_length", lambda text: (F.col("word_chars") > F.col("n_words") * 20) | (F.col("word_chars") < F.col("n_words") * 2)),
-    Rule("dup_lines", lambda text: F.col("n_dup_lines") * 2 > F.size(F.split(F.col(text), "\n"))),
-    Rule("upper_case", lambda text: F.regexp_count(F.col(text), F.lit(r"\p{Lu}{3}")) * 3 > F.col("n_words")),
-    Rule("ellipses", lambda text: F.regexp_count(F.col(text), F.lit(r"(?:\.\.\.|…)[ \t\r]*(?:\n|$)")) * 10 > F.size(F.split(F.col(text), "\n")) * 3 + 10),
-    Rule("bullets", lambda text: F.regexp_count(F.col(text), F.lit("(?m)^[ \t]*[-•●*+][ \t]")) * 10 > F.size(F.split(F.col(text), "\n")) * 9 + 10),
+    Rule("symbols", lambda text, c: c["n_symbols"] * 4 > c["n_words"]),
+    Rule("word_length", lambda text, c: (c["word_chars"] > c["n_words"] * 20) | (c["word_chars"] < c["n_words"] * 2)),
+    Rule("dup_lines", lambda text, c: c["n_dup_lines"] * 2 > F.size(F.split(text, "\n"))),
+    Rule("upper_case", lambda text, c: F.regexp_count(text, F.lit(r"\p{Lu}{3}")) * 3 > c["n_words"]),
+    Rule("ellipses", lambda text, c: F.regexp_count(text, F.lit(r"(?:\.\.\.|…)[ \t\r]*(?:\n|$)")) * 10 > F.size(F.split(text, "\n")) * 3 + 10),
+    Rule("bullets", lambda text, c: F.regexp_count(text, F.lit("(?m)^[ \t]*[-•●*+][ \t]")) * 10 > F.size(F.split(text, "\n")) * 9 + 10),
 )
 
 
-def base_failed() -> Column:
-    return (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
+def base_failed(c: Column) -> Column:
+    return (c["n_words"] < 20) | (c["n_repeat_words"] * 100 > c["n_words"] * 30)
 
 
 def order_rules(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, rows: int = SAMPLE_ROWS) -> list[Rule]:
@@ -122,8 +134,8 @@ def order_rules(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] =
     if not sample:
         return list(rules)
     spark = df.sparkSession
-    counted = with_counts(spark.createDataFrame(sample, "text string"), "text").collect()
-    local = spark.createDataFrame([(s.text, *(getattr(c, k) for k in COUNTS)) for s, c in zip(sample, counted)], "text string, " + ", ".join(f"{k} bigint" for k in COUNTS)).coalesce(1)
+    rows = with_counts(spark.createDataFrame(sample, "text string"), "text").collect()
+    local = spark.createDataFrame([(r.text, tuple(getattr(r, k) for k in COUNTS)) for r in rows], f"text string, c struct<{', '.join(f'{k}: bigint' for k in COUNTS)}>").coalesce(1)
 
     def timed(test: Column) -> tuple[int, float]:
         took, n = [], 0
@@ -134,18 +146,23 @@ def order_rules(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] =
         return n, min(took)
 
     _, nothing = timed(F.lit(False))
-    measured = [(rule, *timed(rule.rejects("text"))) for rule in rules]
+    measured = [(rule, *timed(rule.rejects(F.col("text"), F.col("c")))) for rule in rules]
     return [rule for rule, n, s in sorted(measured, key=lambda m: (m[1] + 0.5) / max(m[2] - nothing, 1e-3), reverse=True)]
 
 
 def judge(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Add the counts, ``base_failed`` and ``kept``; each test runs only where all tests before it have passed."""
-    counted = with_counts(df, text_col)
-    verdict = F.when(base_failed(), False)
-    for rule in order_rules(df, text_col, rules):
-        verdict = verdict.when(F.coalesce(rule.rejects(text_col), F.lit(False)), False)
-    keep = [f"`{c}`" for c in counted.columns if c.lower() not in ("base_failed", "kept")]
-    return counted.select(*keep, base_failed().alias("base_failed"), verdict.otherwise(True).alias("kept"))
+    ordered = order_rules(df, text_col, rules)
+
+    def verdict(c: Column) -> Column:
+        chain = F.when(base_failed(c), False)
+        for rule in ordered:
+            chain = chain.when(F.coalesce(rule.rejects(F.col(text_col), c), F.lit(False)), False)
+        return chain.otherwise(True)
+
+    keep = [f"`{c}`" for c in df.columns if c.lower() not in (*COUNTS, "base_failed", "kept")]
+    step = df.select(*keep, counted(F.col(text_col)).alias("__counts"))
+    return step.select(*keep, "__counts.*", base_failed(F.col("__counts")).alias("base_failed"), let(F.col("__counts"), verdict).alias("kept"))
 
 
 #: The same in DuckDB, for the table ``documents``.
