@@ -11,6 +11,11 @@ from pyspark.sql import Column, functions as F
 COMPONENTS = ("location", "condition", "cost")
 
 
+def rounded(x: Column, places: int = 6) -> Column:
+    """Rounded; ties, which sums of doubles blur anyway, go up."""
+    return F.bround(x + 1e-9, places)
+
+
 def bucket(x: Column, params: dict[str, Any]) -> Column:
     """The first bucket, in list order, that holds the value."""
     chain = F
@@ -76,7 +81,7 @@ def component_scores(spec: dict[str, Any], columns: Iterable[str], null_policy:
 
 
 def overall(weights: dict[str, float]) -> Column:
-    return F.bround(functools.reduce(Column.__add__, (F.col(f"{c}_score") * weights[c] for c in COMPONENTS)), 6)
+    return rounded(functools.reduce(Column.__add__, (F.col(f"{c}_score") * weights[c] for c in COMPONENTS)))
 
 
 def grade(score: Column, bands: list[list[Any]]) -> Column:

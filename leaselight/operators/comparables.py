@@ -1,7 +1,9 @@
 """Comparable offers by a ladder of ever looser conditions, and the figure they give.
 
-All ladders are monotone: what passes a step passes every later one.  So one column,
-the first step that an offer passes, replaces a search for each step.
+At each step a subject asks for limits, not for its own values.  Subjects with the
+same limits in the same place get the same answer, so limits are joined to offers
+once for each profile, not once for each subject.  All ladders are monotone: what
+passes a step passes every later one.
 """
 
 from __future__ import annotations
@@ -65,79 +67,99 @@ def age_limit(age: Column, step: int) -> Column:
     return F.greatest(F.lit(5), F.ceil(age / 5) * 5) + 5 * step
 
 
-def _known(condition: Column) -> Column:
-    return F.coalesce(condition, F.lit(False))
-
-
-def _below(x: Column, limit: Column) -> Column:
-    """Under the limit; a missing limit sets none, a missing value fails."""
-    return limit.isNull() | _known(x <= limit)
-
-
-def conditions(dialect: str, step: int, s: str = "s", c: str = "c") -> list[tuple[str, Column]]:
-    """The conditions of a step in the order in which they are checked; subject and offer columns are prefixed."""
-    sub, off = (lambda n: F.col(f"{s}.{n}")), (lambda n: F.col(f"{c}.{n}"))
-    area, age, walk = sub("area_sqm"), sub("building_age_years"), sub("station_walk_min")
-    if dialect == "cassette":
-        age_ok = _below(off("building_age_years"), next_bucket(age, AGE_BUCKETS, step))
-        walk_ok = _below(off("walk_min"), next_bucket(walk, WALK_BUCKETS, step))
-        first = lambda o: F.left(o, F.lit(1))
-        facing = off("orientation").eqNullSafe(sub("orientation")) if step == 0 else _known(first(off("orientation")) == first(sub("orientation")))
-    else:
-        age_ok = age.isNull() | _known(off("building_age_years") <= age_limit(age, step))
-        limit = next_bucket(walk, LINES_WALK_BUCKETS, 0) + 5 * step
-        walk_ok = _below(off("walk_min"), limit) if dialect == "lines" else walk.isNull() | _known(off("walk_min").between(walk - 3, walk + 3))
-        facing = _known(off("orientation") == sub("orientation"))
-    wanted = F.when(sub("building_structure").isin("rc", "src", "steel"), "mansion").when(sub("building_structure").isin("wood", "light_steel"), "apartment")
-    checks = {
-        "area": area.isNull() | _known(off("area_sqm").between(area_low(area, step), area_high(area, step))),
-        "age": age_ok,
-        "walk": walk_ok,
-        "station": station_matches(sub("nearest_station_name"), off("station_name")),
-        "building_type": wanted.isNull() | off("building_type").isNull() | (off("building_type") == wanted),
-        "orientation": sub("orientation").isNull() | (sub("orientation") == "UNKNOWN") | facing,
-        "structure": sub("building_structure").isNull() | sub("building_structure").isin("other", "all") | _known(off("building_structure") == sub("building_structure")),
-        "bath": sub("bathroom_toilet_separate").isNull() | _known(off("bathroom_toilet_separate") == sub("bathroom_toilet_separate")),
+#: What a subject asks of offers at a step; null: nothing.
+WANTED = {"area_low": "double", "area_high": "double", "age_max": "bigint", "walk_low": "bigint", "walk_high": "bigint", "station": "string", "building_type": "string", "orientation": "string", "structure": "string", "bath": "boolean"}
+
+
+def wanted(dialect: str, step: int) -> Column:
+    """The limits of a step as one struct of ``WANTED``: bucket limits, not the subject's own values."""
+    area, age, walk = F.col("area_sqm"), F.col("building_age_years"), F.col("station_walk_min")
+    by_structure = F.when(F.col("building_structure").isin("rc", "src", "steel"), "mansion").when(F.col("building_structure").isin("wood", "light_steel"), "apartment")
+    cassette = dialect == "cassette"
+    walk_high = next_bucket(walk, WALK_BUCKETS, step) if cassette else next_bucket(walk, LINES_WALK_BUCKETS, 0) + 5 * step if dialect == "lines" else walk + 3
+    asked = {
+        "area": {"area_low": area_low(area, step), "area_high": area_high(area, step)},
+        "age": {"age_max": next_bucket(age, AGE_BUCKETS, step) if cassette else age_limit(age, step)},
+        "walk": {"walk_low": walk - 3 if dialect == "block" else F.lit(None), "walk_high": walk_high},
+        "station": {"station": F.nullif(F.col("nearest_station_name"), F.lit(""))},
+        "building_type": {"building_type": by_structure},
+        "orientation": {"orientation": F.nullif(F.col("orientation"), F.lit("UNKNOWN"))},
+        "structure": {"structure": F.when(~F.col("building_structure").isin("other", "all", ""), F.col("building_structure"))},
+        "bath": {"bath": F.col("bathroom_toilet_separate")},
     }
-    return [(name, checks[name]) for name, last in LADDERS[dialect].items() if step <= last]
+    limits = {k: v for name, last in LADDERS[dialect].items() if step <= last for k, v in asked[name].items()}
+    return F.struct(*(limits.get(k, F.lit(None)).cast(kind).alias(k) for k, kind in WANTED.items()))
 
 
-def station_matches(wanted: Column, offered: Column) -> Column:
-    """Either name contains the other; no wanted station matches all."""
-    return wanted.isNull() | (wanted == "") | _known(F.contains(offered, wanted) | F.contains(wanted, offered))
+def _meets(limit: Column, condition: Column) -> Column:
+    """No limit, or a condition that is known to hold: a missing value fails."""
+    return limit.isNull() | F.coalesce(condition, F.lit(False))
 
 
-def passes(dialect: str, step: int, skip: tuple[str, ...] = ()) -> Column:
-    return functools.reduce(Column.__and__, (c for name, c in conditions(dialect, step) if name not in skip), F.lit(True))
+def conditions(w: Column) -> list[tuple[str, Column]]:
+    """What an offer must meet, in the order in which it is checked; a missing building type passes."""
+    return [
+        ("area", _meets(w["area_low"], F.col("area_sqm").between(w["area_low"], w["area_high"]))),
+        ("age", _meets(w["age_max"], F.col("building_age_years") <= w["age_max"])),
+        ("walk", _meets(w["walk_high"], (F.col("walk_min") <= w["walk_high"]) & (w["walk_low"].isNull() | (F.col("walk_min") >= w["walk_low"])))),
+        ("station", _meets(w["station"], F.contains(F.col("station_name"), w["station"]) | F.contains(w["station"], F.col("station_name")))),
+        ("building_type", w["building_type"].isNull() | F.col("building_type").isNull() | (F.col("building_type") == w["building_type"])),
+        ("orientation", _meets(w["orientation"], F.col("orientation") == w["orientation"])),
+        ("structure", _meets(w["structure"], F.col("building_structure") == w["structure"])),
+        ("bath", _meets(w["bath"], F.col("bathroom_toilet_separate") == w["bath"])),
+    ]
 
 
-def min_step(dialect: str, skip: tuple[str, ...] = ()) -> Column:
-    """The first step whose conditions all hold; null if none."""
+def passes(w: Column) -> Column:
+    return functools.reduce(Column.__and__, (c for _, c in conditions(w)))
+
+
+def needs_enrichment(w: Column) -> Column:
+    """What an offer lacks of the details that are asked for: it may pass once they are known."""
+    lacks = {"orientation": "orientation", "structure": "building_structure", "bath": "bathroom_toilet_separate"}
+    return F.array_compact(F.array(*(F.when(w[k].isNotNull() & F.col(c).isNull(), c) for k, c in lacks.items())))
+
+
+def reject_reason(w: Column) -> Column:
+    """The first condition that fails; null if none."""
     chain = F
-    for step in range(STEPS):
-        chain = chain.when(passes(dialect, step, skip), step)
+    for name, condition in conditions(w):
+        chain = chain.when(~condition, name)
     return chain
 
 
-def reject_reason(dialect: str, step: int, skip: tuple[str, ...] = ()) -> Column:
-    """The first condition of a step that fails; null if none."""
-    chain = F.when(F.lit(False), "")
-    for name, condition in conditions(dialect, step):
-        if name not in skip:
-            chain = chain.when(~condition, name)
-    return chain
+PLACE = ["prefecture", "municipality", "layout_type"]
 
 
-def candidates(subjects: DataFrame, offers: DataFrame) -> DataFrame:
-    """Pairs of the same place and layout, as structs ``s`` and ``c``.
+def asked(subjects: DataFrame, dialect: str, skip: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each subject and step: the place, and what is asked there as ``want``."""
+    usable = subjects.withColumns({c: F.lit(None).cast("string") for c in skip})
+    steps = F.explode(F.array(*(F.struct(F.lit(k).alias("step"), wanted(dialect, k).alias("want")) for k in range(STEPS))))
+    return usable.withColumn("layout_type", F.upper("layout_type")).select("listing_id", *PLACE, steps.alias("s")).select("listing_id", *PLACE, "s.*")
 
-    The join is by equality on three keys, so Spark shuffles by them and splits
-    skewed ones; the conditions of the ladder follow as filters on the joined rows.
+
+def contained_pairs(wanted_names: DataFrame, offered_names: DataFrame) -> DataFrame:
+    """Pairs (``station``, ``station_name``) of distinct names of which either contains the other.
+
+    Every name is joined by equality to the other side's substrings; names are short,
+    and there are as many as stations, however many offers.
     """
-    keys = ["prefecture", "municipality", "layout_type"]
-    own = subjects.withColumn("layout_type", F.upper("layout_type")).select(*keys, F.struct(*(F.col(c) for c in subjects.columns if c not in keys)).alias("s"))
-    of = offers.withColumn("layout_type", F.upper("layout_type")).select(*keys, F.struct(*(F.col(c) for c in offers.columns if c not in keys)).alias("c"))
-    return own.join(of, keys)
+    parts = lambda c: F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.transform(F.sequence(F.lit(1), F.length(c) - i + 1), lambda n: F.substr(c, i, n)))))
+    own = wanted_names.where("station <> ''").distinct()
+    others = offered_names.where("station_name <> ''").distinct()
+    inside = own.select("station", F.explode(parts(F.col("station"))).alias("station_name")).join(others, "station_name").select("station", "station_name")
+    around = others.select("station_name", F.explode(parts(F.col("station_name"))).alias("station")).join(own, "station").select("station", "station_name")
+    return inside.union(around).distinct()
+
+
+def profile_offers(profiles: DataFrame, offers: DataFrame) -> DataFrame:
+    """Offers of the place of each profile (``PLACE``, ``want``), by station too where one is asked for; not filtered yet."""
+    of = offers.withColumn("layout_type", F.upper("layout_type"))
+    named = profiles.where("want.station IS NOT NULL").withColumn("station", F.col("want.station"))
+    pairs = contained_pairs(named.select("station"), of.select("station_name"))
+    by_station = named.join(pairs, "station").drop("station").join(of, [*PLACE, "station_name"])
+    anywhere = profiles.where("want.station IS NULL").join(of, PLACE)
+    return by_station.unionByName(anywhere)
 
 
 _OFFER_KEY = ["rent_yen", "admin_fee_yen", "area_sqm", "layout_type"]
@@ -149,16 +171,6 @@ def keep_first(offers: DataFrame, keys: list[str] = _OFFER_KEY, order: tuple[str
     return ranked.where("__rank = 1").drop("__rank")
 
 
-def matched(subjects: DataFrame, offers: DataFrame, dialect: str, skip: tuple[str, ...] = ()) -> DataFrame:
-    """Distinct matching offers of each subject with their first step.
-
-    Offers repeat on a page and over pages; the best step of equal ones counts.
-    """
-    pairs = candidates(subjects, offers).withColumn("step", min_step(dialect, skip)).where("step IS NOT NULL")
-    key = [F.col("s.listing_id").alias("listing_id"), *(F.col(f"c.{k}").alias(k) for k in ("rent_yen", "admin_fee_yen", "area_sqm"))]
-    return pairs.groupBy(*key).agg(F.min("step").alias("step"))
-
-
 def robust_aggregate(value: Column) -> dict[str, Column]:
     """One, the mean of two, the midrange of more, or their median if they spread too far; nulls and negatives don't count."""
     x = F.when(value >= 0, value)
@@ -173,23 +185,35 @@ def confidence(n: Column, step: Column) -> Column:
     return F.when(n < 2, "none").when(step == 0, F.when(n >= 3, "high").otherwise("mid")).when(step == 1, F.when(n >= 3, "mid").otherwise("low")).otherwise("low")
 
 
-def pick_step(found: DataFrame, least: int = 2) -> DataFrame:
-    """For each subject the first step with enough offers at or below it, else the last step that has any."""
-    by_step = found.groupBy("listing_id", "step").agg(F.count("*").alias("own"))
-    total = by_step.withColumn("n", F.sum("own").over(Window.partitionBy("listing_id").orderBy("step")))
-    return total.groupBy("listing_id").agg(F.coalesce(F.min(F.when(F.col("n") >= least, F.col("step"))), F.max("step")).alias("chosen_step"))
-
-
 def live_benchmark(subjects: DataFrame, offers: DataFrame, dialect: str, least: int = 2, skip: tuple[str, ...] = ()) -> DataFrame:
-    """One row for each subject with any match: chosen step, n, robust figure of monthly totals and of rents, confidence."""
-    found = matched(subjects, offers, dialect, skip)
-    chosen = found.join(pick_step(found, least), "listing_id").where("step <= chosen_step")
+    """One row for each subject with any match: chosen step, n, robust figure of monthly totals and of rents, confidence.
+
+    The chosen step is the first with ``least`` distinct offers, else the last with any.
+    Subjects that ask for the same in the same place share a profile, and only
+    profiles meet offers: their number is bounded by places and bucket limits.
+    ``skip`` names subject columns that are not asked for.
+    """
+    asking = asked(subjects, dialect, skip)
+    met = profile_offers(asking.select(*PLACE, "want").distinct(), offers).where(passes(F.col("want")))
+    distinct = met.select(*PLACE, "want", "rent_yen", "admin_fee_yen", "area_sqm").distinct()
     total = robust_aggregate(F.col("rent_yen") + F.coalesce(F.col("admin_fee_yen"), F.lit(0)))
     rent = robust_aggregate(F.col("rent_yen"))
-    out = chosen.groupBy("listing_id").agg(F.first("chosen_step").alias("chosen_step"), total["n"].alias("n"), total["value"].alias("benchmark_yen"), total["method"].alias("method"), rent["value"].alias("benchmark_rent_yen"))
+    answers = distinct.groupBy(*PLACE, "want").agg(F.count("*").alias("n"), total["value"].alias("benchmark_yen"), total["method"].alias("method"), rent["value"].alias("benchmark_rent_yen"))
+    found = F.struct(F.when(F.col("n") >= least, F.col("step")).otherwise(STEPS).alias("rank"), (-F.col("step")).alias("late"), "step", "n", "benchmark_yen", "method", "benchmark_rent_yen")
+    best = asking.join(answers, [*PLACE, "want"]).groupBy("listing_id").agg(F.min(found).alias("b"))
+    out = best.select("listing_id", F.col("b.step").alias("chosen_step"), "b.n", "b.benchmark_yen", "b.method", "b.benchmark_rent_yen")
     return out.withColumn("benchmark_confidence", confidence(F.col("n"), F.col("chosen_step"))).withColumn("matched_level", F.lit(f"live_{dialect}"))
 
 
+def reject_counts(subjects: DataFrame, offers: DataFrame, dialect: str) -> DataFrame:
+    """By step and reason, how many times an offer of the right place fails a subject; both sides are counted by profile first."""
+    asking = asked(subjects, dialect).groupBy(*PLACE, "step", "want").agg(F.count("*").alias("subjects"))
+    kinds = ["area_sqm", "building_age_years", "walk_min", "station_name", "building_type", "orientation", "building_structure", "bathroom_toilet_separate"]
+    of = offers.withColumn("layout_type", F.upper("layout_type")).groupBy(*PLACE, *kinds).agg(F.count("*").alias("offers"))
+    reason = F.coalesce(reject_reason(F.col("want")), F.lit("passed"))
+    return asking.join(of, PLACE).groupBy("step", reason.alias("reason")).agg(F.sum(F.col("subjects") * F.col("offers")).alias("n"))
+
+
 def provider_fallback(results: list[DataFrame]) -> DataFrame:
     """Of results in order of preference, the first with a figure and any confidence for each subject; else the last tried."""
     ranked = functools.reduce(DataFrame.unionByName, (r.withColumn("provider", F.lit(i)) for i, r in enumerate(results)))

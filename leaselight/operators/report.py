@@ -42,7 +42,7 @@ def formatted(df: DataFrame, name: str) -> Column:
     """A value as text: two places, four for small numbers, without trailing zeros; nothing for null."""
     kind, c = df.schema[name].dataType, F.col(name)
     if isinstance(kind, (T.DoubleType, T.FloatType, T.DecimalType)):
-        text = F.when(F.abs(c) < 2, F.format_string("%.4f", F.bround(c.cast("double"), 4))).otherwise(F.format_string("%.2f", F.bround(c.cast("double"), 2)))
+        text = F.when(F.abs(c) < 2, F.format_string("%.4f", scoring.rounded(c.cast("double"), 4))).otherwise(F.format_string("%.2f", scoring.rounded(c.cast("double"), 2)))
         return F.coalesce(F.rtrim(F.rtrim(text, F.lit("0")), F.lit(".")), F.lit("null"))
     return F.coalesce(c.cast("string"), F.lit("null"))
 
@@ -92,7 +92,7 @@ def whatif(scored: DataFrame, scoring_spec: dict[str, Any] = spec.SCORING, whati
     spread = spread.withColumn("initial_multiple", derive.ratio(F.col("new_total_yen"), F.col("monthly_fixed_cost_yen")))
     shifted = F.greatest(F.lit(0.0), F.col("initial_multiple") - scoring_spec["im_shift_months"]) - F.col("im_market_avg")
     spread = spread.withColumns({"initial_multiple_market_delta_foreigner": shifted, "initial_multiple_market_delta": F.col("initial_multiple") - F.col("im_market_avg")})
-    spread = spread.withColumn("cost_score", F.bround(scoring.component_scores(scoring_spec, spread.columns)["cost"], 6))
+    spread = spread.withColumn("cost_score", scoring.rounded(scoring.component_scores(scoring_spec, spread.columns)["cost"]))
     spread = spread.withColumn("overall_score", scoring.overall(scoring_spec["weights"]))
     return spread.withColumns({"cost_grade": scoring.grade(F.col("cost_score"), scoring_spec["bands"]), "overall_grade": scoring.grade(F.col("overall_score"), scoring_spec["bands"])})
 

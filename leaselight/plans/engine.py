@@ -13,7 +13,7 @@ from ..operators import benchmark, derive, report
 
 def score(df: DataFrame, scoring_spec: dict[str, Any] = spec.SCORING, null_policy: str = "skip") -> DataFrame:
     """Add component scores, the overall score and all four grades."""
-    step = df.withColumns({f"{c}_score": F.bround(s, 6) for c, s in scoring.component_scores(scoring_spec, df.columns, null_policy).items()})
+    step = df.withColumns({f"{c}_score": scoring.rounded(s) for c, s in scoring.component_scores(scoring_spec, df.columns, null_policy).items()})
     step = step.withColumn("overall_score", scoring.overall(scoring_spec["weights"]))
     return step.withColumns({f"{c}_grade": scoring.grade(F.col(f"{c}_score"), scoring_spec["bands"]) for c in (*scoring.COMPONENTS, "overall")})
 
