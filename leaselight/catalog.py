@@ -1,19 +1,231 @@
-"""All queries of the library by name."""
+"""All queries of the library by name: each operator over the whole of its tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from . import spec
+from .functions import scoring, text
+from .operators import benchmark, comparables, derive, documents, market, report, validate
+from .oracles import ORACLES
+from .plans import engine
+from .plans.adapters import AS_OF_YEAR, frame, table
+
+Query = Callable[[SparkSession, str], DataFrame]
+PARTS = (*scoring.COMPONENTS, "overall")
+
+
+def _r6(*names: str) -> list[Column]:
+    return [F.bround(F.col(n), 6).alias(n) for n in names]
+
+
+def index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark.build_index(frame(spark, sf_dir, "market"))
+
+
+def matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return engine.measured(frame(spark, sf_dir, "subjects"), index(spark, sf_dir), AS_OF_YEAR)
+
+
+def evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return engine.evaluate(frame(spark, sf_dir, "subjects"), index(spark, sf_dir), AS_OF_YEAR)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return evaluate(spark, sf_dir)
+
+
+def validate_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validate.validate(frame(spark, sf_dir, "subjects")).select("listing_id", F.array_join("errors", ",").alias("errors"))
+
+
+def measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = derive.with_measures(frame(spark, sf_dir, "subjects"), AS_OF_YEAR)
+    return found.select("listing_id", "monthly_fixed_cost_yen", "building_age_years", "im_assessment", *_r6("im_market_avg", "initial_multiple", "initial_multiple_market_delta", "initial_multiple_market_delta_foreigner"))
+
+
+def pricing_sanity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = derive.pricing_sanity(derive.with_measures(frame(spark, sf_dir, "subjects"), AS_OF_YEAR))
+    return found.select("listing_id", "breakdown_sum_yen", F.array_join("sanity_flags", ",").alias("sanity_flags"), "suspect")
+
+
+def benchmark_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matched(spark, sf_dir).select("listing_id", "matched_level", "benchmark_confidence", "benchmark_raw_yen", "benchmark_n_rows", "benchmark_yen", "benchmark_mgmt_fee_yen", "benchmark_total_yen", *_r6("structure_multiplier", "rent_delta_ratio", "rent_only_delta_ratio"))
+
+
+def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return engine.score(matched(spark, sf_dir)).select("listing_id", *(f"{c}_{k}" for c in PARTS for k in ("score", "grade")))
+
+
+def _pairs(column: str, a: str, b: str) -> Column:
+    return F.array_join(F.transform(column, lambda x: F.concat_ws(":", x[a], x[b])), ",")
+
+
+def evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluated(spark, sf_dir).select("listing_id", "overall_score", "overall_grade", "benchmark_confidence", _pairs("risk_flags", "risk_flag_id", "severity").alias("flags"), "tradeoff_tag", "template_id", "summary")
+
+
+def risk_flag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluated(spark, sf_dir).select(F.explode("risk_flags").alias("f")).groupBy("f.risk_flag_id", "f.severity").agg(F.count("*").alias("n"))
+
+
+def template_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluated(spark, sf_dir).groupBy("template_id").agg(F.count("*").alias("n"))
+
+
+def whatif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = report.whatif(engine.score(matched(spark, sf_dir)))
+    return found.select("listing_id", "whatif_id", "old_yen", "new_yen", "new_total_yen", *_r6("initial_multiple"), "cost_score", "overall_score", F.col("overall_grade").alias("new_grade"), F.col("old_overall_score"))
+
+
+def fee_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.fee_scenarios(frame(spark, sf_dir, "subjects")).select("listing_id", "cut_pct", "cut_total_yen")
+
+
+def risk_chips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = evaluated(spark, sf_dir)
+    return found.withColumn("c", report.chips(found)).select("listing_id", _pairs("c", "id", "severity").alias("chips"), report.balance(found).alias("balance"))
+
+
+LIVE = ["listing_id", "chosen_step", "n", "benchmark_yen", "benchmark_rent_yen", "benchmark_confidence", "matched_level"]
+
+
+def live(dialect: str) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        subjects = derive.with_measures(frame(spark, sf_dir, "subjects"), AS_OF_YEAR)
+        return comparables.live_benchmark(subjects, frame(spark, sf_dir, "offers"), dialect).select(*LIVE)
 
+    return query
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+
+def provider_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return comparables.provider_fallback([live(d)(spark, sf_dir) for d in comparables.LADDERS])
+
+
+def evaluate_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evaluation with comparable offers where they tell anything, else with the index."""
+    offers = provider_fallback(spark, sf_dir)
+    found = engine.evaluate(frame(spark, sf_dir, "subjects"), index(spark, sf_dir), AS_OF_YEAR, live=offers)
+    return found.select("listing_id", "matched_level", "benchmark_confidence", "benchmark_total_yen", "overall_score", "overall_grade", "template_id")
+
+
+def reject_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return comparables.reject_counts(derive.with_measures(frame(spark, sf_dir, "subjects"), AS_OF_YEAR), frame(spark, sf_dir, "offers"), "cassette")
+
+
+def distinct_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = comparables.keep_first(frame(spark, sf_dir, "offers"), within=("prefecture", "municipality"))
+    return first.groupBy("prefecture", "municipality").agg(F.count("*").alias("n"))
+
+
+def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by = [comparables.segment_area(F.col("area_sqm")).alias("area_segment"), comparables.segment_age(F.col("building_age_years")).alias("age_segment"), comparables.segment_walk(F.col("walk_min")).alias("walk_segment")]
+    return frame(spark, sf_dir, "offers").groupBy(*by).agg(F.count("*").alias("n"), F.median("rent_yen").alias("median_rent_yen"))
+
+
+def _collected(spark: SparkSession, sf_dir: str, least: int = 1) -> DataFrame:
+    return market.collected(frame(spark, sf_dir, "market"), least).withColumnRenamed("median_rent_yen", "rent_yen")
+
+
+def _wanted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return market.grid(frame(spark, sf_dir, "market"))
+
+
+def missing_combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return market.missing(_wanted(spark, sf_dir), _collected(spark, sf_dir, spec.MIN_SAMPLES))
+
+
+def imputed_rents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return market.impute(_collected(spark, sf_dir), missing_combinations(spark, sf_dir))
+
+
+def merged_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, fields = frame(spark, sf_dir, "market"), [*market.KEY, "avg_rent_yen", "source_name", "source_updated_at"]
+    return market.merge(rows.where("l_linenumber <= 3"), rows.where("l_linenumber >= 3"), fields)
+
+
+def closest_municipality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = frame(spark, sf_dir, "market")
+    return market.closest_place(rows.withColumn("municipality", F.concat("municipality", F.lit(" ward"))), rows)
+
+
+#: Words that a listing's codes are written as; the parsers must find the codes again.
+_ORIENTATION_WORDS = {"N": "北", "NE": "北東", "E": "東", "SE": "南東", "S": "南", "SW": "南西", "W": "西", "NW": "北西"}
+_STRUCTURE_WORDS = {"wood": "木造", "light_steel": "軽量鉄骨造", "steel": "鉄骨造", "rc": "ＲＣ造", "src": "鉄骨鉄筋コンクリート"}
+
+
+def parsed_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listings written out as offers, and read again."""
+    word = lambda table, c: F.coalesce(F.try_element_at(F.create_map(*(F.lit(v) for pair in table.items() for v in pair)), F.col(c)), F.lit("-"))
+    age = F.col("listing_id") % 45
+    subjects = frame(spark, sf_dir, "subjects")
+    said = [
+        F.format_string("%.1f万円", F.round(F.col("rent_yen") / 1000) / 10), F.concat(F.lit("管理費 "), F.format_number("mgmt_fee_yen", 0), F.lit(" 円")), F.concat(F.col("area_sqm").cast("string"), F.lit("m2")), F.concat(F.lit("駅 徒歩"), F.col("station_walk_min"), F.lit("分")),
+        F.when(age == 0, "新築").otherwise(F.concat(F.lit("築"), age, F.lit("年"))), F.col("layout_type"), F.concat(F.lit("向き "), word(_ORIENTATION_WORDS, "orientation")), word(_STRUCTURE_WORDS, "building_structure"), F.when(F.col("bathroom_toilet_separate"), "バス・トイレ別").otherwise("ユニットバス"),
+    ]
+    t = F.col("t")
+    return subjects.select("listing_id", F.concat_ws(" / ", *said).alias("t")).select(
+        "listing_id", text.man_yen(t).alias("rent_yen"), text.yen(text.found(t, "管理費 ([^/]*)")).alias("admin_fee_yen"), text.area(t).alias("area_sqm"), text.walk_first(t).alias("walk_min"), text.building_age(t).alias("building_age_years"),
+        text.layout(t).alias("layout_type"), text.orientation_detail(t).alias("orientation"), text.structure(t).alias("building_structure"), text.bath_separate(t).alias("bath_separate"),
+    )
+
+
+def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.page_lines(table(spark, sf_dir, "pages")).select("page_id", F.size("lines").cast("bigint").alias("n_lines"))
+
+
+def market_rows(operator: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: operator(frame(spark, sf_dir, "market"))
+
+
+def offer_rows(operator: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: operator(frame(spark, sf_dir, "offers"))
+
+
+QUERIES: dict[str, Query] = {
+    "validate_listings": validate_listings,
+    "measures": measures,
+    "pricing_sanity": pricing_sanity,
+    "benchmark_index": index,
+    "benchmark_match": benchmark_match,
+    "scores": scores,
+    "evaluate": evaluate,
+    "risk_flag_counts": risk_flag_counts,
+    "template_counts": template_counts,
+    "whatif": whatif,
+    "fee_scenarios": fee_scenarios,
+    "risk_chips": risk_chips,
+    **{f"comparables_{d}": live(d) for d in comparables.LADDERS},
+    "provider_fallback": provider_fallback,
+    "evaluate_live": evaluate_live,
+    "reject_counts": reject_counts,
+    "offer_coverage": offer_rows(comparables.coverage),
+    "distinct_offers": distinct_offers,
+    "segments": segments,
+    "rent_quartiles": market_rows(lambda rows: benchmark.spec_percentiles(rows, ["prefecture", "layout_type"])),
+    "collected_medians": market_rows(market.collected),
+    "missing_combinations": missing_combinations,
+    "coverage": lambda spark, sf_dir: market.coverage(_wanted(spark, sf_dir), _collected(spark, sf_dir, spec.MIN_SAMPLES)),
+    "structure_ratio_stats": lambda spark, sf_dir: market.ratio_stats(market.structure_ratios(_collected(spark, sf_dir))),
+    "imputed_rents": imputed_rents,
+    "merged_rows": merged_rows,
+    "collection_template": market_rows(market.template),
+    "structure_ordering": lambda spark, sf_dir: market.ordering(_collected(spark, sf_dir)),
+    "market_summary": market_rows(market.summary),
+    "structure_counts": market_rows(market.counts_by_structure),
+    "closest_municipality": closest_municipality,
+    "parsed_offers": parsed_offers,
+    "page_lines": page_lines,
+}
+
+
+def queries() -> dict[str, Query]:
+    return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return ORACLES
+
+
