@@ -9,6 +9,14 @@ alone visit the far side too, as queries.  Each shard finds its links exactly, b
 the same cuts further down, and reports them as stars; the stars are joined to
 components over all shards by alternating large- and small-star rounds.
 
+At a Jaccard similarity of 0.8 fingerprints differ by up to 14 of 64 bits, and at
+such a radius triangle bounds prune nothing: half of all random points lie within
+the band that must visit both sides of any cut.  ``similarity`` therefore parts the
+fingerprints by ``KEYS`` least shingle hashes first (texts that similar share one of
+four with a probability of 0.998), compares within these groups, and verifies every
+link by a sketch of the shingle sets.  A crowded group, such as all texts that hold
+one common passage, is dealt in blocks, so no task meets it whole.
+
 Edge cases: a null text has no words; texts without words have fingerprint zero and
 link like any other; a text of fewer words than a shingle is one shingle; repeated
 rows each get a result; rows without an id get one and take part in linking, but
@@ -19,7 +27,7 @@ from __future__ import annotations
 
 import functools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,18 +46,30 @@ SAMPLE_SIZE = 16_384
 BLOCK = 4_000_000
 COUNTED = 65_536
 
-_PRINTS = T.StructType([T.StructField("simhash", T.LongType()), T.StructField("second", T.LongType())])
+#: Bins of the sketch of a shingle set, and least hashes that part candidates for a similarity.
+BINS, KEYS = 256, 4
+#: Members of a candidate group, and rows of small groups, that meet in one task; crowded keys that are broadcast.
+GROUP_SIZE, GROUP_ROWS, BROADCAST_KEYS = 4_000, 4_000, 10_000
+#: How far a sketch's estimate may fall below the similarity: its standard error with BINS bins is 0.025.
+SLACK = 0.02
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
+_PRINTS = T.StructType([T.StructField("simhash", T.LongType())])
+_PROFILE = T.StructType([*_PRINTS.fields, T.StructField("sketch", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
 
-def fingerprint(text: str | None, shingle: int = 3, seed: int = SEED) -> int:
-    """A bit is 1 if it is set in over half of the shingles' hashes; words are cut at ASCII white space, A-Z lower-cased."""
+
+def shingle_hashes(text: str | None, shingle: int = 3, seed: int = SEED) -> np.ndarray:
+    """Hashes of all shingles, repeats included; words are cut at ASCII white space, A-Z lower-cased."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
-    n = max(1, len(words) - shingle + 1)
+        return np.zeros(0, dtype=np.uint64)
     grams = map(b" ".join, zip(*(words[k:] for k in range(shingle)))) if len(words) > shingle else [b" ".join(words)]
-    hashes = np.fromiter(map(functools.partial(xxhash.xxh64_intdigest, seed=seed), grams), dtype=np.uint64, count=n)
-    return _majority(hashes)
+    return np.fromiter(map(functools.partial(xxhash.xxh64_intdigest, seed=seed), grams), dtype=np.uint64, count=max(1, len(words) - shingle + 1))
+
+
+def fingerprint(text: str | None, shingle: int = 3, seed: int = SEED) -> int:
+    """A bit is 1 if it is set in over half of the shingles' hashes; zero for a text without words."""
+    return _majority(shingle_hashes(text, shingle, seed))
 
 
 def _majority(hashes: np.ndarray) -> int:
@@ -61,31 +81,48 @@ def _majority(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
-def two_fingerprints(text: str | None, shingle: int = 3) -> tuple[int, int]:
-    """The fingerprint, and one made of a remix of the same hashes, which is independent of it."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return 0, 0
-    n = max(1, len(words) - shingle + 1)
-    grams = map(b" ".join, zip(*(words[k:] for k in range(shingle)))) if len(words) > shingle else [b" ".join(words)]
-    hashes = np.fromiter(map(functools.partial(xxhash.xxh64_intdigest, seed=SEED), grams), dtype=np.uint64, count=n)
-    remixed = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return _majority(hashes), _majority(remixed ^ (remixed >> np.uint64(32)))
+def profile(text: str | None, shingle: int = 5) -> tuple[int, bytes, list[int]]:
+    """The fingerprint, the set's sketch (for each bin of hashes a byte of the least one, zero if it is empty) and least hashes under ``KEYS`` mixes."""
+    hashes = shingle_hashes(text, shingle)
+    sketch = np.zeros(BINS, dtype=np.uint8)
+    if not len(hashes):
+        return 0, sketch.tobytes(), []
+    distinct = np.unique(hashes)
+    bins = distinct // np.uint64(2**64 // BINS)
+    first = np.flatnonzero(np.append(True, bins[1:] != bins[:-1]))
+    sketch[bins[first]] = distinct[first] % np.uint64(255) + np.uint64(1)
+    spread = distinct ^ (distinct >> np.uint64(31))
+    return _majority(hashes), sketch.tobytes(), [int((spread * m).min().view(np.int64)) for m in _MIX[:KEYS]]
+
 
+def estimated_similarity(one: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """The Jaccard similarity of a set with others, from their sketches: equal bins among those that either fills."""
+    return ((others == one) & (one > 0)).sum(axis=1) / np.maximum(1, ((others > 0) | (one > 0)).sum(axis=1))
 
-def with_fingerprints(df: DataFrame, text_col: str = "text", out_col: str = "simhash", shingle: int = 3, second_col: str | None = None) -> DataFrame:
-    """Add the fingerprint of every whole text as a ``bigint`` that holds the 64 bits, and a second one if it is named."""
-    fields = T.StructType(_PRINTS.fields[: 1 + bool(second_col)])
 
-    @F.arrow_udf(fields)
+def with_fingerprints(df: DataFrame, text_col: str = "text", out_col: str = "simhash", shingle: int = 3) -> DataFrame:
+    """Add the fingerprint of every whole text as a ``bigint`` that holds the 64 bits."""
+
+    @F.arrow_udf(_PRINTS)
     def prints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            every = [t for part in text_slices(texts) for t in part]
-            values = [two_fingerprints(t, shingle) if second_col else (fingerprint(t, shingle),) for t in every]
-            columns = np.array(values, dtype=np.uint64).reshape(len(every), len(fields)).view(np.int64)
-            yield pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns.T], fields.names)
+            values = np.array([fingerprint(t, shingle) for part in text_slices(texts) for t in part], dtype=np.uint64)
+            yield pa.StructArray.from_arrays([pa.array(values.view(np.int64))], _PRINTS.names)
+
+    return with_struct(df, prints(F.col(text_col)), _PRINTS, {"simhash": out_col})
 
-    return with_struct(df, prints(F.col(text_col)), fields, {"simhash": out_col} | ({"second": second_col} if second_col else {}))
+
+def with_profiles(df: DataFrame, text_col: str = "text", shingle: int = 5) -> DataFrame:
+    """Add ``simhash``, ``sketch`` and ``keys`` of every whole text."""
+
+    @F.arrow_udf(_PROFILE)
+    def profiles(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            rows = [profile(t, shingle) for part in text_slices(texts) for t in part]
+            prints = np.array([r[0] for r in rows], dtype=np.uint64).view(np.int64)
+            yield pa.StructArray.from_arrays([pa.array(prints), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], _PROFILE.names)
+
+    return with_struct(df, profiles(F.col(text_col)), _PROFILE)
 
 
 def distances(points: np.ndarray, vantage: np.uint64) -> np.ndarray:
@@ -162,10 +199,10 @@ class Labels:
             self.parent = up
 
 
-def link_within(points: np.ndarray, home: np.ndarray, radius: int, second: np.ndarray | None = None, second_radius: int = BITS) -> np.ndarray:
+def link_within(points: np.ndarray, home: np.ndarray, radius: int, alike: Callable[[int, np.ndarray], np.ndarray] | None = None) -> np.ndarray:
     """Component labels of ``points`` under all links of at most ``radius`` that touch a home point.
 
-    With ``second`` fingerprints, a link must hold between those too, within their own radius.
+    ``alike(i, others)`` verifies links; it is not asked about points that are one component already.
     """
     labels = Labels(len(points))
     todo = [(np.flatnonzero(home), np.flatnonzero(~home))]
@@ -183,11 +220,16 @@ def link_within(points: np.ndarray, home: np.ndarray, radius: int, second: np.nd
             step = max(1, BLOCK // len(every))
             for i in range(0, len(own), step):
                 near = np.bitwise_count(points[own[i : i + step], None] ^ points[None, every]) <= radius
-                x, y = np.nonzero(near)
-                if second is not None:
-                    sure = np.bitwise_count(second[own[i : i + step][x]] ^ second[every[y]]) <= second_radius
-                    x, y = x[sure], y[sure]
-                labels.join(own[i : i + step][x], every[y])
+                if alike is None:
+                    x, y = np.nonzero(near)
+                    labels.join(own[i : i + step][x], every[y])
+                    continue
+                for one, row in zip(own[i : i + step].tolist(), near):
+                    others = every[row]
+                    others = others[labels.parent[others] != labels.parent[one]]
+                    if len(others):
+                        others = others[alike(one, others)]
+                        labels.join(np.full(len(others), one), others)
             continue
         inside, edge = d <= mu, d > mu - radius
         todo.append((own[inside], guests[e <= mu + radius]))
@@ -195,12 +237,8 @@ def link_within(points: np.ndarray, home: np.ndarray, radius: int, second: np.nd
     return labels.parent
 
 
-def links(prints: DataFrame, radius: int = 2, shard_size: int = SHARD_SIZE, sample_size: int = SAMPLE_SIZE, second_radius: int | None = None) -> DataFrame:
-    """Links (``a``, ``b``) whose components are those of all pairs of distinct points within ``radius``.
-
-    Points are (``node``, ``simhash``), the node being the fingerprint itself unless
-    ``second`` fingerprints verify links.
-    """
+def links(prints: DataFrame, radius: int = 2, shard_size: int = SHARD_SIZE, sample_size: int = SAMPLE_SIZE) -> DataFrame:
+    """Links (``a``, ``b``) whose components are those of all pairs of distinct points (``node``, ``simhash``) within ``radius``."""
     n = prints.count()
     every = max(16, math.ceil(n / sample_size))
     sample = prints.where(F.pmod(F.xxhash64("node"), F.lit(every)) == 0).select("simhash")  # about sample_size values at most
@@ -215,14 +253,44 @@ def links(prints: DataFrame, radius: int = 2, shard_size: int = SHARD_SIZE, samp
 
     def linked(table: pa.Table) -> pa.Table:
         nodes, points, home = (table.column(c).to_numpy() for c in ("node", "simhash", "home"))
-        second = table.column("second").to_numpy().view(np.uint64) if second_radius is not None else None
-        label = link_within(points.view(np.uint64), home, radius, second, second_radius or 0)
+        label = link_within(points.view(np.uint64), home, radius)
         moved = label != np.arange(len(points))
         return pa.table({"a": nodes[moved], "b": nodes[label[moved]]})
 
-    columns = ["node", "simhash", "second"][: 2 + (second_radius is not None)]
-    schema = "shard long, home boolean, " + ", ".join(f"{c} long" for c in columns)
-    return prints.select(*columns).mapInArrow(dealt, schema).groupBy("shard").applyInArrow(linked, "a long, b long")
+    return prints.select("node", "simhash").mapInArrow(dealt, "shard long, home boolean, node long, simhash long").groupBy("shard").applyInArrow(linked, "a long, b long")
+
+
+def similar_links(classes: DataFrame, similarity: float, radius: int, group_size: int = GROUP_SIZE) -> DataFrame:
+    """Links (``a``, ``b``) between classes (``node``, ``simhash``, ``sketch``, ``keys``) that share a key, differ by at most ``radius`` bits and are ``similarity`` alike.
+
+    A key with more than ``group_size`` classes is dealt in blocks, of which every two meet in a group of their own.
+    """
+    n = classes.count()
+    crowded = cut(classes.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > group_size).select("key", F.ceil(F.col("n") / group_size).cast("int").alias("parts")))
+    small = crowded.count() <= BROADCAST_KEYS
+    keyed = classes.select("node", "simhash", "sketch", F.explode("keys").alias("key")).join(F.broadcast(crowded) if small else crowded, "key", "left")
+    parts = F.coalesce("parts", F.lit(1))
+    keyed = keyed.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    group = F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other"))
+    dealt = keyed.select("node", "simhash", "sketch", group.alias("group"), (F.col("part") <= F.col("other")).alias("home"))
+    dealt = dealt.withColumn("bucket", F.pmod("group", F.lit(max(1, n * KEYS // GROUP_ROWS))))
+
+    def linked(table: pa.Table) -> pa.Table:
+        table = table.sort_by("group")
+        nodes, points, home, groups = (table.column(c).to_numpy() for c in ("node", "simhash", "home", "group"))
+        points, sketches = points.view(np.uint64), np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, BINS)
+        edges = np.flatnonzero(np.diff(groups)) + 1
+        found = []
+        for a, b in zip(np.append(0, edges).tolist(), np.append(edges, len(groups)).tolist()):
+            if b - a < 2:
+                continue
+            own = sketches[a:b]
+            label = link_within(points[a:b], home[a:b], radius, lambda i, others: estimated_similarity(own[i], own[others]) >= similarity - SLACK)
+            moved = np.flatnonzero(label != np.arange(b - a))
+            found.append((nodes[a + moved], nodes[a + label[moved]]))
+        return pa.table({"a": np.concatenate([f[0] for f in found] or [nodes[:0]]), "b": np.concatenate([f[1] for f in found] or [nodes[:0]])})
+
+    return dealt.groupBy("bucket").applyInArrow(linked, "a long, b long")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -250,22 +318,28 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("root")).union(pairs.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2, second_radius: int | None = None, shard_size: int = SHARD_SIZE, sample_size: int = SAMPLE_SIZE) -> DataFrame:
+#: A root's nodes are spread over this many rows of the join that brings each node its component.
+SALTS = 16
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2, similarity: float | None = None, shard_size: int = SHARD_SIZE, sample_size: int = SAMPLE_SIZE) -> DataFrame:
     """One row for each document: its id, ``fingerprint`` (16 hexadecimal digits) and ``component_id``, the least id that it reaches.
 
-    A wide ``radius`` also meets texts that agree by chance; ``second_radius`` then
-    asks that an independent second fingerprint agrees as well.
+    Fingerprints link within ``radius``.  With a ``similarity`` of shingle sets, texts
+    link if their sketches show it, among candidates within ``radius``.
     """
-    second = "second" if second_radius is not None else None
-    named = with_fingerprints(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), shingle=shingle, second_col=second)
-    point = ["simhash", "second"][: 1 + bool(second)]
-    rows = cut(named.select("doc_id", *point, (F.xxhash64(*point) if second else F.col("simhash")).alias("node")))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    if similarity is None:
+        point, named = ["simhash"], with_fingerprints(texts, shingle=shingle).withColumn("node", F.col("simhash"))
+    else:
+        point, named = ["simhash", "sketch", "keys"], with_profiles(texts, shingle=shingle).withColumn("node", F.xxhash64("simhash", "sketch"))
+    rows = cut(named.select("doc_id", "node", *point))
     classes = cut(rows.groupBy("node").agg(F.min("doc_id").alias("least"), *(F.min(c).alias(c) for c in point)))
-    linked = components(links(classes, radius, shard_size, sample_size, second_radius))
-    rooted = classes.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    by_root = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_class = rooted.join(by_root, "root").select("node", "component_id")
-    return rows.join(of_class, "node").select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id")
+    linked = components(links(classes, radius, shard_size, sample_size) if similarity is None else similar_links(classes, similarity, radius))
+    rooted = classes.select("node", "least").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node")).withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
+    by_root = rooted.groupBy("root").agg(F.min("least").alias("component_id")).withColumn("salt", F.explode(F.array(*(F.lit(i).cast("long") for i in range(SALTS)))))
+    of_class = rooted.join(by_root, ["root", "salt"]).select("node", "component_id")
+    return rows.select("doc_id", "node", "simhash").join(of_class, "node").select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -3,6 +3,7 @@
 import re
 from pathlib import Path
 
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
@@ -28,8 +29,10 @@ def test_run_against_brute_force(spark):
         bad = bad or len(re.findall(r"[A-ZÀ-ÖØ-Þ]{3}", d["text"])) * 3 > n
         if not bad:
             kept.append(d)
-    prints, second = zip(*(simhash.two_fingerprints(d["text"], 5) for d in kept))
-    roots = test_simhash.plain_components(prints, corpus_pipeline.RADIUS, second, corpus_pipeline.SECOND_RADIUS)
+    prints, sketches, keys = zip(*(simhash.profile(d["text"], 5) for d in kept))
+    sketches = [np.frombuffer(x, dtype=np.uint8) for x in sketches]
+    alike = lambda i, j: prints[i] == prints[j] and (sketches[i] == sketches[j]).all() or bool(set(keys[i]) & set(keys[j])) and simhash.estimated_similarity(sketches[i], sketches[j][None])[0] >= corpus_pipeline.SIMILARITY - simhash.SLACK
+    roots = test_simhash.plain_components(prints, corpus_pipeline.RADIUS, alike)
     best = {}
     for root, d in zip(roots, kept):
         best[root] = min(best.get(root, d["doc_id"]), d["doc_id"])

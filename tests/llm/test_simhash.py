@@ -19,7 +19,7 @@ def plain_print(text):
     return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
 
 
-def plain_components(prints, radius=2, second=None, second_radius=64):
+def plain_components(prints, radius=2, alike=lambda i, j: True):
     parent = list(range(len(prints)))
 
     def root(i):
@@ -29,7 +29,7 @@ def plain_components(prints, radius=2, second=None, second_radius=64):
 
     for i, a in enumerate(prints):
         for j in range(i):
-            if (a ^ prints[j]).bit_count() <= radius and (second is None or (second[i] ^ second[j]).bit_count() <= second_radius):
+            if (a ^ prints[j]).bit_count() <= radius and alike(i, j):
                 x, y = sorted((root(i), root(j)))
                 parent[y] = x
     return [root(i) for i in range(len(prints))]
@@ -78,14 +78,54 @@ def test_components_over_shards(spark):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, mine.values()))
 
 
-def test_second_fingerprints_verify():
+def test_verified_links():
     rng = random.Random(6)
     points = clustered(rng, 300)
-    second = np.array([rng.choice([0, 0, 2**64 - 1]) for _ in points], dtype=np.uint64)
-    label = simhash.link_within(np.array(points, dtype=np.uint64), np.ones(len(points), dtype=bool), 5, second, 3)
-    assert label.tolist() == plain_components(points, 5, second.tolist(), 3) != plain_components(points, 5)
-    first, other = simhash.two_fingerprints("a b c d e f g", 5)
-    assert first == simhash.fingerprint("a b c d e f g", 5) and (first ^ other).bit_count() > 10 and simhash.two_fingerprints(None) == (0, 0)
+    kinds = np.array([rng.choice([0, 0, 1]) for _ in points])
+    label = simhash.link_within(np.array(points, dtype=np.uint64), np.ones(len(points), dtype=bool), 5, lambda i, others: kinds[others] == kinds[i])
+    assert label.tolist() == plain_components(points, 5, lambda i, j: kinds[i] == kinds[j]) != plain_components(points, 5)
+
+
+def edited(rng, words, edits):
+    out = list(words)
+    for at in rng.sample(range(len(out)), edits):
+        out[at] = f"new{rng.randrange(10**6)}"
+    return out
+
+
+def jaccard(a, b):
+    x, y = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_similar_texts(spark):
+    """Near copies of 0.85 and more link, texts that only share a passage do not; small blocks change nothing."""
+    rng = random.Random(7)
+    passage = [f"p{i}" for i in range(60)]
+    texts = [passage + [f"w{rng.randrange(5000)}" for _ in range(150)] for _ in range(120)]
+    copies = [(i, edited(rng, texts[i], 3)) for i in range(40)]
+    assert all(jaccard(texts[i], c) > 0.83 for i, c in copies)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(1000 + i, " ".join(c).upper()) for i, c in copies] + [(2000, None), (2001, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept, size = [], simhash.similar_links.__defaults__
+    for group_size in (simhash.GROUP_SIZE, 20):
+        simhash.similar_links.__defaults__ = (group_size,)
+        try:
+            found = simhash.near_duplicates(docs, shingle=5, radius=14, similarity=0.8)
+            kept.append({r.doc_id: r.component_id for r in found.collect()})
+        finally:
+            simhash.similar_links.__defaults__ = size
+    assert kept[0] == kept[1] == {i: i for i in range(120)} | {1000 + i: i for i, _ in copies} | {2000: 2000, 2001: 2000}
+
+
+def test_sketches():
+    rng = random.Random(8)
+    for n, edits in ((30, 1), (400, 10), (3000, 60)):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        other = edited(rng, words, edits)
+        one, two = (np.frombuffer(simhash.profile(" ".join(t))[1], dtype=np.uint8) for t in (words, other))
+        assert abs(float(simhash.estimated_similarity(one, two[None])[0]) - jaccard(words, other)) < 0.1
+    assert simhash.profile(None) == (0, bytes(simhash.BINS), []) and simhash.profile("a b")[0] == simhash.fingerprint("a b", 5)
 
 
 def test_chain_and_star(spark):
