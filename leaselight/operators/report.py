@@ -137,3 +137,74 @@ def balance(df: DataFrame, gap: float = 20) -> Column:
     high, low = F.greatest(*scores), F.least(*scores)
     name = rules.first_match((s == high, c) for s, c in zip(scores, scoring.COMPONENTS))
     return F.when(high - low >= gap, F.concat(F.lit("strong "), name)).otherwise("even")
+
+
+FEES_TO_CUT = ["reikin_yen", "brokerage_fee_yen", "key_change_yen", "cleaning_fee_yen"]
+
+
+def fee_cuts(subjects: DataFrame, actions: dict[str, str]) -> DataFrame:
+    """The fees and the total after ``half`` or ``waive`` for each fee that is named; a fee not given counts as none."""
+    new = {}
+    for c in FEES_TO_CUT:
+        old = F.coalesce(derive.present(subjects.columns, c), F.lit(0))
+        new[c] = {"half": F.floor(old / 2 + 0.5).cast("bigint"), "waive": F.lit(0).cast("bigint")}.get(actions.get(c, ""), old)
+    change = sum((new[c] - F.coalesce(derive.present(subjects.columns, c), F.lit(0)) for c in FEES_TO_CUT), F.lit(0))
+    return subjects.withColumns({"cut_total_yen": F.greatest(F.lit(0), F.col("initial_cost_total_yen") + change)} | {f"cut_{c}": v for c, v in new.items()})
+
+
+def percent(delta: Column) -> Column:
+    return F.floor(F.abs(delta) * 100 + 0.5).cast("bigint")
+
+
+def headline(df: DataFrame) -> Column:
+    """What a reader should know first, as keys: which side is weak, and how the price compares.
+
+    Input that looks wrong, and a missing benchmark, go before the comparison.
+    """
+    location, condition, cost, delta = (F.col(c) for c in ("location_score", "condition_score", "cost_score", "rent_delta_ratio"))
+    side = F.when(condition - cost >= 20, "dear for its condition").when(location - condition >= 20, "well placed, condition lags").when(cost - location >= 20, "cheap, out of the way").otherwise("balanced")
+    price = F.when(F.col("suspect"), "check the input").when(F.col("benchmark_confidence") == "none", "no comparison").when(percent(delta) <= 1, "as others").when(delta >= 0.5, "far above others").when(delta >= 0.25, "well above others").when(delta > 0, "above others").otherwise("below others")
+    return F.array(side, price)
+
+
+def descriptions(df: DataFrame) -> dict[str, Column]:
+    """A short line for each component; what is not known is left out."""
+    grades = F.when(F.col("location_grade") == "A", "excellent place").when(F.col("location_grade") == "B", "good place").when(F.col("location_grade") == "C", "fair place").when(F.col("location_grade") == "D", "remote place")
+    delta = F.col("rent_delta_ratio")
+    price = F.when(F.col("benchmark_confidence") != "none", F.when(delta <= -0.1, F.concat(percent(delta), F.lit("% below others"))).when(delta >= 0.1, F.concat(percent(delta), F.lit("% above others"))).otherwise("as others"))
+    return {
+        "location": F.concat_ws(", ", F.concat("station_walk_min", F.lit(" min on foot")), grades),
+        "condition": F.concat_ws(", ", F.concat("building_age_years", F.lit(" years old")), F.when(F.col("orientation") != "UNKNOWN", F.concat(F.lit("faces "), "orientation"))),
+        "cost": F.concat_ws(", ", price, "im_assessment"),
+    }
+
+
+def significant(x: Column, digits: int = 4) -> Column:
+    """A number with so many significant digits and no trailing zeros; ``N/A`` for null.
+
+    Very large and very small numbers take an exponent, as in C; decimal ties go to the even digit.
+    """
+    size = F.floor(F.log10(F.abs(x))).cast("int")
+    trimmed = lambda t: F.regexp_replace(F.regexp_replace(t, r"(\.\d*?)0+(?=$|e)", "$1"), r"\.(?=$|e)", "")
+    shown = lambda places: F.format_string(f"%.{places}f", F.bround(x, places))
+    plain = F.when(size == 0, shown(digits - 1))
+    for k in (*range(-4, 0), *range(1, digits)):  # below one, zeros follow the point
+        plain = plain.when(size == k, shown(digits - 1 - k))
+    far = F.format_string(f"%.{digits - 1}e", x)
+    return F.when(x.isNull(), "N/A").when(x == 0, "0").otherwise(trimmed(F.when((size >= digits) | (size < -4), far).otherwise(plain)))
+
+
+def plain_text(df: DataFrame, text: str) -> Column:
+    """A text with every placeholder replaced: unknown ones by ``N/A``, doubles by four significant digits, lists joined."""
+    parts, at = [], 0
+    for m in _PLACEHOLDER.finditer(text):
+        kind = df.schema[m[1]].dataType if m[1] in df.columns else None
+        if kind is None:
+            shown = F.lit("N/A")
+        elif isinstance(kind, (T.DoubleType, T.FloatType)):
+            shown = significant(F.col(m[1]))
+        else:
+            shown = F.coalesce(F.array_join(m[1], ", ") if isinstance(kind, T.ArrayType) else F.col(m[1]).cast("string"), F.lit("N/A"))
+        parts += [F.lit(text[at : m.start()]), shown]
+        at = m.end()
+    return F.concat(*parts, F.lit(text[at:]))
