@@ -129,13 +129,16 @@ def reject_reason(w: Column) -> Column:
 
 
 PLACE = ["prefecture", "municipality", "layout_type"]
+#: 96 bits that name a place and what is asked there.
+PROFILE = ["profile", "profile_2"]
 
 
 def asked(subjects: DataFrame, dialect: str, skip: tuple[str, ...] = ()) -> DataFrame:
-    """One row for each subject and step: the place, and what is asked there as ``want``."""
+    """One row for each subject and step: the place, what is asked there as ``want``, and a short name for both (``PROFILE``)."""
     usable = subjects.withColumns({c: F.lit(None).cast("string") for c in skip})
+    absent = functools.reduce(Column.__add__, (F.col(f"want.{c}").isNull().cast("int") * 2**i for i, c in enumerate(WANTED)))  # hashes pass over nulls
     steps = F.explode(F.array(*(F.struct(F.lit(k).alias("step"), wanted(dialect, k).alias("want")) for k in range(STEPS))))
-    return usable.withColumn("layout_type", F.upper("layout_type")).select("listing_id", *PLACE, steps.alias("s")).select("listing_id", *PLACE, "s.*")
+    return usable.withColumn("layout_type", F.upper("layout_type")).select("listing_id", *PLACE, steps.alias("s")).select("listing_id", *PLACE, "s.*").withColumns({"profile": F.xxhash64(*PLACE, "want", absent), "profile_2": F.hash(absent, *PLACE, "want")})
 
 
 def contained_pairs(wanted_names: DataFrame, offered_names: DataFrame) -> DataFrame:
@@ -194,13 +197,13 @@ def live_benchmark(subjects: DataFrame, offers: DataFrame, dialect: str, least:
     ``skip`` names subject columns that are not asked for.
     """
     asking = asked(subjects, dialect, skip)
-    met = profile_offers(asking.select(*PLACE, "want").distinct(), offers).where(passes(F.col("want")))
-    distinct = met.select(*PLACE, "want", "rent_yen", "admin_fee_yen", "area_sqm").distinct()
+    met = profile_offers(asking.select(*PROFILE, *PLACE, "want").distinct(), offers).where(passes(F.col("want")))
+    distinct = met.select(*PROFILE, "rent_yen", "admin_fee_yen", "area_sqm").distinct()
     total = robust_aggregate(F.col("rent_yen") + F.coalesce(F.col("admin_fee_yen"), F.lit(0)))
     rent = robust_aggregate(F.col("rent_yen"))
-    answers = distinct.groupBy(*PLACE, "want").agg(F.count("*").alias("n"), total["value"].alias("benchmark_yen"), total["method"].alias("method"), rent["value"].alias("benchmark_rent_yen"))
+    answers = distinct.groupBy(*PROFILE).agg(F.count("*").alias("n"), total["value"].alias("benchmark_yen"), total["method"].alias("method"), rent["value"].alias("benchmark_rent_yen"))
     found = F.struct(F.when(F.col("n") >= least, F.col("step")).otherwise(STEPS).alias("rank"), (-F.col("step")).alias("late"), "step", "n", "benchmark_yen", "method", "benchmark_rent_yen")
-    best = asking.join(answers, [*PLACE, "want"]).groupBy("listing_id").agg(F.min(found).alias("b"))
+    best = asking.select("listing_id", "step", *PROFILE).join(answers, PROFILE).groupBy("listing_id").agg(F.min(found).alias("b"))
     out = best.select("listing_id", F.col("b.step").alias("chosen_step"), "b.n", "b.benchmark_yen", "b.method", "b.benchmark_rent_yen")
     return out.withColumn("benchmark_confidence", confidence(F.col("n"), F.col("chosen_step"))).withColumn("matched_level", F.lit(f"live_{dialect}"))
 
