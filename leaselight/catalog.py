@@ -10,7 +10,7 @@ from . import spec
 from .functions import scoring, text
 from .operators import benchmark, comparables, derive, documents, market, report, validate
 from .oracles import ORACLES
-from .plans import engine
+from .plans import engine, regression
 from .plans.adapters import AS_OF_YEAR, frame, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,6 +80,11 @@ def whatif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("listing_id", "whatif_id", "old_yen", "new_yen", "new_total_yen", *_r6("initial_multiple"), "cost_score", "overall_score", F.col("overall_grade").alias("new_grade"), F.col("old_overall_score"))
 
 
+def golden_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = regression.run(frame(spark, sf_dir, "subjects"), AS_OF_YEAR)
+    return found.select("listing_id", F.col("benchmark_total_yen").cast("bigint").alias("benchmark_total_yen"), *(f"{c}_score" for c in PARTS), "overall_grade", "tradeoff_tag", "template_id")
+
+
 def fee_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.fee_scenarios(frame(spark, sf_dir, "subjects")).select("listing_id", "cut_pct", "cut_total_yen")
 
@@ -195,6 +200,7 @@ QUERIES: dict[str, Query] = {
     "risk_flag_counts": risk_flag_counts,
     "template_counts": template_counts,
     "whatif": whatif,
+    "golden_run": golden_run,
     "fee_scenarios": fee_scenarios,
     "risk_chips": risk_chips,
     **{f"comparables_{d}": live(d) for d in comparables.LADDERS},

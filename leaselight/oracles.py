@@ -6,7 +6,7 @@ from typing import Any
 
 from . import spec
 from .operators import comparables
-from .plans import adapters
+from .plans import adapters, regression
 from .plans.adapters import AS_OF_YEAR
 
 
@@ -65,7 +65,8 @@ DELTAS = f"""k4 AS (
 )"""
 
 
-def _feature(f: dict[str, Any]) -> str:
+def _feature(f: dict[str, Any], golden: bool = False) -> str:
+    """A feature's score; golden runs have an access score, and defaults for what is missing."""
     p, x = f["params"], f["input"]
     if f["method"] == "bucket":
         score = "CASE " + " ".join(f"WHEN {x} {'<=' if 'max' in b else '>='} {_d(b.get('max', b.get('min')))} THEN {_d(b['score'])}" for b in p["buckets"]) + f" ELSE {_d(p['default'])} END"
@@ -73,12 +74,12 @@ def _feature(f: dict[str, Any]) -> str:
         score = _CASE(p["table"], x, _d(p["default"]))
     elif f["method"] == "boolean":
         score = f"CASE WHEN {x} THEN {_d(p['true'])} ELSE {_d(p['false'])} END"
-    elif x == "area_access_score_0_100":
+    elif x == "area_access_score_0_100" and not golden:
         score = "NULL"
     else:
         (x0, x1), (y0, y1) = p["x"], p["y"]
         score = f"greatest(0e0, least(1e0, ({x} - {_d(x0)}) / {_d(x1 - x0)})) * {_d(y1 - y0)} + {_d(y0)}"
-    score = score if score == "NULL" else f"CASE WHEN {x} IS NOT NULL THEN {score} END"
+    score = score if score == "NULL" else f"CASE WHEN {x} IS NOT NULL THEN {score} {f'ELSE {_d(p.get("default", 70))} ' if golden else ''}END"
     return f"CASE WHEN benchmark_confidence IN ('none', 'low') THEN {_d(p['neutral_score'])} ELSE {score} END" if "neutral_if" in p else score
 
 
@@ -241,6 +242,21 @@ f AS (SELECT listing_id, breakdown_sum_yen, list_filter([CASE WHEN initial_multi
   CASE WHEN initial_cost_total_yen > 0 AND breakdown_sum_yen > initial_cost_total_yen * 1.2e0 THEN 'initial_breakdown_sum_gt_total_120pct' END], lambda x: x IS NOT NULL) AS flags FROM b)
 SELECT listing_id, breakdown_sum_yen, array_to_string(flags, ',') AS sanity_flags, len(flags) > 0 AS suspect FROM f"""
 
+def _golden() -> str:
+    """Golden runs: stand-in rents and access scores, and rules of greatest priority."""
+    cut = lambda x: f"CAST(trunc(coalesce({x}, 0)) AS BIGINT)"
+    rent = f"{_CASE(regression.RENTS, 'prefecture', _d(regression.RENT_OTHER))} + CASE WHEN layout_type = '1K' THEN 5000 ELSE 0 END + {cut('(area_sqm - 20) * 900')} - {cut('(station_walk_min - 10) * 400')} - {cut('building_age_years * 120')}"
+    access = f"greatest(0e0, least(100e0, {_CASE(regression.ACCESS, 'hub_station', _d(regression.ACCESS_OTHER))} - least(25e0, station_walk_min * 1.2e0)))"
+    parts = {c: [(f"({_feature(f, True)})", f["weight"]) for f in spec.SCORING["features"] if f["component"] == c] for c in _PARTS}
+    scores = ", ".join(f"round_even(({' + '.join(f'{s} * {_d(w)}' for s, w in p)}) / ({' + '.join(_d(w) for _, w in p)}) + 1e-9, 6) AS {c}_score" for c, p in parts.items())
+    always = lambda rule: rule == spec.ALWAYS
+    chosen = lambda rows: "CASE " + " ".join(f"WHEN {_rule(w)} THEN '{name}'" for name, _, w in sorted(rows, key=lambda r: (always(r[2]), -r[1]))) + " END"
+    return f"""WITH {_base('subjects')},
+{MEASURED}, g1 AS (SELECT *, CASE WHEN prefecture = 'tokyo' THEN 'mid' ELSE 'low' END AS benchmark_confidence, CAST(greatest({regression.LEAST_RENT}, {rent}) AS BIGINT) AS benchmark_total_yen, {access} AS area_access_score_0_100 FROM m
+), g2 AS (SELECT *, (monthly_fixed_cost_yen - benchmark_total_yen) / benchmark_total_yen AS rent_delta_ratio FROM g1), g3 AS (SELECT *, {scores} FROM g2), g4 AS (SELECT *, {_OVERALL} AS overall_score FROM g3)
+SELECT listing_id, benchmark_total_yen, location_score, condition_score, cost_score, overall_score, {_grade('overall_score')} AS overall_grade, {chosen([(r[3], r[1], r[2]) for r in spec.TRADEOFF_RULES])} AS tradeoff_tag, {chosen([(t[0], t[1], t[2]) for t in spec.TEMPLATES])} AS template_id FROM g4"""
+
+
 _R = lambda *cols: ", ".join(f"round_even({c}, 6) AS {c}" for c in cols)
 ORACLES: dict[str, str] = {
     "validate_listings": _errors(),
@@ -253,6 +269,7 @@ ORACLES: dict[str, str] = {
     "risk_flag_counts": f"{_FULL}, f AS ({' UNION ALL '.join(f"SELECT '{f}' AS risk_flag_id, '{s}' AS severity FROM z WHERE {w}" for f, s, w in _FLAGS)}) SELECT risk_flag_id, severity, count(*) AS n FROM f GROUP BY ALL",
     "template_counts": f"{_FULL} SELECT {_TEMPLATE} AS template_id, count(*) AS n FROM z GROUP BY ALL",
     "whatif": _whatif(),
+    "golden_run": _golden(),
     "fee_scenarios": f"WITH {_base('subjects')} SELECT listing_id, cut_pct, CAST(round_even(initial_cost_total_yen * (100 - cut_pct) / 100, 0) AS BIGINT) AS cut_total_yen FROM subjects, (SELECT unnest([0, 10, 20, 30]) AS cut_pct)",
     "risk_chips": f"""{_FULL}, t AS (SELECT *, CASE WHEN station_walk_min >= 45 THEN 'high' WHEN station_walk_min >= 30 THEN 'mid' WHEN station_walk_min >= 20 THEN 'low' END AS tier FROM z)
 SELECT listing_id, array_to_string(list_filter([{', '.join(f"CASE WHEN {w} THEN '{f}:' || " + ("coalesce(tier, 'mid')" if f == 'FAR_FROM_STATION' else f"'{s}'") + " END" for f, s, w in _FLAGS)},

@@ -28,7 +28,7 @@ def with_stand_ins(subjects: DataFrame, as_of_year: int) -> DataFrame:
     step = derive.with_measures(subjects, as_of_year)
     rent = _looked_up(RENTS, "prefecture", RENT_OTHER) + F.when(F.col("layout_type") == "1K", 5_000).otherwise(0)
     rent = rent + _cut((F.col("area_sqm") - 20) * 900) - _cut((F.col("station_walk_min") - 10) * 400) - _cut(F.col("building_age_years") * 120)
-    confidence = F.when(F.col("listing_id") == WITHOUT_BENCHMARK, "none").when(F.col("prefecture") == "tokyo", "mid").otherwise("low")
+    confidence = F.when(F.col("listing_id").cast("string") == WITHOUT_BENCHMARK, "none").when(F.col("prefecture") == "tokyo", "mid").otherwise("low")
     step = step.withColumns({"benchmark_confidence": confidence, "benchmark_total_yen": F.when(confidence != "none", F.greatest(F.lit(LEAST_RENT), rent)), "initial_multiple": F.try_divide(F.col("initial_cost_total_yen").cast("double"), F.col("monthly_fixed_cost_yen"))})
     access = derive.clamp(_looked_up(ACCESS, "hub_station", ACCESS_OTHER) - F.coalesce(F.least(F.lit(25.0), F.col("station_walk_min") * 1.2), F.lit(0.0)), 0.0, 100.0)
     return step.withColumns({"rent_delta_ratio": F.try_divide((F.col("monthly_fixed_cost_yen") - F.col("benchmark_total_yen")).cast("double"), F.col("benchmark_total_yen")), "area_access_score_0_100": access})
