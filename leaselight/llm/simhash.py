@@ -9,13 +9,13 @@ alone visit the far side too, as queries.  Each shard finds its links exactly, b
 the same cuts further down, and reports them as stars; the stars are joined to
 components over all shards by alternating large- and small-star rounds.
 
-At a Jaccard similarity of 0.8 fingerprints differ by up to 14 of 64 bits, and at
-such a radius triangle bounds prune nothing: half of all random points lie within
-the band that must visit both sides of any cut.  ``similarity`` therefore parts the
-fingerprints by ``KEYS`` least shingle hashes first (texts that similar share one of
-four with a probability of 0.998), compares within these groups, and verifies every
-link by a sketch of the shingle sets.  A crowded group, such as all texts that hold
-one common passage, is dealt in blocks, so no task meets it whole.
+Fingerprints count repeated shingles, a Jaccard similarity does not: of two texts with
+nearly one shingle set, of which one repeats a line, they may differ by any number of
+bits.  ``similarity`` therefore takes no account of them.  Distinct shingle sets, not
+documents, are linked.  Candidates share one of ``KEYS`` least shingle hashes (sets
+that are 0.8 alike share one of eight but for a chance of 0.000003), and every link
+is verified by a sketch of the shingle sets.  A crowded group, such as all texts that
+hold one common passage, is dealt in blocks, so no task meets it whole.
 
 Edge cases: a null text has no words; texts without words have fingerprint zero and
 link like any other; a text of fewer words than a shingle is one shingle; repeated
@@ -32,7 +32,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .arrow import text_slices, with_struct
 from .scratch import cut
@@ -47,15 +47,18 @@ BLOCK = 4_000_000
 COUNTED = 65_536
 
 #: Bins of the sketch of a shingle set, and least hashes that part candidates for a similarity.
-BINS, KEYS = 256, 4
-#: Members of a candidate group, and rows of small groups, that meet in one task; crowded keys that are broadcast.
-GROUP_SIZE, GROUP_ROWS, BROADCAST_KEYS = 4_000, 4_000, 10_000
+BINS, KEYS = 256, 8
+#: Members of a candidate group, and rows of small groups, that meet in one task.
+GROUP_SIZE, GROUP_ROWS = 4_000, 4_000
 #: How far a sketch's estimate may fall below the similarity: its standard error with BINS bins is 0.025.
 SLACK = 0.02
-_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
+_MIX = np.array(
+    [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53],
+    dtype=np.uint64,
+)
 
 _PRINTS = T.StructType([T.StructField("simhash", T.LongType())])
-_PROFILE = T.StructType([*_PRINTS.fields, T.StructField("sketch", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+_PROFILE = T.StructType([*_PRINTS.fields, T.StructField("sketch", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("node", T.LongType())])
 
 
 def shingle_hashes(text: str | None, shingle: int = 3, seed: int = SEED) -> np.ndarray:
@@ -83,16 +86,20 @@ def _majority(hashes: np.ndarray) -> int:
 
 def profile(text: str | None, shingle: int = 5) -> tuple[int, bytes, list[int]]:
     """The fingerprint, the set's sketch (for each bin of hashes a byte of the least one, zero if it is empty) and least hashes under ``KEYS`` mixes."""
-    hashes = shingle_hashes(text, shingle)
+    return _profile(shingle_hashes(text, shingle))[:3]
+
+
+def _profile(hashes: np.ndarray) -> tuple[int, bytes, list[int], int]:
+    """As ``profile``, and a digest of the set."""
     sketch = np.zeros(BINS, dtype=np.uint8)
     if not len(hashes):
-        return 0, sketch.tobytes(), []
+        return 0, sketch.tobytes(), [], 0
     distinct = np.unique(hashes)
     bins = distinct // np.uint64(2**64 // BINS)
     first = np.flatnonzero(np.append(True, bins[1:] != bins[:-1]))
     sketch[bins[first]] = distinct[first] % np.uint64(255) + np.uint64(1)
     spread = distinct ^ (distinct >> np.uint64(31))
-    return _majority(hashes), sketch.tobytes(), [int((spread * m).min().view(np.int64)) for m in _MIX[:KEYS]]
+    return _majority(hashes), sketch.tobytes(), [int((spread * m).min().view(np.int64)) for m in _MIX[:KEYS]], int(np.uint64(xxhash.xxh64_intdigest(distinct.tobytes(), seed=SEED)).view(np.int64))
 
 
 def estimated_similarity(one: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -113,14 +120,14 @@ def with_fingerprints(df: DataFrame, text_col: str = "text", out_col: str = "sim
 
 
 def with_profiles(df: DataFrame, text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """Add ``simhash``, ``sketch`` and ``keys`` of every whole text."""
+    """Add ``simhash``, ``sketch`` and ``keys`` of every whole text, and ``node``, the digest of its set of shingles."""
 
     @F.arrow_udf(_PROFILE)
     def profiles(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            rows = [profile(t, shingle) for part in text_slices(texts) for t in part]
+            rows = [_profile(shingle_hashes(t, shingle)) for part in text_slices(texts) for t in part]
             prints = np.array([r[0] for r in rows], dtype=np.uint64).view(np.int64)
-            yield pa.StructArray.from_arrays([pa.array(prints), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], _PROFILE.names)
+            yield pa.StructArray.from_arrays([pa.array(prints), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.list_(pa.int64())), pa.array([r[3] for r in rows], pa.int64())], _PROFILE.names)
 
     return with_struct(df, profiles(F.col(text_col)), _PROFILE)
 
@@ -260,37 +267,63 @@ def links(prints: DataFrame, radius: int = 2, shard_size: int = SHARD_SIZE, samp
     return prints.select("node", "simhash").mapInArrow(dealt, "shard long, home boolean, node long, simhash long").groupBy("shard").applyInArrow(linked, "a long, b long")
 
 
-def similar_links(classes: DataFrame, similarity: float, radius: int, group_size: int = GROUP_SIZE) -> DataFrame:
-    """Links (``a``, ``b``) between classes (``node``, ``simhash``, ``sketch``, ``keys``) that share a key, differ by at most ``radius`` bits and are ``similarity`` alike.
+def link_alike(home: np.ndarray, alike: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarray:
+    """Component labels under all links that ``alike(i, others)`` finds and that touch a home point; it is not asked about points that are one component already."""
+    labels = Labels(len(home))
+    for one in np.flatnonzero(home).tolist():
+        others = labels.parent != labels.parent[one]
+        others[:one] &= ~home[:one]  # seen from the other one
+        others = np.flatnonzero(others)
+        if len(others):
+            others = others[alike(one, others)]
+            labels.join(np.full(len(others), one), others)
+    return labels.parent
 
-    A key with more than ``group_size`` classes is dealt in blocks, of which every two meet in a group of their own.
-    """
-    n = classes.count()
-    crowded = cut(classes.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > group_size).select("key", F.ceil(F.col("n") / group_size).cast("int").alias("parts")))
-    small = crowded.count() <= BROADCAST_KEYS
-    keyed = classes.select("node", "simhash", "sketch", F.explode("keys").alias("key")).join(F.broadcast(crowded) if small else crowded, "key", "left")
-    parts = F.coalesce("parts", F.lit(1))
-    keyed = keyed.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    group = F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other"))
-    dealt = keyed.select("node", "simhash", "sketch", group.alias("group"), (F.col("part") <= F.col("other")).alias("home"))
-    dealt = dealt.withColumn("bucket", F.pmod("group", F.lit(max(1, n * KEYS // GROUP_ROWS))))
+
+def dealt_pairs(members: DataFrame, parts: Column, group: str) -> DataFrame:
+    """``members`` of groups once for every pair of blocks that they are in: all members of ``meeting`` meet, and pairs count that touch a ``home`` one."""
+    parted = members.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    parted = parted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    meeting = F.xxhash64(group, F.least("part", "other"), F.greatest("part", "other"))
+    return parted.withColumn("meeting", meeting).withColumn("home", F.col("part") <= F.col("other")).drop("parts", "part", "other")
+
+
+def linked_by(verifier: Callable[[pa.Table], Callable[[int, np.ndarray], np.ndarray]]) -> Callable[[pa.Table], pa.Table]:
+    """Turns the rows of a bucket into links (``a``, ``b``), group by group; ``verifier`` makes a group's ``alike``."""
 
     def linked(table: pa.Table) -> pa.Table:
-        table = table.sort_by("group")
-        nodes, points, home, groups = (table.column(c).to_numpy() for c in ("node", "simhash", "home", "group"))
-        points, sketches = points.view(np.uint64), np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, BINS)
+        table = table.sort_by("meeting")
+        nodes, home, groups = (table.column(c).to_numpy() for c in ("node", "home", "meeting"))
         edges = np.flatnonzero(np.diff(groups)) + 1
-        found = []
+        found = [(nodes[:0], nodes[:0])]
         for a, b in zip(np.append(0, edges).tolist(), np.append(edges, len(groups)).tolist()):
             if b - a < 2:
                 continue
-            own = sketches[a:b]
-            label = link_within(points[a:b], home[a:b], radius, lambda i, others: estimated_similarity(own[i], own[others]) >= similarity - SLACK)
+            label = link_alike(home[a:b], verifier(table.slice(a, b - a)))
             moved = np.flatnonzero(label != np.arange(b - a))
             found.append((nodes[a + moved], nodes[a + label[moved]]))
-        return pa.table({"a": np.concatenate([f[0] for f in found] or [nodes[:0]]), "b": np.concatenate([f[1] for f in found] or [nodes[:0]])})
+        return pa.table({"a": np.concatenate([f[0] for f in found]), "b": np.concatenate([f[1] for f in found])})
+
+    return linked
+
+
+def similar_links(classes: DataFrame, similarity: float, group_size: int = GROUP_SIZE) -> DataFrame:
+    """Links (``a``, ``b``) between classes (``node``, ``sketch``, ``keys``) that share a key and are ``similarity`` alike.
+
+    A key with more than ``group_size`` classes is dealt in blocks, of which every two meet in a group of their own.
+    """
+    n = classes.count()
+    keyed = classes.select("node", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")  # a sketch travels only where it meets another
+    met = keyed.join(shared, "key").join(classes.select("node", "sketch"), "node")
+    dealt = dealt_pairs(met, F.ceil(F.col("n") / group_size).cast("int"), "key").select("node", "sketch", "meeting", "home")
+    dealt = dealt.withColumn("bucket", F.pmod("meeting", F.lit(max(1, n * KEYS // GROUP_ROWS))))
+
+    def by_sketch(table: pa.Table) -> Callable[[int, np.ndarray], np.ndarray]:
+        own = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, BINS)
+        return lambda i, others: estimated_similarity(own[i], own[others]) >= similarity - SLACK
 
-    return dealt.groupBy("bucket").applyInArrow(linked, "a long, b long")
+    return dealt.groupBy("bucket").applyInArrow(linked_by(by_sketch), "a long, b long")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -326,16 +359,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row for each document: its id, ``fingerprint`` (16 hexadecimal digits) and ``component_id``, the least id that it reaches.
 
     Fingerprints link within ``radius``.  With a ``similarity`` of shingle sets, texts
-    link if their sketches show it, among candidates within ``radius``.
+    link if their sketches show it, whatever their fingerprints are.
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     if similarity is None:
         point, named = ["simhash"], with_fingerprints(texts, shingle=shingle).withColumn("node", F.col("simhash"))
     else:
-        point, named = ["simhash", "sketch", "keys"], with_profiles(texts, shingle=shingle).withColumn("node", F.xxhash64("simhash", "sketch"))
-    rows = cut(named.select("doc_id", "node", *point))
+        point, named = ["sketch", "keys"], with_profiles(texts, shingle=shingle)
+    rows = cut(named.select("doc_id", "node", "simhash", *(c for c in point if c != "simhash")))
     classes = cut(rows.groupBy("node").agg(F.min("doc_id").alias("least"), *(F.min(c).alias(c) for c in point)))
-    linked = components(links(classes, radius, shard_size, sample_size) if similarity is None else similar_links(classes, similarity, radius))
+    linked = components(links(classes, radius, shard_size, sample_size) if similarity is None else similar_links(classes, similarity))
     rooted = classes.select("node", "least").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node")).withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
     by_root = rooted.groupBy("root").agg(F.min("least").alias("component_id")).withColumn("salt", F.explode(F.array(*(F.lit(i).cast("long") for i in range(SALTS)))))
     of_class = rooted.join(by_root, ["root", "salt"]).select("node", "component_id")

@@ -145,3 +145,17 @@ def test_documents(spark):
     kept = simhash.keep_one(df, found)
     assert kept.columns == df.columns and sorted((r.doc_id or -1) for r in kept.collect()) == [-1, 3, 4, 7]
     assert simhash.near_duplicates(df.where(F.lit(False))).count() == 0
+
+
+def test_repeated_lines(spark):
+    """One line more, once or many times, leaves the set of shingles nearly as it is, whatever it does to the fingerprint."""
+    rng = random.Random(9)
+    texts = {}
+    for i, (n, k) in enumerate([(100, 5), (120, 6), (300, 10)] * 20):
+        body, line = ([f"w{rng.randrange(10**6)}" for _ in range(m)] for m in (n, 8))
+        texts[i], texts[1000 + i] = body + line, body + line * k
+    assert sum((simhash.fingerprint(" ".join(texts[i]), 5) ^ simhash.fingerprint(" ".join(texts[1000 + i]), 5)).bit_count() > 14 for i in range(60)) > 20
+    assert all(jaccard(texts[i], texts[1000 + i]) > 0.9 for i in range(60))
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    found = simhash.near_duplicates(docs, shingle=5, radius=14, similarity=0.8)
+    assert {r.doc_id: r.component_id for r in found.collect()} == {i: i % 1000 for i in texts}
