@@ -13,9 +13,11 @@ Fingerprints count repeated shingles, a Jaccard similarity does not: of two text
 nearly one shingle set, of which one repeats a line, they may differ by any number of
 bits.  ``similarity`` therefore takes no account of them.  Distinct shingle sets, not
 documents, are linked.  Candidates share one of ``KEYS`` least shingle hashes (sets
-that are 0.8 alike share one of eight but for a chance of 0.000003), and every link
-is verified by a sketch of the shingle sets.  A crowded group, such as all texts that
-hold one common passage, is dealt in blocks, so no task meets it whole.
+that are 0.8 alike share one of eight but for a chance of 0.000003) and have sketches
+that do not rule the similarity out.  Candidates make rough components; within each,
+the Jaccard similarity of all pairs of shingle sets is computed from the texts, and
+only pairs that reach ``similarity`` link.  A crowded group, such as all texts that hold
+one common passage, is dealt in blocks, so no task meets it whole.
 
 Edge cases: a null text has no words; texts without words have fingerprint zero and
 link like any other; a text of fewer words than a shingle is one shingle; repeated
@@ -50,7 +52,11 @@ COUNTED = 65_536
 BINS, KEYS = 256, 8
 #: Members of a candidate group, and rows of small groups, that meet in one task.
 GROUP_SIZE, GROUP_ROWS = 4_000, 4_000
-#: How far a sketch's estimate may fall below the similarity: its standard error with BINS bins is 0.025.
+#: Members of a rough component that meet in one task, by number and by characters of text.
+EXACT_SIZE, EXACT_CHARS = 1_000, 8_000_000
+#: Standard errors by which a sketch's estimate may fall below the similarity before a pair is no candidate (a chance of 0.0000003).
+ERRORS = 5
+#: Slack of links that sketches alone decide, as in ``test_pipeline``; no link is made so.
 SLACK = 0.02
 _MIX = np.array(
     [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53],
@@ -307,8 +313,14 @@ def linked_by(verifier: Callable[[pa.Table], Callable[[int, np.ndarray], np.ndar
     return linked
 
 
+def may_be_alike(one: np.ndarray, others: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sketches do not rule out that sets are ``similarity`` alike; the fewer bins are filled, the less they rule out."""
+    filled = np.maximum(1, ((others > 0) | (one > 0)).sum(axis=1))
+    return estimated_similarity(one, others) >= similarity - ERRORS * np.sqrt(similarity * (1 - similarity) / filled)
+
+
 def similar_links(classes: DataFrame, similarity: float, group_size: int = GROUP_SIZE) -> DataFrame:
-    """Links (``a``, ``b``) between classes (``node``, ``sketch``, ``keys``) that share a key and are ``similarity`` alike.
+    """Candidate links (``a``, ``b``) between classes (``node``, ``sketch``, ``keys``) that share a key and whose sketches do not rule out that they are ``similarity`` alike.
 
     A key with more than ``group_size`` classes is dealt in blocks, of which every two meet in a group of their own.
     """
@@ -321,11 +333,47 @@ def similar_links(classes: DataFrame, similarity: float, group_size: int = GROUP
 
     def by_sketch(table: pa.Table) -> Callable[[int, np.ndarray], np.ndarray]:
         own = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, BINS)
-        return lambda i, others: estimated_similarity(own[i], own[others]) >= similarity - SLACK
+        return lambda i, others: may_be_alike(own[i], own[others], similarity)
 
     return dealt.groupBy("bucket").applyInArrow(linked_by(by_sketch), "a long, b long")
 
 
+def alike_sets(sets: list[np.ndarray], similarity: float) -> Callable[[int, np.ndarray], np.ndarray]:
+    """Exact verifier of non-empty sets of hashes."""
+    sizes = np.array([len(x) for x in sets])
+    names = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    own, mark = np.split(names, np.cumsum(sizes)[:-1]), np.zeros(len(names), dtype=bool)
+
+    def alike(i: int, others: np.ndarray) -> np.ndarray:
+        mark[own[i]] = True
+        starts = np.cumsum(sizes[others]) - sizes[others]
+        both = np.add.reduceat(mark[np.concatenate([own[j] for j in others.tolist()])].astype(np.int64), starts)
+        mark[own[i]] = False
+        return both >= similarity * (sizes[i] + sizes[others] - both) - 1e-9
+
+    return alike
+
+
+def exact_links(members: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """Links (``a``, ``b``) whose components are those of all pairs within a ``group`` whose shingle sets are ``similarity`` alike.
+
+    ``members`` has ``node``, ``group`` and the ``text_key`` of a text of that node, ``texts`` has ``text_key`` and ``text``, repeats included.
+    """
+    once = texts.groupBy("text_key").agg(F.first("text").alias("text"))
+    # long enough to be worth writing once: sizes decide how the groups are dealt
+    held = cut(members.join(once, "text_key").select("node", "group", "text"))
+    sizes = held.groupBy("group").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+    total = held.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    parts = F.greatest(F.ceil(F.col("n") / EXACT_SIZE), F.least(F.col("n"), F.ceil(F.col("chars") / EXACT_CHARS))).cast("int")
+    dealt = dealt_pairs(held.join(sizes, "group"), parts, "group").select("node", "text", "meeting", "home")
+    dealt = dealt.withColumn("bucket", F.pmod("meeting", F.lit(max(64, math.ceil(total / EXACT_CHARS)))))
+
+    def by_text(table: pa.Table) -> Callable[[int, np.ndarray], np.ndarray]:
+        return alike_sets([np.unique(shingle_hashes(t.as_py(), shingle)) for t in table.column("text")], similarity)
+
+    return dealt.groupBy("bucket").applyInArrow(linked_by(by_text), "a long, b long")
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(``node``, ``root``) for every node of ``edges`` (``a``, ``b``), the root being the least node of its component.
 
@@ -358,17 +406,21 @@ SALTS = 16
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2, similarity: float | None = None, shard_size: int = SHARD_SIZE, sample_size: int = SAMPLE_SIZE) -> DataFrame:
     """One row for each document: its id, ``fingerprint`` (16 hexadecimal digits) and ``component_id``, the least id that it reaches.
 
-    Fingerprints link within ``radius``.  With a ``similarity`` of shingle sets, texts
-    link if their sketches show it, whatever their fingerprints are.
+    Fingerprints link within ``radius``.  With a ``similarity`` texts link if the Jaccard
+    similarity of their sets of shingles reaches it, whatever their fingerprints are.
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     if similarity is None:
-        point, named = ["simhash"], with_fingerprints(texts, shingle=shingle).withColumn("node", F.col("simhash"))
+        rows = cut(with_fingerprints(texts, shingle=shingle).select("doc_id", F.col("simhash").alias("node"), "simhash"))
+        classes = cut(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("simhash").alias("simhash")))
+        linked = components(links(classes, radius, shard_size, sample_size))
     else:
-        point, named = ["sketch", "keys"], with_profiles(texts, shingle=shingle)
-    rows = cut(named.select("doc_id", "node", "simhash", *(c for c in point if c != "simhash")))
-    classes = cut(rows.groupBy("node").agg(F.min("doc_id").alias("least"), *(F.min(c).alias(c) for c in point)))
-    linked = components(links(classes, radius, shard_size, sample_size) if similarity is None else similar_links(classes, similarity))
+        keyed = texts.withColumn("text_key", F.xxhash64("text"))
+        rows = cut(with_profiles(keyed, shingle=shingle).select("doc_id", "node", "simhash", "sketch", "keys", "text_key"))
+        classes = cut(rows.groupBy("node").agg(F.min("doc_id").alias("least"), *(F.min(c).alias(c) for c in ("sketch", "keys", "text_key"))))
+        rough = components(similar_links(classes, similarity)).withColumnRenamed("root", "group")
+        members = classes.select("node", "text_key").join(rough, "node")
+        linked = components(exact_links(members, keyed.select("text_key", "text"), similarity, shingle))
     rooted = classes.select("node", "least").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node")).withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
     by_root = rooted.groupBy("root").agg(F.min("least").alias("component_id")).withColumn("salt", F.explode(F.array(*(F.lit(i).cast("long") for i in range(SALTS)))))
     of_class = rooted.join(by_root, ["root", "salt"]).select("node", "component_id")

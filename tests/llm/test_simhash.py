@@ -159,3 +159,29 @@ def test_repeated_lines(spark):
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
     found = simhash.near_duplicates(docs, shingle=5, radius=14, similarity=0.8)
     assert {r.doc_id: r.component_id for r in found.collect()} == {i: i % 1000 for i in texts}
+
+
+def test_links_at_the_threshold(spark):
+    """Pairs on both sides of the similarity, against the Jaccard similarity of words; blocks of any size change nothing."""
+    rng = random.Random(10)
+    texts, alike = {}, []
+    for i in range(200):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([30, 150, 600]))]
+        texts[i], texts[1000 + i] = words, edited(rng, words, max(1, round(len(words) * rng.uniform(0.01, 0.035))))
+        alike.append(jaccard(texts[i], texts[1000 + i]))
+    assert sum(0.77 < x < 0.8 for x in alike) > 15 < sum(0.8 <= x < 0.83 for x in alike)
+    chain = [f"w{rng.randrange(10**6)}" for _ in range(600)]
+    for i in range(2000, 2030):  # one rough component; every text is near the one before, few are near others
+        texts[i], chain = chain, edited(rng, chain, rng.choice([8, 12, 14]))
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    ids = list(texts)
+    shingles = [{tuple(texts[i][k : k + 5]) for k in range(len(texts[i]) - 4)} for i in ids]
+    near = lambda i, j: len(shingles[i] & shingles[j]) >= 0.8 * len(shingles[i] | shingles[j])
+    roots = plain_components([0] * len(ids), 0, near)
+    size = simhash.EXACT_SIZE
+    for simhash.EXACT_SIZE in (size, 4):
+        try:
+            got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, shingle=5, similarity=0.8).collect()}
+        finally:
+            simhash.EXACT_SIZE = size
+        assert got == {i: ids[r] for i, r in zip(ids, roots)}
