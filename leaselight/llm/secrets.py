@@ -4,8 +4,9 @@ Candidates are long runs of key characters.  Each belongs to a character class
 (hexadecimal, alphanumeric, base64); a window slides over it and keeps character
 counts up to date as one character enters and one leaves, so that the entropy of
 every window costs constant time.  Windows above their class's threshold make a
-span, unless an allow-list pattern explains the candidate or a fixed pattern has
-already found it.
+span, unless an allow-list pattern explains the candidate; what fixed patterns have
+already found is taken out of it, and the rest stays.  A filler explains only the part
+of a candidate, between separators, that holds it.
 
 Edge cases: null and empty texts have no spans; long texts are scanned whole;
 repeated rows are scanned alike; an input column named ``spans`` is replaced.
@@ -34,12 +35,14 @@ ALLOWED = (
     r"[0-9+/_=-]+",
     r"[A-Za-z+/_=-]+",
     r"(?:[A-Za-z]+[0-9]{0,4}[/_=+-]+)+[A-Za-z]*[0-9]{0,4}",
-    r".*(?:EXAMPLE|example|0123456789|abcdefghij|ABCDEFGHIJ).*",
+    r"(?P<filler>.*(?:EXAMPLE|example|0123456789|abcdefghij|ABCDEFGHIJ).*)",
 )
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 _ASSIGN_WORDS = ("password", "passwd", "secret", "token", "api")
 _ASSIGN_LEAST, _RUN_LEAST = 6, 20
+_SEPARATORS = "+/=_-"
+_FILLED = re.compile(r"[A-Za-z0-9+]*(?:EXAMPLE|example|0123456789|abcdefghij|ABCDEFGHIJ)[A-Za-z0-9+]*")
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
@@ -55,6 +58,10 @@ def character_class(value: str) -> str:
     return "alnum" if value.isalnum() else "base64"
 
 
+def mixed(value: str) -> bool:
+    return any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
+
+
 def window_spans(value: str, window: int, threshold: float) -> list[tuple[int, int]]:
     """The joined windows of ``value`` whose entropy reaches ``threshold``.
 
@@ -84,6 +91,32 @@ def window_spans(value: str, window: int, threshold: float) -> list[tuple[int, i
     return spans
 
 
+def unexplained(value: str, window: int, allowed: re.Pattern | None) -> list[tuple[int, str]]:
+    """The stretches of a candidate that the allow list does not explain, with their places.
+
+    A pattern explains the whole candidate; the one named ``filler`` only parts between separators, and the rest is judged anew.
+    """
+    why = allowed.fullmatch(value) if allowed is not None else None
+    if why is None:
+        return [(0, value)]
+    if why.lastgroup != "filler":
+        return []
+    cuts = [(0, 0), *(m.span() for m in _FILLED.finditer(value)), (len(value), len(value))]
+    rest = [(a, value[a:b]) for (_, a), (b, _) in zip(cuts, cuts[1:]) if b - a >= window]
+    return [(a, part) for a, part in rest if not allowed.fullmatch(part.strip("/=_-"))]
+
+
+def left_over(a: int, b: int, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """What of the stretch lies outside all ``spans``."""
+    for s, e, _ in sorted(spans):
+        if s < b and a < e:
+            if a < s:
+                yield a, s
+            a = max(a, e)
+    if a < b:
+        yield a, b
+
+
 def scan(text: str, window: int = WINDOW, thresholds: dict[str, float] = THRESHOLDS, allowed: re.Pattern | None = None) -> list[tuple[int, int, int]]:
     """Spans of one text as (start, end, place of the kind in KINDS), sorted by start, then kind."""
     found = []
@@ -95,13 +128,15 @@ def scan(text: str, window: int = WINDOW, thresholds: dict[str, float] = THRESHO
         a, b = run.span()
         own = [(m.start(), m.end(), kind) for kind, pattern in ((1, _ACCESS), (2, _HEX)) for m in pattern.finditer(text, a, b)]
         found += own
-        value = run[0]
-        if allowed is not None and allowed.fullmatch(value):
-            continue
-        for x, y in window_spans(value, window, thresholds[character_class(value)]):
-            part = value[x:y]
-            if any(c.isdigit() for c in part) and any(c.isalpha() for c in part) and not any(s < a + y and a + x < e for s, e, _ in own + assigned):
-                found.append((a + x, a + y, 3))
+        for at, value in unexplained(run[0], window, allowed):
+            for x, y in window_spans(value, window, thresholds[character_class(value)]):
+                if not mixed(value[x:y]):
+                    continue
+                for s, e in left_over(a + at + x, a + at + y, own + assigned):
+                    # beside a found key stays what looks like a key itself, or goes on without a separator
+                    goes_on = any(s == k[1] and text[s] not in _SEPARATORS or e == k[0] and text[e - 1] not in _SEPARATORS for k in own)
+                    if mixed(text[s:e]) or goes_on:
+                        found.append((s, e, 3))
     return sorted(found, key=lambda s: (s[0], s[2]))
 
 
