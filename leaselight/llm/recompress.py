@@ -1,11 +1,11 @@
 """Substring dedup by recompression: equal passages get equal symbols inside, whatever surrounds them.
 
-A text's words are named by their hashes.  A round of recompression first replaces
-runs of one symbol by one symbol; each later round calls every symbol left or right,
-by its name alone, and replaces each left symbol with a right one after it by the
-name of the pair.  Names are hashes of what they stand for, so that all tasks agree
-on them without exchanging a dictionary.  Inside a passage the rounds go the same
-way wherever it stands; only symbols at its edges may differ.
+A text's words are named by hashes of their bytes, eight bytes at a time.  A round of
+recompression first replaces runs of one symbol by one symbol; each later round calls
+every symbol left or right, by its name alone, and replaces each left symbol with a
+right one after it by the name of the pair.  Names are hashes of what they stand for,
+so that all tasks agree on them without exchanging a dictionary.  Inside a passage the
+rounds go the same way wherever it stands; only symbols at its edges may differ.
 
 For each window of ``window`` words the symbols are known that depend on the window
 alone.  Of these the least group of ``GROUP`` neighbours is the window's anchor, so
@@ -14,26 +14,36 @@ equal windows have equal anchors, and neighbouring windows mostly share one.
 Two exchanges settle what repeats.  In the first, anchors that occur in one document
 only are sent back to it; windows under them occur nowhere else.  The first of equal
 texts is told so, and its copies know themselves by hearing nothing.  In the second,
-the remaining windows' hashes are settled: each hash goes back to the first document that
-has it.  What neither holds back, and what a document repeats itself, is removed.
-Both are map-side combined aggregations by hash, so a passage in a third of all
-documents costs each task one row; neither a group nor its pairs are ever gathered.
+the remaining windows are settled: each goes back to the first document that has it.
+What neither holds back, and what a document repeats itself, is removed.  Both are
+map-side combined aggregations, so a passage in a third of all documents costs each
+task one row; neither a group nor its pairs are ever gathered.
+
+Anchors only reveal: two that are equal by chance cost work, never a word.  What is
+removed is verified by a digest of 128 bits: windows, and texts as wholes, are named
+pair by pair from words once more, from other names of the words (``proof``), and only
+what agrees in both counts as equal.  For 2**44 words (about 100 TB) a wrong removal
+anywhere has a chance of about 2**-40.  Repeats inside a document are compared word by word.
 
 Edge cases: null and empty texts, and texts shorter than a window, lose nothing; a
 document longer than a batch stays whole; documents are ordered by id, those without
 an id come last; among rows of the same id, and among rows without one, only what a
-row repeats itself is removed, so that repeated rows come out alike.
+row repeats itself is removed, so that repeated rows come out alike.  Rows without an
+id are told what others have, in groups of about ``NAMELESS`` rows; rows of one id
+share what their id is told.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Callable
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .arrow import map_slices
@@ -43,10 +53,17 @@ WINDOW = 20
 ROUNDS, GROUP = 3, 2
 #: Bytes of text that are parsed together.
 SLICE_BYTES = 1_500_000
+#: Bytes up to which words are hashed side by side; longer ones are hashed one by one.
+LONG_WORD = 128
+#: Rows without an id that share a list of what others have.
+NAMELESS = 64
 _LAST = 2**63 - 1
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-_BYTE_BASE, _WORD_BASE = 0x5851F42D4C957F2D, 0x2545F4914F6CDD1D
+#: Seeds of the words' names and of those that verify.
+_NAMES, _PROOFS = 0x5851F42D4C957F2D, 0x2545F4914F6CDD1D
 _BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+#: The first 0 to 8 bytes of a little-endian number.
+_HEADS = np.array([2 ** (8 * n) - 1 for n in range(9)], dtype=np.uint64)
 
 
 def mixed(z: np.ndarray) -> np.ndarray:
@@ -61,29 +78,37 @@ def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mixed(a * _GOLDEN + mixed(b + np.uint64(0x632BE59BD9B4E019)))
 
 
-#: A random-looking number for each byte.
-_BYTES = mixed((np.arange(256, dtype=np.uint64) + np.uint64(1)) * _GOLDEN)
-
-
-@functools.cache
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse, modulo 2**64; ``n`` is a power of two, so few sizes are kept."""
-    with np.errstate(over="ignore"):
-        up = np.cumprod(np.full(n, base, dtype=np.uint64)) * np.uint64(pow(base, -1, 2**64))
-        down = np.cumprod(np.full(n, pow(base, -1, 2**64), dtype=np.uint64)) * np.uint64(base)
-    return up, down
-
-
-class Spans:
-    """Hashes of any span of a sequence, by differences of one running sum."""
-
-    def __init__(self, values: np.ndarray, base: int) -> None:
-        self.up, self.down = _powers(base, 1 << max(16, len(values).bit_length()))
-        self.sums = np.zeros(len(values) + 1, dtype=np.uint64)
-        np.cumsum(values * self.up[: len(values)], out=self.sums[1:])
-
-    def hashes(self, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mixed((self.sums[end] - self.sums[first]) * self.down[first] + (end - first).astype(np.uint64))
+def word_names(data: np.ndarray, first: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
+    """A hash of each word ``data[first:end]``: eight bytes at a time, mixed with what came before."""
+    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+    eights = np.ndarray(len(data) + 1, dtype="<u8", buffer=padded, strides=(1,))  # the eight bytes from each place on
+    size = end - first
+    names = mixed(size.astype(np.uint64) * _GOLDEN + np.uint64(seed))
+    todo, at = np.arange(len(first)), first
+    long = size > LONG_WORD
+    if long.any():
+        for i in np.flatnonzero(long).tolist():
+            names[i] = xxhash.xxh3_64_intdigest(data[first[i] : end[i]].tobytes(), seed=seed)
+        todo = np.flatnonzero(~long)
+        at = first[todo]
+    left = size[todo]
+    while len(todo):
+        names[todo] = mixed((names[todo] ^ (eights[at] & _HEADS[np.minimum(left, 8)])) * _GOLDEN)
+        more = np.flatnonzero(left > 8)
+        todo, at, left = todo[more], at[more] + 8, left[more] - 8
+    return names
+
+
+def gram_names(names: np.ndarray, n: int) -> np.ndarray:
+    """A name for each ``n`` neighbours, by their start: pairs, pairs of pairs, and so on."""
+    out, done, power, size = None, 0, names, 1
+    while True:
+        if n & size:
+            out = power if out is None else paired(out[: len(power) - done], power[done:]) if len(power) > done else power[:0]
+            done += size
+        if size * 2 > n:
+            return out
+        power, size = paired(power[:-size], power[size:]) if len(power) > size else power[:0], size * 2
 
 
 class Parse:
@@ -102,23 +127,36 @@ class Parse:
         first, end = np.flatnonzero(~blank & before), np.flatnonzero(~blank & after) + 1
         self.counts = np.diff(np.searchsorted(first, ends))
         self.bounds = np.concatenate([[0], np.cumsum(self.counts)])
-        self.names = Spans(_BYTES[data], _BYTE_BASE).hashes(first, end)
-        self.sequence = Spans(mixed(self.names), _WORD_BASE)
+        self.names = word_names(data, first, end, _NAMES)
+        self.proof_names = lambda: word_names(data, first, end, _PROOFS)
         self.text_of = np.repeat(np.arange(len(texts)), self.counts)
         self.window = window
         fits = self.text_of[: max(0, len(first) - window + 1)] == self.text_of[window - 1 :]
         self.starts = np.flatnonzero(fits)
         self.owner = self.text_of[self.starts]
 
+    @functools.cached_property
+    def grams(self) -> np.ndarray:
+        return gram_names(self.names, self.window)
+
+    @functools.cached_property
+    def proofs(self) -> np.ndarray:
+        """Names of the words that do not depend on ``names``."""
+        return self.proof_names()
+
     def hashes(self, at: np.ndarray) -> np.ndarray:
         """A hash of the whole window for the windows of these places in ``starts``."""
-        first = self.starts[at]
-        return self.sequence.hashes(first, first + self.window)
+        return self.grams[self.starts[at]]
 
-    def whole(self) -> tuple[np.ndarray, np.ndarray]:
-        """The texts that have a window, and a hash of all their words."""
+    def hash_proofs(self, at: np.ndarray) -> np.ndarray:
+        """Another hash of the same windows, made from ``proofs``."""
+        return gram_names(self.proofs, self.window)[self.starts[at]]
+
+    def whole(self, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The texts that have a window, and a hash of the names of all their words."""
         texts = np.flatnonzero(self.counts >= self.window)
-        return texts, self.sequence.hashes(self.bounds[texts], self.bounds[texts + 1])
+        spans = zip(self.bounds[texts].tolist(), self.bounds[texts + 1].tolist())
+        return texts, np.fromiter((xxhash.xxh3_64_intdigest(names[a:b].tobytes()) for a, b in spans), dtype=np.uint64, count=len(texts))
 
     def anchors(self) -> np.ndarray:
         """The anchor's name for every window; windows without any inner symbol are named by their own hash."""
@@ -193,7 +231,7 @@ def records(parse: Parse) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def later_copies(parse: Parse, held: pa.Array) -> np.ndarray:
     """By text: whether all its words stand in an earlier document."""
-    texts, hashes = parse.whole()
+    texts, hashes = parse.whole(parse.names)
     out = np.zeros(len(parse.counts), dtype=bool)
     out[texts] = ~known(hashes | np.uint64(1), texts, held)
     return out
@@ -209,21 +247,40 @@ def open_windows(parse: Parse, stretches: tuple[np.ndarray, np.ndarray, np.ndarr
     return at, names[of[at]]
 
 
+def repeated(parse: Parse) -> np.ndarray:
+    """Which windows stand in the same text before, word by word."""
+    marks = of_text(parse.grams[parse.starts], parse.owner)
+    once, of = np.unique(marks, return_index=True, return_inverse=True)[1:]
+    first = once[of]
+    out = first != np.arange(len(marks))
+    at = np.flatnonzero(out)
+    for k in range(parse.window):
+        out[at] &= parse.names[parse.starts[at] + k] == parse.names[parse.starts[first[at]] + k]
+    return out
+
+
+def covered(parse: Parse, gone: np.ndarray) -> np.ndarray:
+    """Which words are in a window that is ``gone``."""
+    starts = parse.starts[gone]
+    cover = np.zeros(len(parse.names) + 1, dtype=np.int32)
+    cover[starts] += 1
+    cover[starts + parse.window] -= 1
+    return np.cumsum(cover[:-1]) > 0
+
+
 def removed(parse: Parse, held: pa.Array, firsts: pa.Array) -> np.ndarray:
     """Which words are in a window that starts earlier too."""
     copies = later_copies(parse, held)
     gone = copies[parse.owner]
     at, _ = open_windows(parse, records(parse), held, copies)
     gone[at] = ~known(parse.hashes(at), parse.owner[at], firsts)
-    once = np.unique(of_text(parse.hashes(np.arange(len(gone))), parse.owner), return_index=True)[1]
-    again = np.ones(len(gone), dtype=bool)
-    again[once] = False  # the first of a text's equal windows
-    gone |= again
-    starts = parse.starts[gone]
-    cover = np.zeros(len(parse.names) + 1, dtype=np.int32)
-    cover[starts] += 1
-    cover[starts + parse.window] -= 1
-    return np.cumsum(cover[:-1]) > 0
+    return covered(parse, gone | repeated(parse))
+
+
+def removed_nameless(parse: Parse, taken: pa.Array) -> np.ndarray:
+    """The same for texts without an id, which are told what texts with one have."""
+    every = np.arange(len(parse.starts))
+    return covered(parse, known(parse.hashes(every), parse.owner, taken) | repeated(parse))
 
 
 def _votes(keyed: DataFrame, cols: tuple[str, ...], fields: T.StructType, emit: Callable[..., list[pa.Array]]) -> DataFrame:
@@ -238,54 +295,78 @@ def _lists(values: np.ndarray, owner: np.ndarray, n: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))
 
 
+def _kept(texts: pa.Array, parse: Parse, gone: np.ndarray) -> list[pa.Array]:
+    """Number of words, of those removed, and the rest."""
+    out, lost = [], []
+    for text, a, b in zip(texts.to_pylist(), parse.bounds[:-1].tolist(), parse.bounds[1:].tolist()):
+        own, stay = (text or "").encode().split(), ~gone[a:b]
+        lost.append(b - a - int(stay.sum()))
+        out.append(b" ".join(compress(own, stay.tolist()) if lost[-1] else own).decode())
+    return [pa.array(parse.counts), pa.array(lost, pa.int64()), pa.array(out, pa.string())]
+
+
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out_col: str = "kept_text", window: int = WINDOW, drop: tuple[str, ...] = ()) -> DataFrame:
     """Add ``n_words``, ``n_removed`` and the kept words, joined by a space, to every document.
 
     ``drop`` names input columns that are not wanted further.
     """
-    keyed = docs.withColumn("__key", F.coalesce(F.col(id_col), F.lit(_LAST)))
 
     def name_votes(texts: pa.Array) -> list[pa.Array]:
         parse = Parse(texts, window)
         names, first, _ = records(parse)
         owner = parse.owner[first]
         place = np.unique(of_text(names, owner), return_index=True)[1]
-        whole, hashes = parse.whole()
+        whole, hashes = parse.whole(parse.names)
+        proofs = np.concatenate([np.zeros(len(place), dtype=np.uint64), parse.whole(parse.proofs)[1]])
         names, owner = np.concatenate([names[place], hashes | np.uint64(1)]), np.concatenate([owner[place], whole])
         order = np.argsort(owner, kind="stable")
-        return [_lists(names[order], owner[order], len(texts))]
+        return [_lists(names[order], owner[order], len(texts)), _lists(proofs[order], owner[order], len(texts))]
 
-    def window_votes(texts: pa.Array, held: pa.Array, *_: pa.Array) -> list[pa.Array]:
-        parse = Parse(texts, window)
-        at, names = open_windows(parse, records(parse), held, later_copies(parse, held))
+    def listed(parse: Parse, at: np.ndarray, n: int) -> list[pa.Array]:
+        """Hash and proof of these windows, once for each text."""
         hashes = parse.hashes(at)
-        place = np.unique(of_text(hashes, parse.owner[at]), return_index=True)[1]
-        place.sort()
+        place = np.sort(np.unique(of_text(hashes, parse.owner[at]), return_index=True)[1])
         owner = parse.owner[at][place]
-        proof = _lists(names[place], owner, len(texts))
-        return [_lists(hashes[place], owner, len(texts)), pa.ListArray.from_arrays(proof.offsets, pa.array((names[place] >> np.uint64(32)).astype(np.uint32).view(np.int32)))]
+        return [_lists(hashes[place], owner, n), _lists(parse.hash_proofs(at[place]), owner, n)]
+
+    def window_votes(texts: pa.Array, held: pa.Array, *_: pa.Array) -> list[pa.Array]:
+        parse = Parse(texts, window)
+        return listed(parse, open_windows(parse, records(parse), held, later_copies(parse, held))[0], len(texts))
+
+    def all_windows(texts: pa.Array) -> list[pa.Array]:
+        parse = Parse(texts, window)
+        return listed(parse, np.arange(len(parse.starts)), len(texts))
 
     def kept(texts: pa.Array, held: pa.Array, firsts: pa.Array) -> list[pa.Array]:
         parse = Parse(texts, window)
-        stay = ~removed(parse, held, firsts)
-        out, lost = [], []
-        for text, a, b in zip(texts.to_pylist(), parse.bounds[:-1].tolist(), parse.bounds[1:].tolist()):
-            own = (text or "").encode().split()
-            mask = stay[a:b]
-            lost.append(b - a - int(mask.sum()))
-            out.append(b" ".join(compress(own, mask.tolist()) if lost[-1] else own).decode())
-        return [pa.array(parse.counts), pa.array(lost, pa.int64()), pa.array(out, pa.string())]
-
-    name, hash_, proof = T.StructField("name", T.LongType()), T.StructField("hash", T.LongType()), T.StructField("proof", T.IntegerType())
-    votes = _votes(keyed, (text_col,), T.StructType([name]), name_votes)
-    voted = votes.groupBy("name").agg(F.min("__key").alias("__key"), F.max("__key").alias("last"))
-    told = voted.where((F.col("__key") == F.col("last")) | (F.col("name").bitwiseAND(1) == 1))  # anchors that are alone, and every text's first copy
+        return _kept(texts, parse, removed(parse, held, firsts))
+
+    def kept_nameless(texts: pa.Array, taken: pa.Array) -> list[pa.Array]:
+        parse = Parse(texts, window)
+        return _kept(texts, parse, removed_nameless(parse, taken))
+
+    long = lambda name: T.StructField(name, T.LongType())
+    hashed, fields = T.StructType([long("hash"), long("proof")]), T.StructType([long("n_words"), long("n_removed"), T.StructField(out_col, T.StringType())])
+    keyed = docs.withColumn("__key", F.col(id_col))
+    named, nameless = keyed.where("__key IS NOT NULL"), keyed.where("__key IS NULL")
+    n_nameless = nameless.count()
+
+    votes = _votes(named, (text_col,), T.StructType([long("name"), long("proof")]), name_votes)
+    if n_nameless:
+        votes = votes.unionByName(_votes(nameless.withColumn("__key", F.lit(_LAST)), (text_col,), T.StructType([long("name"), long("proof")]), name_votes))
+    voted = votes.groupBy("name", "proof").agg(F.min("__key").alias("__key"), F.max("__key").alias("last"))
+    told = voted.where((F.col("__key") == F.col("last")) | (F.col("name").bitwiseAND(1) == 1)).where(F.col("__key") < _LAST)  # anchors that are alone, and every text's first copy
     held = told.groupBy("__key").agg(F.collect_list("name").alias("__held"))
-    known_docs = keyed.join(held, "__key", "left")
+    known_docs = named.join(held, "__key", "left")
     # with all columns, so that the exchange of the documents below is the one that the result needs, too
     others = tuple(c for c in docs.columns if c != text_col)
-    votes = _votes(known_docs, (text_col, "__held", *others), T.StructType([hash_, proof]), window_votes)
+    votes = _votes(known_docs, (text_col, "__held", *others), hashed, window_votes)
     first = votes.groupBy("hash", "proof").agg(F.min("__key").alias("__key"))
     firsts = first.groupBy("__key").agg(F.collect_list("hash").alias("__firsts"))
-    fields = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField(out_col, T.StringType())])
-    return map_slices(known_docs.join(firsts, "__key", "left"), (text_col, "__held", "__firsts"), fields, lambda: kept, ("__key", "__held", "__firsts", *drop), SLICE_BYTES)
+    out = map_slices(known_docs.join(firsts, "__key", "left"), (text_col, "__held", "__firsts"), fields, lambda: kept, ("__key", "__held", "__firsts", *drop), SLICE_BYTES)
+    if not n_nameless:
+        return out
+    grouped = nameless.withColumn("__key", F.pmod(F.xxhash64(text_col), F.lit(math.ceil(n_nameless / NAMELESS))))
+    taken = _votes(grouped, (text_col,), hashed, all_windows).distinct().join(first.select("hash", "proof"), ["hash", "proof"]).groupBy("__key").agg(F.collect_list("hash").alias("__taken"))
+    rest = map_slices(grouped.join(taken, "__key", "left"), (text_col, "__taken"), fields, lambda: kept_nameless, ("__key", "__taken", *drop), SLICE_BYTES)
+    return out.unionByName(rest)

@@ -70,6 +70,30 @@ def test_repeated_and_missing_ids(spark):
     check(spark, rows + rows[20:40])
 
 
+def thue_morse(n, a="a", b="b"):
+    return [b if i.bit_count() % 2 else a for i in range(n)]
+
+
+def test_words_and_texts_that_polynomials_confuse(spark):
+    """Thue-Morse sequences and their complements share any polynomial hash modulo 2**64, be they letters or words."""
+    rng = random.Random(6)
+    own = [f"w{i}" for i in range(19)]
+    u, v = "".join(thue_morse(2048)), "".join(thue_morse(2048, "b", "a"))
+    rows = [(0, " ".join([*own, u])), (1, " ".join([*own, v])), (2, " ".join(thue_morse(2048, "le", "la"))), (3, " ".join(thue_morse(2048, "la", "le")))]
+    assert [plain(rows)[i][1] for i in (0, 1)] == [0, 0]
+    for i, size in enumerate((7, 8, 9, 16, 127, 128, 129, 1024, 4096)):  # words that differ in one letter only
+        word = "".join(rng.choices("ab", k=size))
+        at = rng.randrange(size)
+        rows += [(10 + 3 * i + k, " ".join([*(f"v{i}x{j}" for j in range(19)), w])) for k, w in enumerate((word, word, word[:at] + "c" + word[at + 1 :]))]
+    check(spark, rows)
+
+
+def test_many_rows_without_an_id(spark):
+    own = texts(random.Random(7))
+    check(spark, [(None if i % 3 else i, t) for i, t in enumerate(own)] + [(None, own[0])] * 70)
+    check(spark, [(None, t) for t in own])
+
+
 def test_equal_windows_have_equal_anchors():
     rng = random.Random(4)
     parse = recompress.Parse(pa.array(texts(rng)), WINDOW)
