@@ -9,19 +9,25 @@ The as-of join works in time buckets.  Within a URL and bucket a running maximum
 looks back; a second one, over one row for each URL and bucket, brings what earlier
 buckets held.  Buckets are cut at quantiles of all dates, so a URL with a third of
 all captures is spread over a third of the buckets' tasks.  Bodies take no part in
-that join; they are fetched by record id once the base is known.
-
-Edge cases: captures are ordered by date, then record id; a response is earlier than
-a revisit only if it is strictly before it in that order, so repeated rows never
-resolve one another; null dates are never a base and never resolved (``no_date``);
-a null URL has no canonical form and is not resolved; missing headers count as none;
-record ids name responses uniquely (of rows that repeat one, any row serves).
+that join; they are fetched by record id once the base is known.  Revisits carry their
+headers through it, so each of its rows stays one row.
+
+Edge cases: captures are ordered by date, then record id (none first); a response is
+earlier than a revisit only if it is strictly before it in that order, so repeated rows
+never resolve one another; null dates are never a base and never resolved (``no_date``);
+a null URL has no canonical form and is not resolved (``no_response``); missing headers
+count as none; a revisit without a record id is resolved like any other; a response
+without one cannot be named and is never a base; of response rows that repeat a record
+id one serves (the least by date and a hash of headers and payload), so that each row of
+a revisit has one row in the result.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .scratch import cut
+
 #: Time buckets that captures are dealt over.
 BUCKETS = 64
 #: Query parameters that do not name another resource.
@@ -51,25 +57,39 @@ def strong(etag: Column) -> Column:
 
 
 def bases(records: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """For every revisit its ``record_id``, ``url`` and the latest earlier full response of that URL: ``base`` (id, etag, last_modified, date) or null."""
-    slim = records.select(
+    """Every revisit (record_id, target_uri, date, headers) with its ``url`` and the latest earlier full response of that URL: ``base`` (date, id, etag, last_modified) or null."""
+    full = (F.col("warc_type") == "response") & (F.col("status") == 200) & F.col("record_id").isNotNull()
+    revisit = F.col("warc_type") == "revisit"
+    slim = records.where(revisit | full).select(
         "record_id",
         canonical_url(F.col("target_uri")).alias("url"),
-        F.col("date"),
-        (F.col("warc_type") == "revisit").alias("revisit"),
-        F.when((F.col("warc_type") == "response") & (F.col("status") == 200), F.struct("date", "record_id", header(F.col("headers"), "etag").alias("etag"), header(F.col("headers"), "last-modified").alias("last_modified"))).alias("full"),
-    ).where(F.col("url").isNotNull() & F.col("date").isNotNull())
+        "date",
+        revisit.alias("revisit"),
+        F.when(revisit, F.col("headers")).alias("headers"),
+        F.when(full, F.struct("date", "record_id", header(F.col("headers"), "etag").alias("etag"), header(F.col("headers"), "last-modified").alias("last_modified"))).alias("full"),
+    )
+    placed = F.col("url").isNotNull() & F.col("date").isNotNull()
     seconds = F.unix_micros(F.col("date").cast("timestamp"))
-    cuts = slim.agg(F.percentile_approx(seconds, [i / buckets for i in range(1, buckets)], 10_000)).first()[0] or []
+    cuts = slim.where(placed).agg(F.percentile_approx(seconds, [i / buckets for i in range(1, buckets)], 10_000)).first()[0] or []
     bucket = F.size(F.filter(F.array(*(F.lit(c) for c in sorted(set(cuts)))), lambda c: c <= seconds)) if cuts else F.lit(0)
-    dealt = slim.withColumn("bucket", bucket)
+    dealt = slim.where(placed).withColumn("bucket", bucket)
     # the greatest (date, id) so far is the latest; map-side combined to a row for each URL and bucket
     per_bucket = dealt.groupBy("url", "bucket").agg(F.max("full").alias("latest"))
     so_far = Window.partitionBy("url").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     carried = per_bucket.select("url", "bucket", F.max("latest").over(so_far).alias("carried"))
     inside = Window.partitionBy("url", "bucket").orderBy("date", "record_id").rowsBetween(Window.unboundedPreceding, -1)
     seen = dealt.withColumn("own", F.max("full").over(inside)).where("revisit")
-    return seen.join(carried, ["url", "bucket"]).select("record_id", "url", "date", F.coalesce("own", "carried").alias("base"))
+    found = seen.join(carried, ["url", "bucket"]).select("record_id", "url", "date", "headers", F.coalesce("own", "carried").alias("base"))
+    lost = slim.where(F.col("revisit") & ~placed)
+    return found.unionByName(lost.select("record_id", "url", "date", "headers", F.lit(None).cast(found.schema["base"].dataType).alias("base")))
+
+
+def one_by_id(responses: DataFrame) -> DataFrame:
+    """One row for each ``base_id``; written out only if ids repeat, so that otherwise Spark may split the join with a hot one."""
+    if responses.groupBy("base_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return responses.drop("date")
+    first = Window.partitionBy("base_id").orderBy("date", F.xxhash64(F.map_entries("stored"), "payload"))
+    return cut(responses.withColumn("__rank", F.row_number().over(first)).where("__rank = 1").drop("__rank", "date"))
 
 
 def merged_headers(stored: Column, fresh: Column) -> Column:
@@ -90,9 +110,7 @@ def resolve(records: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """
     headers = F.coalesce(F.col("headers"), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
     records = records.withColumn("headers", headers)
-    revisits = records.where(F.col("warc_type") == "revisit").select("record_id", "target_uri", "date", "headers")
-    found = bases(records, buckets).groupBy("record_id").agg(F.max("base").alias("base"))
-    joined = revisits.join(found, "record_id", "left")
+    joined = bases(records, buckets)
     etag, modified = strong(header(F.col("headers"), "etag")), header(F.col("headers"), "last-modified")
     by_etag, by_date = etag == strong(F.col("base.etag")), modified == F.col("base.last_modified")
     outcome = (
@@ -102,6 +120,7 @@ def resolve(records: DataFrame, buckets: int = BUCKETS) -> DataFrame:
         .when(F.coalesce(by_etag, by_date), "resolved")
         .otherwise("changed")
     )
-    judged = joined.select("record_id", canonical_url(F.col("target_uri")).alias("url"), "date", "headers", outcome.alias("outcome"), F.when(outcome == "resolved", F.col("base.record_id")).alias("base_id"))
-    stored = records.where((F.col("warc_type") == "response") & (F.col("status") == 200)).select(F.col("record_id").alias("base_id"), F.col("headers").alias("stored"), "payload")
+    judged = joined.select("record_id", "url", "date", "headers", outcome.alias("outcome"), F.when(outcome == "resolved", F.col("base.record_id")).alias("base_id"))
+    responses = records.where((F.col("warc_type") == "response") & (F.col("status") == 200) & F.col("record_id").isNotNull())
+    stored = one_by_id(responses.select(F.col("record_id").alias("base_id"), "date", F.col("headers").alias("stored"), "payload"))
     return judged.join(stored, "base_id", "left").select("record_id", "url", "date", "outcome", "base_id", F.when(F.col("base_id").isNotNull(), merged_headers(F.col("stored"), F.col("headers"))).alias("headers"), "payload")

@@ -83,3 +83,23 @@ def test_empty_and_repeated(spark):
     revisits = [r for r in rows if r[1] == "revisit"]
     twice = spark.createDataFrame(rows + revisits, SCHEMA)
     assert warc.resolve(twice).count() == 2 * len(revisits)
+
+
+def test_repeated_responses(spark):
+    """However often rows repeat, each row of a revisit has one row in the result."""
+    rows = captures(random.Random(7), 200)
+    want = plain(rows)
+    thrice = spark.createDataFrame(rows * 3, SCHEMA).repartition(4)
+    got = warc.resolve(thrice).collect()
+    assert len(got) == 3 * len(want)
+    assert all((r.outcome, r.base_id, r.headers, r.payload) == want[r.record_id] for r in got)
+    other = [(*r[:6], "another body", r[7]) for r in rows if r[1] == "response"]  # the same ids with other contents
+    assert len(warc.resolve(spark.createDataFrame(rows + other, SCHEMA)).collect()) == len(want)
+
+
+def test_rows_without_an_id(spark):
+    at = lambda s: datetime.datetime(2024, 1, 1, 0, 0, s)
+    tag = {"etag": '"1"'}
+    rows = [("a", "response", "http://a.org/x", at(1), 200, tag, "body", None), (None, "response", "http://a.org/x", at(2), 200, tag, "nameless", None), (None, "revisit", "http://a.org/x", at(3), 304, tag, None, None), (None, "revisit", "http://a.org/x", at(3), 304, tag, None, None), (None, "revisit", None, at(3), 304, tag, None, None), (None, "revisit", "http://a.org/x", None, 304, tag, None, None)]
+    got = sorted((r.outcome, r.base_id or "", r.payload or "") for r in warc.resolve(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == [("no_date", "", ""), ("no_response", "", ""), ("resolved", "a", "body"), ("resolved", "a", "body")]
