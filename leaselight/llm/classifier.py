@@ -7,12 +7,13 @@ left after compression, and its length give a calibrated score by logistic regre
 
 Fitting takes a bounded sample on the driver: at most ``PER_CLASS`` texts of each
 class, none over ``FIT_CHARS`` characters, and ``CALIBRATION`` feature rows; scoring
-runs over all whole texts.
+runs over all whole texts.  The sample is taken from labels that have such a text.
 
 Edge cases: a null or empty text is scored like an empty block; labels without a
-document, null labels and repeated rows do no harm (conflicting labels of one id:
-the lowest); without labels of both classes every score is 0.5; an input column
-named ``score`` is replaced.
+document, however many, and null labels do no harm; an id with several labels has the
+lowest, one with several texts the one of least hash; without usable texts of both
+classes in both halves of the sample every score is 0.5; an input column named
+``score`` is replaced.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .arrow import text_slices, with_struct
+from .scratch import cut
 
 PER_CLASS, FIT_CHARS, CALIBRATION = 800, 20_000, 4_000
 DICTIONARY_BYTES, BLOCK_BYTES, FIT_BLOCKS = 110_000, 512, 16_000
@@ -94,18 +96,23 @@ def calibrate(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3) -> tuple[np.n
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """Build dictionaries and calibration from labelled documents; ``labels`` holds only rows that may be learnt from."""
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.min(label_col).cast("int").alias("__label"))
-    known = known.withColumn("__order", F.xxhash64("__id"))
-    even = F.pmod("__order", F.lit(2)) == 0
-    first = functools.reduce(DataFrame.union, (known.where(even & (F.col("__label") == c)).orderBy("__order", "__id").limit(PER_CLASS) for c in (0, 1)))
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).where(F.length("__text") <= FIT_CHARS)
-    # the broadcast sides are bounded by PER_CLASS and CALIBRATION
-    rows = sorted(texts.join(F.broadcast(first), "__id").select("__order", "__label", "__text").collect())
+    usable = cut(known.join(texts.select("__id").distinct(), "__id", "left_semi").withColumn("__order", F.xxhash64("__id")))
+    even = F.pmod("__order", F.lit(2)) == 0
+    first = functools.reduce(DataFrame.union, (usable.where(even & (F.col("__label") == c)).orderBy("__order", "__id").limit(PER_CLASS) for c in (0, 1)))
+
+    def one_text(chosen: DataFrame) -> DataFrame:
+        """The bounded ``chosen`` labels, each with one text."""
+        met = texts.join(F.broadcast(chosen), "__id")
+        return met.groupBy("__id", "__order", "__label").agg(F.min_by("__text", F.xxhash64("__text")).alias("__text"))
+
+    rows = sorted(one_text(first).select("__order", "__label", "__text").collect())  # 2 * PER_CLASS rows at most
     good, bad = ([r["__text"] for r in rows if r["__label"] == c] for c in (1, 0))
     if not good or not bad:
         return Model(b"", b"")
     model = Model(dictionary(good), dictionary(bad))
-    rest = known.where(~even).orderBy("__order", "__id").limit(CALIBRATION)
-    measured = sorted(with_features(texts.join(F.broadcast(rest), "__id"), model, "__text").select("__order", "__label", *FEATURES).collect())
+    rest = usable.where(~even).orderBy("__order", "__id").limit(CALIBRATION)
+    measured = sorted(with_features(one_text(rest), model, "__text").select("__order", "__label", *FEATURES).collect())
     y = np.array([r["__label"] for r in measured], dtype=float)
     if len(set(y.tolist())) < 2:
         return Model(b"", b"")

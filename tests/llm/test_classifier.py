@@ -1,9 +1,11 @@
 """The compression classifier: blocks, fitting on marked text, and held-out accuracy."""
 
+import math
 import random
 from pathlib import Path
 
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from leaselight.llm import classifier, queries
@@ -41,6 +43,37 @@ def test_nothing_to_learn_from(spark):
     assert classifier.score(docs.where(F.lit(False)), model).count() == 0
 
 
+def test_labels_without_documents_and_repeated_ids(spark):
+    rows = corpus(random.Random(3), 300)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] * 3 + [(0, "another text")] * 500, "doc_id long, text string")
+    own = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int")
+    strangers = spark.range(10_000, 310_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    model = classifier.fit(docs, own.union(strangers))
+    assert model == classifier.fit(docs.distinct(), own) and model.good and model.bad
+
+
+def test_one_class_with_long_texts_only(spark):
+    rows = [(i, t if y else "bad " * 6000) for i, t, y in corpus(random.Random(4), 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.select("doc_id", (F.length("text") < 20_000).cast("int").alias("quality"))
+    assert {r.score for r in classifier.score(docs, classifier.fit(docs, labels)).collect()} == {0.5}
+
+
+def test_scores_against_plain_compression(spark):
+    """Every score once more, block by block, from what the model holds."""
+    rows = corpus(random.Random(5), 250) + [(900, None, 1), (901, "", 0), (902, "river stone é " * 4000, 1)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    model = classifier.fit(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int"))
+    packed = lambda data, content: sum(len(zstandard.ZstdCompressor(level=1, dict_data=zstandard.ZstdCompressionDict(content), write_content_size=False, write_checksum=False, write_dict_id=False).compress(data[i : i + 512])) for i in range(0, max(1, len(data)), 512))
+    texts = {i: (t or "").encode() for i, t, _ in rows}
+    for r in classifier.score(docs, model).collect():
+        data = texts[r.doc_id]
+        good, bad = packed(data, model.good), packed(data, model.bad)
+        x = ((bad - good) / (bad + good), (bad + good) / 2 / (len(data) + 8), math.log1p(len(data)))
+        total = model.intercept + sum((v - m) / s * w for v, m, s, w in zip(x, model.mean, model.scale, model.weights))
+        assert r.score == pytest.approx(1 / (1 + math.exp(-total)), abs=1e-9)
+
+
 def test_blocks_cover_whole_texts():
     text = "é" * 10_000
     assert b"".join(classifier.blocks(text)).decode() == text and classifier.blocks("") == [b""]
