@@ -83,3 +83,25 @@ def with_struct(df: DataFrame, value: Column, fields: T.StructType, rename: dict
     keep = [f"`{c.replace('`', '``')}`" for c in df.columns if c.lower() not in taken]
     hidden = "__struct_of_" + "_".join(names)
     return df.select(*keep, value.alias(hidden)).select(*keep, *(F.col(hidden)[k].alias(v) for k, v in names.items()))
+
+
+def replaced(text: Column, spans: Column, by: str) -> Column:
+    """``text`` with every stretch that ``spans`` (structs of two places in code points, by start) cover replaced by ``by``, overlapping ones as one.
+
+    Pieces are cut once from left to right, so a long text with many spans costs its length.
+    """
+
+    @F.arrow_udf(T.StringType())
+    def cut_out(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, rows in batches:
+            out = []
+            for text, row in zip(texts, rows):
+                own, at, pieces = text.as_py(), 0, []
+                for a, b in sorted(tuple(s.values())[-2:] for s in row.as_py() or []) if own else []:
+                    if a >= at:
+                        pieces += [own[at:a], by]
+                    at = max(at, b)
+                out.append("".join([*pieces, own[at:]]) if pieces else own)
+            yield pa.array(out, pa.string())
+
+    return cut_out(text, spans)

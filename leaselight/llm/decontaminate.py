@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .arrow import text_slices, with_struct
+from .arrow import replaced, text_slices, with_struct
 from .scratch import cut
 
 #: Largest benchmark text, in bytes, whose windows are broadcast.
@@ -184,13 +184,7 @@ def _find_by_join(docs: DataFrame, items: DataFrame, text_col: str, n: int) -> D
 
 def remove_spans(found: DataFrame, text_col: str = "text", out_col: str = "text") -> DataFrame:
     """Replace each span that ``find`` reported by one space; other texts stay as they are."""
-    kept = F.aggregate(
-        "spans",
-        F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
-        lambda acc, s: F.struct(F.concat(acc["out"], F.substr(F.col(text_col), acc["at"] + 1, s["begin"] - acc["at"]), F.lit(" ")).alias("out"), s["end"].alias("at")),
-        lambda acc: F.concat(acc["out"], F.substr(F.col(text_col), acc["at"] + 1)),
-    )
-    return found.withColumn(out_col, F.when(F.size("spans") > 0, kept).otherwise(F.col(text_col)))
+    return found.withColumn(out_col, F.when(F.size("spans") > 0, replaced(F.col(text_col), F.col("spans"), " ")).otherwise(F.col(text_col)))
 
 
 def drop_documents(found: DataFrame, least_hit: int = 1) -> DataFrame:

@@ -14,6 +14,7 @@ repeated rows are scanned alike; an input column named ``spans`` is replaced.
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections.abc import Iterator
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .arrow import text_slices, with_struct
+from .arrow import replaced, text_slices, with_struct
 
 #: Kinds in the order in which spans of one start are listed; ``entropy`` is what the windows add.
 KINDS = ("assign", "access", "hex", "entropy")
@@ -106,35 +107,49 @@ def unexplained(value: str, window: int, allowed: re.Pattern | None) -> list[tup
     return [(a, part) for a, part in rest if not allowed.fullmatch(part.strip("/=_-"))]
 
 
-def left_over(a: int, b: int, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
-    """What of the stretch lies outside all ``spans``."""
-    for s, e, _ in sorted(spans):
-        if s < b and a < e:
-            if a < s:
-                yield a, s
-            a = max(a, e)
-    if a < b:
-        yield a, b
+class Found:
+    """What fixed patterns have found: joined stretches, in order, to be taken out of others."""
+
+    def __init__(self, spans: list[tuple[int, int, int]]) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b, _ in sorted(spans):
+            if self.ends and a <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def left_over(self, a: int, b: int) -> Iterator[tuple[int, int]]:
+        """What of the stretch lies outside."""
+        for i in range(bisect.bisect_right(self.ends, a), len(self.starts)):
+            if self.starts[i] >= b:
+                break
+            if a < self.starts[i]:
+                yield a, self.starts[i]
+            a = self.ends[i]
+        if a < b:
+            yield a, b
 
 
 def scan(text: str, window: int = WINDOW, thresholds: dict[str, float] = THRESHOLDS, allowed: re.Pattern | None = None) -> list[tuple[int, int, int]]:
-    """Spans of one text as (start, end, place of the kind in KINDS), sorted by start, then kind."""
-    found = []
+    """Spans of one text as (start, end, place of the kind in KINDS), sorted by start, then kind; the work grows with the text's length."""
+    assigned, keys = [], []
     low = text.lower()
     if any(w in low for w in _ASSIGN_WORDS):
-        found += [(m.start(), m.end(), 0) for m in _ASSIGN.finditer(text) if len(m[2]) >= _ASSIGN_LEAST]
-    assigned = found.copy()
-    for run in _RUN.finditer(text):  # what the other kinds match lies inside such a run
-        a, b = run.span()
-        own = [(m.start(), m.end(), kind) for kind, pattern in ((1, _ACCESS), (2, _HEX)) for m in pattern.finditer(text, a, b)]
-        found += own
-        for at, value in unexplained(run[0], window, allowed):
+        assigned = [(m.start(), m.end(), 0) for m in _ASSIGN.finditer(text) if len(m[2]) >= _ASSIGN_LEAST]
+    runs = [run.span() for run in _RUN.finditer(text)]  # what the other kinds match lies inside such a run
+    for a, b in runs:
+        keys += [(m.start(), m.end(), kind) for kind, pattern in ((1, _ACCESS), (2, _HEX)) for m in pattern.finditer(text, a, b)]
+    known, starts, ends, found = Found(assigned + keys), {k[0] for k in keys}, {k[1] for k in keys}, assigned + keys
+    for a, b in runs:
+        for at, value in unexplained(text[a:b], window, allowed):
             for x, y in window_spans(value, window, thresholds[character_class(value)]):
                 if not mixed(value[x:y]):
                     continue
-                for s, e in left_over(a + at + x, a + at + y, own + assigned):
+                for s, e in known.left_over(a + at + x, a + at + y):
                     # beside a found key stays what looks like a key itself, or goes on without a separator
-                    goes_on = any(s == k[1] and text[s] not in _SEPARATORS or e == k[0] and text[e - 1] not in _SEPARATORS for k in own)
+                    goes_on = s in ends and text[s] not in _SEPARATORS or e in starts and text[e - 1] not in _SEPARATORS
                     if mixed(text[s:e]) or goes_on:
                         found.append((s, e, 3))
     return sorted(found, key=lambda s: (s[0], s[2]))
@@ -156,13 +171,4 @@ def find(df: DataFrame, text_col: str = "text", window: int = WINDOW, thresholds
 
 def redact(found: DataFrame, text_col: str = "text", out_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
     """Replace each stretch that spans cover (overlapping ones as one) by ``mask``."""
-    masked = F.aggregate(
-        "spans",
-        F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
-        lambda acc, s: F.struct(
-            F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.substr(F.col(text_col), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))).alias("out"),
-            F.greatest(acc["at"], s["end"]).alias("at"),
-        ),
-        lambda acc: F.concat(acc["out"], F.substr(F.col(text_col), acc["at"] + 1)),
-    )
-    return found.withColumn(out_col, F.when(F.size("spans") > 0, masked).otherwise(F.col(text_col)))
+    return found.withColumn(out_col, F.when(F.size("spans") > 0, replaced(F.col(text_col), F.col("spans"), mask)).otherwise(F.col(text_col)))
