@@ -7,17 +7,17 @@ an elastic-net penalty, which leaves most of them zero; a temperature, fitted on
 sample rows that training has not seen, makes the probabilities honest.
 
 The sample holds at most ``PER_LANGUAGE`` documents of each language, as feature
-counts, so its size on the driver does not depend on the texts' length.
+counts, so its size on the driver does not depend on the texts' length; like the model
+it grows with the number of languages (``DIM`` weights each), not with the documents.
 
-Edge cases: a null text, or one without any letter, is ``und`` with score 0, and so
-is every text if there is nothing to learn from; long texts count whole; ties go to
+Edge cases: a null text, or one without any letter (numerals such as a half are none),
+is ``und`` with score 0, and so is every text if there is nothing to learn from; long texts count whole; ties go to
 the language that sorts first; repeated rows and extra columns do no harm, a column
 named like an output column is replaced.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,12 +33,16 @@ SIZES = (1, 2, 3)
 PER_LANGUAGE, CALIBRATION_SHARE = 500, 5
 ALPHA, BETA, L1, L2, EPOCHS = 0.3, 1.0, 0.02, 0.01, 4
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 
 GUESS = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 _COUNTS = T.StructType([T.StructField("at", T.ArrayType(T.ShortType())), T.StructField("n", T.ArrayType(T.IntegerType()))])
 
 
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter (Unicode category L); numerals such as a half or a superscript are none."""
+    return any(map(str.isalpha, text))
+
+
 def counts(text: str) -> np.ndarray:
     """How often each hashed n-gram occurs."""
     codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
@@ -71,7 +75,7 @@ class Model:
         return p / p.sum()
 
     def guess(self, text: str) -> tuple[str, float]:
-        if not self.languages or not _LETTER.search(text):
+        if not self.languages or not has_letter(text):
             return UNKNOWN, 0.0
         n = counts(text)
         at = np.flatnonzero(n)

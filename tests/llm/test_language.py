@@ -1,6 +1,8 @@
 """Language identification: features, training, edge cases, and held-out accuracy."""
 
+import math
 import random
+import unicodedata
 from collections import Counter
 from pathlib import Path
 
@@ -48,14 +50,41 @@ def test_fit_and_identify(spark):
     again = language.fit(df.where("doc_id < 200").repartition(3))
     assert model.languages == ("de", "en", "fr") and np.allclose(model.weights, again.weights)
     assert 0 < (model.weights != 0).mean() < 0.5  # the penalty leaves most weights zero
-    odd = spark.createDataFrame([(1000, None, None, "x"), (1001, "", None, "x"), (1002, "12 + 3 = 15 !", None, "x"), (None, "où très", "fr", "x")], df.schema)
+    odd = spark.createDataFrame([(1000, None, None, "x"), (1001, "", None, "x"), (1002, "12 + 3 = 15 !", None, "x"), (1003, "½ ² ① Ⅷ 々".replace("々", "") + "_", None, "x"), (None, "où très", "fr", "x")], df.schema)
     out = language.identify(df.union(odd), model).collect()
     got = {r.doc_id: (r.lang_pred, r.score) for r in out}
     assert all(got[i][0] == lang for i, _, lang in own if i >= 200)
-    assert got[1000] == got[1001] == got[1002] == ("und", 0.0) and got[None][0] == "fr"
+    assert got[1000] == got[1001] == got[1002] == got[1003] == ("und", 0.0) and got[None][0] == "fr"
     assert all(0 <= s <= 1 for _, s in got.values())
 
 
+def plain_guess(model, text):
+    """Features and probabilities once more, n-gram by n-gram."""
+    if not any(unicodedata.category(c).startswith("L") for c in text or ""):
+        return "und", 0.0
+    low, found = text.lower(), Counter()
+    for size in (1, 2, 3):
+        for i in range(len(low) - size + 1):
+            value = 0
+            for k in range(size):
+                value = (value * 0x9E3779B97F4A7C15 + ord(low[i + k]) + k + 1) % 2**64
+            found[((value ^ value >> 31) * 0xBF58476D1CE4E5B9 % 2**64) >> (64 - language.BITS)] += 1
+    x = {f: math.log(1 + n) * model.idf[f] for f, n in found.items()}
+    norm = math.sqrt(sum(v * v for v in x.values()))
+    logits = [(sum(v / norm * model.weights[f][k] for f, v in x.items()) + model.bias[k]) / model.temperature for k in range(len(model.languages))]
+    p = [math.exp(v - max(logits)) for v in logits]
+    return model.languages[p.index(max(p))], max(p) / sum(p)
+
+
+def test_guesses_against_plain_loops(spark):
+    own = rows(random.Random(5), 120) + [(500, "Ünïcode ½ 日本語 text", "en"), (501, "²", "en"), (502, "a", "de"), (503, None, "fr"), (504, "der " * 3000, "de")]
+    df = spark.createDataFrame(own, "doc_id long, text string, lang string")
+    model = language.fit(df.where("doc_id % 5 <> 0"))
+    for r in language.identify(df, model).collect():
+        lang, score = plain_guess(model, r.text)
+        assert r.lang_pred == lang and r.score == pytest.approx(score, abs=1e-9), r.text
+
+
 def test_nothing_to_learn_from(spark):
     df = spark.createDataFrame([(1, "words", None)], "doc_id long, text string, lang string")
     model = language.fit(df)
