@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import spec
+from . import comparables
 from .derive import clamp, mgmt_fee_estimate
 
 _KEYS = {"structure": ["prefecture", "municipality", "layout_type", "building_structure"], "municipality": ["prefecture", "municipality", "layout_type"], "prefecture": ["prefecture", "layout_type"]}
@@ -65,7 +66,7 @@ def match(subjects: DataFrame, index: DataFrame, hedonic: bool = True, multiplie
 
 def with_fee_estimate(matched: DataFrame) -> DataFrame:
     """Make rent-only medians comparable to monthly totals; live figures already are."""
-    live = F.col("matched_level").isin(spec.LIVE_LEVELS)
+    live = F.col("matched_level").isin(comparables.live_levels())
     fee = F.when(live, F.lit(0)).otherwise(mgmt_fee_estimate(F.col("benchmark_yen"), F.col("mgmt_fee_yen"))).cast("bigint")
     return matched.withColumn("benchmark_mgmt_fee_yen", fee).withColumn("benchmark_total_yen", F.col("benchmark_yen") + F.col("benchmark_mgmt_fee_yen"))
 

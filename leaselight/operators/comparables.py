@@ -2,8 +2,13 @@
 
 At each step a subject asks for limits, not for its own values.  Subjects with the
 same limits in the same place get the same answer, so limits are joined to offers
-once for each profile, not once for each subject.  All ladders are monotone: what
-passes a step passes every later one.
+once for each profile, not once for each subject.
+
+Steps are taken one after the other, and a subject that has found enough leaves the
+ladder.  A step is joined by all that it asks to be equal, and by classes of area, so
+what it meets grows with what it finds.  Those still on the ladder have found less than
+enough one step before, and those who leave early ask so much that they share profiles
+when offers get dense: the pairs grow with the offers, not with their product.
 """
 
 from __future__ import annotations
@@ -13,6 +18,8 @@ import functools
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import spec
+from ..scratch import cut
+from ..functions import text
 
 STEPS = 4
 #: Bucket limits of walking minutes and building ages.
@@ -96,13 +103,13 @@ def _meets(limit: Column, condition: Column) -> Column:
     return limit.isNull() | F.coalesce(condition, F.lit(False))
 
 
-def conditions(w: Column) -> list[tuple[str, Column]]:
+def conditions(w: Column, dialect: str = "lines") -> list[tuple[str, Column]]:
     """What an offer must meet, in the order in which it is checked; a missing building type passes."""
     return [
         ("area", _meets(w["area_low"], F.col("area_sqm").between(w["area_low"], w["area_high"]))),
         ("age", _meets(w["age_max"], F.col("building_age_years") <= w["age_max"])),
         ("walk", _meets(w["walk_high"], (F.col("walk_min") <= w["walk_high"]) & (w["walk_low"].isNull() | (F.col("walk_min") >= w["walk_low"])))),
-        ("station", _meets(w["station"], F.contains(F.col("station_name"), w["station"]) | F.contains(w["station"], F.col("station_name")))),
+        ("station", _meets(w["station"], text.similar_station(F.col("station_name"), w["station"]) if dialect == "cassette" else F.contains(F.col("station_name"), w["station"]) | F.contains(w["station"], F.col("station_name")))),
         ("building_type", w["building_type"].isNull() | F.col("building_type").isNull() | (F.col("building_type") == w["building_type"])),
         ("orientation", _meets(w["orientation"], F.col("orientation") == w["orientation"])),
         ("structure", _meets(w["structure"], F.col("building_structure") == w["structure"])),
@@ -110,8 +117,9 @@ def conditions(w: Column) -> list[tuple[str, Column]]:
     ]
 
 
-def passes(w: Column) -> Column:
-    return functools.reduce(Column.__and__, (c for _, c in conditions(w)))
+def _passes(w: Column, dialect: str) -> Column:
+    """All conditions but that on stations, which the join by pairs of names has settled."""
+    return functools.reduce(Column.__and__, (c for name, c in conditions(w, dialect) if name != "station"))
 
 
 def needs_enrichment(w: Column) -> Column:
@@ -120,49 +128,78 @@ def needs_enrichment(w: Column) -> Column:
     return F.array_compact(F.array(*(F.when(w[k].isNotNull() & F.col(c).isNull(), c) for k, c in lacks.items())))
 
 
-def reject_reason(w: Column) -> Column:
+def reject_reason(w: Column, dialect: str = "lines") -> Column:
     """The first condition that fails; null if none."""
     chain = F
-    for name, condition in conditions(w):
+    for name, condition in conditions(w, dialect):
         chain = chain.when(~condition, name)
     return chain
 
 
 PLACE = ["prefecture", "municipality", "layout_type"]
-#: 96 bits that name a place and what is asked there.
+#: 128 bits that name a place and what is asked there; for 10**12 profiles two share a name with a chance of 10**-15.
 PROFILE = ["profile", "profile_2"]
+#: Conditions that ask for a value, and the column of an offer that has it.
+EQUAL = {"orientation": "orientation", "structure": "building_structure", "bath": "bathroom_toilet_separate"}
+#: Square metres of a class of area.
+AREA_CLASS = 5
+ANY = "*"
 
 
-def asked(subjects: DataFrame, dialect: str, skip: tuple[str, ...] = ()) -> DataFrame:
-    """One row for each subject and step: the place, what is asked there as ``want``, and a short name for both (``PROFILE``)."""
-    usable = subjects.withColumns({c: F.lit(None).cast("string") for c in skip})
+def asked(subjects: DataFrame, dialect: str, step: int) -> DataFrame:
+    """``subjects`` with what they ask for at a step as ``want``, and a short name for that and the place (``PROFILE``)."""
     absent = functools.reduce(Column.__add__, (F.col(f"want.{c}").isNull().cast("int") * 2**i for i, c in enumerate(WANTED)))  # hashes pass over nulls
-    steps = F.explode(F.array(*(F.struct(F.lit(k).alias("step"), wanted(dialect, k).alias("want")) for k in range(STEPS))))
-    return usable.withColumn("layout_type", F.upper("layout_type")).select("listing_id", *PLACE, steps.alias("s")).select("listing_id", *PLACE, "s.*").withColumns({"profile": F.xxhash64(*PLACE, "want", absent), "profile_2": F.hash(absent, *PLACE, "want")})
+    named = subjects.withColumn("want", wanted(dialect, step))
+    return named.withColumns({"profile": F.xxhash64(*PLACE, "want", absent), "profile_2": F.xxhash64(F.lit("second"), absent, *PLACE, "want")})
+
 
+def _name(dialect: str, column: str) -> Column:
+    """What of a station's name is compared: one dialect knows variants of writing."""
+    return text.station(F.col(column)) if dialect == "cassette" else F.col(column)
 
-def contained_pairs(wanted_names: DataFrame, offered_names: DataFrame) -> DataFrame:
+
+def contained_pairs(wanted_names: DataFrame, offered_names: DataFrame, dialect: str = "lines") -> DataFrame:
     """Pairs (``station``, ``station_name``) of distinct names of which either contains the other.
 
-    Every name is joined by equality to the other side's substrings; names are short,
-    and there are as many as stations, however many offers.
+    Every name is joined by equality to the other side's substrings of those lengths that names have, so a long
+    name costs its length times their number; there are as many names as stations, however many offers.
     """
-    parts = lambda c: F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.transform(F.sequence(F.lit(1), F.length(c) - i + 1), lambda n: F.substr(c, i, n)))))
-    own = wanted_names.where("station <> ''").distinct()
-    others = offered_names.where("station_name <> ''").distinct()
-    inside = own.select("station", F.explode(parts(F.col("station"))).alias("station_name")).join(others, "station_name").select("station", "station_name")
-    around = others.select("station_name", F.explode(parts(F.col("station_name"))).alias("station")).join(own, "station").select("station", "station_name")
+    own = wanted_names.select("station", _name(dialect, "station").alias("own")).where("own <> ''").distinct()
+    others = offered_names.select("station_name", _name(dialect, "station_name").alias("other")).where("other <> ''").distinct()
+    sizes = [r[0] for r in own.select(F.length("own")).union(others.select(F.length("other"))).distinct().collect()]  # at most as many as the longest name has characters
+    lengths = F.array(*map(F.lit, sorted(sizes))).cast("array<int>")
+    parts = lambda c: F.array_distinct(F.flatten(F.transform(F.filter(lengths, lambda n: n <= F.length(c)), lambda n: F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substr(c, i, n)))))
+    inside = own.select("station", F.explode(parts(F.col("own"))).alias("other")).join(others, "other").select("station", "station_name")
+    around = others.select("station_name", F.explode(parts(F.col("other"))).alias("own")).join(own, "own").select("station", "station_name")
     return inside.union(around).distinct()
 
 
-def profile_offers(profiles: DataFrame, offers: DataFrame) -> DataFrame:
-    """Offers of the place of each profile (``PLACE``, ``want``), by station too where one is asked for; not filtered yet."""
+def candidates(profiles: DataFrame, offers: DataFrame, pairs: DataFrame, dialect: str, step: int) -> DataFrame:
+    """Offers that have all that a profile (``PROFILE``, ``PLACE``, ``want``) asks to be equal, and an area of a class that it reaches; not filtered yet."""
+    active = {k for k, last in LADDERS[dialect].items() if step <= last}
+    parts = [k for k in EQUAL if k in active]
+    # an offer stands under its value and, if any profile does not care, under ANY
+    free = profiles.agg(*(F.coalesce(F.bool_or(F.col(f"want.{k}").isNull()), F.lit(False)).alias(k) for k in parts)).first() if parts else {}
+    value = lambda c: F.coalesce(c.cast("string"), F.lit(ANY))
     of = offers.withColumn("layout_type", F.upper("layout_type"))
-    named = profiles.where("want.station IS NOT NULL").withColumn("station", F.col("want.station"))
-    pairs = contained_pairs(named.select("station"), of.select("station_name"))
-    by_station = named.join(pairs, "station").drop("station").join(of, [*PLACE, "station_name"])
-    anywhere = profiles.where("want.station IS NULL").join(of, PLACE)
-    return by_station.unionByName(anywhere)
+    own = profiles
+    keys = [*PLACE]
+    for k in parts:
+        own = own.withColumn(f"__{k}", value(F.col(f"want.{k}")))
+        options = F.array(value(F.col(EQUAL[k])), F.lit(ANY)) if free[k] else F.array(value(F.col(EQUAL[k])))
+        of = of.withColumn(f"__{k}", F.explode(F.array_distinct(options)))
+        keys.append(f"__{k}")
+    if "area" in active:
+        low, high = (F.floor(F.col(f"want.{k}") / AREA_CLASS) for k in ("area_low", "area_high"))
+        own = own.withColumn("__area", F.explode(F.when(low.isNotNull(), F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))))
+        of = of.withColumn("__area", F.floor(F.col("area_sqm") / AREA_CLASS))
+        keys.append("__area")
+    hidden = [k for k in keys if k.startswith("__")]
+    if "station" not in active:
+        return own.join(of, keys).drop(*hidden)
+    by_station = own.join(pairs.withColumnRenamed("station", "__station"), F.col("want.station") == F.col("__station")).drop("__station").join(of, [*keys, "station_name"])
+    anywhere = own.where("want.station IS NULL").join(of, keys)
+    return by_station.unionByName(anywhere).drop(*hidden)
 
 
 _OFFER_KEY = ["rent_yen", "admin_fee_yen", "area_sqm", "layout_type"]
@@ -188,49 +225,81 @@ def confidence(n: Column, step: Column) -> Column:
     return F.when(n < 2, "none").when(step == 0, F.when(n >= 3, "high").otherwise("mid")).when(step == 1, F.when(n >= 3, "mid").otherwise("low")).otherwise("low")
 
 
-def live_benchmark(subjects: DataFrame, offers: DataFrame, dialect: str, least: int = 2, skip: tuple[str, ...] = ()) -> DataFrame:
-    """One row for each subject with any match: chosen step, n, robust figure of monthly totals and of rents, confidence.
+def live_levels() -> list[str]:
+    """Names of all levels that comparable offers may give: met at once, or by relaxed conditions."""
+    return [f"{kind}_{dialect}" for dialect in LADDERS for kind in ("live", "relaxed")]
+
 
-    The chosen step is the first with ``least`` distinct offers, else the last with any.
-    Subjects that ask for the same in the same place share a profile, and only
-    profiles meet offers: their number is bounded by places and bucket limits.
-    ``skip`` names subject columns that are not asked for.
+def live_benchmark(subjects: DataFrame, offers: DataFrame, dialect: str, least: int = 2, skip: tuple[str, ...] = (), details: DataFrame | None = None, budget: int | None = None, stop_pages: bool = False) -> DataFrame:
+    """One row for each subject: chosen step, n, robust figure of monthly totals and of rents, confidence, level.
+
+    The chosen step is the first with ``least`` distinct offers, else the last with any;
+    a subject without any has n = 0, no figures and the confidence and level ``none``.
+    ``skip`` names subject columns that are not asked for.  ``details`` (``detail_url``
+    and fields) fills what offers lack, up to ``budget`` rows in all.  With
+    ``stop_pages`` a step counts only offers up to the page on which it has found enough.
     """
-    asking = asked(subjects, dialect, skip)
-    met = profile_offers(asking.select(*PROFILE, *PLACE, "want").distinct(), offers).where(passes(F.col("want")))
-    distinct = met.select(*PROFILE, "rent_yen", "admin_fee_yen", "area_sqm").distinct()
+    offers = cut(offers if details is None else enrich(offers, details, budget=budget))
+    used = ["listing_id", *PLACE, "area_sqm", "building_age_years", "station_walk_min", "building_structure", "nearest_station_name", "orientation", "bathroom_toilet_separate"]
+    ladder = subjects.withColumns({c: F.lit(None).cast(subjects.schema[c].dataType) for c in skip}).withColumn("layout_type", F.upper("layout_type")).select(*used)
+    pairs = cut(contained_pairs(ladder.select(F.col("nearest_station_name").alias("station")), offers.select("station_name"), dialect))
+    best = "struct<chosen_step: int, n: bigint, benchmark_yen: bigint, method: string, benchmark_rent_yen: bigint>"
+    ladder = cut(ladder.withColumn("best", F.lit(None).cast(best)))
     total = robust_aggregate(F.col("rent_yen") + F.coalesce(F.col("admin_fee_yen"), F.lit(0)))
     rent = robust_aggregate(F.col("rent_yen"))
-    answers = distinct.groupBy(*PROFILE).agg(F.count("*").alias("n"), total["value"].alias("benchmark_yen"), total["method"].alias("method"), rent["value"].alias("benchmark_rent_yen"))
-    found = F.struct(F.when(F.col("n") >= least, F.col("step")).otherwise(STEPS).alias("rank"), (-F.col("step")).alias("late"), "step", "n", "benchmark_yen", "method", "benchmark_rent_yen")
-    best = asking.select("listing_id", "step", *PROFILE).join(answers, PROFILE).groupBy("listing_id").agg(F.min(found).alias("b"))
-    out = best.select("listing_id", F.col("b.step").alias("chosen_step"), "b.n", "b.benchmark_yen", "b.method", "b.benchmark_rent_yen")
-    return out.withColumn("benchmark_confidence", confidence(F.col("n"), F.col("chosen_step"))).withColumn("matched_level", F.lit(f"live_{dialect}"))
+    enough = F.coalesce(F.col("best.n") >= least, F.lit(False))
+    for step in range(STEPS):
+        asking = asked(ladder.where(~enough), dialect, step)
+        profiles = asking.select(*PROFILE, *PLACE, "want").dropDuplicates(PROFILE)
+        met = candidates(profiles, offers, pairs, dialect, step).where(_passes(F.col("want"), dialect))
+        distinct = met.groupBy(*PROFILE, "rent_yen", "admin_fee_yen", "area_sqm").agg(F.min("page").alias("page"))
+        if stop_pages:
+            distinct = up_to_page(distinct, PROFILE, least)
+        answers = distinct.groupBy(*PROFILE).agg(F.count("*").alias("n"), total["value"].alias("benchmark_yen"), total["method"].alias("method"), rent["value"].alias("benchmark_rent_yen"))
+        found = F.struct(F.lit(step).alias("chosen_step"), "n", "benchmark_yen", "method", "benchmark_rent_yen").cast(best)
+        now = asking.join(answers, PROFILE, "left").withColumn("best", F.when(F.col("n").isNotNull(), found).otherwise(F.col("best"))).select(*used, "best")
+        ladder = now.unionByName(ladder.where(enough))
+        if step < STEPS - 1:
+            ladder = cut(ladder)
+    out = ladder.select("listing_id", "best.chosen_step", F.coalesce("best.n", F.lit(0)).alias("n"), "best.benchmark_yen", F.coalesce("best.method", F.lit("none")).alias("method"), "best.benchmark_rent_yen")
+    level = F.when(F.col("n") == 0, "none").when(F.col("chosen_step") == 0, f"live_{dialect}").otherwise(f"relaxed_{dialect}")
+    return out.withColumn("benchmark_confidence", confidence(F.col("n"), F.col("chosen_step"))).withColumn("matched_level", level)
+
+
+def up_to_page(distinct: DataFrame, by: list[str], least: int) -> DataFrame:
+    """Rows up to the ``page`` on which the running number of a group's rows reaches ``least``; all of them where none does."""
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy("page"))
+    stop = F.min(F.when(F.col("__rank") == least, F.col("page"))).over(Window.partitionBy(*by))
+    return distinct.withColumn("__rank", rank).withColumn("__stop", stop).where("__stop IS NULL OR page <= __stop").drop("__rank", "__stop")
 
 
 def reject_counts(subjects: DataFrame, offers: DataFrame, dialect: str) -> DataFrame:
     """By step and reason, how many times an offer of the right place fails a subject; both sides are counted by profile first."""
-    asking = asked(subjects, dialect).groupBy(*PLACE, "step", "want").agg(F.count("*").alias("subjects"))
+    steps = F.explode(F.array(*(F.struct(F.lit(k).alias("step"), wanted(dialect, k).alias("want")) for k in range(STEPS))))
+    asking = subjects.withColumn("layout_type", F.upper("layout_type")).select(*PLACE, steps.alias("s")).select(*PLACE, "s.*").groupBy(*PLACE, "step", "want").agg(F.count("*").alias("subjects"))
     kinds = ["area_sqm", "building_age_years", "walk_min", "station_name", "building_type", "orientation", "building_structure", "bathroom_toilet_separate"]
     of = offers.withColumn("layout_type", F.upper("layout_type")).groupBy(*PLACE, *kinds).agg(F.count("*").alias("offers"))
-    reason = F.coalesce(reject_reason(F.col("want")), F.lit("passed"))
+    reason = F.coalesce(reject_reason(F.col("want"), dialect), F.lit("passed"))
     return asking.join(of, PLACE).groupBy("step", reason.alias("reason")).agg(F.sum(F.col("subjects") * F.col("offers")).alias("n"))
 
 
-def provider_fallback(results: list[DataFrame]) -> DataFrame:
-    """Of results in order of preference, the first with a figure and any confidence for each subject; else the last tried."""
-    ranked = functools.reduce(DataFrame.unionByName, (r.withColumn("provider", F.lit(i)) for i, r in enumerate(results)))
+def provider_fallback(results: list[DataFrame], names: tuple[str, ...] = tuple(LADDERS)) -> DataFrame:
+    """Of results in order of preference, the first with a figure and any confidence for each subject, else the last tried.
+
+    ``attempts`` lists what was tried up to the one that was taken, each as ``name:confidence``.
+    """
+    tried = functools.reduce(DataFrame.unionByName, (r.withColumns({"provider": F.lit(i), "tried": F.concat(F.lit(f"{name}:"), "benchmark_confidence")}) for i, (r, name) in enumerate(zip(results, names))))
     good = (F.col("benchmark_confidence") != "none") & F.col("benchmark_yen").isNotNull()
-    order = Window.partitionBy("listing_id").orderBy(F.when(good, 0).otherwise(1), F.when(good, F.col("provider")).otherwise(-F.col("provider")))
-    return ranked.withColumn("__rank", F.row_number().over(order)).where("__rank = 1").drop("__rank")
+    columns = [c for c in results[0].columns if c != "listing_id"]
+    taken = F.struct(F.when(good, F.col("provider")).otherwise(len(results)).alias("order"), (-F.col("provider")).alias("late"), "provider", *columns)
+    one = tried.groupBy("listing_id").agg(F.min(taken).alias("t"), F.array_sort(F.collect_list(F.struct("provider", "tried"))).alias("all"))
+    attempts = F.array_join(F.transform(F.filter("all", lambda x: x["provider"] <= F.col("t.provider")), lambda x: x["tried"]), ",")
+    return one.select("listing_id", *(F.col(f"t.{c}").alias(c) for c in columns), "t.provider", attempts.alias("attempts"))
 
 
 def page_stop(found: DataFrame, least: int = 2) -> DataFrame:
     """Rows up to the page on which a subject's running number of matches within a step reaches ``least``."""
-    per_page = found.groupBy("listing_id", "step", "page").agg(F.count("*").alias("own"))
-    running = per_page.withColumn("so_far", F.sum("own").over(Window.partitionBy("listing_id", "step").orderBy("page")))
-    stop = running.groupBy("listing_id", "step").agg(F.min(F.when(F.col("so_far") >= least, F.col("page"))).alias("stop_page"))
-    return found.join(stop, ["listing_id", "step"]).where("stop_page IS NULL OR page <= stop_page")
+    return up_to_page(found, ["listing_id", "step"], least)
 
 
 def coverage(offers: DataFrame, by: str = "page") -> DataFrame:

@@ -57,7 +57,7 @@ MATCHED = f"""j AS (
 ), k3 AS (SELECT *, CAST(round_even(benchmark_raw_yen * structure_multiplier, 0) AS BIGINT) AS benchmark_yen FROM k2
 )"""
 DELTAS = f"""k4 AS (
-  SELECT *, CAST(CASE WHEN benchmark_yen > 0 AND mgmt_fee_yen > 0 AND matched_level NOT IN ({', '.join(f"'{x}'" for x in spec.LIVE_LEVELS)}) THEN least(mgmt_fee_yen, greatest(0, least({spec.MGMT_FEE_CAP}, round_even(benchmark_yen * {_d(spec.MGMT_FEE_RATE)}, 0)))) ELSE 0 END AS BIGINT) AS benchmark_mgmt_fee_yen FROM k3
+  SELECT *, CAST(CASE WHEN benchmark_yen > 0 AND mgmt_fee_yen > 0 AND matched_level NOT IN ({', '.join(f"'{x}'" for x in comparables.live_levels())}) THEN least(mgmt_fee_yen, greatest(0, least({spec.MGMT_FEE_CAP}, round_even(benchmark_yen * {_d(spec.MGMT_FEE_RATE)}, 0)))) ELSE 0 END AS BIGINT) AS benchmark_mgmt_fee_yen FROM k3
 ), k5 AS (SELECT *, benchmark_yen + benchmark_mgmt_fee_yen AS benchmark_total_yen FROM k4
 ), k AS (
   SELECT *, CASE WHEN benchmark_total_yen > 0 THEN (monthly_fixed_cost_yen - benchmark_total_yen) / benchmark_total_yen ELSE 0e0 END AS rent_delta_ratio,
@@ -145,6 +145,10 @@ def _bucket(x: str, limits: tuple[int, ...], step: int) -> str:
     return "CASE " + " ".join(f"WHEN {x} <= {b} THEN {limits[min(i + step, len(limits) - 1)]}" for i, b in enumerate(limits)) + " END"
 
 
+def _station(name: str, dialect: str) -> str:
+    return f"replace(regexp_replace({name}, '[\\s\\x{{3000}}\\x{{A0}}]+', '', 'g'), '駅', '')" if dialect == "cassette" else name
+
+
 def _tests(dialect: str, step: int) -> dict[str, str]:
     """The conditions of a step; ``s`` is the subject, ``c`` the offer."""
     lim = lambda limit, test: f"(({limit}) IS NULL OR coalesce({test}, false))"
@@ -155,7 +159,7 @@ def _tests(dialect: str, step: int) -> dict[str, str]:
         "area": f"coalesce(c.area_sqm BETWEEN greatest(0, floor(s.area_sqm / 5) * 5 - {5 * step}) AND floor(s.area_sqm / 5) * 5 + 5 + {5 * step}, false)",
         "age": lim(age, f"c.building_age_years <= {age}"),
         "walk": "coalesce(c.walk_min BETWEEN s.station_walk_min - 3 AND s.station_walk_min + 3, false)" if dialect == "block" else lim(walk, f"c.walk_min <= {walk}"),
-        "station": "coalesce(contains(c.station_name, s.nearest_station_name) OR contains(s.nearest_station_name, c.station_name), false)",
+        "station": "coalesce(contains({c}, {s}) OR contains({s}, {c}), false)".format(c=_station("c.station_name", dialect), s=_station("s.nearest_station_name", dialect)),
         "building_type": f"({kind} IS NULL OR c.building_type IS NULL OR c.building_type = {kind})",
         "orientation": "(s.orientation = 'UNKNOWN' OR coalesce(c.orientation = s.orientation, false))",
         "structure": "(s.building_structure IN ('other', 'all') OR coalesce(c.building_structure = s.building_structure, false))",
@@ -189,12 +193,19 @@ def _live(dialect: str) -> str:
   SELECT listing_id, chosen_step, count(*) AS n, {_robust('(rent_yen + admin_fee_yen)')} AS benchmark_yen, {_robust('rent_yen')} AS benchmark_rent_yen
   FROM {p}1 JOIN {p}2 USING (listing_id) WHERE step <= chosen_step GROUP BY listing_id, chosen_step
 ), live_{dialect} AS (
-  SELECT *, CASE WHEN n < 2 THEN 'none' WHEN chosen_step = 0 THEN CASE WHEN n >= 3 THEN 'high' ELSE 'mid' END WHEN chosen_step = 1 THEN CASE WHEN n >= 3 THEN 'mid' ELSE 'low' END ELSE 'low' END AS benchmark_confidence, 'live_{dialect}' AS matched_level FROM {p}3
+  SELECT listing_id, chosen_step, coalesce(n, 0) AS n, benchmark_yen, benchmark_rent_yen,
+    CASE WHEN coalesce(n, 0) < 2 THEN 'none' WHEN chosen_step = 0 THEN CASE WHEN n >= 3 THEN 'high' ELSE 'mid' END WHEN chosen_step = 1 THEN CASE WHEN n >= 3 THEN 'mid' ELSE 'low' END ELSE 'low' END AS benchmark_confidence,
+    CASE WHEN n IS NULL THEN 'none' WHEN chosen_step = 0 THEN 'live_{dialect}' ELSE 'relaxed_{dialect}' END AS matched_level FROM m LEFT JOIN {p}3 USING (listing_id)
 )"""
 
 
 _LIVE_BASE = f"WITH {_base('market', 'subjects', 'offers')},\n{MEASURED}"
 _LIVE_COLS = "listing_id, chosen_step, n, benchmark_yen, benchmark_rent_yen, benchmark_confidence, matched_level"
+_FALLBACK = f"""u AS (
+  {' UNION ALL '.join(f"SELECT {_LIVE_COLS}, {i} AS provider, '{d}:' || benchmark_confidence AS tried, benchmark_confidence <> 'none' AND benchmark_yen IS NOT NULL AS good FROM live_{d}" for i, d in enumerate(comparables.LADDERS))}
+), pf AS (
+  SELECT *, string_agg(tried, ',') OVER (PARTITION BY listing_id ORDER BY provider) AS attempts FROM u QUALIFY row_number() OVER (PARTITION BY listing_id ORDER BY CASE WHEN good THEN provider ELSE 100 - provider END) = 1
+)"""
 _COLLECTED = "r AS (SELECT prefecture, municipality, layout_type, building_structure, CAST(trunc(median(avg_rent_yen)) AS BIGINT) AS rent_yen, count(*) AS n_rows FROM market GROUP BY ALL)"
 _GRID = f"""g AS (SELECT DISTINCT prefecture, municipality FROM market), w AS (
   SELECT prefecture, municipality, a.layout_type, b.building_structure FROM g, (SELECT unnest({spec.LAYOUTS}) AS layout_type) a, (SELECT unnest({spec.STRUCTURES[:5]}) AS building_structure) b
@@ -277,9 +288,7 @@ SELECT listing_id, array_to_string(list_filter([{', '.join(f"CASE WHEN {w} THEN
   CASE im_assessment WHEN 'high' THEN 'INITIAL_MULTIPLE:high' WHEN 'rather high' THEN 'INITIAL_MULTIPLE:mid' END], lambda x: x IS NOT NULL), ',') AS chips,
   CASE WHEN greatest(location_score, condition_score, cost_score) - least(location_score, condition_score, cost_score) >= 20 THEN 'strong ' || CASE greatest(location_score, condition_score, cost_score) WHEN location_score THEN 'location' WHEN condition_score THEN 'condition' ELSE 'cost' END ELSE 'even' END AS balance FROM t""",
     **{f"comparables_{d}": f"{_LIVE_BASE},\n{_live(d)} SELECT {_LIVE_COLS} FROM live_{d}" for d in comparables.LADDERS},
-    "provider_fallback": f"""{_LIVE_BASE},\n{', '.join(_live(d) for d in comparables.LADDERS)}, u AS (
-  {' UNION ALL '.join(f"SELECT {_LIVE_COLS}, {i} AS provider FROM live_{d}" for i, d in enumerate(comparables.LADDERS))}
-) SELECT {_LIVE_COLS}, provider FROM u QUALIFY row_number() OVER (PARTITION BY listing_id ORDER BY CASE WHEN benchmark_confidence <> 'none' AND benchmark_yen IS NOT NULL THEN provider ELSE 100 - provider END) = 1""",
+    "provider_fallback": f"""{_LIVE_BASE},\n{', '.join(_live(d) for d in comparables.LADDERS)}, {_FALLBACK} SELECT {_LIVE_COLS}, provider, attempts FROM pf""",
     "reject_counts": _rejects("cassette"),
     "offer_coverage": f"WITH {_base('market', 'offers')} SELECT page, count(*) AS fetched_n, {', '.join(f'count({c}) AS has_{c}' for c in ('area_sqm', 'walk_min', 'building_age_years', 'orientation', 'building_structure', 'bathroom_toilet_separate', 'building_type'))} FROM offers GROUP BY page",
     "distinct_offers": f"WITH {_base('market', 'offers')} SELECT prefecture, municipality, count(*) AS n FROM (SELECT DISTINCT prefecture, municipality, rent_yen, admin_fee_yen, area_sqm, layout_type FROM offers) GROUP BY ALL",
@@ -316,10 +325,7 @@ SELECT a.prefecture, a.municipality, arg_min(known, lpad(CAST(abs(length(a.munic
 }
 #: Evaluation that prefers comparable offers.
 _PREFERRED = ("matched_level", "benchmark_confidence", "benchmark_yen", "benchmark_n_rows", "benchmark_raw_yen")
-ORACLES["evaluate_live"] = f"""{_LIVE_BASE},\n{INDEX},\n{MATCHED},\n{', '.join(_live(d) for d in comparables.LADDERS)}, pf AS (
-  SELECT * FROM ({' UNION ALL '.join(f"SELECT {_LIVE_COLS}, {i} AS provider FROM live_{d}" for i, d in enumerate(comparables.LADDERS))})
-  QUALIFY row_number() OVER (PARTITION BY listing_id ORDER BY CASE WHEN benchmark_confidence <> 'none' AND benchmark_yen IS NOT NULL THEN provider ELSE 100 - provider END) = 1
-), k3l AS (SELECT k3.* EXCLUDE ({', '.join(_PREFERRED)}), pf.benchmark_confidence <> 'none' AND pf.benchmark_yen IS NOT NULL AS use_live,
+ORACLES["evaluate_live"] = f"""{_LIVE_BASE},\n{INDEX},\n{MATCHED},\n{', '.join(_live(d) for d in comparables.LADDERS)}, {_FALLBACK.removesuffix(')')}), k3l AS (SELECT k3.* EXCLUDE ({', '.join(_PREFERRED)}), pf.benchmark_confidence <> 'none' AND pf.benchmark_yen IS NOT NULL AS use_live,
   {', '.join(f"CASE WHEN use_live THEN pf.{'n' if c == 'benchmark_n_rows' else 'benchmark_yen' if c == 'benchmark_raw_yen' else c} ELSE k3.{c} END AS {c}" for c in _PREFERRED)} FROM k3 LEFT JOIN pf USING (listing_id)
 ), {DELTAS.replace('FROM k3', 'FROM k3l')},\n{SCORED}
 SELECT listing_id, matched_level, benchmark_confidence, benchmark_total_yen, overall_score, overall_grade, {_TEMPLATE} AS template_id FROM z"""

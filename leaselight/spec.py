@@ -144,7 +144,6 @@ MGMT_FEE_RATE, MGMT_FEE_CAP = 0.05, 20_000
 OUTLIER_RATIO = 2.0
 IMPUTATION_RATIOS = {"wood": 0.78, "light_steel": 0.87, "steel": 0.80, "src": 0.94}
 MIN_SAMPLES = 20
-LIVE_LEVELS = ["live_cassette", "live_block", "live_lines", "cassette_live", "block_live", "lines_live"]
 
 
 def load(spark: SparkSession, path: str) -> dict[str, Any]:
