@@ -1,19 +1,24 @@
 """Quality rules as a short-circuit cascade, all in DataFrame functions.
 
-Counts come from the whole text.  The rules that judge them are ordered by what a
-bounded sample shows: rejections per cost, so that a document is mostly dropped by
-the first test it meets and the dear tests run on what is left.  The order changes
-the work, never the verdict.
-
-Edge cases: a null or empty text has no words and fails the base rule; repeated
+Rules are ordered by rejections per cost, both estimated on a bounded sample: how many
+of its texts a rule rejects, and how many characters and words they have, at what the
+rule costs for each (``per_char``, ``per_word``).  Nothing is timed while it runs, so
+the order is the same whenever the sample is.  The order changes the work, never the
+verdict.
+
+``keep`` is the cascade: each rule is an expression of its own over the text, and what it
+counts is counted only where all rules before it have passed, the dear hashes of word
+windows too.  ``judge`` reports the five counts of every text, and so has to make them;
+its verdicts are those of ``keep``.
+
+Edge cases: a null or empty text has no words and fails the base rules; repeated
 rows are judged alike; a text without line feeds is one line; extra columns stay,
-those named like an output column are replaced.
+those named like an output column of ``judge`` are replaced.
 """
 
 from __future__ import annotations
 
-import time
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -73,27 +78,25 @@ def repeat_words(hashes: Column, n: int = WINDOW) -> Column:
     return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(let(pairs, covered))
 
 
+def count_columns(text: Column, own: Column) -> dict[str, Column]:
+    """Each count as an expression of the text and its words."""
+    return {
+        "n_words": F.size(own),
+        "word_chars": F.length(text) - count_of(text, SPACE),
+        "n_symbols": count_of(text, SYMBOLS),
+        "n_dup_lines": dup_lines(text),
+        "n_repeat_words": let(window_hashes(own), lambda h: repeat_words(h)),
+    }
+
+
 def counted(text: Column) -> Column:
     """The five counts of ``COUNTS`` as one struct.
 
     Texts, words and hashes are bound by ``let``: a filter that the optimiser moves
     down, past the projection that holds this column, computes them once as well.
     """
-    long = lambda c, name: c.cast("bigint").alias(name)
-
-    def of(t: Column) -> Column:
-        return let(
-            words(t),
-            lambda own: F.struct(
-                long(F.size(own), "n_words"),
-                long(F.length(t) - count_of(t, SPACE), "word_chars"),
-                long(count_of(t, SYMBOLS), "n_symbols"),
-                long(dup_lines(t), "n_dup_lines"),
-                long(let(window_hashes(own), lambda h: repeat_words(h)), "n_repeat_words"),
-            ),
-        )
-
-    return let(F.coalesce(text, F.lit("")), of)
+    struct = lambda t, own: F.struct(*(c.cast("bigint").alias(name) for name, c in count_columns(t, own).items()))
+    return let(F.coalesce(text, F.lit("")), lambda t: let(words(t), lambda own: struct(t, own)))
 
 
 def with_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -104,65 +107,72 @@ def with_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 @dataclass(frozen=True)
 class Rule:
-    """``rejects`` is true for a bad document, given its text and the struct of counts."""
+    """``rejects`` is true for a bad document, given its text and the counts by name; the costs are nanoseconds, of which only the proportions matter."""
 
     name: str
-    rejects: Callable[[Column, Column], Column]
+    rejects: Callable[[Column, Mapping[str, Column]], Column]
+    per_char: float
+    per_word: float = 0.0
 
 
+#: The base rules: too few words, or too many in windows that repeat.
+BASE = (
+    Rule("few_words", lambda text, c: c["n_words"] < 20, per_char=0.1),
+    Rule("repetition", lambda text, c: c["n_repeat_words"] * 100 > c["n_words"] * 30, per_char=1.0, per_word=180.0),
+)
 #: Rules beyond the base.  Each is lenient: ordinary prose of any length passes.
 RULES = (
-    Rule("symbols", lambda text, c: c["n_symbols"] * 4 > c["n_words"]),
-    Rule("word_length", lambda text, c: (c["word_chars"] > c["n_words"] * 20) | (c["word_chars"] < c["n_words"] * 2)),
-    Rule("dup_lines", lambda text, c: c["n_dup_lines"] * 2 > F.size(F.split(text, "\n"))),
-    Rule("upper_case", lambda text, c: F.regexp_count(text, F.lit(r"\p{Lu}{3}")) * 3 > c["n_words"]),
-    Rule("ellipses", lambda text, c: F.regexp_count(text, F.lit(r"(?:\.\.\.|…)[ \t\r]*(?:\n|$)")) * 10 > F.size(F.split(text, "\n")) * 3 + 10),
-    Rule("bullets", lambda text, c: F.regexp_count(text, F.lit("(?m)^[ \t]*[-•●*+][ \t]")) * 10 > F.size(F.split(text, "\n")) * 9 + 10),
+    Rule("symbols", lambda text, c: c["n_symbols"] * 4 > c["n_words"], per_char=4.0),
+    Rule("word_length", lambda text, c: (c["word_chars"] > c["n_words"] * 20) | (c["word_chars"] < c["n_words"] * 2), per_char=3.0),
+    Rule("dup_lines", lambda text, c: c["n_dup_lines"] * 2 > F.size(F.split(text, "\n")), per_char=6.0),
+    Rule("upper_case", lambda text, c: F.regexp_count(text, F.lit(r"\p{Lu}{3}")) * 3 > c["n_words"], per_char=5.0),
+    Rule("ellipses", lambda text, c: F.regexp_count(text, F.lit(r"(?:\.\.\.|…)[ \t\r]*(?:\n|$)")) * 10 > F.size(F.split(text, "\n")) * 3 + 10, per_char=9.0),
+    Rule("bullets", lambda text, c: F.regexp_count(text, F.lit("(?m)^[ \t]*[-•●*+][ \t]")) * 10 > F.size(F.split(text, "\n")) * 9 + 10, per_char=5.0),
 )
 
 
-def base_failed(c: Column) -> Column:
-    return (c["n_words"] < 20) | (c["n_repeat_words"] * 100 > c["n_words"] * 30)
+def base_failed(c: Mapping[str, Column]) -> Column:
+    return BASE[0].rejects(None, c) | BASE[1].rejects(None, c)
 
 
 def order_rules(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """The rules by rejections per second on at most ``rows`` rows that the first tasks yield.
+    """The rules by rejections per cost on at most ``rows`` rows that the first tasks yield; ties keep their order.
 
     The sample only orders the cascade.  It stays small: bounded rows of bounded length.
     """
     sample = df.where(F.length(text_col) <= SAMPLE_CHARS).select(F.col(text_col).alias("text")).take(rows)
     if not sample:
         return list(rules)
-    spark = df.sparkSession
-    rows = with_counts(spark.createDataFrame(sample, "text string"), "text").collect()
-    local = spark.createDataFrame([(r.text, tuple(getattr(r, k) for k in COUNTS)) for r in rows], f"text string, c struct<{', '.join(f'{k}: bigint' for k in COUNTS)}>").coalesce(1)
+    local = df.sparkSession.createDataFrame(sample, "text string").coalesce(1).select("text", counted(F.col("text")).alias("c"))
+    text, c = F.col("text"), F.col("c")
+    rejected = [F.count_if(rule.rejects(text, c)).alias(f"n_{i}") for i, rule in enumerate(rules)]
+    seen = local.agg(F.sum(F.length("text")).alias("chars"), F.sum("c.n_words").alias("words"), *rejected).first()
+    gain = [(seen[f"n_{i}"] + 0.5) / (1 + rule.per_char * seen["chars"] + rule.per_word * seen["words"]) for i, rule in enumerate(rules)]
+    return [rules[i] for i in sorted(range(len(rules)), key=lambda i: (-gain[i], i))]
 
-    def timed(test: Column) -> tuple[int, float]:
-        took, n = [], 0
-        for _ in range(2):
-            began = time.perf_counter()
-            n = local.agg(F.count_if(test)).first()[0]
-            took.append(time.perf_counter() - began)
-        return n, min(took)
 
-    _, nothing = timed(F.lit(False))
-    measured = [(rule, *timed(rule.rejects(F.col("text"), F.col("c")))) for rule in rules]
-    return [rule for rule, n, s in sorted(measured, key=lambda m: (m[1] + 0.5) / max(m[2] - nothing, 1e-3), reverse=True)]
+def chain(rules: list[Rule], text: Column, c: Mapping[str, Column]) -> Column:
+    """False at the first rule that rejects; later ones are not evaluated then."""
+    verdict = F
+    for rule in rules:
+        verdict = verdict.when(F.coalesce(rule.rejects(text, c), F.lit(False)), False)
+    return verdict.otherwise(True)
 
 
-def judge(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Add the counts, ``base_failed`` and ``kept``; each test runs only where all tests before it have passed."""
-    ordered = order_rules(df, text_col, rules)
+def keep(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The documents that no rule rejects; each count is made only for texts that have passed all rules before."""
+    ordered = order_rules(df, text_col, (*BASE, *rules))
+    verdict = lambda t: let(words(t), lambda own: chain(ordered, t, count_columns(t, own)))
+    return df.where(let(F.coalesce(F.col(text_col), F.lit("")), verdict))
 
-    def verdict(c: Column) -> Column:
-        chain = F.when(base_failed(c), False)
-        for rule in ordered:
-            chain = chain.when(F.coalesce(rule.rejects(F.col(text_col), c), F.lit(False)), False)
-        return chain.otherwise(True)
 
-    keep = [f"`{c}`" for c in df.columns if c.lower() not in (*COUNTS, "base_failed", "kept")]
-    step = df.select(*keep, counted(F.col(text_col)).alias("__counts"))
-    return step.select(*keep, "__counts.*", base_failed(F.col("__counts")).alias("base_failed"), let(F.col("__counts"), verdict).alias("kept"))
+def judge(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Add the counts, ``base_failed`` and ``kept``; each test on them runs only where all tests before it have passed."""
+    ordered = order_rules(df, text_col, rules)
+    verdict = lambda c: F.when(base_failed(c), False).otherwise(chain(ordered, F.coalesce(F.col(text_col), F.lit("")), c))
+    kept = [f"`{c}`" for c in df.columns if c.lower() not in (*COUNTS, "base_failed", "kept")]
+    step = df.select(*kept, counted(F.col(text_col)).alias("__counts"))
+    return step.select(*kept, "__counts.*", base_failed(F.col("__counts")).alias("base_failed"), let(F.col("__counts"), verdict).alias("kept"))
 
 
 #: The same in DuckDB, for the table ``documents``.

@@ -56,3 +56,30 @@ def test_empty(spark):
 def test_native_plan(spark):
     plan = quality.judge(spark.range(3).select(F.col("id").alias("doc_id"), F.lit("some text").alias("text")))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_the_cascade_keeps_what_judge_keeps(spark):
+    prose = " ".join(f"word{i % 57}x{i}" for i in range(100))
+    rows = [*texts(), prose, prose, prose.replace(" ", " | "), "\n".join(["a line"] * 30), prose.upper().replace("0", "ABCD"), None]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(rows)], "doc_id long, text string, Kept string")
+    kept = quality.keep(df)
+    assert kept.columns == df.columns
+    want = {r.doc_id for r in quality.judge(df).where("kept").collect()}
+    assert {r.doc_id for r in kept.collect()} == want and {len(texts()), len(texts()) + 1} <= want
+    assert quality.keep(df.where(F.lit(False))).count() == 0
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_later_rules_see_only_what_earlier_ones_pass(spark):
+    df = spark.createDataFrame([(i, "short text") for i in range(300)], "doc_id long, text string")
+    never = quality.Rule("never", lambda text, c: F.raise_error(F.concat(F.lit("evaluated "), text)).isNotNull(), per_char=1e9)
+    ordered = [quality.BASE[0], never]
+    verdict = F.expr("text")
+    assert df.where(quality.let(verdict, lambda t: quality.let(quality.words(t), lambda own: quality.chain(ordered, t, quality.count_columns(t, own))))).count() == 0
+
+
+def test_order_is_stable(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts() * 3)], "doc_id long, text string")
+    orders = [[r.name for r in quality.order_rules(df, rules=(*quality.BASE, *quality.RULES))] for _ in range(3)]
+    assert orders[0] == orders[1] == orders[2] and orders[0][0] == "few_words"
