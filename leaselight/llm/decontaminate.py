@@ -5,8 +5,10 @@ lower-casing A-Z.  A window is ``n`` consecutive words of a benchmark item, or a
 words of a shorter item; a document word inside any occurrence of a window is hit.
 
 The windows are broadcast only while the benchmark's text stays under a stated
-size; beyond it they are shuffled and joined by hash, with the same result.
-Hash matches are verified word by word on both ways.
+size; beyond it they are shuffled and joined, with the same result.  What documents send
+into that join has passed a Bloom filter of the benchmark's windows, of a stated size at
+most, so nearly all of their windows stay where they are.  Hash matches are verified
+word by word on both ways.
 
 Edge cases: null and empty texts have no words and no hits; an item without words
 has no windows; an item without an id marks words but is not listed; repeated
@@ -25,11 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .arrow import replaced, text_slices, with_struct
+from .recompress import gram_names, mixed, word_names
 from .scratch import cut
 
 #: Largest benchmark text, in bytes, whose windows are broadcast.
 BROADCAST_BYTES = 8_000_000
 WINDOW = 10
+#: Bits of the Bloom filter: for each window, and at most; a fuller one lets more pass, never less.
+BITS_PER_WINDOW, BLOOM_BITS = 16, 2**28
 _WORD = re.compile(r"[0-9A-Za-z\x80-\U0010ffff]+")
 _TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -140,8 +145,43 @@ def find(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_
     return with_struct(docs, scan(F.col(text_col)), FOUND)
 
 
+def window_hashes(own: list[bytes], sizes: list[int]) -> list[tuple[int, np.ndarray]]:
+    """A hash of each window of the words, by size and start."""
+    data = np.frombuffer(b"".join(own), dtype=np.uint8)
+    ends = np.cumsum(np.fromiter(map(len, own), dtype=np.int64, count=len(own)))
+    names = word_names(data, np.concatenate([[0], ends[:-1]]).astype(np.int64), ends, 0xD1B54A32D192ED03)
+    return [(size, mixed(gram_names(names, size) + np.uint64(size))) for size in sizes if size <= len(own)]
+
+
+def bloom_bits(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two places that a hash has in a filter of ``bits``, a power of two."""
+    return hashes & np.uint64(bits - 1), (hashes >> np.uint64(32)) & np.uint64(bits - 1)
+
+
+def bloom_filter(items: DataFrame, sizes: list[int], n: int, windows_in_all: int) -> np.ndarray:
+    """A Bloom filter of all windows of ``item_text``: 64-bit words that tasks fill and an aggregation joins, ``BLOOM_BITS`` at most."""
+    bits = min(BLOOM_BITS, max(2**16, 1 << (BITS_PER_WINDOW * windows_in_all - 1).bit_length()))
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(bits // 64, dtype=np.uint64)
+        for batch in batches:
+            for part in text_slices(batch.column(0)):
+                for text in part:
+                    own = words(text)
+                    for _, hashes in window_hashes(own, [min(n, len(own))]) if own else []:
+                        for at in bloom_bits(hashes, bits):
+                            np.bitwise_or.at(out, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+        at = np.flatnonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(out[at].view(np.int64))], ["at", "bits"])
+
+    filled = items.select("item_text").mapInArrow(fill, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()  # BLOOM_BITS / 64 rows at most
+    out = np.zeros(bits // 64, dtype=np.uint64)
+    out[filled.column("at").to_numpy()] = filled.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
 def _find_by_join(docs: DataFrame, items: DataFrame, text_col: str, n: int) -> DataFrame:
-    """The same for a benchmark of any size: windows of both sides meet by hash, then texts are verified."""
+    """The same for a benchmark of any size: windows of both sides that may be equal meet by hash, then texts are verified."""
     windowed = T.ArrayType(T.StructType([T.StructField("at", T.IntegerType()), T.StructField("gram", T.BinaryType())]))
 
     @F.arrow_udf(windowed)
@@ -151,15 +191,25 @@ def _find_by_join(docs: DataFrame, items: DataFrame, text_col: str, n: int) -> D
 
     grams = items.select("item_id", F.explode(item_windows("item_text")).alias("w")).select(F.col("w.at").alias("size"), F.col("w.gram").alias("gram"), F.coalesce("item_id", F.lit("")).alias("item_id"), F.col("item_id").isNotNull().alias("listed")).distinct()
     grams = cut(grams)
-    sizes = sorted(r[0] for r in grams.select("size").distinct().collect())  # n values at most
+    by_size = {r["size"]: r["n"] for r in grams.groupBy("size").agg(F.count("*").alias("n")).collect()}  # n rows at most
+    sizes = sorted(by_size)
+    sent = docs.sparkSession.sparkContext.broadcast(bloom_filter(items, sizes, n, sum(by_size.values())))  # BLOOM_BITS at most
 
     @F.arrow_udf(windowed)
-    def doc_windows(texts: pa.Array) -> pa.Array:
-        rows = []
-        for t in texts:
-            own = words(t.as_py() or "")
-            rows.append([{"at": i, "gram": b" ".join(own[i : i + s])} for s in sizes for i in range(len(own) - s + 1)])
-        return pa.array(rows, pa.list_(pa.struct([("at", pa.int32()), ("gram", pa.binary())])))
+    def doc_windows(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        bloom = sent.value
+        for texts in batches:
+            rows = []
+            for part in text_slices(texts):
+                for text in part:
+                    own, found = words(text), []
+                    for size, hashes in window_hashes(own, sizes) if own else []:
+                        may = np.ones(len(hashes), dtype=bool)
+                        for at in bloom_bits(hashes, len(bloom) * 64):
+                            may &= bloom[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1) == 1
+                        found += [{"at": i, "gram": b" ".join(own[i : i + size])} for i in np.flatnonzero(may).tolist()]
+                    rows.append(found)
+            yield pa.array(rows, pa.list_(pa.struct([("at", pa.int32()), ("gram", pa.binary())])))
 
     numbered = cut(docs.withColumn("__row", F.monotonically_increasing_id()))  # the numbers must not change between the two uses
     spread = numbered.select("__row", F.explode(doc_windows(text_col)).alias("w")).select("__row", F.col("w.at").alias("at"), F.col("w.gram").alias("gram"))

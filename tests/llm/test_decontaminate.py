@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,3 +60,21 @@ def test_empty_tables(tables):
     none = F.lit(False)
     assert decontaminate.find(docs.where(none), benchmark).count() == 0
     assert {r.n_hit for r in decontaminate.find(docs, benchmark.where(none)).collect()} == {0}
+
+
+def test_few_windows_enter_the_join(spark):
+    """Beyond the broadcast, the filter holds back nearly every window that the benchmark lacks, and none that it has."""
+    rng = random.Random(4)
+    items = [" ".join(rng.choices([f"b{i}" for i in range(400)], k=rng.randrange(3, 40))) for _ in range(200)]
+    sizes = sorted({min(10, len(t.split())) for t in items})
+    frame = spark.createDataFrame([(t,) for t in items], "item_text string").repartition(3)
+    n_windows = sum(len(decontaminate.windows(t.encode().split(), 10)) for t in items)
+    bloom = decontaminate.bloom_filter(frame, sizes, 10, n_windows)
+    bits = len(bloom) * 64
+    passes = lambda h: bool(np.all([bloom[int(at[0]) >> 6] >> np.uint64(int(at[0]) & 63) & np.uint64(1) for at in decontaminate.bloom_bits(np.array([h], dtype=np.uint64), bits)]))
+    for t in items:
+        own = t.encode().split()
+        (_, hashes), = decontaminate.window_hashes(own, [min(10, len(own))])
+        assert all(map(passes, hashes.tolist()))
+    other = decontaminate.window_hashes([f"o{i}".encode() for i in range(5000)], sizes)
+    assert np.mean([passes(h) for _, hashes in other for h in hashes[:300].tolist()]) < 0.06

@@ -3,20 +3,23 @@
 import re
 from pathlib import Path
 
-import numpy as np
 import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from leaselight.llm import simhash
 from leaselight.llm.queries import TOKENIZER_PATH
 
-from . import test_decontaminate, test_quality, test_secrets, test_simhash
+from . import test_decontaminate, test_quality, test_secrets
 
 DATA = Path("/root/testdata/sf0.001")
 
 
+def shingles(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
 @pytest.mark.skipif(not DATA.exists(), reason="needs the driver's tables")
 def test_run_against_brute_force(spark):
     docs = pq.read_table(DATA / "documents.parquet").to_pylist()
@@ -29,10 +32,13 @@ def test_run_against_brute_force(spark):
         bad = bad or len(re.findall(r"[A-ZÀ-ÖØ-Þ]{3}", d["text"])) * 3 > n
         if not bad:
             kept.append(d)
-    prints, sketches, keys = zip(*(simhash.profile(d["text"], 5) for d in kept))
-    sketches = [np.frombuffer(x, dtype=np.uint8) for x in sketches]
-    alike = lambda i, j: prints[i] == prints[j] and (sketches[i] == sketches[j]).all() or bool(set(keys[i]) & set(keys[j])) and simhash.estimated_similarity(sketches[i], sketches[j][None])[0] >= corpus_pipeline.SIMILARITY - simhash.SLACK
-    roots = test_simhash.plain_components(prints, corpus_pipeline.RADIUS, alike)
+    sets = [shingles(d["text"]) for d in kept]
+    roots = list(range(len(kept)))
+    for i in range(len(kept)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):  # four fifths of all shingles
+                roots = [roots[j] if r == roots[i] else r for r in roots]
     best = {}
     for root, d in zip(roots, kept):
         best[root] = min(best.get(root, d["doc_id"]), d["doc_id"])
@@ -53,8 +59,27 @@ def test_run_against_brute_force(spark):
     assert 0 < len(got) < len(docs)
 
 
-def test_stages_keep_the_columns(spark):
-    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (None, "word " * 30, "en", "s", 1)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+CLASHING = "doc_id long, text string, lang string, source string, n_chars long, spans string, N_Words string, kept string, node string, simhash string, item_ids string, component_id string, ids string, decoded string, text_key string"
+
+
+def test_odd_rows_and_clashing_columns(spark):
+    prose = " ".join(f"word{i}" for i in range(40))
+    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (None, "word " * 30, "en", "s", 1), (3, prose + " password=abcdef99", "en", "s", 1), (3, prose + " password=abcdef99", "en", "s", 1), (4, prose + " password=abcdef99", None, None, None), (None, prose, "en", "s", 2)]
+    docs = spark.createDataFrame([(*r, *(f"own{i}" for i in range(10))) for r in rows], CLASHING)
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, docs, str(DATA)).columns == docs.columns, name
+        out = stage(spark, docs, str(DATA))
+        assert out.columns == docs.columns, name
+        kept = out.collect()
+        assert all(tuple(r)[5:] == tuple(f"own{i}" for i in range(10)) for r in kept), name
+        ids = sorted((-1 if r.doc_id is None else r.doc_id for r in kept))
+        want = {"quality rules": [-1, 3, 3, 4], "SimHash near-dedup": [-1, -1, 1, 3], "benchmark decontamination": [-1, -1, 1, 2, 3, 3, 4], "secret scans": [-1, -1, 1, 2, 3, 3, 4]}[name]
+        assert ids == want, name
+        if name == "secret scans":
+            assert {r.text for r in kept if r.doc_id == 4} == {prose + " [SECRET]"} and {(r.text, r.n_chars) for r in kept if r.doc_id == 2} == {("", 0)}
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(DATA)).count() == len(rows)
+
+
+def test_empty_table(spark):
+    docs = spark.createDataFrame([], CLASHING)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, str(DATA)).count() == 0, name
