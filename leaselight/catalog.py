@@ -10,7 +10,7 @@ from . import spec
 from .functions import scoring, text
 from .operators import benchmark, comparables, derive, documents, market, report, validate
 from .oracles import ORACLES
-from .plans import engine, regression
+from .plans import engine, pages, regression
 from .plans.adapters import AS_OF_YEAR, frame, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -156,19 +156,14 @@ def closest_municipality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return market.closest_place(rows.withColumn("municipality", F.concat("municipality", F.lit(" ward"))), rows)
 
 
-#: Words that a listing's codes are written as; the parsers must find the codes again.
-_ORIENTATION_WORDS = {"N": "北", "NE": "北東", "E": "東", "SE": "南東", "S": "南", "SW": "南西", "W": "西", "NW": "北西"}
-_STRUCTURE_WORDS = {"wood": "木造", "light_steel": "軽量鉄骨造", "steel": "鉄骨造", "rc": "ＲＣ造", "src": "鉄骨鉄筋コンクリート"}
-
-
 def parsed_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listings written out as offers, and read again."""
-    word = lambda table, c: F.coalesce(F.try_element_at(F.create_map(*(F.lit(v) for pair in table.items() for v in pair)), F.col(c)), F.lit("-"))
+    word = lambda table, c: pages.word(table, F.col(c))
     age = F.col("listing_id") % 45
     subjects = frame(spark, sf_dir, "subjects")
     said = [
         F.format_string("%.1f万円", F.round(F.col("rent_yen") / 1000) / 10), F.concat(F.lit("管理費 "), F.format_number("mgmt_fee_yen", 0), F.lit(" 円")), F.concat(F.col("area_sqm").cast("string"), F.lit("m2")), F.concat(F.lit("駅 徒歩"), F.col("station_walk_min"), F.lit("分")),
-        F.when(age == 0, "新築").otherwise(F.concat(F.lit("築"), age, F.lit("年"))), F.col("layout_type"), F.concat(F.lit("向き "), word(_ORIENTATION_WORDS, "orientation")), word(_STRUCTURE_WORDS, "building_structure"), F.when(F.col("bathroom_toilet_separate"), "バス・トイレ別").otherwise("ユニットバス"),
+        F.when(age == 0, "新築").otherwise(F.concat(F.lit("築"), age, F.lit("年"))), F.col("layout_type"), F.concat(F.lit("向き "), word(pages.ORIENTATION_WORDS, "orientation")), word(pages.STRUCTURE_WORDS, "building_structure"), F.when(F.col("bathroom_toilet_separate"), "バス・トイレ別").otherwise("ユニットバス"),
     ]
     t = F.col("t")
     return subjects.select("listing_id", F.concat_ws(" / ", *said).alias("t")).select(
@@ -178,7 +173,64 @@ def parsed_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents.page_lines(table(spark, sf_dir, "pages")).select("page_id", F.size("lines").cast("bigint").alias("n_lines"))
+    return documents.page_lines(table(spark, sf_dir, "pages")).select("page_id", F.size("lines").cast("bigint").alias("n_lines"), F.md5(F.array_join("lines", "\n")).alias("lines_md5"))
+
+
+_ROOM = ["rent_yen", "admin_fee_yen", "monthly_total_yen", "layout_type", "area_sqm", "walk_min", "building_age_years", "floor", "orientation", "building_structure"]
+_ID, _NAMES = "CAST(url AS BIGINT) AS listing_id", "array_join(station_names, ',') AS station_names"
+
+
+def _pages(spark: SparkSession, sf_dir: str, template: str) -> DataFrame:
+    return pages.pages(frame(spark, sf_dir, "subjects"), template)
+
+
+def cassette_rooms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.cassette_rooms(_pages(spark, sf_dir, pages.CASSETTE)).selectExpr(_ID, "pos % 10000 AS room", *_ROOM, "building_type", "detail_url", _NAMES)
+
+
+def collected_rents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = documents.collected_rents(_pages(spark, sf_dir, pages.CASSETTE))
+    return found.groupBy("building_structure", "layout_type").agg(F.count("*").alias("n"), F.sum("rent_yen").alias("rents"))
+
+
+def block_rooms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = _pages(spark, sf_dir, pages.BLOCK).select("url", F.lit(0).alias("pos"), F.col("html").alias("block"))
+    return documents.block_rooms(blocks).selectExpr(_ID, "pos AS room", *_ROOM, "bathroom_toilet_separate", _NAMES)
+
+
+def line_rooms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.line_rooms(_pages(spark, sf_dir, pages.LINES)).selectExpr(_ID, *_ROOM, "bathroom_toilet_separate", _NAMES)
+
+
+_FORM = ["prefecture", "municipality", "nearest_station_name", "station_walk_min", "rent_yen", "mgmt_fee_yen", "orientation", "area_sqm", "layout_type", "building_structure", "building_age_years", "building_built_year", "bathroom_toilet_separate", "error"]
+
+
+def detail_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.detail_listing(pages.detail_pages(frame(spark, sf_dir, "subjects")), AS_OF_YEAR).selectExpr(_ID, *_FORM)
+
+
+def detail_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.detail_fields(pages.detail_pages(frame(spark, sf_dir, "subjects"))).select(F.col("detail_url").cast("bigint").alias("listing_id"), "orientation", "bathroom_toilet_separate", "building_structure")
+
+
+def note_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.sections(pages.notes(frame(spark, sf_dir, "subjects"))).select("doc", "pos", "level", "title", "body")
+
+
+def _rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.rebuilt(pages.notes(frame(spark, sf_dir, "subjects")), pages.QUESTIONS)
+
+
+def rebuilt_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rebuilt(spark, sf_dir).select("doc", "normalised", F.array_join("missing", ",").alias("missing"))
+
+
+def missing_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.missing_counts(_rebuilt(spark, sf_dir))
+
+
+def worst_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.worst(_rebuilt(spark, sf_dir))
 
 
 def market_rows(operator: Callable[[DataFrame], DataFrame]) -> Query:
@@ -224,6 +276,16 @@ QUERIES: dict[str, Query] = {
     "closest_municipality": closest_municipality,
     "parsed_offers": parsed_offers,
     "page_lines": page_lines,
+    "cassette_rooms": cassette_rooms,
+    "collected_rents": collected_rents,
+    "block_rooms": block_rooms,
+    "line_rooms": line_rooms,
+    "detail_listing": detail_listing,
+    "detail_fields": detail_fields,
+    "note_sections": note_sections,
+    "rebuilt_notes": rebuilt_notes,
+    "missing_answers": missing_answers,
+    "worst_notes": worst_notes,
 }
 
 

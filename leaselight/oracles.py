@@ -268,6 +268,52 @@ def _golden() -> str:
 SELECT listing_id, benchmark_total_yen, location_score, condition_score, cost_score, overall_score, {_grade('overall_score')} AS overall_grade, {chosen([(r[3], r[1], r[2]) for r in spec.TRADEOFF_RULES])} AS tradeoff_tag, {chosen([(t[0], t[1], t[2]) for t in spec.TEMPLATES])} AS template_id FROM g4"""
 
 
+def _page_lines(html: str) -> str:
+    bare = f"regexp_replace({html}, '<script\\b.*?</script>', ' ', 'gis')"
+    for tag in ("style", "noscript"):
+        bare = f"regexp_replace({bare}, '<{tag}\\b.*?</{tag}>', ' ', 'gis')"
+    bare = f"regexp_replace(regexp_replace({bare}, '<!--.*?-->', ' ', 'gs'), '<(?:/?(?:tr|li|p|div|section|article|header|footer|table|tbody|thead|ul|ol|dl|dt|dd|h1|h2|h3|h4|h5|h6)|br)\\b[^>]*>', chr(10), 'gi')"
+    line = "regexp_replace(x, '<[^>]+>', ' ', 'g')"
+    for entity, plain in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&sup2;", "²"), ("&amp;", "&")):
+        line = f"replace({line}, '{entity}', '{plain}')"
+    return f"list_filter(list_transform(string_split({bare}, chr(10)), lambda x: trim(regexp_replace({line}, '[\\s\\x{{3000}}\\x{{A0}}]+', ' ', 'g'))), lambda x: x <> '')"
+
+
+def _documents() -> dict[str, str]:
+    """What pages and notes written from listings must say, from the listings themselves."""
+    known = lambda c, none: f"CASE {c} WHEN '{none}' THEN NULL ELSE {c} END AS {c}"
+    told = f"""WITH {_base('subjects')}, t AS (SELECT listing_id, rent_yen, CAST(round(rent_yen / 1000e0) * 1000 AS BIGINT) AS man, mgmt_fee_yen AS fee, layout_type, area_sqm, station_walk_min AS walk, listing_id % 45 AS age, 1 + listing_id % 8 AS floor_no,
+  {known('orientation', 'UNKNOWN')}, {known('building_structure', 'other')}, 'S' || regexp_extract(nearest_station_name, '[0-9]+') AS st, bathroom_toilet_separate AS bath, building_built_year AS built, prefecture FROM subjects)"""
+    room = lambda n, rent, fee, layout, area, walk, floor, facing, more: f"SELECT listing_id, {n} AS room, {rent} AS rent_yen, {fee} AS admin_fee_yen, {rent} + {fee} AS monthly_total_yen, {layout} AS layout_type, {area} AS area_sqm, {walk} AS walk_min, age AS building_age_years, {floor} AS floor, {facing} AS orientation, building_structure, {more} FROM t"
+    kind = "CASE listing_id % 3 WHEN 0 THEN 'mansion' WHEN 1 THEN 'apartment' ELSE 'house' END AS building_type"
+    cassette = room(0, "rent_yen", "fee", "layout_type", "area_sqm", "walk + 2", "floor_no", "orientation", f"{kind}, '/room/' || listing_id || '/1' AS detail_url, st AS station_names") + " UNION ALL " + room(1, "man", "0", "''", "area_sqm + 1", "walk", "NULL", "NULL", f"{kind}, 'https://other.example/room/' || listing_id || '/2' AS detail_url, st AS station_names")
+    own_fee, both = "CASE WHEN fee <= 50000 THEN fee ELSE 0 END", "bath AS bathroom_toilet_separate, st || ',新' || st AS station_names"
+    block = room(1, "man", own_fee, "layout_type", "area_sqm", "walk", "floor_no", "orientation", both) + " UNION ALL " + room(2, "man", "0", "layout_type", "area_sqm + 1", "walk", "9", "NULL", both)
+    places = {"saitama": "熊谷市", "tokyo": "昭島市", "chiba": "銚子市", "kanagawa": "秦野市", "osaka": "枚方市"}
+    town = "CASE prefecture " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in places.items()) + " END"
+    form = {"prefecture": "prefecture", "municipality": town, "nearest_station_name": "st", "station_walk_min": "walk", "rent_yen": "CASE WHEN listing_id % 2 = 0 THEN rent_yen ELSE man END", "mgmt_fee_yen": "fee", "orientation": "orientation", "area_sqm": "area_sqm", "layout_type": "layout_type", "building_structure": "building_structure", "building_age_years": f"{AS_OF_YEAR} - built", "building_built_year": "built", "bathroom_toilet_separate": "bath"}
+    read = ", ".join(f"CASE WHEN listing_id % 7 <> 0 THEN {v} END AS {k}" for k, v in form.items())
+    reason, strong, plan = "'reason ' || listing_id || chr(10) || chr(10) || '### Detail' || chr(10) || 'more of ' || layout_type", "'near ' || st", "'plan ' || listing_id"
+    section = lambda pos, level, title, body, where="true": f"SELECT listing_id AS doc, {pos} AS pos, {level} AS level, '{title}' AS title, {body} AS body FROM t WHERE {where}"
+    even = "listing_id % 2 = 0"
+    parts = [section(0, 2, "Reasons to move", reason), section(1, 3, "Detail", "'more of ' || layout_type"), section(2, 2, "Strengths", strong, even), section(3, 2, "More strengths", "'floor ' || floor_no", even), section(f"2 + CASE WHEN {even} THEN 2 ELSE 0 END", 2, "The plan", plan, "listing_id % 3 = 0")]
+    nl = "chr(10) || chr(10)"
+    n = f"""{told}, n AS (SELECT listing_id AS doc, '## Q1. reason' || {nl} || {reason} || {nl} || '## Q2. strong' || {nl} || CASE WHEN {even} THEN '### Strengths' || {nl} || {strong} || {nl} || '### More strengths' || {nl} || 'floor ' || floor_no ELSE '> TODO' END
+  || {nl} || '## Q3. plan' || {nl} || CASE WHEN listing_id % 3 = 0 THEN {plan} ELSE '> TODO' END || chr(10) AS normalised, list_filter([CASE WHEN NOT {even} THEN 'strong' END, CASE WHEN listing_id % 3 <> 0 THEN 'plan' END], lambda x: x IS NOT NULL) AS gone FROM t)"""
+    return {
+        "cassette_rooms": f"{told} {cassette}",
+        "collected_rents": f"{told}, rooms AS ({cassette}) SELECT building_structure, layout_type, count(*) AS n, CAST(sum(rent_yen) AS BIGINT) AS rents FROM rooms WHERE building_structure IS NOT NULL GROUP BY ALL",
+        "block_rooms": f"{told} {block}",
+        "line_rooms": f"{told} SELECT * EXCLUDE (room) FROM ({room(0, 'man', 'fee', 'layout_type', 'area_sqm', 'walk', 'NULL', 'orientation', 'bath AS bathroom_toilet_separate, st AS station_names')})",
+        "detail_listing": f"{told} SELECT listing_id, {read}, CASE WHEN listing_id % 7 = 0 THEN 'challenge page' END AS error FROM t",
+        "detail_fields": f"{told} SELECT listing_id, orientation, bath AS bathroom_toilet_separate, building_structure FROM t WHERE listing_id % 7 <> 0",
+        "note_sections": f"{told} {' UNION ALL '.join(parts)}",
+        "rebuilt_notes": f"{n} SELECT doc, normalised, array_to_string(gone, ',') AS missing FROM n",
+        "missing_answers": f"{n} SELECT key, count(*) AS n FROM (SELECT unnest(gone) AS key FROM n) GROUP BY key",
+        "worst_notes": f"{n} SELECT doc, len(gone) AS n_missing FROM n ORDER BY n_missing DESC, doc LIMIT 15",
+    }
+
+
 _R = lambda *cols: ", ".join(f"round_even({c}, 6) AS {c}" for c in cols)
 ORACLES: dict[str, str] = {
     "validate_listings": _errors(),
@@ -319,9 +365,8 @@ SELECT prefecture, municipality, layout_type, s.building_structure, source_name,
 SELECT a.prefecture, a.municipality, arg_min(known, lpad(CAST(abs(length(a.municipality) - length(known)) AS VARCHAR), 6, '0') || known) AS known FROM a JOIN b ON a.prefecture = b.prefecture AND (contains(a.municipality, known) OR contains(known, a.municipality)) GROUP BY ALL""",
     "parsed_offers": f"""WITH {_base('subjects')} SELECT listing_id, CAST(round(rent_yen / 1000e0) * 1000 AS BIGINT) AS rent_yen, mgmt_fee_yen AS admin_fee_yen, area_sqm, station_walk_min AS walk_min, listing_id % 45 AS building_age_years, layout_type,
   CASE orientation WHEN 'UNKNOWN' THEN NULL ELSE orientation END AS orientation, CASE building_structure WHEN 'other' THEN NULL ELSE building_structure END AS building_structure, bathroom_toilet_separate AS bath_separate FROM subjects""",
-    "page_lines": r"""SELECT page_id, len(list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<script\b.*?</script>', ' ', 'gis'), '<style\b.*?</style>', ' ', 'gis'), '<noscript\b.*?</noscript>', ' ', 'gis'),
-  '<!--.*?-->', ' ', 'gs'), '<(?:/?(?:tr|li|p|div|section|article|header|footer|table|tbody|thead|ul|ol|dl|dt|dd|h1|h2|h3|h4|h5|h6)|br)\b[^>]*>', chr(10), 'gi'), chr(10)),
-  lambda x: trim(regexp_replace(replace(regexp_replace(x, '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '[\s\x{3000}\x{A0}]+', ' ', 'g'))), lambda x: x <> '')) AS n_lines FROM pages""",
+    "page_lines": f"""SELECT page_id, len(ls) AS n_lines, md5(array_to_string(ls, chr(10))) AS lines_md5 FROM (SELECT page_id, {_page_lines('html')} AS ls FROM pages)""",
+    **_documents(),
 }
 #: Evaluation that prefers comparable offers.
 _PREFERRED = ("matched_level", "benchmark_confidence", "benchmark_yen", "benchmark_n_rows", "benchmark_raw_yen")
