@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import spec
 from .functions import scoring, text
-from .operators import benchmark, comparables, derive, documents, market, report, validate
+from .operators import benchmark, bundles, comparables, derive, documents, market, report, validate
 from .oracles import ORACLES
 from .plans import engine, pages, regression
 from .plans.adapters import AS_OF_YEAR, frame, table
@@ -233,6 +233,21 @@ def worst_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.worst(_rebuilt(spark, sf_dir))
 
 
+def schema_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = validate.checked_by_schema(pages.payloads(frame(spark, sf_dir, "subjects")), pages.SCHEMA)
+    return found.select("listing_id", F.array_join("findings", ",").alias("findings"))
+
+
+def bundle_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bundles.findings(pages.bundles(table(spark, sf_dir, "supplier"), "s_suppkey"))
+
+
+def bundle_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bundles.report(bundle_findings(spark, sf_dir))
+    count = lambda name: F.get_json_object("document", f"$.{name}").cast("bigint").alias(name)
+    return found.select("bundle", count("errors"), count("warnings"), F.get_json_object("document", "$.issues[0].code").alias("first_code"))
+
+
 def market_rows(operator: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: operator(frame(spark, sf_dir, "market"))
 
@@ -286,6 +301,9 @@ QUERIES: dict[str, Query] = {
     "rebuilt_notes": rebuilt_notes,
     "missing_answers": missing_answers,
     "worst_notes": worst_notes,
+    "schema_checks": schema_checks,
+    "bundle_findings": bundle_findings,
+    "bundle_reports": bundle_reports,
 }
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
 from typing import Any
 
@@ -87,6 +88,83 @@ def checked(df: DataFrame, row_rules: dict[str, dict[str, Any]]) -> DataFrame:
     return df.withColumn("schema_errors", F.array_compact(F.array(*wrong)) if wrong else F.array().cast("array<string>"))
 
 
+_NONE = "array<string>"
+
+
+def _parts(columns: list[Column]) -> Column:
+    return F.concat(F.array().cast(_NONE), *columns)
+
+
+def _finding(condition: Column, rule: str, path: Column) -> Column:
+    """One finding where the condition is known to hold, else none."""
+    return F.when(condition, F.array(F.concat(F.lit(f"{rule}:"), path))).otherwise(F.array().cast(_NONE))
+
+
+def _pointed(root: dict[str, Any], ref: str) -> Any:
+    """The part of a schema that a local reference names."""
+    node: Any = root
+    for part in ref.removeprefix("#").strip("/").split("/"):
+        node = node.get(part.replace("~1", "/").replace("~0", "~")) if isinstance(node, dict) else None
+    return node if ref.startswith("#") else None
+
+
+def schema_findings(value: Column, schema: dict[str, Any], path: Column | None = None, root: dict[str, Any] | None = None, depth: int = 32) -> Column:
+    """What is wrong with a variant ``value`` by a JSON schema, as an array of ``rule:path``.
+
+    The schema is known when the plan is made, so each keyword becomes an expression: $ref (local), allOf, if/then, type,
+    enum, const, minLength, pattern, minimum, maximum, minItems, maxItems, items, required, properties and
+    additionalProperties.  A value of another type is not looked into; a reference that names nothing, or
+    leads through ``depth`` others, is a finding itself.
+    """
+    path, root = F.lit("$") if path is None else path, schema if root is None else root
+    inner = lambda v, s, p: schema_findings(v, s, p, root, depth - 1)
+    if "$ref" in schema:
+        target = _pointed(root, schema["$ref"])
+        return inner(value, target, path) if isinstance(target, dict) and depth else F.array(F.concat(F.lit("$ref:"), path))
+    head = [inner(value, part, path) for part in schema.get("allOf", [])]
+    if "if" in schema and "then" in schema:
+        head.append(F.when(F.size(inner(value, schema["if"], path)) == 0, inner(value, schema["then"], path)).otherwise(F.array().cast(_NONE)))
+
+    named = F.schema_of_variant(value)
+    is_kind = {
+        "object": F.startswith(named, F.lit("OBJECT")), "array": F.startswith(named, F.lit("ARRAY")), "string": named == "STRING", "boolean": named == "BOOLEAN", "null": named == "VOID",
+        "integer": (named == "BIGINT") | F.rlike(named, F.lit(r"^DECIMAL\([0-9]+,0\)$")), "number": (named == "BIGINT") | F.startswith(named, F.lit("DECIMAL")) | named.isin("DOUBLE", "FLOAT"),
+    }
+    kinds = schema.get("type", [])
+    kinds = [kinds] if isinstance(kinds, str) else kinds
+    fits = F.lit(not kinds)
+    for kind in kinds:
+        fits = fits | is_kind[kind]
+
+    rest, as_json = [], lambda x: json.dumps(x, ensure_ascii=False, separators=(",", ":"))
+    said, number = F.to_json(value), F.try_variant_get(value, "$", "double")
+    word, items, members = F.try_variant_get(value, "$", "string"), F.try_variant_get(value, "$", "array<variant>"), F.try_variant_get(value, "$", "map<string,variant>")
+    if "enum" in schema:
+        rest.append(_finding(~said.isin([as_json(x) for x in schema["enum"]]), "enum", path))
+    if "const" in schema:
+        rest.append(_finding(said != as_json(schema["const"]), "const", path))
+    bounds = {"minLength": ("string", lambda n: F.length(word) < n), "pattern": ("string", lambda p: ~F.rlike(word, F.lit(p))), "minimum": ("number", lambda n: number < n), "maximum": ("number", lambda n: number > n), "minItems": ("array", lambda n: F.size(items) < n), "maxItems": ("array", lambda n: F.size(items) > n)}
+    rest += [_finding(is_kind[kind] & test(schema[rule]), rule, path) for rule, (kind, test) in bounds.items() if rule in schema]
+    if isinstance(schema.get("items"), dict):
+        each = F.transform(items, lambda x, i: inner(x, schema["items"], F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))))
+        rest.append(F.when(is_kind["array"], F.flatten(each)).otherwise(F.array().cast(_NONE)))
+    below = lambda key: F.concat(path, F.lit("."), key)
+    known, more = schema.get("properties", {}), schema.get("additionalProperties", True)
+    rest += [_finding(is_kind["object"] & ~F.map_contains_key(members, F.lit(key)), "required", below(F.lit(key))) for key in schema.get("required", [])]
+    rest += [F.when(is_kind["object"] & F.map_contains_key(members, F.lit(key)), inner(F.try_element_at(members, F.lit(key)), own, below(F.lit(key)))).otherwise(F.array().cast(_NONE)) for key, own in known.items()]
+    if more is False or isinstance(more, dict):
+        strange = F.array_sort(F.array_except(F.map_keys(members), F.array(*map(F.lit, known)).cast(_NONE)))
+        found = F.transform(strange, lambda k: F.concat(F.lit("additional:"), below(k))) if more is False else F.flatten(F.transform(strange, lambda k: inner(F.try_element_at(members, k), more, below(k))))
+        rest.append(F.when(is_kind["object"], found).otherwise(F.array().cast(_NONE)))
+    return _parts([*head, F.when(fits, _parts(rest)).otherwise(F.array(F.concat(F.lit("type:"), path)))])
+
+
+def checked_by_schema(df: DataFrame, schema: dict[str, Any], json_col: str = "payload") -> DataFrame:
+    """Add ``findings`` of JSON texts by a schema; a text that is no JSON has the one finding ``unreadable:$``."""
+    value = F.try_parse_json(json_col)
+    return df.withColumn("__v", value).withColumn("findings", F.when(F.col("__v").isNull(), F.array(F.lit("unreadable:$"))).otherwise(schema_findings(F.col("__v"), schema))).drop("__v")
+
+
 #: Names that rules and texts may use: inputs, measures, scores and grades.
 DERIVED = ["monthly_fixed_cost_yen", "building_age_years", "initial_multiple", "initial_multiple_market_delta", "initial_multiple_market_delta_foreigner", "rent_delta_ratio", "benchmark_confidence", "area_access_score_0_100"]
 

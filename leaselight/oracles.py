@@ -314,6 +314,28 @@ def _documents() -> dict[str, str]:
     }
 
 
+def _checks() -> dict[str, str]:
+    """What is wrong with payloads and bundles, from how they were made."""
+    no = "listing_id % 13 <> 0 AND"
+    tests = [
+        (f"{no} prefecture = 'tokyo' AND area_sqm < 20", "minimum:$.area_sqm"), ("listing_id % 9 = 0", "required:$.building_structure"), ("length(prefecture) < 6", "minLength:$.prefecture"), ("layout_type NOT IN ('1R', '1K')", "enum:$.layout_type"),
+        (f"{no} area_sqm < 15", "minimum:$.area_sqm"), (f"{no} area_sqm > 40", "maximum:$.area_sqm"), ("listing_id % 12 = 0", "type:$.rent_yen"), ("listing_id % 4 = 0", "minItems:$.stations"), ("listing_id % 4 = 3", "maxItems:$.stations"),
+        ("listing_id % 9 <> 0 AND NOT regexp_matches(building_structure, '^[a-z]+$')", "pattern:$.building_structure"), ("listing_id % 10 = 0", "additional:$.extra"),
+    ]
+    listed = ", ".join(f"CASE WHEN {when} THEN '{said}' END" for when, said in tests)
+    faults = [
+        (5, "error", "V0_KEY", "S1.fields[2]", "qa_notes"), (5, "error", "QA_NOTES", "S1.fields[2]", "qa_notes"), (4, "error", "V0_KEY", "S1.mvp_required_fields[1]", "ghost"), (3, "error", "INPUT_KEY_UNKNOWN", "S2.features[0]", "unknown"),
+        (6, "error", "JSONLOGIC_VAR", "S2.risk_flag_rules[0]", "nobody"), (7, "error", "SEVERITY", "S2.risk_flag_rules[0]", "huge"), (8, "error", "WHEN_NOT_OBJECT", "S2.what_if_rules[0]", "enabled_if"), (9, "error", "GRADE_ENUM", "S2.grade_thresholds.overall[1]", "Z"),
+        (10, "error", "PLACEHOLDER_V0", "C1.placeholders[1]", "odd"), (10, "error", "PLACEHOLDER_UNDECLARED", "C1.rules[0]", "area"), (11, "warn", "JSONLOGIC_VAR", "C1.rules[0]", "runtime"), (12, "error", "ENUM", "D1.fallback_policy[0]", "sure"),
+    ]
+    found = " UNION ALL ".join(f"SELECT CAST(s_suppkey AS VARCHAR) AS bundle, '{severity}' AS severity, '{code}' AS code, '{place}' AS place, '{name}' AS name FROM supplier WHERE s_suppkey % {n} = 0" for n, severity, code, place, name in faults)
+    return {
+        "schema_checks": f"WITH {_base('subjects')} SELECT listing_id, CASE WHEN listing_id % 50 = 49 THEN 'unreadable:$' ELSE array_to_string(list_filter([{listed}], lambda x: x IS NOT NULL), ',') END AS findings FROM subjects",
+        "bundle_findings": found,
+        "bundle_reports": f"SELECT bundle, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warn') AS warnings, arg_min(code, severity || ' ' || code || ' ' || place) AS first_code FROM ({found}) GROUP BY bundle",
+    }
+
+
 _R = lambda *cols: ", ".join(f"round_even({c}, 6) AS {c}" for c in cols)
 ORACLES: dict[str, str] = {
     "validate_listings": _errors(),
@@ -367,6 +389,7 @@ SELECT a.prefecture, a.municipality, arg_min(known, lpad(CAST(abs(length(a.munic
   CASE orientation WHEN 'UNKNOWN' THEN NULL ELSE orientation END AS orientation, CASE building_structure WHEN 'other' THEN NULL ELSE building_structure END AS building_structure, bathroom_toilet_separate AS bath_separate FROM subjects""",
     "page_lines": f"""SELECT page_id, len(ls) AS n_lines, md5(array_to_string(ls, chr(10))) AS lines_md5 FROM (SELECT page_id, {_page_lines('html')} AS ls FROM pages)""",
     **_documents(),
+    **_checks(),
 }
 #: Evaluation that prefers comparable offers.
 _PREFERRED = ("matched_level", "benchmark_confidence", "benchmark_yen", "benchmark_n_rows", "benchmark_raw_yen")

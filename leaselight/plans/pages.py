@@ -88,3 +88,61 @@ def notes(subjects: DataFrame) -> DataFrame:
     """(``doc``, ``text``): Markdown in which every second listing lacks strengths and every third has a plan."""
     has = lambda n, part: F.when(F.col("listing_id") % n == 0, filled(part)).otherwise("")
     return subjects.select(F.col("listing_id").alias("doc"), F.concat(filled(NOTES), has(2, STRENGTHS), has(3, PLAN)).alias("text"))
+
+
+#: A schema that uses every keyword, and payloads that offend against it.
+SCHEMA = {
+    "type": "object",
+    "allOf": [{"if": {"properties": {"prefecture": {"const": "tokyo"}}}, "then": {"properties": {"area_sqm": {"minimum": 20}}}}],
+    "required": ["building_structure"],
+    "properties": {
+        "prefecture": {"$ref": "#/definitions/place"},
+        "layout_type": {"enum": ["1R", "1K"]},
+        "area_sqm": {"type": ["number", "null"], "minimum": 15, "maximum": 40},
+        "rent_yen": {"type": "integer"},
+        "stations": {"type": "array", "minItems": 1, "maxItems": 2, "items": {"type": "string", "minLength": 3}},
+        "building_structure": {"type": "string", "pattern": "^[a-z]+$"},
+    },
+    "additionalProperties": False,
+    "definitions": {"place": {"type": "string", "minLength": 6}},
+}
+
+
+def payloads(subjects: DataFrame) -> DataFrame:
+    """(``listing_id``, ``payload``): listings as JSON texts, some of them faulty."""
+    n = F.col("listing_id")
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    pairs = {
+        "prefecture": quoted(F.col("prefecture")),
+        "layout_type": quoted(F.col("layout_type")),
+        "area_sqm": F.when(n % 13 == 0, "null").otherwise(F.col("area_sqm").cast("string")),
+        "rent_yen": F.when(n % 12 == 0, quoted(F.col("rent_yen").cast("string"))).otherwise(F.col("rent_yen").cast("string")),
+        "stations": F.concat(F.lit("["), F.array_join(F.array_repeat(F.lit('"S10"'), (n % 4).cast("int")), ","), F.lit("]")),
+        "building_structure": F.when(n % 9 != 0, quoted(F.col("building_structure"))),
+        "extra": F.when(n % 10 == 0, "1"),
+    }
+    said = F.array_compact(F.array(*(F.concat(F.lit(f'"{k}":'), v) for k, v in pairs.items())))
+    return subjects.select("listing_id", F.when(n % 50 == 49, "no json").otherwise(F.concat(F.lit("{"), F.array_join(said, ","), F.lit("}"))).alias("payload"))
+
+
+#: Documents of a bundle: the texts of its parts, with what takes the place of ``@n`` in every n-th bundle and in others.
+BUNDLE = {
+    "S1": '{"fields":[{"key":"rent"},{"key":"area"},{"key":"@5"}],"mvp_required_fields":["rent","@4"]}',
+    "S2": '{"features":[{"input_key":"@3"}],"risk_flag_rules":[{"when":{">":[{"var":"@6"},1]},"outputs":{"risk_flag_id":"DEAR","severity":"@7"}}],"what_if_rules":[{"enabled_if":@8}],"grade_thresholds":{"overall":[{"grade":"A"},{"grade":"@9"}]}}',
+    "C1": '{"placeholders":["{rent}","{@10}"],"rules":[{"when":{"==":[{"var":["@11",0]},1]},"summary":"for {rent} and {area}"}]}',
+    "D1": '{"coverage":{"prefectures":["tokyo"]},"fallback_policy":[{"benchmark_confidence":"@12"}]}',
+    "V0": '{"keys":{"input":{"rent":1,"area":1,"walk":1},"derived":{"multiple":1},"scoring":{},"grades":{}},"enums":{"severity":["high","low"],"grade":["A","B"],"prefecture":["tokyo"],"benchmark_confidence":["low","high"]},"report_placeholders":["{rent}","{area}"],"risk_flags":[{"id":"DEAR"}]}',
+}
+FAULTS = {3: ("unknown", "multiple"), 4: ("ghost", "area"), 5: ("qa_notes", "walk"), 6: ("nobody", "rent"), 7: ("huge", "high"), 8: ('"text"', '{"var":"area"}'), 9: ("Z", "B"), 10: ("odd", "area"), 11: ("runtime", "rent"), 12: ("sure", "low")}
+
+
+def bundles(numbers: DataFrame, key: str) -> DataFrame:
+    """(``bundle``, ``part``, ``document``): a bundle for each number."""
+    def written(text: str) -> Column:
+        out = F.lit(text)
+        for n in sorted(FAULTS, reverse=True):
+            out = F.replace(out, F.lit(f"@{n}"), F.when(F.col(key) % n == 0, FAULTS[n][0]).otherwise(FAULTS[n][1]))
+        return out
+
+    parts = F.explode(F.array(*(F.struct(F.lit(p).alias("part"), written(t).alias("document")) for p, t in BUNDLE.items())))
+    return numbers.select(F.col(key).cast("string").alias("bundle"), parts.alias("p")).select("bundle", "p.part", "p.document")

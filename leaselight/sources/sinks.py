@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import market
+from ..operators import bundles, market
 
 
 def write_market_rows(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -24,10 +24,16 @@ def write_index(index: DataFrame, path: str) -> None:
 
 
 def write_lines(lines: DataFrame, path: str) -> None:
-    """Lines of a report in their order, in one file."""
+    """Lines of a report in their order, in one file: reports are for reading, and short."""
     lines.coalesce(1).write.mode("overwrite").text(path)
 
 
+def write_bundles(parts: DataFrame, path: str) -> None:
+    """Each bundle as one document, and beside it a report of what does not hold together."""
+    bundles.merged(parts).write.mode("overwrite").json(f"{path}/merged")
+    bundles.report(bundles.findings(parts)).write.mode("overwrite").json(f"{path}/coherence")
+
+
 def write_answers(response: DataFrame, path: str) -> None:
     """Nested answers, one JSON object a line."""
     response.write.mode("overwrite").json(path)

@@ -108,6 +108,21 @@ def test_payloads(spark):
     assert (df.first().rent_yen, df.first().area_sqm) == (5, 20.0)
 
 
+def test_json_schemas(spark):
+    schema = {
+        "type": "object", "required": ["id", "kind"], "additionalProperties": False, "definitions": {"id": {"type": "integer"}},
+        "properties": {"id": {"$ref": "#/definitions/id"}, "kind": {"enum": ["a", "b", 3]}, "tags": {"type": "array", "minItems": 1, "maxItems": 2, "items": {"type": "string", "minLength": 2, "pattern": "^x"}}, "n": {"type": ["number", "null"], "minimum": 1, "maximum": 9}, "more": {"type": "object", "additionalProperties": {"type": "integer"}}, "v": {"const": 1}, "lost": {"$ref": "#/nowhere"}},
+        "allOf": [{"if": {"properties": {"kind": {"const": "b"}}, "required": ["kind"]}, "then": {"required": ["n"]}}],
+    }
+    cases = {
+        '{"id":1,"kind":"a"}': [], '{"id":"1","kind":"c","z":1}': ["type:$.id", "enum:$.kind", "additional:$.z"], '{"id":1,"kind":"b"}': ["required:$.n"], '{"id":1,"kind":3,"tags":[]}': ["minItems:$.tags"],
+        '{"id":1,"kind":"a","tags":["x","xy","abc"],"n":0.5}': ["maxItems:$.tags", "minLength:$.tags[0]", "pattern:$.tags[2]", "minimum:$.n"], '{"id":2.5,"kind":"a","n":null,"more":{"q":1,"r":"s"},"v":2}': ["type:$.id", "type:$.more.r", "const:$.v"],
+        "[1]": ["type:$"], "no json": ["unreadable:$"], '{"id":12345678901234567890,"kind":"b","n":10}': ["maximum:$.n"], '{"id":1,"kind":"a","lost":1}': ["$ref:$.lost"], '{"id":true,"kind":"a","n":"1"}': ["type:$.id", "type:$.n"],
+    }
+    found = validate.checked_by_schema(spark.createDataFrame([(c,) for c in cases], "payload string"), schema)
+    assert {r.payload: r.findings for r in found.collect()} == cases
+
+
 def test_content_is_coherent(spark):
     assert validate.incoherent(validate.references(spark), validate.vocabulary(spark)).count() == 0
     df = spark.createDataFrame([("x", [1]), (None, [])], "a string, b array<int>")

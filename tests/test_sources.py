@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from leaselight import spec
-from leaselight.operators import benchmark, documents, market
+from leaselight.operators import benchmark, bundles, documents, market
+from leaselight.plans import pages
 from leaselight.sources import readers, sinks
 from leaselight.streaming import listings as stream
 from tests.test_rules import GOOD, KOIWA, index
@@ -80,3 +81,25 @@ def test_entry(spark):
     assert set(sql) <= set(names) and len(names) >= 30
     assert __spark_entry__.entry(spark).limit(1).count() == 1
     assert spec.load  # a spec file of one's own replaces parts of the built-in one
+
+
+def test_bundles(spark, tmp_path, monkeypatch):
+    one = pages.bundles(spark.range(13, 14), "id")
+    texts = {r.part: r.document for r in one.collect()}
+    (tmp_path / "spec_v0.1.2").mkdir()
+    (tmp_path / "spec_v0.1.2" / bundles.WHOLE).write_text("{" + ",".join(f'"{p}":{d}' for p, d in texts.items()) + "}")
+    (tmp_path / "spec_v0.1.10").mkdir()
+    for part, file in bundles.FILES.items():
+        (tmp_path / "spec_v0.1.10" / file).write_text(texts[part].replace("DEAR", "LOST"))
+    whole, loose = (bundles.read(spark, str(tmp_path / f"spec_v0.1.{n}")) for n in (2, 10))
+    assert {r.part for r in whole.collect()} == {"S1", "S2", "C1", "D1", "V0"} and bundles.findings(whole).count() == 0
+    vocabulary = one.where("part = 'V0'").withColumn("bundle", F.lit(str(tmp_path / "spec_v0.1.10")))
+    found = bundles.findings(loose.unionByName(vocabulary)).collect()
+    assert [(r.code, r.place, r.name) for r in found] == [("RISK_FLAG_ID", "S2.risk_flag_rules[0]", "LOST")]
+    monkeypatch.delenv("SPEC_BUNDLE_DIR", raising=False)
+    folders = ["/x/spec_v0.1.2", "/x/spec_v0.1.10", "/x/other"]
+    assert bundles.newest(folders) == "/x/spec_v0.1.10" and bundles.newest(folders, "/y") == "/y" and bundles.newest([]) is None
+    sinks.write_bundles(loose.unionByName(vocabulary), str(tmp_path / "out"))
+    assert '"errors":1' in spark.read.text(str(tmp_path / "out" / "coherence")).first()[0].replace("\\", "") and spark.read.json(str(tmp_path / "out" / "merged")).count() == 1
+    shapes = spark.createDataFrame([("b", "S1", '{"fields": {}}'), ("b", "C1", '{"rules": [{"id": 1}]}'), ("b", "S2", "no json")], "bundle string, part string, document string")
+    assert sorted((r.code, r.place) for r in bundles.findings(shapes).collect()) == [("NO_ARRAY", "S1.fields"), ("NO_ARRAY", "S2.features"), ("WHEN_NOT_OBJECT", "C1.rules[0]")]
