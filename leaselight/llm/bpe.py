@@ -160,6 +160,7 @@ class WordBpe:
         for token in chain(self.inner, self.final):
             self.reach[token[:2]] = max(self.reach.get(token[:2], 1), len(token))
         self.known: dict[str, tuple[int, ...]] = {}
+        self.special_heads = {s[:2] for s in self.specials}  # a quick test for texts that can hold none
         self.special_at = re.compile("(" + "|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
 
     def _rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -301,7 +302,7 @@ class WordBpe:
         """All ids in one array, and how many of them each text has."""
         rows: list[list[list[str] | int]] = []
         for text in texts:
-            if self.special_at is None or "<|" not in text:
+            if not any(head in text for head in self.special_heads):
                 rows.append([self.split(text)])
             else:
                 rows.append([self.specials[p] if p in self.specials else self.split(p) for p in self.special_at.split(text)])

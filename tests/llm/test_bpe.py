@@ -67,3 +67,10 @@ def test_frames(spark, library):
     assert once.columns == ["doc_id", "ids", "decoded"] and sorted(map(str, once.collect())) == sorted(map(str, bpe.decode(bpe.encode(df, PATH), PATH, drop=("text",)).collect()))
     empty = bpe.encode(df.filter(F.lit(False)), PATH, ids_col="tokens")
     assert empty.columns == ["doc_id", "text", "IDS", "tokens"] and empty.count() == 0
+
+
+def test_special_tokens_of_another_vocabulary():
+    """Which texts may hold special tokens follows from the vocabulary, not from how one family writes them."""
+    description = open(PATH, encoding="utf-8").read().replace("<|startoftext|>", "[START]").replace("<|endoftext|>", "~end~")
+    model, library = bpe.WordBpe(description), Tokenizer.from_str(description)
+    same(model, library, ["a [START] b~end~", "[START]", "[STAR T] ~en", "plain <|endoftext|>", "x~end~~end~y"])
