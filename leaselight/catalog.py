@@ -116,6 +116,39 @@ def evaluate_live(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("listing_id", "matched_level", "benchmark_confidence", "benchmark_total_yen", "overall_score", "overall_grade", "template_id")
 
 
+def comparables_paged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As pages would be read: a step ends with the page on which it has found enough."""
+    subjects = derive.with_measures(frame(spark, sf_dir, "subjects"), AS_OF_YEAR)
+    return comparables.live_benchmark(subjects, frame(spark, sf_dir, "offers"), "lines", stop_pages=True).select(*LIVE)
+
+
+def comparables_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With detail pages for offers that lack a structure or bath."""
+    offers = frame(spark, sf_dir, "offers").withColumn("detail_url", F.col("pos").cast("string"))
+    details = offers.where("pos % 2 = 0").select("detail_url", "orientation", F.lit("rc").alias("building_structure"), F.lit(True).alias("bathroom_toilet_separate")).distinct()
+    subjects = derive.with_measures(frame(spark, sf_dir, "subjects"), AS_OF_YEAR)
+    return comparables.live_benchmark(subjects, offers, "cassette", details=details).select(*LIVE)
+
+
+def imputation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return market.imputation_counts(_collected(spark, sf_dir), missing_combinations(spark, sf_dir))
+
+
+def parsed_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses, ways to stations and search links, written from listings and read again."""
+    n = F.col("listing_id")
+    said = frame(spark, sf_dir, "subjects").withColumns({"address": pages.filled(pages.ADDRESS), "way": pages.filled(pages.ACCESS), "code": F.lpad(n % 100_000, 5, "0"), "hidden": pages.filled('<input value=" {area} " class="senMenseki">')})
+    url = text.search_url("https://search.example/", ta=F.element_at(F.create_map(*(F.lit(v) for code, name in text.SEARCH_PREFECTURES.items() for v in (name, code))), F.col("prefecture")), ct=F.round(F.col("rent_yen") / 10_000), mt=F.col("area_sqm"), et=F.nullif("station_walk_min", F.lit(0)), cn=F.when(n % 2 == 0, 9999).otherwise(n % 45))
+    asked = text.search_fields(url)
+    near = text.accesses(F.col("way"))
+    return said.select(
+        "listing_id", text.prefecture(F.col("address")).alias("prefecture"), text.municipality(F.col("address")).alias("municipality"), F.array_join(F.transform(near, lambda a: F.concat_ws(":", a["station"], a["walk_min"])), ",").alias("near"),
+        text.walk_least(F.col("way")).alias("least_walk"), text.station(F.lit("なん ば駅")).alias("station"), text.similar_station(F.lit("難波"), F.lit("なんば駅")).alias("similar"), text.area_code(F.concat(F.lit("https://e.example/area/"), "code", F.lit("/list"))).alias("code"),
+        text.number(text.hidden_value(F.col("hidden"), "senMenseki")).alias("hidden_area"), asked["prefecture"].alias("asked_prefecture"), asked["rent_max_man"].alias("asked_rent"), asked["area_max"].alias("asked_area"), asked["station_walk_min"].alias("asked_walk"), asked["building_age_max"].alias("asked_age"),
+        text.decoded(F.encode(F.col("address"), "UTF-8")).alias("decoded"),
+    )
+
+
 def reject_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comparables.reject_counts(derive.with_measures(frame(spark, sf_dir, "subjects"), AS_OF_YEAR), frame(spark, sf_dir, "offers"), "cassette")
 
@@ -271,6 +304,8 @@ QUERIES: dict[str, Query] = {
     "fee_scenarios": fee_scenarios,
     "risk_chips": risk_chips,
     **{f"comparables_{d}": live(d) for d in comparables.LADDERS},
+    "comparables_paged": comparables_paged,
+    "comparables_enriched": comparables_enriched,
     "provider_fallback": provider_fallback,
     "evaluate_live": evaluate_live,
     "reject_counts": reject_counts,
@@ -283,13 +318,16 @@ QUERIES: dict[str, Query] = {
     "coverage": lambda spark, sf_dir: market.coverage(_wanted(spark, sf_dir), _collected(spark, sf_dir, spec.MIN_SAMPLES)),
     "structure_ratio_stats": lambda spark, sf_dir: market.ratio_stats(market.structure_ratios(_collected(spark, sf_dir))),
     "imputed_rents": imputed_rents,
+    "imputation_counts": imputation_counts,
     "merged_rows": merged_rows,
     "collection_template": market_rows(market.template),
+    "full_template": market_rows(lambda rows: market.template(rows, layouts=spec.LAYOUTS)),
     "structure_ordering": lambda spark, sf_dir: market.ordering(_collected(spark, sf_dir)),
-    "market_summary": market_rows(market.summary),
+    "market_summary": market_rows(lambda rows: market.summary(rows, order=("l_orderkey", "l_linenumber"))),
     "structure_counts": market_rows(market.counts_by_structure),
     "closest_municipality": closest_municipality,
     "parsed_offers": parsed_offers,
+    "parsed_places": parsed_places,
     "page_lines": page_lines,
     "cassette_rooms": cassette_rooms,
     "collected_rents": collected_rents,

@@ -239,7 +239,8 @@ def live_benchmark(subjects: DataFrame, offers: DataFrame, dialect: str, least:
     and fields) fills what offers lack, up to ``budget`` rows in all.  With
     ``stop_pages`` a step counts only offers up to the page on which it has found enough.
     """
-    offers = cut(offers if details is None else enrich(offers, details, budget=budget))
+    known = ["station_name", *EQUAL.values(), "building_type", "area_sqm", "building_age_years", "walk_min", "rent_yen", "admin_fee_yen", "page"]
+    offers = cut((offers if details is None else enrich(offers, details, budget=budget)).select(*PLACE, *known))
     used = ["listing_id", *PLACE, "area_sqm", "building_age_years", "station_walk_min", "building_structure", "nearest_station_name", "orientation", "bathroom_toilet_separate"]
     ladder = subjects.withColumns({c: F.lit(None).cast(subjects.schema[c].dataType) for c in skip}).withColumn("layout_type", F.upper("layout_type")).select(*used)
     pairs = cut(contained_pairs(ladder.select(F.col("nearest_station_name").alias("station")), offers.select("station_name"), dialect))

@@ -84,13 +84,28 @@ def impute(rents: DataFrame, wanted: DataFrame, value: str = "rent_yen", least:
     return made.select(*KEY, "rc_rent", F.bround("ratio", 6).alias("ratio"), F.bround(F.col("rc_rent") * F.col("ratio"), -2).cast("bigint").alias("avg_rent_yen"), F.lit("estimated_from_rc").alias("source_name"), F.lit("estimate").alias("confidence"))
 
 
-def template(rows: DataFrame, structures: Iterable[str] = spec.STRUCTURES[:5], municipality_prefix: str = "", sources: Iterable[str] = ()) -> DataFrame:
-    """A row to fill in for each place, layout, source and structure, with the all-structure rent where one is known."""
+def imputation_counts(rents: DataFrame, wanted: DataFrame, value: str = "rent_yen", least: int = 3) -> DataFrame:
+    """How many missing combinations are filled, and how many are not for want of a base rent or of a ratio."""
+    made = impute(rents, wanted, value, least).select(*KEY, F.lit("filled").alias("outcome"))
+    base = rents.where(f"building_structure = 'rc' AND {value} > 0").select(*PLACE, F.lit(True).alias("based")).distinct()
+    marked = wanted.join(made, KEY, "left").join(base, PLACE, "left")
+    return marked.groupBy(F.coalesce("outcome", F.when(F.col("based"), "no_ratio").otherwise("no_base")).alias("outcome")).agg(F.count("*").alias("n"))
+
+
+def template(rows: DataFrame, structures: Iterable[str] = spec.STRUCTURES[:5], municipality_prefix: str = "", sources: Iterable[str] = (), layouts: Iterable[str] | None = None) -> DataFrame:
+    """A row to fill in for each place, layout, source and structure, with the all-structure rent where one is known.
+
+    With ``layouts`` the grid is full: every municipality with each of them and each source of its prefecture.
+    """
     base = rows.where("building_structure = 'all' AND coalesce(prefecture, '') <> ''").where(F.startswith("municipality", F.lit(municipality_prefix)))
     sources = list(sources)
     if sources:
         base = base.where(F.exists(F.array(*map(F.lit, sources)), lambda s: F.contains("source_name", s)))
     known = last_by_key(base, [*PLACE, "source_name"], ["source_updated_at", "avg_rent_yen"], "avg_rent_yen")
+    if layouts is not None:
+        places = base.select("prefecture", "municipality").where("coalesce(municipality, '') <> ''").distinct().withColumn("layout_type", F.explode(F.array(*map(F.lit, layouts))))
+        wanted = places.join(base.select("prefecture", "source_name").where("coalesce(source_name, '') <> ''").distinct(), "prefecture")
+        known = wanted.join(known, [*PLACE, "source_name"], "left")
     return known.withColumn("building_structure", F.explode(F.array(*map(F.lit, structures)))).withColumnRenamed("avg_rent_yen", "base_rent_yen").select(*KEY, "source_name", "base_rent_yen")
 
 
@@ -100,14 +115,17 @@ def ordering(rents: DataFrame, low: str = "wood", high: str = "rc", value: str =
     return two.where(f"{low}_rent IS NOT NULL AND {high}_rent IS NOT NULL").withColumn("as_expected", F.col(f"{low}_rent") < F.col(f"{high}_rent"))
 
 
-def summary(rows: DataFrame, notes: int = 3) -> DataFrame:
-    """Rows, distinct sources and prefectures, the latest dates and the first distinct notes of a data set, in one row."""
-    return rows.agg(
-        F.count("*").alias("n_rows"),
-        F.array_join(F.array_sort(F.collect_set("source_name")), ",").alias("sources"),
-        F.array_join(F.array_sort(F.collect_set("prefecture")), ",").alias("prefectures"),
-        F.max("source_updated_at").alias("latest"),
-    ).join(rows.select("method_notes").where("coalesce(method_notes, '') <> ''").distinct().orderBy("method_notes").limit(notes).agg(F.array_join(F.array_sort(F.collect_list("method_notes")), ",").alias("notes")))
+def summary(rows: DataFrame, notes: int = 3, order: tuple[str, ...] = ("collected_at", "source_updated_at")) -> DataFrame:
+    """Rows, distinct sources and prefectures, the latest dates and the first distinct notes of a data set, in one row.
+
+    Notes are taken by where they appear first in ``order``; a date of fewer than eight characters is none.
+    """
+    named = lambda c: F.array_join(F.array_sort(F.collect_set(F.nullif(c, F.lit("")))), ",").alias(f"{c}s".replace("source_name", "source"))
+    latest = lambda c: F.max(F.when(F.length(c) >= 8, F.col(c))).alias(f"latest_{c}")
+    figures = rows.agg(F.count("*").alias("n_rows"), named("source_name"), named("prefecture"), latest("source_updated_at"), latest("collected_at"))
+    first = rows.where("coalesce(method_notes, '') <> ''").groupBy("method_notes").agg(F.min(F.struct(*order)).alias("at")).orderBy("at", "method_notes").limit(notes)
+    said = first.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "method_notes"))), lambda x: x["method_notes"]), ",").alias("notes"))
+    return figures.crossJoin(said)  # one row each
 
 
 def counts_by_structure(rows: DataFrame) -> DataFrame:

@@ -181,17 +181,21 @@ def _robust(value: str) -> str:
     return f"""CAST(round_even(CASE WHEN count({value}) >= 3 AND min({value}) > 0 AND max({value}) / min({value}) > {_d(spec.OUTLIER_RATIO)} THEN median({value}) ELSE (min({value}) + max({value})) / 2 END, 0) AS BIGINT)"""
 
 
-def _live(dialect: str) -> str:
+def _live(dialect: str, paged: bool = False) -> str:
+    """The ladder of a dialect; ``paged``: of the offers that pass, those up to the page on which there are enough."""
     p = dialect[0]
+    one = f"(SELECT listing_id, rent_yen, admin_fee_yen, area_sqm, min(step) AS step FROM {p}1 GROUP BY ALL)" if paged else f"{p}1"
+    passing = f"""(SELECT * FROM (SELECT *, min(page) FILTER (nth = 2) OVER (PARTITION BY listing_id) AS stop FROM (SELECT *, row_number() OVER (PARTITION BY listing_id ORDER BY page) AS nth FROM (
+    SELECT listing_id, rent_yen, admin_fee_yen, area_sqm, min(page) AS page FROM {p}1 JOIN {p}2 USING (listing_id) WHERE step <= chosen_step GROUP BY ALL))) WHERE stop IS NULL OR page <= stop) x JOIN {p}2 USING (listing_id)""" if paged else f"{p}1 JOIN {p}2 USING (listing_id) WHERE step <= chosen_step"
     cases = " ".join(f"WHEN {_ladder(dialect, k)} THEN {k}" for k in range(comparables.STEPS))
     return f"""{p}1 AS (
-  SELECT s.listing_id, c.rent_yen, c.admin_fee_yen, c.area_sqm, min(CASE {cases} END) AS step
+  SELECT s.listing_id, c.rent_yen, c.admin_fee_yen, c.area_sqm, {"c.page, " if paged else ""}min(CASE {cases} END) AS step
   FROM m s JOIN offers c ON s.prefecture = c.prefecture AND s.municipality = c.municipality AND s.layout_type = c.layout_type GROUP BY ALL HAVING step IS NOT NULL
 ), {p}2 AS (
-  SELECT listing_id, CASE WHEN count(*) FILTER (step <= 0) >= 2 THEN 0 WHEN count(*) FILTER (step <= 1) >= 2 THEN 1 WHEN count(*) FILTER (step <= 2) >= 2 THEN 2 ELSE 3 END AS chosen_step FROM {p}1 GROUP BY listing_id
+  SELECT listing_id, CASE WHEN count(*) FILTER (step <= 0) >= 2 THEN 0 WHEN count(*) FILTER (step <= 1) >= 2 THEN 1 WHEN count(*) FILTER (step <= 2) >= 2 THEN 2 ELSE 3 END AS chosen_step FROM {one} GROUP BY listing_id
 ), {p}3 AS (
   SELECT listing_id, chosen_step, count(*) AS n, {_robust('(rent_yen + admin_fee_yen)')} AS benchmark_yen, {_robust('rent_yen')} AS benchmark_rent_yen
-  FROM {p}1 JOIN {p}2 USING (listing_id) WHERE step <= chosen_step GROUP BY listing_id, chosen_step
+  FROM {passing} GROUP BY listing_id, chosen_step
 ), live_{dialect} AS (
   SELECT listing_id, chosen_step, coalesce(n, 0) AS n, benchmark_yen, benchmark_rent_yen,
     CASE WHEN coalesce(n, 0) < 2 THEN 'none' WHEN chosen_step = 0 THEN CASE WHEN n >= 3 THEN 'high' ELSE 'mid' END WHEN chosen_step = 1 THEN CASE WHEN n >= 3 THEN 'mid' ELSE 'low' END ELSE 'low' END AS benchmark_confidence,
@@ -300,7 +304,11 @@ def _documents() -> dict[str, str]:
     nl = "chr(10) || chr(10)"
     n = f"""{told}, n AS (SELECT listing_id AS doc, '## Q1. reason' || {nl} || {reason} || {nl} || '## Q2. strong' || {nl} || CASE WHEN {even} THEN '### Strengths' || {nl} || {strong} || {nl} || '### More strengths' || {nl} || 'floor ' || floor_no ELSE '> TODO' END
   || {nl} || '## Q3. plan' || {nl} || CASE WHEN listing_id % 3 = 0 THEN {plan} ELSE '> TODO' END || chr(10) AS normalised, list_filter([CASE WHEN NOT {even} THEN 'strong' END, CASE WHEN listing_id % 3 <> 0 THEN 'plan' END], lambda x: x IS NOT NULL) AS gone FROM t)"""
+    names = {"saitama": "埼玉県", "tokyo": "東京都", "chiba": "千葉県", "kanagawa": "神奈川県", "osaka": "大阪府"}
+    address = "'〒000 ' || CASE prefecture " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in names.items()) + f" END || {town} || '本町3-1'"
     return {
+        "parsed_places": f"""{told} SELECT listing_id, prefecture, {town} AS municipality, st || ':' || CASE WHEN true THEN walk END AS near, walk AS least_walk, '難波' AS station, true AS similar, lpad(CAST(listing_id % 100000 AS VARCHAR), 5, '0') AS code, area_sqm AS hidden_area,
+  prefecture AS asked_prefecture, CASE WHEN round(rent_yen / 10000e0) > 0 THEN round(rent_yen / 10000e0) END AS asked_rent, area_sqm AS asked_area, CASE WHEN walk > 0 THEN walk END AS asked_walk, CASE WHEN listing_id % 2 = 1 AND age > 0 THEN age END AS asked_age, {address} AS decoded FROM t""",
         "cassette_rooms": f"{told} {cassette}",
         "collected_rents": f"{told}, rooms AS ({cassette}) SELECT building_structure, layout_type, count(*) AS n, CAST(sum(rent_yen) AS BIGINT) AS rents FROM rooms WHERE building_structure IS NOT NULL GROUP BY ALL",
         "block_rooms": f"{told} {block}",
@@ -380,8 +388,17 @@ SELECT * FROM e UNION ALL (SELECT * FROM i EXCEPT SELECT * FROM e)""",
     "collection_template": f"""{_MARKET}, t AS (SELECT prefecture, municipality, layout_type, source_name, arg_max(avg_rent_yen, source_updated_at || lpad(CAST(avg_rent_yen AS VARCHAR), 12, '0')) AS base_rent_yen FROM market WHERE building_structure = 'all' GROUP BY ALL)
 SELECT prefecture, municipality, layout_type, s.building_structure, source_name, base_rent_yen FROM t, (SELECT unnest({spec.STRUCTURES[:5]}) AS building_structure) s""",
     "structure_ordering": f"{_MARKET}, {_COLLECTED} SELECT prefecture, municipality, layout_type, max(rent_yen) FILTER (building_structure = 'wood') AS wood_rent, max(rent_yen) FILTER (building_structure = 'rc') AS rc_rent, wood_rent < rc_rent AS as_expected FROM r GROUP BY ALL HAVING wood_rent IS NOT NULL AND rc_rent IS NOT NULL",
-    "market_summary": f"""{_MARKET} SELECT count(*) AS n_rows, string_agg(DISTINCT source_name, ',' ORDER BY source_name) AS sources, string_agg(DISTINCT prefecture, ',' ORDER BY prefecture) AS prefectures, max(source_updated_at) AS latest,
-  (SELECT string_agg(method_notes, ',' ORDER BY method_notes) FROM (SELECT DISTINCT method_notes FROM market WHERE coalesce(method_notes, '') <> '' ORDER BY 1 LIMIT 3)) AS notes FROM market""",
+    "market_summary": f"""{_MARKET} SELECT count(*) AS n_rows, string_agg(DISTINCT source_name, ',' ORDER BY source_name) AS sources, string_agg(DISTINCT prefecture, ',' ORDER BY prefecture) AS prefectures, max(source_updated_at) AS latest_source_updated_at, max(collected_at) AS latest_collected_at,
+  (SELECT string_agg(method_notes, ',' ORDER BY seen, method_notes) FROM (SELECT method_notes, min(l_orderkey * 10 + l_linenumber) AS seen FROM market WHERE coalesce(method_notes, '') <> '' GROUP BY method_notes ORDER BY seen, method_notes LIMIT 3)) AS notes FROM market""",
+    "full_template": f"""{_MARKET}, b AS (SELECT * FROM market WHERE building_structure = 'all'), t AS (SELECT prefecture, municipality, layout_type, source_name, arg_max(avg_rent_yen, source_updated_at || lpad(CAST(avg_rent_yen AS VARCHAR), 12, '0')) AS base_rent_yen FROM b GROUP BY ALL),
+  w AS (SELECT * FROM (SELECT DISTINCT prefecture, municipality FROM b) JOIN (SELECT DISTINCT prefecture, source_name FROM b) USING (prefecture), (SELECT unnest({spec.LAYOUTS}) AS layout_type) l)
+SELECT prefecture, municipality, layout_type, s.building_structure, source_name, base_rent_yen FROM w LEFT JOIN t USING (prefecture, municipality, layout_type, source_name), (SELECT unnest({spec.STRUCTURES[:5]}) AS building_structure) s""",
+    "imputation_counts": f"""{_MARKET}, {_COLLECTED}, {_GRID}, {_RATIOS}, gone AS (SELECT w.* FROM w ANTI JOIN have USING (prefecture, municipality, layout_type, building_structure)), base AS (SELECT DISTINCT prefecture, municipality, layout_type FROM r WHERE building_structure = 'rc' AND rent_yen > 0),
+n1 AS (SELECT layout_type, building_structure FROM q GROUP BY ALL HAVING count(*) >= 3), n2 AS (SELECT building_structure FROM q GROUP BY ALL HAVING count(*) >= 3)
+SELECT CASE WHEN base.prefecture IS NULL THEN 'no_base' WHEN n1.layout_type IS NOT NULL OR n2.building_structure IS NOT NULL OR gone.building_structure IN ({', '.join(f"'{k}'" for k in spec.IMPUTATION_RATIOS)}) THEN 'filled' ELSE 'no_ratio' END AS outcome, count(*) AS n
+FROM gone LEFT JOIN base USING (prefecture, municipality, layout_type) LEFT JOIN n1 ON n1.layout_type = gone.layout_type AND n1.building_structure = gone.building_structure LEFT JOIN n2 ON n2.building_structure = gone.building_structure GROUP BY 1""",
+    "comparables_paged": f"{_LIVE_BASE},\n{_live('lines', paged=True)} SELECT {_LIVE_COLS} FROM live_lines",
+    "comparables_enriched": f"{_LIVE_BASE.replace('offers AS (', 'found_offers AS (')}, offers AS (SELECT * EXCLUDE (building_structure, bathroom_toilet_separate), coalesce(building_structure, CASE WHEN pos % 2 = 0 THEN 'rc' END) AS building_structure, coalesce(bathroom_toilet_separate, CASE WHEN pos % 2 = 0 THEN true END) AS bathroom_toilet_separate FROM found_offers),\n{_live('cassette')} SELECT {_LIVE_COLS} FROM live_cassette",
     "structure_counts": f"{_MARKET} SELECT building_structure, count(*) AS n_rows FROM market GROUP BY ALL",
     "closest_municipality": f"""{_MARKET}, a AS (SELECT DISTINCT prefecture, municipality || ' ward' AS municipality FROM market), b AS (SELECT DISTINCT prefecture, municipality AS known FROM market)
 SELECT a.prefecture, a.municipality, arg_min(known, lpad(CAST(abs(length(a.municipality) - length(known)) AS VARCHAR), 6, '0') || known) AS known FROM a JOIN b ON a.prefecture = b.prefecture AND (contains(a.municipality, known) OR contains(known, a.municipality)) GROUP BY ALL""",

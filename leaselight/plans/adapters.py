@@ -16,7 +16,8 @@ _ORIENTATION = "CASE {k} % 9 WHEN 0 THEN 'N' WHEN 1 THEN 'NE' WHEN 2 THEN 'E' WH
 MARKET = f"""
 SELECT {_PREFECTURE} AS prefecture, n_name AS municipality, {_LAYOUT.format(k='p_partkey')} AS layout_type,
   {_STRUCTURE.format(k='p_size', last='all')} AS building_structure, CAST(round(l_extendedprice) AS BIGINT) AS avg_rent_yen,
-  concat('source', CAST(l_linenumber AS STRING)) AS source_name, substr(CAST(l_shipdate AS STRING), 1, 10) AS source_updated_at, s_name AS method_notes,
+  concat('source', CAST(l_linenumber AS STRING)) AS source_name, substr(CAST(l_shipdate AS STRING), 1, 10) AS source_updated_at,
+  concat(substr(CAST(l_shipdate AS STRING), 1, 8), '2', CAST(l_linenumber AS STRING)) AS collected_at, s_name AS method_notes,
   l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, p_size, year(l_shipdate) AS ship_year, l_tax
 FROM {{lineitem}} JOIN {{part}} ON l_partkey = p_partkey JOIN {{supplier}} ON l_suppkey = s_suppkey
   JOIN {{nation}} ON s_nationkey = n_nationkey JOIN {{region}} ON n_regionkey = r_regionkey"""

@@ -146,3 +146,8 @@ def bundles(numbers: DataFrame, key: str) -> DataFrame:
 
     parts = F.explode(F.array(*(F.struct(F.lit(p).alias("part"), written(t).alias("document")) for p, t in BUNDLE.items())))
     return numbers.select(F.col(key).cast("string").alias("bundle"), parts.alias("p")).select("bundle", "p.part", "p.document")
+
+
+#: Addresses, ways and links of a listing, as texts.
+ADDRESS = "〒000 {prefecture}{municipality}本町3-1"
+ACCESS = "みどり線 {station}駅 徒歩{more_walk}分 / あお線 新 {station}駅 歩{walk}分"
