@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -13,6 +15,13 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 SLICE_CHARS = 2_000_000
 
 
+def give_back() -> None:
+    """Return what a task has freed to the system: workers live on between tasks, and would keep the most that they ever held."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_slices(texts: pa.Array, limit: int = SLICE_CHARS) -> Iterator[list[str]]:
     """The batch as lists of strings (null: empty), each of about ``limit`` characters at most.
 
@@ -61,6 +70,8 @@ def map_slices(df: DataFrame, cols: str | tuple[str, ...], fields: T.StructType,
                 part = batch.slice(start, stop - start)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-n], *work(*part.columns[-n:])], names)
                 start = stop
+        del work
+        give_back()
 
     return source.mapInArrow(run, schema)
 
@@ -85,23 +96,23 @@ def with_struct(df: DataFrame, value: Column, fields: T.StructType, rename: dict
     return df.select(*keep, value.alias(hidden)).select(*keep, *(F.col(hidden)[k].alias(v) for k, v in names.items()))
 
 
-def replaced(text: Column, spans: Column, by: str) -> Column:
-    """``text`` with every stretch that ``spans`` (structs of two places in code points, by start) cover replaced by ``by``, overlapping ones as one.
+def cut_out(text: str, spans: list[tuple[int, int]], by: str) -> str:
+    """``text`` with every stretch of sorted ``spans`` replaced, overlapping ones as one; pieces are cut once from left to right."""
+    at, pieces = 0, []
+    for a, b in spans:
+        if a >= at:
+            pieces += [text[at:a], by]
+        at = max(at, b)
+    return "".join([*pieces, text[at:]]) if pieces else text
 
-    Pieces are cut once from left to right, so a long text with many spans costs its length.
-    """
+
+def replaced(text: Column, spans: Column, by: str) -> Column:
+    """``text`` with every stretch that ``spans`` (structs whose last two fields are places in code points) cover replaced by ``by``."""
 
     @F.arrow_udf(T.StringType())
-    def cut_out(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, rows in batches:
-            out = []
-            for text, row in zip(texts, rows):
-                own, at, pieces = text.as_py(), 0, []
-                for a, b in sorted(tuple(s.values())[-2:] for s in row.as_py() or []) if own else []:
-                    if a >= at:
-                        pieces += [own[at:a], by]
-                    at = max(at, b)
-                out.append("".join([*pieces, own[at:]]) if pieces else own)
-            yield pa.array(out, pa.string())
-
-    return cut_out(text, spans)
+            yield pa.array([None if not t.is_valid else cut_out(t.as_py(), sorted(tuple(s.values())[-2:] for s in r.as_py() or []), by) for t, r in zip(texts, rows)], pa.string())
+        give_back()
+
+    return cut(text, spans)

@@ -36,7 +36,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .arrow import text_slices, with_struct
+from .arrow import give_back, text_slices, with_struct
 from .scratch import cut
 
 BITS = 64
@@ -134,6 +134,7 @@ def with_profiles(df: DataFrame, text_col: str = "text", shingle: int = 5) -> Da
             rows = [_profile(shingle_hashes(t, shingle)) for part in text_slices(texts) for t in part]
             prints = np.array([r[0] for r in rows], dtype=np.uint64).view(np.int64)
             yield pa.StructArray.from_arrays([pa.array(prints), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.list_(pa.int64())), pa.array([r[3] for r in rows], pa.int64())], _PROFILE.names)
+        give_back()
 
     return with_struct(df, profiles(F.col(text_col)), _PROFILE)
 
@@ -308,6 +309,7 @@ def linked_by(verifier: Callable[[pa.Table], Callable[[int, np.ndarray], np.ndar
             label = link_alike(home[a:b], verifier(table.slice(a, b - a)))
             moved = np.flatnonzero(label != np.arange(b - a))
             found.append((nodes[a + moved], nodes[a + label[moved]]))
+        give_back()
         return pa.table({"a": np.concatenate([f[0] for f in found]), "b": np.concatenate([f[1] for f in found])})
 
     return linked

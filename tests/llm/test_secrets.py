@@ -62,6 +62,8 @@ def test_frames(spark):
     got = sorted((r.doc_id, r.text, len(r.spans)) for r in out.collect() if r.text)
     assert got == [(1, "[SECRET] and é [SECRET].", 2)] * 2
     assert {(r.doc_id, r.text) for r in out.collect() if not r.text} == {(2, None), (3, "")}
+    key = lambda r: (r.doc_id, r.text or "", r.text is None)
+    assert sorted(map(key, secrets.mask(df).collect())) == sorted(map(key, out.collect())) and secrets.mask(df).columns == df.columns
     assert secrets.find(df.filter(F.lit(False))).count() == 0
     overlapping = spark.createDataFrame([(1, "password=" + "0123456789abcdef" * 3)], "doc_id long, text string")
     assert secrets.redact(secrets.find(overlapping)).first().text == "[SECRET]"
