@@ -14,6 +14,7 @@ when offers get dense: the pairs grow with the offers, not with their product.
 from __future__ import annotations
 
 import functools
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -103,7 +104,7 @@ def _meets(limit: Column, condition: Column) -> Column:
     return limit.isNull() | F.coalesce(condition, F.lit(False))
 
 
-def conditions(w: Column, dialect: str = "lines") -> list[tuple[str, Column]]:
+def conditions(w: Mapping[str, Column], dialect: str = "lines") -> list[tuple[str, Column]]:
     """What an offer must meet, in the order in which it is checked; a missing building type passes."""
     return [
         ("area", _meets(w["area_low"], F.col("area_sqm").between(w["area_low"], w["area_high"]))),
@@ -117,9 +118,9 @@ def conditions(w: Column, dialect: str = "lines") -> list[tuple[str, Column]]:
     ]
 
 
-def _passes(w: Column, dialect: str) -> Column:
-    """All conditions but that on stations, which the join by pairs of names has settled."""
-    return functools.reduce(Column.__and__, (c for name, c in conditions(w, dialect) if name != "station"))
+def _passes(w: Mapping[str, Column]) -> Column:
+    """The conditions that the join of ``candidates`` has not settled."""
+    return functools.reduce(Column.__and__, (c for name, c in conditions(w) if name in ("area", "age", "walk", "building_type")))
 
 
 def needs_enrichment(w: Column) -> Column:
@@ -175,31 +176,37 @@ def contained_pairs(wanted_names: DataFrame, offered_names: DataFrame, dialect:
 
 
 def candidates(profiles: DataFrame, offers: DataFrame, pairs: DataFrame, dialect: str, step: int) -> DataFrame:
-    """Offers that have all that a profile (``PROFILE``, ``PLACE``, ``want``) asks to be equal, and an area of a class that it reaches; not filtered yet."""
+    """Offers that have all that a profile (``PROFILE``, ``PLACE``, ``want``) asks to be equal, and an area of a class that it reaches; not filtered yet.
+
+    Both sides travel as numbers: what must be equal is one key of 128 bits, and only the limits that are left go with it.
+    """
     active = {k for k, last in LADDERS[dialect].items() if step <= last}
     parts = [k for k in EQUAL if k in active]
     # an offer stands under its value and, if any profile does not care, under ANY
-    free = profiles.agg(*(F.coalesce(F.bool_or(F.col(f"want.{k}").isNull()), F.lit(False)).alias(k) for k in parts)).first() if parts else {}
+    free = profiles.agg(*(F.coalesce(F.bool_or(F.col(f"want.{k}").isNull()), F.lit(False)).alias(k) for k in (*parts, "station"))).first()
     value = lambda c: F.coalesce(c.cast("string"), F.lit(ANY))
-    of = offers.withColumn("layout_type", F.upper("layout_type"))
-    own = profiles
-    keys = [*PLACE]
+    limits = [k for k in WANTED if k in ("area_low", "area_high", "age_max", "walk_low", "walk_high", "building_type")]
+    placed = " AND ".join(f"{c} IS NOT NULL" for c in PLACE)
+    own = profiles.where(placed).select(*PROFILE, *PLACE, *(F.col(f"want.{k}").alias(f"want_{k}") for k in limits), F.col("want.station").alias("station"), *(value(F.col(f"want.{k}")).alias(k) for k in parts))
+    of = offers.where(placed).select(F.col("prefecture"), "municipality", F.upper("layout_type").alias("layout_type"), "station_name", *(value(F.col(EQUAL[k])).alias(f"__{k}") for k in parts), "area_sqm", "building_age_years", "walk_min", "building_type", "rent_yen", "admin_fee_yen", "page")
+    keys = [*PLACE, *parts]
     for k in parts:
-        own = own.withColumn(f"__{k}", value(F.col(f"want.{k}")))
-        options = F.array(value(F.col(EQUAL[k])), F.lit(ANY)) if free[k] else F.array(value(F.col(EQUAL[k])))
-        of = of.withColumn(f"__{k}", F.explode(F.array_distinct(options)))
-        keys.append(f"__{k}")
+        of = of.withColumn(k, F.explode(F.array_distinct(F.array(f"__{k}", F.lit(ANY)))) if free[k] else F.col(f"__{k}"))
     if "area" in active:
-        low, high = (F.floor(F.col(f"want.{k}") / AREA_CLASS) for k in ("area_low", "area_high"))
-        own = own.withColumn("__area", F.explode(F.when(low.isNotNull(), F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))))
-        of = of.withColumn("__area", F.floor(F.col("area_sqm") / AREA_CLASS))
-        keys.append("__area")
-    hidden = [k for k in keys if k.startswith("__")]
+        low, high = (F.floor(F.col(f"want_{k}") / AREA_CLASS) for k in ("area_low", "area_high"))
+        own = own.where(low.isNotNull()).withColumn("area_class", F.explode(F.sequence(low, high)))
+        of = of.where("area_sqm IS NOT NULL").withColumn("area_class", F.floor(F.col("area_sqm") / AREA_CLASS))
+        keys.append("area_class")
+
+    def met(own: DataFrame, more: list[str]) -> DataFrame:
+        named = lambda df: df.withColumns({"key": F.xxhash64(*keys, *more), "key_2": F.xxhash64(F.lit("second"), *keys, *more)})
+        slim = named(own).select("key", "key_2", *PROFILE, *(f"want_{k}" for k in limits))
+        return slim.join(named(of).select("key", "key_2", "area_sqm", "building_age_years", "walk_min", "building_type", "rent_yen", "admin_fee_yen", "page"), ["key", "key_2"])
+
     if "station" not in active:
-        return own.join(of, keys).drop(*hidden)
-    by_station = own.join(pairs.withColumnRenamed("station", "__station"), F.col("want.station") == F.col("__station")).drop("__station").join(of, [*keys, "station_name"])
-    anywhere = own.where("want.station IS NULL").join(of, keys)
-    return by_station.unionByName(anywhere).drop(*hidden)
+        return met(own, [])
+    by_station = met(own.join(pairs, "station"), ["station_name"])
+    return by_station.unionByName(met(own.where("station IS NULL"), [])) if free["station"] else by_station
 
 
 _OFFER_KEY = ["rent_yen", "admin_fee_yen", "area_sqm", "layout_type"]
@@ -252,7 +259,8 @@ def live_benchmark(subjects: DataFrame, offers: DataFrame, dialect: str, least:
     for step in range(STEPS):
         asking = asked(ladder.where(~enough), dialect, step)
         profiles = asking.select(*PROFILE, *PLACE, "want").dropDuplicates(PROFILE)
-        met = candidates(profiles, offers, pairs, dialect, step).where(_passes(F.col("want"), dialect))
+        limits = {k: F.col(f"want_{k}") for k in WANTED}
+        met = candidates(profiles, offers, pairs, dialect, step).where(_passes(limits))
         distinct = met.groupBy(*PROFILE, "rent_yen", "admin_fee_yen", "area_sqm").agg(F.min("page").alias("page"))
         if stop_pages:
             distinct = up_to_page(distinct, PROFILE, least)
