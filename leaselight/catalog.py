@@ -10,7 +10,7 @@ from . import spec
 from .functions import scoring, text
 from .operators import benchmark, bundles, comparables, derive, documents, market, report, validate
 from .oracles import ORACLES
-from .plans import engine, pages, regression
+from .plans import collection, engine, pages, regression
 from .plans.adapters import AS_OF_YEAR, frame, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -226,6 +226,20 @@ def collected_rents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("building_structure", "layout_type").agg(F.count("*").alias("n"), F.sum("rent_yen").alias("rents"))
 
 
+def _found_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    places = frame(spark, sf_dir, "subjects").select("listing_id", "prefecture", "municipality", "layout_type")
+    return _pages(spark, sf_dir, pages.CASSETTE).join(places, "listing_id").drop("listing_id")
+
+
+def collected_market_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collection.collect(_found_pages(spark, sf_dir), "pages", "2001-01-01", least=3)
+
+
+def gaps_after_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = collection.collect(_found_pages(spark, sf_dir).where("layout_type = '1K'"), "known", "2000-01-01", least=3)
+    return collection.extended(known, _found_pages(spark, sf_dir).where("layout_type <> '1R'"), "pages", "2001-01-01", least=3)[1]
+
+
 def block_rooms(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = _pages(spark, sf_dir, pages.BLOCK).select("url", F.lit(0).alias("pos"), F.col("html").alias("block"))
     return documents.block_rooms(blocks).selectExpr(_ID, "pos AS room", *_ROOM, "bathroom_toilet_separate", _NAMES)
@@ -331,6 +345,8 @@ QUERIES: dict[str, Query] = {
     "page_lines": page_lines,
     "cassette_rooms": cassette_rooms,
     "collected_rents": collected_rents,
+    "collected_market_rows": collected_market_rows,
+    "gaps_after_collection": gaps_after_collection,
     "block_rooms": block_rooms,
     "line_rooms": line_rooms,
     "detail_listing": detail_listing,

@@ -287,7 +287,7 @@ def _documents() -> dict[str, str]:
     """What pages and notes written from listings must say, from the listings themselves."""
     known = lambda c, none: f"CASE {c} WHEN '{none}' THEN NULL ELSE {c} END AS {c}"
     told = f"""WITH {_base('subjects')}, t AS (SELECT listing_id, rent_yen, CAST(round(rent_yen / 1000e0) * 1000 AS BIGINT) AS man, mgmt_fee_yen AS fee, layout_type, area_sqm, station_walk_min AS walk, listing_id % 45 AS age, 1 + listing_id % 8 AS floor_no,
-  {known('orientation', 'UNKNOWN')}, {known('building_structure', 'other')}, 'S' || regexp_extract(nearest_station_name, '[0-9]+') AS st, bathroom_toilet_separate AS bath, building_built_year AS built, prefecture FROM subjects)"""
+  {known('orientation', 'UNKNOWN')}, {known('building_structure', 'other')}, 'S' || regexp_extract(nearest_station_name, '[0-9]+') AS st, bathroom_toilet_separate AS bath, building_built_year AS built, prefecture, municipality AS muni FROM subjects)"""
     room = lambda n, rent, fee, layout, area, walk, floor, facing, more: f"SELECT listing_id, {n} AS room, {rent} AS rent_yen, {fee} AS admin_fee_yen, {rent} + {fee} AS monthly_total_yen, {layout} AS layout_type, {area} AS area_sqm, {walk} AS walk_min, age AS building_age_years, {floor} AS floor, {facing} AS orientation, building_structure, {more} FROM t"
     kind = "CASE listing_id % 3 WHEN 0 THEN 'mansion' WHEN 1 THEN 'apartment' ELSE 'house' END AS building_type"
     cassette = room(0, "rent_yen", "fee", "layout_type", "area_sqm", "walk + 2", "floor_no", "orientation", f"{kind}, '/room/' || listing_id || '/1' AS detail_url, st AS station_names") + " UNION ALL " + room(1, "man", "0", "''", "area_sqm + 1", "walk", "NULL", "NULL", f"{kind}, 'https://other.example/room/' || listing_id || '/2' AS detail_url, st AS station_names")
@@ -312,6 +312,11 @@ def _documents() -> dict[str, str]:
         "cassette_rooms": f"{told} {cassette}",
         "collected_rents": f"{told}, rooms AS ({cassette}) SELECT building_structure, layout_type, count(*) AS n, CAST(sum(rent_yen) AS BIGINT) AS rents FROM rooms WHERE building_structure IS NOT NULL GROUP BY ALL",
         "block_rooms": f"{told} {block}",
+        "collected_market_rows": f"""{told}, rooms AS (SELECT prefecture, muni, layout_type, building_structure, unnest([rent_yen, man]) AS rent FROM t WHERE building_structure IS NOT NULL)
+SELECT 'JP' AS region_country, prefecture, muni AS municipality, layout_type, building_structure, CAST(trunc(median(rent)) AS BIGINT) AS avg_rent_yen, 'pages' AS source_name, CAST(NULL AS VARCHAR) AS source_url, '2001-01-01' AS source_updated_at, '2001-01-01' AS collected_at, 'median of ' || count(*) || ' rooms' AS method_notes FROM rooms GROUP BY ALL HAVING count(*) >= 3""",
+        "gaps_after_collection": f"""{told}, have AS (SELECT prefecture, muni AS municipality, layout_type, building_structure FROM t WHERE building_structure IS NOT NULL AND layout_type <> '1R' GROUP BY ALL HAVING 2 * count(*) >= 3),
+  w AS (SELECT * FROM (SELECT DISTINCT prefecture, municipality FROM have) p, (SELECT unnest({spec.LAYOUTS}) AS layout_type) a, (SELECT unnest({spec.STRUCTURES[:5]}) AS building_structure) b)
+SELECT w.* FROM w ANTI JOIN have USING (prefecture, municipality, layout_type, building_structure)""",
         "line_rooms": f"{told} SELECT * EXCLUDE (room) FROM ({room(0, 'man', 'fee', 'layout_type', 'area_sqm', 'walk', 'NULL', 'orientation', 'bath AS bathroom_toilet_separate, st AS station_names')})",
         "detail_listing": f"{told} SELECT listing_id, {read}, CASE WHEN listing_id % 7 = 0 THEN 'challenge page' END AS error FROM t",
         "detail_fields": f"{told} SELECT listing_id, orientation, bath AS bathroom_toilet_separate, building_structure FROM t WHERE listing_id % 7 <> 0",

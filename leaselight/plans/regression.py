@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import spec
@@ -11,8 +13,6 @@ from ..operators import derive, report
 #: Stand-in rents by prefecture and access scores by hub.
 RENTS, RENT_OTHER, LEAST_RENT = {"tokyo": 105_000, "saitama": 75_000, "chiba": 80_000}, 85_000, 30_000
 ACCESS, ACCESS_OTHER = {"tokyo_station": 95, "shinjuku": 92, "shibuya": 90, "ikebukuro": 86, "ueno": 82, "shinagawa": 86, "other": 75}, 80
-#: The golden listing that is run without a market figure.
-WITHOUT_BENCHMARK = "listing_014"
 
 
 def _looked_up(table: dict[str, int], key: str, otherwise: int) -> Column:
@@ -23,20 +23,20 @@ def _cut(x: Column) -> Column:
     return F.coalesce(x, F.lit(0)).cast("bigint")
 
 
-def with_stand_ins(subjects: DataFrame, as_of_year: int) -> DataFrame:
-    """Add measures, a stand-in benchmark with its confidence, the delta and an access score."""
+def with_stand_ins(subjects: DataFrame, as_of_year: int, without_benchmark: Iterable[str] = ()) -> DataFrame:
+    """Add measures, a stand-in benchmark with its confidence (none for the listings ``without_benchmark``), the delta and an access score."""
     step = derive.with_measures(subjects, as_of_year)
     rent = _looked_up(RENTS, "prefecture", RENT_OTHER) + F.when(F.col("layout_type") == "1K", 5_000).otherwise(0)
     rent = rent + _cut((F.col("area_sqm") - 20) * 900) - _cut((F.col("station_walk_min") - 10) * 400) - _cut(F.col("building_age_years") * 120)
-    confidence = F.when(F.col("listing_id").cast("string") == WITHOUT_BENCHMARK, "none").when(F.col("prefecture") == "tokyo", "mid").otherwise("low")
+    confidence = F.when(F.col("listing_id").cast("string").isin(list(without_benchmark)), "none").when(F.col("prefecture") == "tokyo", "mid").otherwise("low")
     step = step.withColumns({"benchmark_confidence": confidence, "benchmark_total_yen": F.when(confidence != "none", F.greatest(F.lit(LEAST_RENT), rent)), "initial_multiple": F.try_divide(F.col("initial_cost_total_yen").cast("double"), F.col("monthly_fixed_cost_yen"))})
     access = derive.clamp(_looked_up(ACCESS, "hub_station", ACCESS_OTHER) - F.coalesce(F.least(F.lit(25.0), F.col("station_walk_min") * 1.2), F.lit(0.0)), 0.0, 100.0)
     return step.withColumns({"rent_delta_ratio": F.try_divide((F.col("monthly_fixed_cost_yen") - F.col("benchmark_total_yen")).cast("double"), F.col("benchmark_total_yen")), "area_access_score_0_100": access})
 
 
-def run(subjects: DataFrame, as_of_year: int) -> DataFrame:
+def run(subjects: DataFrame, as_of_year: int, without_benchmark: Iterable[str] = ()) -> DataFrame:
     """Scores with defaults for missing values, flags, and the rules of greatest priority for trade-off and template."""
-    step = with_stand_ins(subjects, as_of_year)
+    step = with_stand_ins(subjects, as_of_year, without_benchmark)
     parts = {c: [(scoring.feature(f, step.columns, null_policy="default"), f["weight"]) for f in spec.SCORING["features"] if f["component"] == c] for c in scoring.COMPONENTS}
     step = step.withColumns({f"{c}_score": scoring.rounded(scoring.component(p, divide=True)) for c, p in parts.items()})
     step = step.withColumn("overall_score", scoring.overall(spec.SCORING["weights"]))

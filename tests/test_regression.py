@@ -10,11 +10,12 @@ from tests.test_rules import KOIWA, index, listings
 
 def test_golden_run(spark):
     everything = {"station_walk_min": 20, "area_sqm": 14.0, "building_built_year": 1980, "orientation": "N", "bathroom_toilet_separate": False, "other_initial_fees_yen": 100_000, "contract_term_months": 24, "early_termination_penalty_yen": 100_000, "initial_cost_total_yen": 700_000}
-    subjects = listings(spark, everything, {"listing_id": "listing_014"}, {"prefecture": "chiba", "layout_type": "1R", "area_sqm": 30.0})
-    out = {r.listing_id: r for r in regression.run(subjects, 2020).collect()}
-    assert out["listing_014"].template_id == "R01_BENCHMARK_NONE" and out["2"].template_id == "R02_BENCHMARK_LOW"
+    subjects = listings(spark, everything, {"listing_id": "unpriced"}, {"prefecture": "chiba", "layout_type": "1R", "area_sqm": 30.0})
+    results = regression.run(subjects, 2020, without_benchmark=("unpriced",))
+    out = {r.listing_id: r for r in results.collect()}
+    assert out["unpriced"].template_id == "R01_BENCHMARK_NONE" and out["2"].template_id == "R02_BENCHMARK_LOW"
     assert (out["2"].benchmark_total_yen, out["2"].area_access_score_0_100) == (80_000 + 9_000 + 800 - 1_200, pytest.approx(92 - 9.6))
-    assert regression.untriggered(regression.run(subjects, 2020)).count() == 0
+    assert regression.untriggered(results).count() == 0
     assert {r.name for r in regression.untriggered(regression.run(subjects.where("listing_id = '2'"), 2020)).collect()} >= {"R01_BENCHMARK_NONE", "NORTH_FACING"}
     assert all(0 <= r.overall_score <= 100 for r in out.values())
 
