@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, classifier, decontaminate, language, licenses, quality, recompress, secrets, simhash, warc
+from . import bpe, classifier, decontaminate, language, licenses, merkle, quality, recompress, secrets, simhash, warc
 
 #: Where the tokenizer of op1 comes from; another vocabulary of the same kind does as well.
 TOKENIZER_PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -152,6 +152,17 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, fields = table(spark, sf_dir, "documents"), ("doc_id", "source", "lang", "n_chars", "text")
+    digest = lambda **changed: merkle.leaf(*(changed.get(c, F.col(c)) for c in fields))
+    tampering = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    leaves = docs.select("doc_id", "lang", digest().alias("leaf"), F.when(tampering, digest(n_chars=F.col("n_chars") + 1)).alias("tampered"))
+    found = merkle.manifest(leaves, F.col("leaf"), group="lang", order="doc_id")
+    folded = merkle.folded(F.coalesce("tampered", "leaf"), F.col("path"))
+    out = found.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), folded.alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_classifier": op2_classifier,
@@ -163,10 +174,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_decontaminate": op9_decontaminate,
     "op10_substrings": op10_substrings,
+    "op11_merkle": op11_merkle,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_warc": OP3_SQL,
     "op5_licenses": licenses.oracle(),
     "op7_quality": quality.ORACLE,
+    "op11_merkle": merkle.oracle(),
 }
