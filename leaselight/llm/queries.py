@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, classifier, decontaminate, language, licenses, merkle, quality, recompress, secrets, simhash, warc
+from . import bpe, classifier, decontaminate, language, licenses, merkle, quality, recompress, resample, secrets, simhash, urls, warc
 
 #: Where the tokenizer of op1 comes from; another vocabulary of the same kind does as well.
 TOKENIZER_PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -163,6 +163,20 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    drawn = resample.resample(docs, table(spark, sf_dir, "benchmark"), drop=("text",))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+#: The rules of op13.
+URL_RULES = [urls.Rule("allow", "org"), urls.Rule("block", "example.org", "/es/"), urls.Rule("block", "example.org", "/en/1"), urls.Rule("allow", "com", "/fr/"), urls.Rule("block", "com", "/de/")]
+
+
+def op13_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_classifier": op2_classifier,
@@ -175,6 +189,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontaminate": op9_decontaminate,
     "op10_substrings": op10_substrings,
     "op11_merkle": op11_merkle,
+    "op12_resample": op12_resample,
+    "op13_urls": op13_urls,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -182,4 +198,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_licenses": licenses.oracle(),
     "op7_quality": quality.ORACLE,
     "op11_merkle": merkle.oracle(),
+    "op12_resample": resample.oracle(),
 }
