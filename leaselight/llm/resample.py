@@ -10,8 +10,8 @@ without replacement and in proportion to the weights.
 N-grams are enumerated by a suffix array over word ids: in a slice of a partition
 (about ``SLICE_BYTES`` of text, no text is cut) suffixes are sorted by their first
 ``SIZE`` words, and neighbours that share at least k words make a run, which is one
-distinct k-gram.  Its text is hashed once, and the bucket is scattered back to the places
-where it occurs.  Counts leave a task as one row for each bucket; documents are read
+distinct k-gram.  Its text is hashed once, going on from the hash of its first k - 1 words,
+and the bucket is scattered back to the places where it occurs.  Counts leave a task as one row for each bucket; documents are read
 twice, for the counts and for the weights, and nothing of them is kept in between.
 
 Edge cases: a null text, or one without words, has no features and weight 0; without
@@ -79,6 +79,7 @@ def buckets(texts: list[bytes], size: int = SIZE, count: int = BUCKETS) -> tuple
         pieces += [np.array(own, np.int64), np.array([-1])]
     joined = np.concatenate(pieces) if pieces else np.zeros(0, np.int64)
     words, n_words = list(ids), np.array(lengths, np.int64)
+    after_blank, crc = [b" " + w for w in words], np.zeros(len(joined), np.int64)
     of = np.repeat(np.arange(len(texts)), n_words + 1)
     out = np.full((size, len(joined)), -1, np.int64)
     order = suffix_order(joined, size)
@@ -88,8 +89,12 @@ def buckets(texts: list[bytes], size: int = SIZE, count: int = BUCKETS) -> tuple
         own = left[order] >= k
         places, new = order[own], (shared[own] < k)
         starts = places[new]
-        hashed = [zlib.crc32(b" ".join([words[i] for i in joined[p : p + k]])) % count for p in starts.tolist()]  # once for each run
-        out[k - 1, places] = np.array(hashed, np.int64)[np.cumsum(new) - 1] if len(hashed) else -1
+        last = joined[starts + k - 1].tolist()
+        # once for each run; that of a longer one goes on from its first words'
+        hashed = map(zlib.crc32, [after_blank[i] for i in last], crc[starts].tolist()) if k > 1 else map(zlib.crc32, [words[i] for i in last])
+        if len(places):
+            crc[places] = np.fromiter(hashed, np.int64, len(starts))[np.cumsum(new) - 1]
+            out[k - 1, places] = crc[places] % count
     return out, of, n_words
 
 

@@ -90,9 +90,9 @@ def test_suffix_arrays_enumerate_every_ngram(size, texts):
 
 def test_a_run_is_hashed_once(monkeypatch):
     seen = []
-    monkeypatch.setattr(resample.zlib, "crc32", lambda b: seen.append(b) or len(b))
+    monkeypatch.setattr(resample.zlib, "crc32", lambda b, before=0: seen.append(b) or len(seen))
     resample.buckets([b"to be or not to be", b"to be"])
-    assert sorted(seen) == sorted({b"to", b"be", b"or", b"not", b"to be", b"be or", b"or not", b"not to"})
+    assert sorted(seen) == sorted({b"to", b"be", b"or", b"not", b" be", b" or", b" not", b" to"})
 
 
 def test_gain_rounds_down():
