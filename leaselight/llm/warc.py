@@ -17,17 +17,15 @@ earlier than a revisit only if it is strictly before it in that order, so repeat
 never resolve one another; null dates are never a base and never resolved (``no_date``);
 a null URL has no canonical form and is not resolved (``no_response``); missing headers
 count as none; a revisit without a record id is resolved like any other; a response
-without one cannot be named and is never a base; of response rows that repeat a record
-id one serves (the least by date and a hash of headers and payload), so that each row of
-a revisit has one row in the result.
+without one cannot be named and is never a base; responses that share a record id but not
+date and content each stand for themselves, with their own validators and body, and rows
+that are equal in all are one, so that each row of a revisit has one row in the result.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .scratch import cut
-
 #: Time buckets that captures are dealt over.
 BUCKETS = 64
 #: Query parameters that do not name another resource.
@@ -60,13 +58,14 @@ def bases(records: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """Every revisit (record_id, target_uri, date, headers) with its ``url`` and the latest earlier full response of that URL: ``base`` (date, id, etag, last_modified) or null."""
     full = (F.col("warc_type") == "response") & (F.col("status") == 200) & F.col("record_id").isNotNull()
     revisit = F.col("warc_type") == "revisit"
+    records = records if "content" in records.columns else records.withColumn("content", F.lit(0).cast("long"))
     slim = records.where(revisit | full).select(
         "record_id",
         canonical_url(F.col("target_uri")).alias("url"),
         "date",
         revisit.alias("revisit"),
         F.when(revisit, F.col("headers")).alias("headers"),
-        F.when(full, F.struct("date", "record_id", header(F.col("headers"), "etag").alias("etag"), header(F.col("headers"), "last-modified").alias("last_modified"))).alias("full"),
+        F.when(full, F.struct("date", "record_id", "content", header(F.col("headers"), "etag").alias("etag"), header(F.col("headers"), "last-modified").alias("last_modified"))).alias("full"),
     )
     placed = F.col("url").isNotNull() & F.col("date").isNotNull()
     seconds = F.unix_micros(F.col("date").cast("timestamp"))
@@ -84,12 +83,12 @@ def bases(records: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     return found.unionByName(lost.select("record_id", "url", "date", "headers", F.lit(None).cast(found.schema["base"].dataType).alias("base")))
 
 
-def one_by_id(responses: DataFrame) -> DataFrame:
-    """One row for each ``base_id``; written out only if ids repeat, so that otherwise Spark may split the join with a hot one."""
-    if responses.groupBy("base_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-        return responses.drop("date")
-    first = Window.partitionBy("base_id").orderBy("date", F.xxhash64(F.map_entries("stored"), "payload"))
-    return cut(responses.withColumn("__rank", F.row_number().over(first)).where("__rank = 1").drop("__rank", "date"))
+def told_apart(records: DataFrame) -> tuple[DataFrame, bool]:
+    """``records`` with a hash of their content where responses repeat a record id, so that id, date and hash name a response; else with zero, and bodies are not read for it.  And whether ids repeat."""
+    responses = records.where((F.col("warc_type") == "response") & (F.col("status") == 200))
+    repeated = not responses.groupBy("record_id").agg(F.count("*").alias("n")).where("n > 1 AND record_id IS NOT NULL").isEmpty()
+    content = F.xxhash64("target_uri", F.map_entries("headers"), "payload") if repeated else F.lit(0).cast("long")
+    return records.withColumn("content", content), repeated
 
 
 def merged_headers(stored: Column, fresh: Column) -> Column:
@@ -109,7 +108,8 @@ def resolve(records: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     base_id, the merged headers and the payload.
     """
     headers = F.coalesce(F.col("headers"), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
-    records = records.withColumn("headers", headers)
+    records, repeated = told_apart(records.select("record_id", "warc_type", "target_uri", "date", "status", headers.alias("headers"), "payload"))
+    responses = records.where((F.col("warc_type") == "response") & (F.col("status") == 200) & F.col("record_id").isNotNull())
     joined = bases(records, buckets)
     etag, modified = strong(header(F.col("headers"), "etag")), header(F.col("headers"), "last-modified")
     by_etag, by_date = etag == strong(F.col("base.etag")), modified == F.col("base.last_modified")
@@ -120,7 +120,9 @@ def resolve(records: DataFrame, buckets: int = BUCKETS) -> DataFrame:
         .when(F.coalesce(by_etag, by_date), "resolved")
         .otherwise("changed")
     )
-    judged = joined.select("record_id", "url", "date", "headers", outcome.alias("outcome"), F.when(outcome == "resolved", F.col("base.record_id")).alias("base_id"))
-    responses = records.where((F.col("warc_type") == "response") & (F.col("status") == 200) & F.col("record_id").isNotNull())
-    stored = one_by_id(responses.select(F.col("record_id").alias("base_id"), "date", F.col("headers").alias("stored"), "payload"))
-    return judged.join(stored, "base_id", "left").select("record_id", "url", "date", "outcome", "base_id", F.when(F.col("base_id").isNotNull(), merged_headers(F.col("stored"), F.col("headers"))).alias("headers"), "payload")
+    judged = joined.select("record_id", "url", "date", "headers", outcome.alias("outcome"), F.when(outcome == "resolved", F.col("base.record_id")).alias("base_id"), F.col("base.date").alias("base_date"), F.col("base.content").alias("content"))
+    name = ["base_id", "base_date", "content"]
+    stored = responses.select(F.col("record_id").alias("base_id"), F.col("date").alias("base_date"), "content", F.col("headers").alias("stored"), "payload")
+    if repeated:  # rows that are equal in all
+        stored = stored.groupBy(*name).agg(F.first("stored").alias("stored"), F.first("payload").alias("payload"))
+    return judged.join(stored, name, "left").select("record_id", "url", "date", "outcome", "base_id", F.when(F.col("base_id").isNotNull(), merged_headers(F.col("stored"), F.col("headers"))).alias("headers"), "payload")

@@ -103,3 +103,11 @@ def test_rows_without_an_id(spark):
     rows = [("a", "response", "http://a.org/x", at(1), 200, tag, "body", None), (None, "response", "http://a.org/x", at(2), 200, tag, "nameless", None), (None, "revisit", "http://a.org/x", at(3), 304, tag, None, None), (None, "revisit", "http://a.org/x", at(3), 304, tag, None, None), (None, "revisit", None, at(3), 304, tag, None, None), (None, "revisit", "http://a.org/x", None, 304, tag, None, None)]
     got = sorted((r.outcome, r.base_id or "", r.payload or "") for r in warc.resolve(spark.createDataFrame(rows, SCHEMA)).collect())
     assert got == [("no_date", "", ""), ("no_response", "", ""), ("resolved", "a", "body"), ("resolved", "a", "body")]
+
+
+def test_responses_of_one_id_keep_their_own_bodies(spark):
+    at = lambda day, s: datetime.datetime(2024, 1, day, 0, 0, s)
+    said = lambda tag, day, s, body: ("r", "response", "http://a.org/x", at(day, s), 200, {"etag": tag}, body, None)
+    rows = [said('"a"', 1, 0, "AAA"), said('"b"', 2, 0, "BBB"), said('"b"', 2, 0, "BBB"), ("v", "revisit", "http://a.org/x", at(3, 0), 304, {"etag": '"b"'}, None, None), ("w", "revisit", "http://a.org/x", at(1, 5), 304, {"etag": '"a"'}, None, None), ("z", "revisit", "http://a.org/x", at(1, 6), 304, {"etag": '"b"'}, None, None)]
+    got = sorted((r.record_id, r.outcome, r.headers and r.headers["etag"], r.payload) for r in warc.resolve(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == [("v", "resolved", '"b"', "BBB"), ("w", "resolved", '"a"', "AAA"), ("z", "changed", None, None)]
