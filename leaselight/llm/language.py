@@ -12,8 +12,9 @@ it grows with the number of languages (``DIM`` weights each), not with the docum
 
 Edge cases: a null text, or one without any letter (numerals such as a half are none),
 is ``und`` with score 0, and so is every text if there is nothing to learn from; long texts count whole; ties go to
-the language that sorts first; repeated rows and extra columns do no harm, a column
-named like an output column is replaced.
+the language that sorts first; rows that repeat an id and a text count once in the
+sample, and rows of one id with different texts count each; extra columns do no harm, a
+column named like an output column is replaced.
 """
 
 from __future__ import annotations
@@ -153,19 +154,20 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learn from documents with a language; ``docs`` holds only rows that may be learnt from."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    languages = tuple(sorted(sizes))
+    # the first distinct pairs of id and text of each language by a hash of both: rows that repeat take one place
+    order = F.xxhash64("id", "text")
+    places = Window.partitionBy("lang").orderBy("order")
+    first = known.select("lang", order.alias("order")).distinct().withColumn("rank", F.row_number().over(places)).where(F.col("rank") <= PER_LANGUAGE)
+    ends = {r["lang"]: r["end"] for r in first.groupBy("lang").agg(F.max("order").alias("end")).collect()}  # a row for each language
+    languages = tuple(sorted(ends))
     if not languages:
         return Model((), np.zeros(DIM), np.zeros((DIM, 0)), np.zeros(0))
     frequency = document_frequencies(known)
     idf = np.log((1 + frequency[DIM]) / (1 + frequency[:DIM])) + 1
 
-    # hash order within a language; a share that holds enough rows, then exactly the first of them
-    spread = 1_000_000
-    shares = F.create_map(*(F.lit(v) for lang, n in sizes.items() for v in (lang, min(spread, 1 + 2 * PER_LANGUAGE * spread // n))))
-    order = F.pmod(F.xxhash64("id"), F.lit(spread))
-    likely = known.where(order < shares[F.col("lang")]).withColumn("order", order)
-    ranked = likely.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("order", "id", F.xxhash64("text")))).where(F.col("rank") <= PER_LANGUAGE)
+    end = F.create_map(*(c for lang, v in ends.items() for c in (F.lit(lang), F.lit(v).cast("long"))))[F.col("lang")]
+    likely = known.withColumn("order", order).where(F.col("order") <= end).groupBy("lang", "order").agg(F.min("text").alias("text"))
+    ranked = likely.withColumn("rank", F.row_number().over(places))
 
     @F.arrow_udf(_COUNTS)
     def sparse(texts: pa.Array) -> pa.Array:

@@ -98,3 +98,22 @@ def test_held_out_accuracy(spark):
     found = queries.op8_language(spark, data).where("held_out").join(spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "lang"), "doc_id")
     right, n = found.agg(F.avg((F.col("lang_pred") == F.col("lang")).cast("int")), F.count("*")).first()
     assert n > 100 and right > 0.98
+
+
+def test_a_language_of_one_id_is_learnt(spark):
+    """However its hash falls: every text of one id counts, and rows that repeat count once."""
+    rng = random.Random(8)
+    words = {"en": "the of and water night house was with people".split(), "de": "der und nicht wasser haus ist mit leute durch".split()}
+    text = lambda lang: " ".join(rng.choices(words[lang], k=12))
+    for one in ("k2", "d1", "k5"):
+        own = [(f"e{i}", text("en"), "en") for i in range(2000)] + [(one, text("de"), "de") for _ in range(2000)] + [("same", "der die das", "nl")] * 2000
+        model = language.fit(spark.createDataFrame(own, "doc_id string, text string, lang string"))
+        asked = spark.createDataFrame([(1, text("de")), (2, text("en"))], "doc_id long, text string")
+        assert model.languages == ("de", "en", "nl")
+        assert {r.doc_id: r.lang_pred for r in language.identify(asked, model).collect()} == {1: "de", 2: "en"}
+
+
+def test_empty_tables(spark):
+    own = spark.createDataFrame([("a", "the night", "en")], "doc_id string, text string, lang string")
+    assert language.fit(own.where("false")).languages == ()
+    assert language.identify(own.where("false"), language.fit(own)).collect() == []
