@@ -6,8 +6,8 @@ The difference of the two total sizes over their sum, the share of the text that
 left after compression, and its length give a calibrated score by logistic regression.
 
 Fitting takes a bounded sample on the driver: at most ``PER_CLASS`` texts of each
-class, none over ``FIT_CHARS`` characters, and ``CALIBRATION`` feature rows; scoring
-runs over all whole texts.  The sample is taken from labels that have such a text.
+class, of each at most ``TEXT_BLOCKS`` blocks, which a hash picks from all along the
+text, and ``CALIBRATION`` feature rows of whole texts; scoring runs over all whole texts.
 
 Edge cases: a null or empty text is scored like an empty block; labels without a
 document, however many, and null labels do no harm; an id with several labels has the
@@ -19,6 +19,7 @@ classes in both halves of the sample every score is 0.5; an input column named
 from __future__ import annotations
 
 import functools
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,8 +31,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from .arrow import text_slices, with_struct
 from .scratch import cut
 
-PER_CLASS, FIT_CHARS, CALIBRATION = 800, 20_000, 4_000
-DICTIONARY_BYTES, BLOCK_BYTES, FIT_BLOCKS = 110_000, 512, 16_000
+PER_CLASS, CALIBRATION = 800, 4_000
+DICTIONARY_BYTES, BLOCK_BYTES, FIT_BLOCKS, TEXT_BLOCKS = 110_000, 512, 16_000, 40
 FEATURES = ("difference", "ratio", "log_bytes")
 
 SCORE = T.StructType([T.StructField("score", T.DoubleType())])
@@ -55,9 +56,23 @@ def blocks(text: str) -> list[bytes]:
     return [data[i : i + BLOCK_BYTES] for i in range(0, max(1, len(data)), BLOCK_BYTES)]
 
 
-def dictionary(texts: list[str]) -> bytes:
-    """A trained dictionary; too few samples to train on serve as they are."""
-    samples = [b for t in texts for b in blocks(t)]
+def sampled_blocks(text: str) -> list[bytes]:
+    """All blocks of a text, or of a long one ``TEXT_BLOCKS`` that a hash of place and content picks, in their order."""
+    own = blocks(text)
+    if len(own) <= TEXT_BLOCKS:
+        return own
+    picked = sorted(range(len(own)), key=lambda i: zlib.crc32(own[i], i * 0x9E3779B1 & 0xFFFFFFFF))[:TEXT_BLOCKS]
+    return [own[i] for i in sorted(picked)]
+
+
+@F.arrow_udf(T.ArrayType(T.BinaryType()))
+def samples_of(texts: pa.Array) -> pa.Array:
+    return pa.array([sampled_blocks(t) for part in text_slices(texts) for t in part], pa.list_(pa.binary()))
+
+
+def dictionary(texts: list[list[bytes]]) -> bytes:
+    """A dictionary trained on blocks of texts; too few to train on serve as they are."""
+    samples = [b for own in texts for b in own]
     samples = samples[:: max(1, -(-len(samples) // FIT_BLOCKS))]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
@@ -96,7 +111,7 @@ def calibrate(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3) -> tuple[np.n
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """Build dictionaries and calibration from labelled documents; ``labels`` holds only rows that may be learnt from."""
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.min(label_col).cast("int").alias("__label"))
-    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).where(F.length("__text") <= FIT_CHARS)
+    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).where("__text IS NOT NULL")
     usable = cut(known.join(texts.select("__id").distinct(), "__id", "left_semi").withColumn("__order", F.xxhash64("__id")))
     even = F.pmod("__order", F.lit(2)) == 0
     first = functools.reduce(DataFrame.union, (usable.where(even & (F.col("__label") == c)).orderBy("__order", "__id").limit(PER_CLASS) for c in (0, 1)))
@@ -106,8 +121,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         met = texts.join(F.broadcast(chosen), "__id")
         return met.groupBy("__id", "__order", "__label").agg(F.min_by("__text", F.xxhash64("__text")).alias("__text"))
 
-    rows = sorted(one_text(first).select("__order", "__label", "__text").collect())  # 2 * PER_CLASS rows at most
-    good, bad = ([r["__text"] for r in rows if r["__label"] == c] for c in (1, 0))
+    rows = sorted(one_text(first).select("__order", "__label", samples_of("__text").alias("__blocks")).collect())  # 2 * PER_CLASS rows of TEXT_BLOCKS at most
+    good, bad = ([r["__blocks"] for r in rows if r["__label"] == c] for c in (1, 0))
     if not good or not bad:
         return Model(b"", b"")
     model = Model(dictionary(good), dictionary(bad))

@@ -52,11 +52,26 @@ def test_labels_without_documents_and_repeated_ids(spark):
     assert model == classifier.fit(docs.distinct(), own) and model.good and model.bad
 
 
-def test_one_class_with_long_texts_only(spark):
-    rows = [(i, t if y else "bad " * 6000) for i, t, y in corpus(random.Random(4), 60)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    labels = docs.select("doc_id", (F.length("text") < 20_000).cast("int").alias("quality"))
-    assert {r.score for r in classifier.score(docs, classifier.fit(docs, labels)).collect()} == {0.5}
+def test_long_texts_are_learnt_from(spark):
+    """Blocks come from all along a text, however long it is."""
+    rng = random.Random(4)
+    long = lambda y: " ".join([*rng.choices(["river", "stone", "evening", "quiet"] if y else ["WIN!!!", "$$$", "BUY", "free%%%"], k=6000)])
+    docs = spark.createDataFrame([(i, long(i % 2)) for i in range(160)], "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality")).where("doc_id < 120")
+    assert docs.where(F.length("text") <= 20_000).count() == 0
+    model = classifier.fit(docs, labels)
+    assert model.good and model.bad
+    assert all((r.score >= 0.5) == bool(r.doc_id % 2) for r in classifier.score(docs, model).where("doc_id >= 120").collect())
+
+
+def test_blocks_of_a_long_text_are_spread_over_it():
+    text = "".join(f"{i:08d}" for i in range(50_000))
+    own, picked = classifier.blocks(text), classifier.sampled_blocks(text)
+    at = [own.index(b) for b in picked]
+    assert len(picked) == classifier.TEXT_BLOCKS and at == sorted(at)
+    assert all(any(lo <= i < lo + len(own) // 4 for i in at) for lo in range(0, len(own) - len(own) // 4, len(own) // 4))
+    assert classifier.sampled_blocks("short") == classifier.blocks("short")
+
 
 
 def test_scores_against_plain_compression(spark):
