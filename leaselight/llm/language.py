@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T, Window
 
 from .arrow import text_slices, with_struct
+from .scratch import cut
 
 BITS = 14
 DIM = 1 << BITS
@@ -156,18 +157,22 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     # the first distinct pairs of id and text of each language by a hash of both: rows that repeat take one place
     order = F.xxhash64("id", "text")
-    places = Window.partitionBy("lang").orderBy("order")
-    first = known.select("lang", order.alias("order")).distinct().withColumn("rank", F.row_number().over(places)).where(F.col("rank") <= PER_LANGUAGE)
-    ends = {r["lang"]: r["end"] for r in first.groupBy("lang").agg(F.max("order").alias("end")).collect()}  # a row for each language
-    languages = tuple(sorted(ends))
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.approx_count_distinct(order).alias("n")).collect()}  # a row for each language
+    languages, spread = tuple(sorted(sizes)), 1_000_000
+    places = Window.partitionBy("lang").orderBy(F.pmod("order", F.lit(spread)), "order")
     if not languages:
         return Model((), np.zeros(DIM), np.zeros((DIM, 0)), np.zeros(0))
     frequency = document_frequencies(known)
     idf = np.log((1 + frequency[DIM]) / (1 + frequency[:DIM])) + 1
 
-    end = F.create_map(*(c for lang, v in ends.items() for c in (F.lit(lang), F.lit(v).cast("long"))))[F.col("lang")]
-    likely = known.withColumn("order", order).where(F.col("order") <= end).groupBy("lang", "order").agg(F.min("text").alias("text"))
-    ranked = likely.withColumn("rank", F.row_number().over(places))
+    for spare in (4, 64, spread):  # a share of the hashes that holds enough pairs; the first does, unless the estimates are far off
+        shares = {lang: min(spread, 1 + spare * PER_LANGUAGE * spread // max(1, n)) for lang, n in sizes.items()}
+        share = F.create_map(*(F.lit(v) for pair in shares.items() for v in pair))[F.col("lang")]
+        likely = cut(known.withColumn("order", order).where(F.pmod("order", F.lit(spread)) < share).groupBy("lang", "order").agg(F.min("text").alias("text")))
+        found = {r["lang"]: r["n"] for r in likely.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+        if all(shares[lang] == spread or found.get(lang, 0) >= PER_LANGUAGE for lang in languages):
+            break
+    ranked = likely.withColumn("rank", F.row_number().over(places)).where(F.col("rank") <= PER_LANGUAGE)
 
     @F.arrow_udf(_COUNTS)
     def sparse(texts: pa.Array) -> pa.Array:
