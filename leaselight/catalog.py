@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import spec
 from .functions import scoring, text
-from .operators import benchmark, bundles, comparables, derive, documents, market, report, validate
+from .operators import attempts, benchmark, bundles, comparables, derive, documents, market, report, validate
 from .oracles import ORACLES
 from .plans import collection, engine, pages, regression
 from .plans.adapters import AS_OF_YEAR, frame, table
@@ -106,7 +106,8 @@ def live(dialect: str) -> Query:
 
 
 def provider_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return comparables.provider_fallback([live(d)(spark, sf_dir) for d in comparables.LADDERS])
+    subjects = derive.with_measures(frame(spark, sf_dir, "subjects"), AS_OF_YEAR)
+    return comparables.fallback(subjects, frame(spark, sf_dir, "offers")).select(*LIVE, "provider", "attempts")
 
 
 def evaluate_live(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,7 +151,41 @@ def parsed_places(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reject_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return comparables.reject_counts(derive.with_measures(frame(spark, sf_dir, "subjects"), AS_OF_YEAR), frame(spark, sf_dir, "offers"), "cassette")
+    """By step and reason, how many offers of its place fail a subject that takes the step."""
+    subjects, offers = derive.with_measures(frame(spark, sf_dir, "subjects"), AS_OF_YEAR), comparables.prepared(frame(spark, sf_dir, "offers"))
+    return attempts.reject_counts(attempts.log(comparables.climb(subjects, offers, "cassette"), offers, "cassette"))
+
+
+def _detailed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Offers with a detail page each, of which one in three is missing, and what the pages tell."""
+    offers = frame(spark, sf_dir, "offers").withColumn("detail_url", F.concat(F.lit("/room/"), F.col("pos").cast("string")))
+    details = offers.where("pos % 3 > 0").select("detail_url", F.when(F.col("pos") % 2 == 0, "N").alias("orientation"), F.when(F.col("pos") % 5 > 0, "rc").otherwise("wood").alias("building_structure"), (F.col("pos") % 4 < 2).alias("bathroom_toilet_separate"))
+    return offers, details
+
+
+#: Without a station there are more untold offers than a step may read.
+_ANYWHERE = ("nearest_station_name",)
+
+
+def _read_by_quota(spark: SparkSession, sf_dir: str) -> tuple[list[DataFrame], DataFrame]:
+    offers, details = _detailed(spark, sf_dir)
+    subjects, quota = derive.with_measures(frame(spark, sf_dir, "subjects"), AS_OF_YEAR), comparables.quota_of(2)
+    ready = comparables.prepared(offers, details, quota)
+    return comparables.climb(subjects, ready, "cassette", skip=_ANYWHERE, details=details, quota=quota), ready
+
+
+def attempt_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every step that a subject takes, with a quota of details for each."""
+    tried = attempts.log(*_read_by_quota(spark, sf_dir), "cassette")
+    near = attempts.place_coverage(frame(spark, sf_dir, "offers")).drop("fetched_n")
+    shown = tried.join(near, comparables.PLACE, "left").fillna(0)
+    coverage = F.concat_ws(",", *(F.col(f"has_{c}") for c in attempts.COVERAGE))
+    return shown.select("listing_id", "step", "fetched_n", "complete_n", "detail_n", "detail_matched_n", "n", attempts.told(attempts.REASONS).alias("rejects"), attempts.told(attempts.UNTOLD).alias("untold"), coverage.alias("coverage"))
+
+
+def comparables_detailed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With details of up to a quota of offers for each step."""
+    return comparables.settled(_read_by_quota(spark, sf_dir)[0], "cassette").select(*LIVE)
 
 
 def distinct_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,7 +253,7 @@ def _pages(spark: SparkSession, sf_dir: str, template: str) -> DataFrame:
 
 
 def cassette_rooms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents.cassette_rooms(_pages(spark, sf_dir, pages.CASSETTE)).selectExpr(_ID, "pos % 10000 AS room", *_ROOM, "building_type", "detail_url", _NAMES)
+    return documents.cassette_rooms(_pages(spark, sf_dir, pages.CASSETTE)).selectExpr(_ID, f"pos % {documents.ROOMS_AT_MOST} AS room", *_ROOM, "building_type", "detail_url", _NAMES)
 
 
 def collected_rents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -322,6 +357,8 @@ QUERIES: dict[str, Query] = {
     "comparables_enriched": comparables_enriched,
     "provider_fallback": provider_fallback,
     "evaluate_live": evaluate_live,
+    "comparables_detailed": comparables_detailed,
+    "attempt_log": attempt_log,
     "reject_counts": reject_counts,
     "offer_coverage": offer_rows(comparables.coverage),
     "distinct_offers": distinct_offers,

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .. import spec
 from ..scratch import cut
 from ..functions import text
+from . import names
 
 STEPS = 4
 #: Bucket limits of walking minutes and building ages.
@@ -104,37 +105,12 @@ def _meets(limit: Column, condition: Column) -> Column:
     return limit.isNull() | F.coalesce(condition, F.lit(False))
 
 
-def conditions(w: Mapping[str, Column], dialect: str = "lines") -> list[tuple[str, Column]]:
-    """What an offer must meet, in the order in which it is checked; a missing building type passes."""
-    return [
-        ("area", _meets(w["area_low"], F.col("area_sqm").between(w["area_low"], w["area_high"]))),
-        ("age", _meets(w["age_max"], F.col("building_age_years") <= w["age_max"])),
-        ("walk", _meets(w["walk_high"], (F.col("walk_min") <= w["walk_high"]) & (w["walk_low"].isNull() | (F.col("walk_min") >= w["walk_low"])))),
-        ("station", _meets(w["station"], text.similar_station(F.col("station_name"), w["station"]) if dialect == "cassette" else F.contains(F.col("station_name"), w["station"]) | F.contains(w["station"], F.col("station_name")))),
-        ("building_type", w["building_type"].isNull() | F.col("building_type").isNull() | (F.col("building_type") == w["building_type"])),
-        ("orientation", _meets(w["orientation"], F.col("orientation") == w["orientation"])),
-        ("structure", _meets(w["structure"], F.col("building_structure") == w["structure"])),
-        ("bath", _meets(w["bath"], F.col("bathroom_toilet_separate") == w["bath"])),
-    ]
-
-
 def _passes(w: Mapping[str, Column]) -> Column:
-    """The conditions that the join of ``candidates`` has not settled."""
-    return functools.reduce(Column.__and__, (c for name, c in conditions(w) if name in ("area", "age", "walk", "building_type")))
-
-
-def needs_enrichment(w: Column) -> Column:
-    """What an offer lacks of the details that are asked for: it may pass once they are known."""
-    lacks = {"orientation": "orientation", "structure": "building_structure", "bath": "bathroom_toilet_separate"}
-    return F.array_compact(F.array(*(F.when(w[k].isNotNull() & F.col(c).isNull(), c) for k, c in lacks.items())))
-
-
-def reject_reason(w: Column, dialect: str = "lines") -> Column:
-    """The first condition that fails; null if none."""
-    chain = F
-    for name, condition in conditions(w, dialect):
-        chain = chain.when(~condition, name)
-    return chain
+    """The conditions that the join of ``candidates`` has not settled; a missing building type passes."""
+    area = _meets(w["area_low"], F.col("area_sqm").between(w["area_low"], w["area_high"]))
+    age = _meets(w["age_max"], F.col("building_age_years") <= w["age_max"])
+    walk = _meets(w["walk_high"], (F.col("walk_min") <= w["walk_high"]) & (w["walk_low"].isNull() | (F.col("walk_min") >= w["walk_low"])))
+    return area & age & walk & (w["building_type"].isNull() | F.col("building_type").isNull() | (F.col("building_type") == w["building_type"]))
 
 
 PLACE = ["prefecture", "municipality", "layout_type"]
@@ -144,7 +120,8 @@ PROFILE = ["profile", "profile_2"]
 EQUAL = {"orientation": "orientation", "structure": "building_structure", "bath": "bathroom_toilet_separate"}
 #: Square metres of a class of area.
 AREA_CLASS = 5
-ANY = "*"
+#: Keys of a part: nobody asks for it; it is asked for and the offer does not tell.
+ANY, UNTOLD = "*", "?"
 
 
 def asked(subjects: DataFrame, dialect: str, step: int) -> DataFrame:
@@ -155,43 +132,51 @@ def asked(subjects: DataFrame, dialect: str, step: int) -> DataFrame:
 
 
 def _name(dialect: str, column: str) -> Column:
-    """What of a station's name is compared: one dialect knows variants of writing."""
-    return text.station(F.col(column)) if dialect == "cassette" else F.col(column)
+    """What of a station's name is compared: one dialect knows variants of writing, of widths and of names."""
+    return text.station(text.nfkc(F.col(column))) if dialect == "cassette" else F.col(column)
 
 
 def contained_pairs(wanted_names: DataFrame, offered_names: DataFrame, dialect: str = "lines") -> DataFrame:
-    """Pairs (``station``, ``station_name``) of distinct names of which either contains the other.
+    """Pairs (``station``, ``station_name``) of distinct names of which either contains the other; there are as many names as stations, however many offers."""
+    own = wanted_names.select("station").distinct().withColumn("own", _name(dialect, "station"))
+    others = offered_names.select("station_name").distinct().withColumn("other", _name(dialect, "station_name"))
+    met = names.either_contains(own, others, "own", "other")
+    return own.join(met, "own").join(others, "other").select("station", "station_name")
 
-    Every name is joined by equality to the other side's substrings of those lengths that names have, so a long
-    name costs its length times their number; there are as many names as stations, however many offers.
-    """
-    own = wanted_names.select("station", _name(dialect, "station").alias("own")).where("own <> ''").distinct()
-    others = offered_names.select("station_name", _name(dialect, "station_name").alias("other")).where("other <> ''").distinct()
-    sizes = [r[0] for r in own.select(F.length("own")).union(others.select(F.length("other"))).distinct().collect()]  # at most as many as the longest name has characters
-    lengths = F.array(*map(F.lit, sorted(sizes))).cast("array<int>")
-    parts = lambda c: F.array_distinct(F.flatten(F.transform(F.filter(lengths, lambda n: n <= F.length(c)), lambda n: F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substr(c, i, n)))))
-    inside = own.select("station", F.explode(parts(F.col("own"))).alias("other")).join(others, "other").select("station", "station_name")
-    around = others.select("station_name", F.explode(parts(F.col("other"))).alias("own")).join(own, "own").select("station", "station_name")
-    return inside.union(around).distinct()
+
+def open_parts(subjects: DataFrame, dialect: str) -> dict[str, bool]:
+    """Which of the conditions that ask for a value any subject leaves open."""
+    want = subjects.select(wanted(dialect, 0).alias("want"))
+    return want.agg(*(F.coalesce(F.bool_or(F.col(f"want.{k}").isNull()), F.lit(False)).alias(k) for k in (*EQUAL, "station"))).first().asDict()
 
 
-def candidates(profiles: DataFrame, offers: DataFrame, pairs: DataFrame, dialect: str, step: int) -> DataFrame:
+def candidates(profiles: DataFrame, offers: DataFrame, pairs: DataFrame, dialect: str, step: int, free: Mapping[str, bool], untold: bool = False) -> DataFrame:
     """Offers that have all that a profile (``PROFILE``, ``PLACE``, ``want``) asks to be equal, and an area of a class that it reaches; not filtered yet.
 
+    With ``untold`` instead those that lack at least one of the asked values and have the others;
+    ``lacks`` says which, in the order of ``EQUAL``, and ``asked`` what is wanted there.
+
     Both sides travel as numbers: what must be equal is one key of 128 bits, and only the limits that are left go with it.
     """
     active = {k for k, last in LADDERS[dialect].items() if step <= last}
     parts = [k for k in EQUAL if k in active]
-    # an offer stands under its value and, if any profile does not care, under ANY
-    free = profiles.agg(*(F.coalesce(F.bool_or(F.col(f"want.{k}").isNull()), F.lit(False)).alias(k) for k in (*parts, "station"))).first()
-    value = lambda c: F.coalesce(c.cast("string"), F.lit(ANY))
     limits = [k for k in WANTED if k in ("area_low", "area_high", "age_max", "walk_low", "walk_high", "building_type")]
     placed = " AND ".join(f"{c} IS NOT NULL" for c in PLACE)
-    own = profiles.where(placed).select(*PROFILE, *PLACE, *(F.col(f"want.{k}").alias(f"want_{k}") for k in limits), F.col("want.station").alias("station"), *(value(F.col(f"want.{k}")).alias(k) for k in parts))
-    of = offers.where(placed).select(F.col("prefecture"), "municipality", F.upper("layout_type").alias("layout_type"), "station_name", *(value(F.col(EQUAL[k])).alias(f"__{k}") for k in parts), "area_sqm", "building_age_years", "walk_min", "building_type", "rent_yen", "admin_fee_yen", "page")
-    keys = [*PLACE, *parts]
-    for k in parts:
-        of = of.withColumn(k, F.explode(F.array_distinct(F.array(f"__{k}", F.lit(ANY)))) if free[k] else F.col(f"__{k}"))
+    value = lambda k: F.col(f"want.{k}").cast("string")
+    own = profiles.where(placed).select(*PROFILE, *PLACE, *(F.col(f"want.{k}").alias(f"want_{k}") for k in limits), F.col("want.station").alias("station"), *(F.coalesce(value(k), F.lit(ANY)).alias(k) for k in parts))
+    fields = ["area_sqm", "building_age_years", "walk_min", "building_type", "rent_yen", "admin_fee_yen", "page", *(("detail_url", "pos") if untold else ())]
+    of = offers.where(placed).select("prefecture", "municipality", F.upper("layout_type").alias("layout_type"), "station_name", *(F.coalesce(F.col(EQUAL[k]).cast("string"), F.lit(UNTOLD)).alias(f"__{k}") for k in parts), *fields)
+    keys, carried = [*PLACE, *parts], [f"want_{k}" for k in limits]
+    if untold:
+        own = own.withColumns({"asked": F.array(*parts).cast("array<string>"), "lacks": F.array().cast("array<boolean>")})
+        for k in parts:
+            asked_for = F.col(k) != ANY
+            own = own.withColumn("__key", F.explode(F.when(asked_for, F.array(k, F.lit(UNTOLD))).otherwise(F.array(k)))).withColumns({k: F.col("__key"), "lacks": F.array_append("lacks", F.col("__key") == UNTOLD)})
+        own = own.where(F.exists("lacks", lambda x: x)).drop("__key")
+        carried += ["asked", "lacks"]
+    for k in parts:  # an offer stands under its value and, if anybody leaves the part open, under ANY
+        of = of.withColumn(k, F.explode(F.array(f"__{k}", F.lit(ANY)))) if free[k] else of.withColumn(k, F.col(f"__{k}"))
+        of = of if untold else of.where(F.col(k) != UNTOLD)
     if "area" in active:
         low, high = (F.floor(F.col(f"want_{k}") / AREA_CLASS) for k in ("area_low", "area_high"))
         own = own.where(low.isNotNull()).withColumn("area_class", F.explode(F.sequence(low, high)))
@@ -200,8 +185,8 @@ def candidates(profiles: DataFrame, offers: DataFrame, pairs: DataFrame, dialect
 
     def met(own: DataFrame, more: list[str]) -> DataFrame:
         named = lambda df: df.withColumns({"key": F.xxhash64(*keys, *more), "key_2": F.xxhash64(F.lit("second"), *keys, *more)})
-        slim = named(own).select("key", "key_2", *PROFILE, *(f"want_{k}" for k in limits))
-        return slim.join(named(of).select("key", "key_2", "area_sqm", "building_age_years", "walk_min", "building_type", "rent_yen", "admin_fee_yen", "page"), ["key", "key_2"])
+        slim = named(own).select("key", "key_2", *PROFILE, *carried)
+        return slim.join(named(of).select("key", "key_2", *fields), ["key", "key_2"])
 
     if "station" not in active:
         return met(own, [])
@@ -237,44 +222,109 @@ def live_levels() -> list[str]:
     return [f"{kind}_{dialect}" for dialect in LADDERS for kind in ("live", "relaxed")]
 
 
-def live_benchmark(subjects: DataFrame, offers: DataFrame, dialect: str, least: int = 2, skip: tuple[str, ...] = (), details: DataFrame | None = None, budget: int | None = None, stop_pages: bool = False) -> DataFrame:
-    """One row for each subject: chosen step, n, robust figure of monthly totals and of rents, confidence, level.
+USED = ["listing_id", *PLACE, "area_sqm", "building_age_years", "station_walk_min", "building_structure", "nearest_station_name", "orientation", "bathroom_toilet_separate"]
+_BEST = "struct<chosen_step: int, n: bigint, benchmark_yen: bigint, method: string, benchmark_rent_yen: bigint>"
+#: What makes two offers of a place one.
+_SAME = ["rent_yen", "admin_fee_yen", "area_sqm"]
 
-    The chosen step is the first with ``least`` distinct offers, else the last with any;
-    a subject without any has n = 0, no figures and the confidence and level ``none``.
-    ``skip`` names subject columns that are not asked for.  ``details`` (``detail_url``
-    and fields) fills what offers lack, up to ``budget`` rows in all.  With
-    ``stop_pages`` a step counts only offers up to the page on which it has found enough.
-    """
-    known = ["station_name", *EQUAL.values(), "building_type", "area_sqm", "building_age_years", "walk_min", "rent_yen", "admin_fee_yen", "page"]
-    offers = cut((offers if details is None else enrich(offers, details, budget=budget)).select(*PLACE, *known))
-    used = ["listing_id", *PLACE, "area_sqm", "building_age_years", "station_walk_min", "building_structure", "nearest_station_name", "orientation", "bathroom_toilet_separate"]
-    ladder = subjects.withColumns({c: F.lit(None).cast(subjects.schema[c].dataType) for c in skip}).withColumn("layout_type", F.upper("layout_type")).select(*used)
-    pairs = cut(contained_pairs(ladder.select(F.col("nearest_station_name").alias("station")), offers.select("station_name"), dialect))
-    best = "struct<chosen_step: int, n: bigint, benchmark_yen: bigint, method: string, benchmark_rent_yen: bigint>"
-    ladder = cut(ladder.withColumn("best", F.lit(None).cast(best)))
+
+def quota_of(least: int) -> int:
+    """Detail pages that a step may read for a subject."""
+    return max(12, 8 * least)
+
+
+def _figures() -> list[Column]:
     total = robust_aggregate(F.col("rent_yen") + F.coalesce(F.col("admin_fee_yen"), F.lit(0)))
-    rent = robust_aggregate(F.col("rent_yen"))
-    enough = F.coalesce(F.col("best.n") >= least, F.lit(False))
+    return [F.count("*").alias("n"), total["value"].alias("benchmark_yen"), total["method"].alias("method"), robust_aggregate(F.col("rent_yen"))["value"].alias("benchmark_rent_yen")]
+
+
+def one_detail(details: DataFrame) -> DataFrame:
+    """One row for each ``detail_url``: of what repeated rows say of a field, the least."""
+    return details.where("detail_url IS NOT NULL").groupBy("detail_url").agg(*(F.min(c).alias(f"told_{k}") for k, c in EQUAL.items()))
+
+
+def with_details(few: DataFrame, complete: DataFrame, untold: DataFrame, details: DataFrame, dialect: str, step: int, least: int, quota: int) -> DataFrame:
+    """Figures of profiles that have found too few offers, with details of offers that lack what is asked for.
+
+    Up to ``quota`` details are read for a profile, those of offers that lack least first,
+    then by page, position, URL and the offer's figures, until there are ``least`` distinct
+    offers.  An offer without a URL cannot be read; of offers of one URL the first counts.
+    """
+    parts = [k for k in EQUAL if step <= LADDERS[dialect].get(k, -1)]
+    missing = F.size(F.filter("lacks", lambda x: x))
+    first = F.min(F.struct(missing.alias("missing"), "page", "pos", "detail_url", *_SAME, "asked", "lacks")).alias("u")
+    listed = untold.where("detail_url IS NOT NULL").groupBy(*PROFILE, "detail_url").agg(first).select(*PROFILE, "u.*")
+    order = ["missing", "page", "pos", "detail_url", *_SAME]
+    chosen = listed.withColumn("rank", F.row_number().over(Window.partitionBy(*PROFILE).orderBy(*order))).where(F.col("rank") <= quota)
+    fits = functools.reduce(Column.__and__, (~F.get("lacks", F.lit(i)) | F.coalesce(F.col(f"told_{k}").cast("string") == F.get("asked", F.lit(i)), F.lit(False)) for i, k in enumerate(parts)), F.lit(True))
+    read = chosen.join(one_detail(details), "detail_url", "left").select(*PROFILE, *_SAME, "rank", fits.alias("fits"))
+    rows = complete.select(*PROFILE, *_SAME, F.lit(0).alias("rank"), F.lit(True).alias("fits")).unionByName(read)
+    new = F.col("fits") & (F.row_number().over(Window.partitionBy(*PROFILE, *_SAME, "fits").orderBy("rank")) == 1)
+    before = F.sum(F.col("new").cast("int")).over(Window.partitionBy(*PROFILE).orderBy("rank").rangeBetween(Window.unboundedPreceding, -1))
+    used = rows.withColumn("new", new).withColumn("before", F.coalesce(before, F.lit(0))).where((F.col("rank") == 0) | (F.col("before") < least))
+    counts = used.groupBy(*PROFILE).agg(F.count_if(F.col("rank") > 0).alias("detail_n"), F.count_if((F.col("rank") > 0) & F.col("fits")).alias("detail_matched_n"))
+    return counts.join(used.where("new").groupBy(*PROFILE).agg(*_figures()), PROFILE, "left")
+
+
+def prepared(offers: DataFrame, details: DataFrame | None = None, quota: int | None = None) -> DataFrame:
+    """Offers as the ladder reads them, written out; without a quota all details are read at once."""
+    known = ["station_name", *EQUAL.values(), "building_type", "area_sqm", "building_age_years", "walk_min", "rent_yen", "admin_fee_yen", "page", *(("detail_url", "pos") if quota else ())]
+    return cut((enrich(offers, details) if details is not None and not quota else offers).select(*PLACE, *known))
+
+
+def climb(subjects: DataFrame, offers: DataFrame, dialect: str, least: int = 2, skip: tuple[str, ...] = (), details: DataFrame | None = None, quota: int | None = None, stop_pages: bool = False) -> list[DataFrame]:
+    """For each step the subjects that take it (``USED``), with their profile, ``want``, ``n`` and figures of the step, and the ``best`` so far; ``offers`` are ``prepared``."""
+    open_ = subjects.withColumns({c: F.lit(None).cast(subjects.schema[c].dataType) for c in skip}).withColumn("layout_type", F.upper("layout_type")).select(*USED, F.lit(None).cast(_BEST).alias("best"))
+    open_ = cut(open_)
+    free = open_parts(open_, dialect)
+    pairs = cut(contained_pairs(open_.select(F.col("nearest_station_name").alias("station")), offers.select("station_name"), dialect))
+    limits = {k: F.col(f"want_{k}") for k in WANTED}
+    steps = []
     for step in range(STEPS):
-        asking = asked(ladder.where(~enough), dialect, step)
+        asking = asked(open_, dialect, step)
         profiles = asking.select(*PROFILE, *PLACE, "want").dropDuplicates(PROFILE)
-        limits = {k: F.col(f"want_{k}") for k in WANTED}
-        met = candidates(profiles, offers, pairs, dialect, step).where(_passes(limits))
-        distinct = met.groupBy(*PROFILE, "rent_yen", "admin_fee_yen", "area_sqm").agg(F.min("page").alias("page"))
-        if stop_pages:
-            distinct = up_to_page(distinct, PROFILE, least)
-        answers = distinct.groupBy(*PROFILE).agg(F.count("*").alias("n"), total["value"].alias("benchmark_yen"), total["method"].alias("method"), rent["value"].alias("benchmark_rent_yen"))
-        found = F.struct(F.lit(step).alias("chosen_step"), "n", "benchmark_yen", "method", "benchmark_rent_yen").cast(best)
-        now = asking.join(answers, PROFILE, "left").withColumn("best", F.when(F.col("n").isNotNull(), found).otherwise(F.col("best"))).select(*used, "best")
-        ladder = now.unionByName(ladder.where(enough))
-        if step < STEPS - 1:
-            ladder = cut(ladder)
-    out = ladder.select("listing_id", "best.chosen_step", F.coalesce("best.n", F.lit(0)).alias("n"), "best.benchmark_yen", F.coalesce("best.method", F.lit("none")).alias("method"), "best.benchmark_rent_yen")
+
+        def distinct(profiles: DataFrame) -> DataFrame:
+            met = candidates(profiles, offers, pairs, dialect, step, free).where(_passes(limits))
+            return met.groupBy(*PROFILE, *_SAME).agg(F.min("page").alias("page"))
+
+        found = distinct(profiles)
+        answers = (up_to_page(found, PROFILE, least) if stop_pages else found).groupBy(*PROFILE).agg(*_figures()).withColumns({"detail_n": F.lit(0).cast("bigint"), "detail_matched_n": F.lit(0).cast("bigint")})
+        if quota and details is not None:
+            answers = cut(answers)
+            few = profiles.join(answers.where(F.col("n") >= least), PROFILE, "left_anti")
+            untold = candidates(few, offers, pairs, dialect, step, free, True).where(_passes(limits))
+            more = with_details(few, distinct(few), untold, details, dialect, step, least, quota)
+            answers = answers.where(F.col("n") >= least).unionByName(more)
+        now = asking.join(answers, PROFILE, "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n", "detail_n", "detail_matched_n")})
+        best = F.struct(F.lit(step).alias("chosen_step"), "n", "benchmark_yen", "method", "benchmark_rent_yen").cast(_BEST)
+        steps.append(cut(now.withColumns({"best": F.when(F.col("n") > 0, best).otherwise(F.col("best")), "step": F.lit(step)})))
+        open_ = steps[-1].where(F.col("n") < least).select(*USED, "best")
+    return steps
+
+
+def settled(steps: list[DataFrame], dialect: str, least: int = 2) -> DataFrame:
+    """One row for each subject of ``climb``: chosen step, n, figures, confidence and level."""
+    ended = functools.reduce(DataFrame.unionByName, [*(s.where(F.col("n") >= least) for s in steps[:-1]), steps[-1]])
+    out = ended.select("listing_id", "best.chosen_step", F.coalesce("best.n", F.lit(0)).alias("n"), "best.benchmark_yen", F.coalesce("best.method", F.lit("none")).alias("method"), "best.benchmark_rent_yen")
     level = F.when(F.col("n") == 0, "none").when(F.col("chosen_step") == 0, f"live_{dialect}").otherwise(f"relaxed_{dialect}")
     return out.withColumn("benchmark_confidence", confidence(F.col("n"), F.col("chosen_step"))).withColumn("matched_level", level)
 
 
+def live_benchmark(subjects: DataFrame, offers: DataFrame, dialect: str, least: int = 2, skip: tuple[str, ...] = (), details: DataFrame | None = None, quota: int | None = None, stop_pages: bool = False) -> DataFrame:
+    """One row for each subject: chosen step, n, robust figure of monthly totals and of rents, confidence, level.
+
+    The chosen step is the first with ``least`` distinct offers, else the last with any;
+    a subject without any has n = 0, no figures and the confidence and level ``none``.
+    ``skip`` names subject columns that are not asked for.  ``details`` (``detail_url``
+    and fields) fills what offers lack: all of it, or with ``quota`` up to so many rows for
+    a subject and step, and only while it has found too few.  With ``stop_pages`` a step
+    counts only offers up to the page on which it has found enough.
+    """
+    steps = climb(subjects, prepared(offers, details, quota), dialect, least, skip, details, quota, stop_pages)
+    return settled(steps, dialect, least)
+
+
 def up_to_page(distinct: DataFrame, by: list[str], least: int) -> DataFrame:
     """Rows up to the ``page`` on which the running number of a group's rows reaches ``least``; all of them where none does."""
     rank = F.row_number().over(Window.partitionBy(*by).orderBy("page"))
@@ -282,14 +332,9 @@ def up_to_page(distinct: DataFrame, by: list[str], least: int) -> DataFrame:
     return distinct.withColumn("__rank", rank).withColumn("__stop", stop).where("__stop IS NULL OR page <= __stop").drop("__rank", "__stop")
 
 
-def reject_counts(subjects: DataFrame, offers: DataFrame, dialect: str) -> DataFrame:
-    """By step and reason, how many times an offer of the right place fails a subject; both sides are counted by profile first."""
-    steps = F.explode(F.array(*(F.struct(F.lit(k).alias("step"), wanted(dialect, k).alias("want")) for k in range(STEPS))))
-    asking = subjects.withColumn("layout_type", F.upper("layout_type")).select(*PLACE, steps.alias("s")).select(*PLACE, "s.*").groupBy(*PLACE, "step", "want").agg(F.count("*").alias("subjects"))
-    kinds = ["area_sqm", "building_age_years", "walk_min", "station_name", "building_type", "orientation", "building_structure", "bathroom_toilet_separate"]
-    of = offers.withColumn("layout_type", F.upper("layout_type")).groupBy(*PLACE, *kinds).agg(F.count("*").alias("offers"))
-    reason = F.coalesce(reject_reason(F.col("want"), dialect), F.lit("passed"))
-    return asking.join(of, PLACE).groupBy("step", reason.alias("reason")).agg(F.sum(F.col("subjects") * F.col("offers")).alias("n"))
+def answered() -> Column:
+    """A figure, and any confidence in it."""
+    return (F.col("benchmark_confidence") != "none") & F.col("benchmark_yen").isNotNull()
 
 
 def provider_fallback(results: list[DataFrame], names: tuple[str, ...] = tuple(LADDERS)) -> DataFrame:
@@ -298,7 +343,7 @@ def provider_fallback(results: list[DataFrame], names: tuple[str, ...] = tuple(L
     ``attempts`` lists what was tried up to the one that was taken, each as ``name:confidence``.
     """
     tried = functools.reduce(DataFrame.unionByName, (r.withColumns({"provider": F.lit(i), "tried": F.concat(F.lit(f"{name}:"), "benchmark_confidence")}) for i, (r, name) in enumerate(zip(results, names))))
-    good = (F.col("benchmark_confidence") != "none") & F.col("benchmark_yen").isNotNull()
+    good = answered()
     columns = [c for c in results[0].columns if c != "listing_id"]
     taken = F.struct(F.when(good, F.col("provider")).otherwise(len(results)).alias("order"), (-F.col("provider")).alias("late"), "provider", *columns)
     one = tried.groupBy("listing_id").agg(F.min(taken).alias("t"), F.array_sort(F.collect_list(F.struct("provider", "tried"))).alias("all"))
@@ -306,9 +351,13 @@ def provider_fallback(results: list[DataFrame], names: tuple[str, ...] = tuple(L
     return one.select("listing_id", *(F.col(f"t.{c}").alias(c) for c in columns), "t.provider", attempts.alias("attempts"))
 
 
-def page_stop(found: DataFrame, least: int = 2) -> DataFrame:
-    """Rows up to the page on which a subject's running number of matches within a step reaches ``least``."""
-    return up_to_page(found, ["listing_id", "step"], least)
+def fallback(subjects: DataFrame, offers: DataFrame, dialects: tuple[str, ...] = tuple(LADDERS), least: int = 2) -> DataFrame:
+    """``provider_fallback`` of ladders, each climbed only by subjects that those before have left without an answer."""
+    ready, results = prepared(offers), []
+    for dialect in dialects:
+        results.append(cut(settled(climb(subjects, ready, dialect, least), dialect, least)))
+        subjects = subjects.join(results[-1].where(~answered()).select("listing_id"), "listing_id", "left_semi")
+    return provider_fallback(results, dialects)
 
 
 def coverage(offers: DataFrame, by: str = "page") -> DataFrame:
@@ -317,15 +366,7 @@ def coverage(offers: DataFrame, by: str = "page") -> DataFrame:
     return offers.groupBy(by).agg(F.count("*").alias("fetched_n"), *(F.count(f).alias(f"has_{f}") for f in fields))
 
 
-def enrich(offers: DataFrame, details: DataFrame, key: str = "detail_url", budget: int | None = None) -> DataFrame:
-    """Fill missing fields from detail rows; with a budget, the offers that miss least come first."""
-    fields = ["orientation", "bathroom_toilet_separate", "building_structure"]
-    missing = functools.reduce(Column.__add__, (F.col(f).isNull().cast("int") for f in fields))
-    ranked = offers.withColumn("__need", missing)
-    if budget is not None:
-        # rank only rows that need anything, and only up to the budget: a top-k, not a global sort
-        asked = ranked.where("__need > 0").orderBy("__need", "pos").limit(budget).select(key).distinct()
-        details = details.join(asked, key, "left_semi")
-    one = details.groupBy(key).agg(*(F.first(f, ignorenulls=True).alias(f"__{f}") for f in fields))
-    joined = ranked.join(one, key, "left")
-    return joined.withColumns({f: F.coalesce(f, f"__{f}") for f in fields}).drop("__need", *(f"__{f}" for f in fields)).select(offers.columns)
+def enrich(offers: DataFrame, details: DataFrame) -> DataFrame:
+    """Fill fields that offers lack from the rows of their ``detail_url``."""
+    joined = offers.join(one_detail(details), "detail_url", "left")
+    return joined.withColumns({c: F.coalesce(c, f"told_{k}") for k, c in EQUAL.items()}).select(offers.columns)

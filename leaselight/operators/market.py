@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .. import spec
+from . import names
 
 ROW = ["region_country", "prefecture", "municipality", "layout_type", "building_structure", "avg_rent_yen", "source_name", "source_url", "source_updated_at", "collected_at", "method_notes"]
 KEY = ["prefecture", "municipality", "layout_type", "building_structure"]
@@ -133,12 +134,8 @@ def counts_by_structure(rows: DataFrame) -> DataFrame:
 
 
 def closest_place(asked: DataFrame, known: DataFrame) -> DataFrame:
-    """For each asked municipality the known one of its prefecture that is contained in it, or contains it, closest in length.
-
-    The distinct names of a prefecture are few; they are joined by prefecture, then compared.
-    """
-    pairs = asked.select("prefecture", "municipality").distinct().join(known.select("prefecture", F.col("municipality").alias("known")).distinct(), "prefecture")
-    fits = pairs.where(F.contains("municipality", F.col("known")) | F.contains("known", F.col("municipality")))
+    """For each asked municipality the known one of its prefecture that is contained in it, or contains it, closest in length."""
+    fits = names.either_contains(asked, known.select("prefecture", F.col("municipality").alias("known")), "municipality", "known", ("prefecture",))
     return fits.groupBy("prefecture", "municipality").agg(F.min_by("known", F.struct(F.abs(F.length("municipality") - F.length("known")), "known")).alias("known"))
 
 

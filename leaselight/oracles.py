@@ -172,9 +172,62 @@ def _ladder(dialect: str, step: int) -> str:
     return " AND ".join(_tests(dialect, step).values()) or "true"
 
 
+_VALUES = {"orientation": "orientation", "structure": "building_structure", "bath": "bathroom_toilet_separate"}
+_READ = {"orientation": "CASE WHEN pos % 2 = 0 THEN 'N' END", "structure": "CASE WHEN pos % 5 > 0 THEN 'rc' ELSE 'wood' END", "bath": "pos % 4 < 2"}
+
+
+def _tried(dialect: str, skip: tuple[str, ...] = (), details: bool = False) -> str:
+    """Every subject with every offer of its place at every step (``tri``), and the steps that it takes (``tried``), by brute force."""
+    selects = []
+    for k in range(comparables.STEPS):
+        tests = {name: t for name, t in _tests(dialect, k).items() if name not in skip}
+        asks = {"orientation": "s.orientation <> 'UNKNOWN'", "structure": "s.building_structure NOT IN ('other', 'all')", "bath": "s.bathroom_toilet_separate IS NOT NULL"}
+        untold = {v: f"({asks[v]} AND c.{c} IS NULL)" if v in tests else "false" for v, c in _VALUES.items()}
+        failed = " ".join(f"WHEN NOT ({t}) AND NOT {untold.get(name, 'false')} THEN '{name}'" for name, t in tests.items())
+        selects.append(f"SELECT s.listing_id, {k} AS step, s.orientation AS want_orientation, s.building_structure AS want_structure, s.bathroom_toilet_separate AS want_bath, c.rent_yen, c.admin_fee_yen, c.area_sqm, c.page, c.pos, CASE {failed} END AS reason, {', '.join(f'{t} AS untold_{v}' for v, t in untold.items())} FROM m s JOIN offers c ON s.prefecture = c.prefecture AND s.municipality = c.municipality AND s.layout_type = c.layout_type")
+    lacks = " + ".join(f"CAST(untold_{v} AS INTEGER)" for v in _VALUES)
+    fits = " AND ".join(f"(NOT untold_{v} OR (pos % 3 > 0 AND coalesce(({read}) = want_{v}, false)))" for v, read in _READ.items())
+    order = "missing, page, pos, rent_yen, admin_fee_yen, area_sqm"
+    read = f"""(SELECT listing_id, step, rent_yen, admin_fee_yen, area_sqm, row_number() OVER (PARTITION BY listing_id, step ORDER BY {order}) AS rank, fits FROM (
+    SELECT *, {fits} AS fits FROM few JOIN (SELECT *, {lacks} AS missing FROM tri WHERE reason IS NULL AND {lacks} > 0) USING (listing_id, step)
+    QUALIFY row_number() OVER (PARTITION BY listing_id, step, pos ORDER BY {order}) = 1) QUALIFY rank <= {comparables.quota_of(2)})""" if details else "(SELECT * FROM complete WHERE false)"
+    return f"""tri AS ({' UNION ALL '.join(selects)}
+), complete AS (SELECT listing_id, step, rent_yen, admin_fee_yen, area_sqm, 0 AS rank, true AS fits FROM tri WHERE reason IS NULL AND {lacks} = 0 GROUP BY ALL
+), few AS (SELECT listing_id, step FROM m, (SELECT unnest(range({comparables.STEPS})) AS step) EXCEPT SELECT listing_id, step FROM complete GROUP BY listing_id, step HAVING count(*) >= 2
+), looked AS (SELECT *, fits AND row_number() OVER (PARTITION BY listing_id, step, rent_yen, admin_fee_yen, area_sqm, fits ORDER BY rank) = 1 AS new FROM (SELECT * FROM complete UNION ALL SELECT * FROM {read})
+), used AS (SELECT * FROM (SELECT *, coalesce(sum(CAST(new AS INTEGER)) OVER (PARTITION BY listing_id, step ORDER BY rank RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM looked) WHERE rank = 0 OR before < 2
+), told AS (SELECT listing_id, step, count(*) FILTER (new) AS n, count(*) FILTER (rank > 0) AS detail_n, count(*) FILTER (rank > 0 AND fits) AS detail_matched_n FROM used GROUP BY ALL
+), every AS (SELECT listing_id, step, coalesce(n, 0) AS n, coalesce(detail_n, 0) AS detail_n, coalesce(detail_matched_n, 0) AS detail_matched_n FROM m CROSS JOIN (SELECT unnest(range({comparables.STEPS})) AS step) LEFT JOIN told USING (listing_id, step)
+), tried AS (SELECT * FROM every QUALIFY step <= coalesce(min(step) FILTER (n >= 2) OVER (PARTITION BY listing_id), {comparables.STEPS}))"""
+
+
+_REASONS = ("area", "age", "walk", "station", "building_type", *_VALUES)
+
+
 def _rejects(dialect: str) -> str:
-    cases = " UNION ALL ".join(f"SELECT {k} AS step, CASE {' '.join(f"WHEN NOT ({t}) THEN '{name}'" for name, t in _tests(dialect, k).items())} ELSE 'passed' END AS reason FROM m s JOIN offers c ON s.prefecture = c.prefecture AND s.municipality = c.municipality AND s.layout_type = c.layout_type" for k in range(comparables.STEPS))
-    return f"{_LIVE_BASE} SELECT step, reason, count(*) AS n FROM ({cases}) GROUP BY ALL"
+    counted = " UNION ALL ".join([
+        "SELECT step, reason, 1 AS n FROM seen WHERE reason IS NOT NULL", *(f"SELECT step, 'untold_{v}', 1 FROM seen WHERE reason IS NULL AND untold_{v}" for v in _VALUES),
+        f"SELECT step, CASE WHEN {' OR '.join(f'untold_{v}' for v in _VALUES)} THEN 'untold' ELSE 'complete' END, 1 FROM seen WHERE reason IS NULL",
+    ])
+    return f"{_LIVE_BASE}, {_tried(dialect)}, seen AS (SELECT tri.* FROM tri JOIN tried USING (listing_id, step)) SELECT step, reason, count(*) AS n FROM ({counted}) GROUP BY ALL"
+
+
+def _attempt_log() -> str:
+    listed = lambda names: f"coalesce(array_to_string(list_filter([{', '.join(f"CASE WHEN {n} > 0 THEN '{n}:' || {n} END" for n in names)}], lambda x: x IS NOT NULL), ','), '')"
+    untold = [f"untold_{v}" for v in _VALUES]
+    counts = ", ".join([*(f"count(*) FILTER (reason = '{r}') AS {r}" for r in _REASONS), *(f"count(*) FILTER (reason IS NULL AND {u}) AS {u}" for u in untold)])
+    fields = ("area_sqm", "walk_min", "building_age_years", "building_structure", "bathroom_toilet_separate", "station_name", "building_type")
+    return f"""{_LIVE_BASE}, {_tried('cassette', ('station',), True)}, c AS (SELECT listing_id, step, count(*) AS fetched_n, count(*) FILTER (reason IS NULL AND NOT ({' OR '.join(untold)})) AS complete_n, {counts} FROM tri GROUP BY ALL
+), p AS (SELECT prefecture, municipality, layout_type, {" || ',' || ".join(f'count({f})' for f in fields)} AS coverage FROM offers GROUP BY ALL)
+SELECT listing_id, step, coalesce(fetched_n, 0) AS fetched_n, coalesce(complete_n, 0) AS complete_n, detail_n, detail_matched_n, n, {listed(_REASONS)} AS rejects, {listed(untold)} AS untold, coalesce(coverage, '{','.join('0' for _ in fields)}') AS coverage
+FROM tried JOIN (SELECT listing_id, prefecture, municipality, layout_type FROM m) USING (listing_id) LEFT JOIN c USING (listing_id, step) LEFT JOIN p USING (prefecture, municipality, layout_type)"""
+
+
+def _detailed() -> str:
+    return f"""{_LIVE_BASE}, {_tried('cassette', ('station',), True)}, chosen AS (SELECT listing_id, max(step) AS chosen_step FROM tried WHERE n > 0 GROUP BY listing_id
+), f AS (SELECT listing_id, chosen_step, count(*) AS n, {_robust('(rent_yen + admin_fee_yen)')} AS benchmark_yen, {_robust('rent_yen')} AS benchmark_rent_yen FROM used JOIN chosen USING (listing_id) WHERE new AND step = chosen_step GROUP BY ALL)
+SELECT listing_id, chosen_step, coalesce(n, 0) AS n, benchmark_yen, benchmark_rent_yen, CASE WHEN coalesce(n, 0) < 2 THEN 'none' WHEN chosen_step = 0 THEN CASE WHEN n >= 3 THEN 'high' ELSE 'mid' END WHEN chosen_step = 1 THEN CASE WHEN n >= 3 THEN 'mid' ELSE 'low' END ELSE 'low' END AS benchmark_confidence,
+  CASE WHEN n IS NULL THEN 'none' WHEN chosen_step = 0 THEN 'live_cassette' ELSE 'relaxed_cassette' END AS matched_level FROM m LEFT JOIN f USING (listing_id)"""
 
 
 def _robust(value: str) -> str:
@@ -371,6 +424,8 @@ SELECT listing_id, array_to_string(list_filter([{', '.join(f"CASE WHEN {w} THEN
     **{f"comparables_{d}": f"{_LIVE_BASE},\n{_live(d)} SELECT {_LIVE_COLS} FROM live_{d}" for d in comparables.LADDERS},
     "provider_fallback": f"""{_LIVE_BASE},\n{', '.join(_live(d) for d in comparables.LADDERS)}, {_FALLBACK} SELECT {_LIVE_COLS}, provider, attempts FROM pf""",
     "reject_counts": _rejects("cassette"),
+    "attempt_log": _attempt_log(),
+    "comparables_detailed": _detailed(),
     "offer_coverage": f"WITH {_base('market', 'offers')} SELECT page, count(*) AS fetched_n, {', '.join(f'count({c}) AS has_{c}' for c in ('area_sqm', 'walk_min', 'building_age_years', 'orientation', 'building_structure', 'bathroom_toilet_separate', 'building_type'))} FROM offers GROUP BY page",
     "distinct_offers": f"WITH {_base('market', 'offers')} SELECT prefecture, municipality, count(*) AS n FROM (SELECT DISTINCT prefecture, municipality, rent_yen, admin_fee_yen, area_sqm, layout_type FROM offers) GROUP BY ALL",
     "segments": f"""WITH {_base('market', 'offers')} SELECT CASE WHEN area_sqm < 15 THEN 'lt15' WHEN area_sqm < 20 THEN '15_19' WHEN area_sqm < 25 THEN '20_24' WHEN area_sqm < 30 THEN '25_29' ELSE 'ge30' END AS area_segment,

@@ -9,7 +9,7 @@ from leaselight.operators import benchmark, comparables, derive, report, validat
 from leaselight.plans import engine
 
 GOOD = {
-    "listing_id": "a", "hub_station": "shinjuku", "prefecture": "tokyo", "municipality": "江戸川区", "nearest_station_name": "小岩", "station_walk_min": 8, "layout_type": "1K", "building_structure": "wood", "area_sqm": 22.0,
+    "listing_id": "a", "hub_station": "shinjuku", "prefecture": "tokyo", "municipality": "月見市", "nearest_station_name": "星野", "station_walk_min": 8, "layout_type": "1K", "building_structure": "wood", "area_sqm": 22.0,
     "building_built_year": 2010, "orientation": "S", "bathroom_toilet_separate": True, "rent_yen": 90_000, "mgmt_fee_yen": 5_000, "initial_cost_total_yen": 380_000,
 }
 
