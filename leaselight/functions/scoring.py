@@ -89,4 +89,4 @@ def grade(score: Column, bands: list[list[Any]]) -> Column:
     chain = F
     for name, least in sorted(bands, key=lambda b: -b[1]):
         chain = chain.when(score >= least, name)
-    return chain.otherwise("D")
+    return F.lit("D") if chain is F else chain.otherwise("D")

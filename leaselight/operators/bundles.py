@@ -43,6 +43,16 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.lit(folder).alias("bundle"), "part", "document")
 
 
+def write(spark: SparkSession, folder: str, files: dict[str, str]) -> None:
+    """A few documents as files of a folder, through Spark's file systems."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for name, document in files.items():
+        where = jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{name}")
+        out = where.getFileSystem(conf).create(where, True)
+        out.write(bytearray(document.encode()))
+        out.close()
+
+
 def merged(parts: DataFrame) -> DataFrame:
     """One JSON document for each bundle with all its parts."""
     pair = F.concat(F.lit('"'), "part", F.lit('":'), "document")

@@ -402,6 +402,28 @@ def _checks() -> dict[str, str]:
     }
 
 
+def _bundled() -> str:
+    """The two bundles of the pages module, written out by hand."""
+    pick = lambda plain, strict: f"CASE bundle WHEN 'plain' THEN {plain} WHEN 'strict' THEN {strict} END"
+    score = {
+        "location": pick("CASE WHEN station_walk_min <= 10 THEN 90e0 WHEN station_walk_min <= 20 THEN 60e0 ELSE 30e0 END", "(1e0 - greatest(0e0, least(1e0, station_walk_min / 30e0))) * 100e0"),
+        "condition": pick("(greatest(0e0, least(1e0, (area_sqm - 10e0) / 40e0)) * 80e0 + 20e0) * 0.5e0 + CASE WHEN bathroom_toilet_separate THEN 80e0 ELSE 40e0 END * 0.5e0", "CASE orientation WHEN 'S' THEN 100e0 WHEN 'N' THEN 10e0 ELSE 55e0 END"),
+        "cost": pick("CASE WHEN benchmark_confidence = 'none' THEN 50e0 WHEN rent_delta_ratio <= 0 THEN 80e0 ELSE 20e0 END", "CASE WHEN monthly_fixed_cost_yen <= 20000 THEN 95e0 WHEN monthly_fixed_cost_yen >= 60000 THEN 5e0 ELSE 45e0 END"),
+    }
+    small, dear = "area_sqm < 20", "rent_yen > 40000"
+    return f"""WITH {_base('market', 'subjects')},\n{MEASURED},\n{INDEX},\n{MATCHED},\n{DELTAS}, b0 AS (SELECT *, CASE listing_id % 3 WHEN 0 THEN 'plain' WHEN 1 THEN 'strict' ELSE 'nobody''s' END AS bundle FROM k
+), b1 AS (SELECT *, {', '.join(f'round_even({v} + 1e-9, 6) AS {c}_score' for c, v in score.items())} FROM b0
+), b2 AS (SELECT *, round_even({pick('location_score * 0.5e0 + condition_score * 0.3e0 + cost_score * 0.2e0', 'location_score * 0.2e0 + condition_score * 0.2e0 + cost_score * 0.6e0')} + 1e-9, 6) AS overall_score FROM b1
+), b3 AS (SELECT *, {pick("CASE WHEN overall_score >= 70 THEN 'A' WHEN overall_score >= 50 THEN 'B' ELSE 'D' END", "CASE WHEN overall_score >= 90 THEN 'A' WHEN overall_score >= 30 THEN 'C' ELSE 'D' END")} AS overall_grade,
+  {pick("CASE WHEN location_score >= 60 THEN 'A' ELSE 'D' END", "'D'")} AS location_grade, {pick("'D'", "'D'")} AS condition_grade, {pick("CASE WHEN cost_score >= 40 THEN 'B' ELSE 'D' END", "'D'")} AS cost_grade FROM b2)
+SELECT listing_id, bundle, location_score, condition_score, cost_score, overall_score, location_grade, condition_grade, cost_grade, overall_grade,
+  {pick("concat_ws(',', CASE WHEN station_walk_min > 20 THEN 'FAR:mid' END, CASE WHEN " + small + " THEN 'SMALL:low' END)", "CASE WHEN coalesce(contract_term_months >= 12, false) THEN 'LONG:high' ELSE '' END")} AS flags,
+  {pick("CASE WHEN location_score >= 90 THEN 'near' ELSE 'even' END", 'NULL')} AS tradeoff_tag, {pick(f"CASE WHEN {small} THEN 'SMALL' ELSE 'ANY' END", f"CASE WHEN {dear} THEN 'DEAR' END")} AS template_id,
+  {pick(f"CASE WHEN {small} THEN '작은 방 ' || layout_type ELSE '등급 ' || overall_grade END", 'NULL')} AS summary_ko, {pick(f"CASE WHEN NOT {small} THEN '評価 ' || overall_grade END", f"CASE WHEN {dear} THEN '家賃 ' || rent_yen || ' 円' END")} AS summary_ja,
+  {pick(f"CASE WHEN {small} THEN '도보 ' || station_walk_min || '분' END", 'NULL')} AS evidence_ko, {pick(f"CASE WHEN {small} THEN '礼金の相談' END", 'NULL')} AS negotiation_ja,
+  {pick(f"CASE WHEN NOT {small} THEN layout_type || ' 賃貸|' || nearest_station_name || ' 徒歩' || station_walk_min || '分' END", 'NULL')} AS queries_ja FROM b3"""
+
+
 _R = lambda *cols: ", ".join(f"round_even({c}, 6) AS {c}" for c in cols)
 ORACLES: dict[str, str] = {
     "validate_listings": _errors(),
@@ -467,6 +489,7 @@ SELECT a.prefecture, a.municipality, arg_min(known, lpad(CAST(abs(length(a.munic
     "page_lines": f"""SELECT page_id, len(ls) AS n_lines, md5(array_to_string(ls, chr(10))) AS lines_md5 FROM (SELECT page_id, {_page_lines('html')} AS ls FROM pages)""",
     **_documents(),
     **_checks(),
+    "bundled_reports": _bundled(),
 }
 #: Evaluation that prefers comparable offers.
 _PREFERRED = ("matched_level", "benchmark_confidence", "benchmark_yen", "benchmark_n_rows", "benchmark_raw_yen")

@@ -148,6 +148,33 @@ def bundles(numbers: DataFrame, key: str) -> DataFrame:
     return numbers.select(F.col(key).cast("string").alias("bundle"), parts.alias("p")).select("bundle", "p.part", "p.document")
 
 
+#: Two bundles with rules of their own, as their documents stand in files.
+RULE_BUNDLES = {
+    "plain": {
+        "S1": '{"fields":[{"key":"area_sqm"}]}',
+        "S2": """{"weights":{"location":0.5,"condition":0.3,"cost":0.2},
+          "grade_thresholds":{"overall":[{"grade":"A","min_score":70},{"grade":"B","min_score":50}],"location":[{"grade":"A","min_score":60}],"cost":[{"grade":"B","min_score":40}]},
+          "features":[{"component":"location","input_key":"station_walk_min","method":"bucket","weight":1,"params":{"buckets":[{"max":10,"score":90},{"max":20,"score":60}],"default_score":30}},
+            {"component":"condition","input_key":"area_sqm","method":"linear","weight":0.5,"params":{"min_x":10,"max_x":50,"min_score":20,"max_score":100,"clamp":true}},
+            {"component":"condition","input_key":"bathroom_toilet_separate","method":"boolean","weight":0.5,"params":{"true_score":80,"false_score":40}},
+            {"component":"cost","input_key":"rent_delta_ratio","method":"bucket","weight":1,"params":{"buckets":[{"max":0,"score":80}],"default_score":20,"confidence_key":"benchmark_confidence","neutral_score_if_confidence_in":["none"],"neutral_score":50}}],
+          "risk_flag_rules":[{"id":"r2","priority":20,"when":{"<":[{"var":"area_sqm"},20]},"outputs":{"risk_flag_id":"SMALL","severity":"low"}},{"id":"r1","priority":10,"when":{">":[{"var":"station_walk_min"},20]},"outputs":{"risk_flag_id":"FAR","severity":"mid"}}],
+          "tradeoff_rules":[{"id":"t1","priority":1,"when":{">=":[{"var":"location_score"},90]},"outputs":{"tradeoff_tag":"near"}},{"id":"t2","priority":2,"when":{"==":[1,1]},"outputs":{"tradeoff_tag":"even"}}]}""",
+        "C1": """{"rules":[{"id":"ANY","priority":0,"when":{"==":[1,1]},"summary_ko":"등급 {overall_grade}","summary_ja":"評価 {overall_grade}","alternative_search_queries_ja":["{layout_type} 賃貸","{nearest_station_name} 徒歩{station_walk_min}分"]},
+          {"id":"SMALL","priority":5,"when":{"<":[{"var":"area_sqm"},20]},"summary_ko":"작은 방 {layout_type}","evidence_bullets_ko":["도보 {station_walk_min}분"],"negotiation_suggestions_ja":["礼金の相談"]}]}""",
+    },
+    "strict": {
+        "S1": '{"fields":[{"key":"area_sqm"}]}',
+        "S2": """{"weights":{"location":0.2,"condition":0.2,"cost":0.6},"grade_thresholds":{"overall":[{"grade":"A","min_score":90},{"grade":"C","min_score":30}]},
+          "features":[{"component":"location","input_key":"station_walk_min","method":"linear","weight":1,"params":{"min_x":0,"max_x":30,"min_score":0,"max_score":100,"clamp":true,"direction":"lower_is_better"}},
+            {"component":"condition","input_key":"orientation","method":"lookup","weight":1,"params":{"table":{"S":100,"N":10},"default_score":55}},
+            {"component":"cost","input_key":"monthly_fixed_cost_yen","method":"bucket","weight":1,"params":{"buckets":[{"max":20000,"score":95},{"min":60000,"score":5}],"default_score":45}}],
+          "risk_flag_rules":[{"id":"r","priority":1,"when":{"and":[{"!=":[{"var":"contract_term_months"},null]},{">=":[{"var":"contract_term_months"},12]}]},"outputs":{"risk_flag_id":"LONG","severity":"high"}}]}""",
+        "C1": '{"rules":[{"id":"DEAR","priority":1,"when":{">":[{"var":"rent_yen"},40000]},"summary_ja":"家賃 {rent_yen} 円"}]}',
+    },
+}
+
+
 #: Addresses, ways and links of a listing, as texts.
 ADDRESS = "〒000 {prefecture}{municipality}本町3-1"
 ACCESS = "みどり線 {station}駅 徒歩{more_walk}分 / あお線 新 {station}駅 歩{walk}分"

@@ -24,7 +24,7 @@ def index(spark, rows):
     return benchmark.build_index(spark.createDataFrame(rows, columns))
 
 
-KOIWA = [("tokyo", "江戸川区", "1K", "wood", 120_000)] * 2 + [("tokyo", "江戸川区", "1K", "rc", 160_000)] * 2 + [("tokyo", "江戸川区", "1K", "all", 150_000)] * 2
+TOWN = [("tokyo", "月見市", "1K", "wood", 120_000)] * 2 + [("tokyo", "月見市", "1K", "rc", 160_000)] * 2 + [("tokyo", "月見市", "1K", "all", 150_000)] * 2
 
 
 @pytest.mark.parametrize("rule, expected", [
@@ -62,14 +62,14 @@ def test_select_rule_prefers_conditions(spark):
     ("early_termination_penalty_yen", 100_000, None, "HIGH_EARLY_TERMINATION_PENALTY"), ("initial_cost_total_yen", 570_000, 285_000, "HIGH_INITIAL_MULTIPLE"),
 ])
 def test_flag_boundaries(spark, column, at, off, flag):
-    out = engine.evaluate(listings(spark, {column: at}, {column: off}), index(spark, KOIWA), 2024)
+    out = engine.evaluate(listings(spark, {column: at}, {column: off}), index(spark, TOWN), 2024)
     flags = {r.listing_id: [f.risk_flag_id for f in r.risk_flags] for r in out.collect()}
     assert flag in flags["0"] and flag not in flags["1"]
 
 
 def test_levels_and_confidence(spark):
     subjects = listings(spark, {}, {"building_structure": "rc"}, {"building_structure": "other"}, {"municipality": "港区"}, {"prefecture": "osaka"})
-    found = {r.listing_id: r for r in engine.evaluate(subjects, index(spark, KOIWA), 2024).collect()}
+    found = {r.listing_id: r for r in engine.evaluate(subjects, index(spark, TOWN), 2024).collect()}
     assert [found[str(i)].benchmark_raw_yen for i in range(5)] == [120_000, 160_000, 150_000, 150_000, None]
     assert [found[str(i)].matched_level for i in range(5)] == ["structure", "structure", "municipality", "prefecture", "none"]
     assert [found[str(i)].benchmark_confidence for i in range(5)] == ["high", "high", "high", "mid", "none"]
@@ -77,7 +77,7 @@ def test_levels_and_confidence(spark):
 
 
 def test_whatif(spark):
-    scored = engine.score(engine.measured(listings(spark, {"reikin_yen": 90_000, "brokerage_fee_yen": 45_001}, {"initial_cost_total_yen": 30_000}), index(spark, KOIWA), 2024))
+    scored = engine.score(engine.measured(listings(spark, {"reikin_yen": 90_000, "brokerage_fee_yen": 45_001}, {"initial_cost_total_yen": 30_000}), index(spark, TOWN), 2024))
     got = {(r.listing_id, r.whatif_id): r for r in report.whatif(scored).collect()}
     assert got["0", "WI_SET_REIKIN_ZERO"].new_total_yen == 290_000
     assert got["0", "WI_SCALE_BROKERAGE_HALF"].new_yen == 22_500
@@ -165,5 +165,5 @@ def test_measures_at_zero(spark):
 
 def test_counts_and_response(spark):
     assert spark.sql("SELECT map('a', 1, 'b', 5, 'c', 5) AS m").select(report.top_counts(F.col("m"), 2)).first()[0] == "b:5, c:5"
-    nested = engine.response(engine.evaluate(listings(spark), index(spark, KOIWA), 2024)).first()
+    nested = engine.response(engine.evaluate(listings(spark), index(spark, TOWN), 2024)).first()
     assert nested.derived.matched_level == "structure" and nested.grades.overall_grade in "ABCD" and nested.report.summary

@@ -11,9 +11,9 @@ from leaselight.operators import benchmark, bundles, documents, market
 from leaselight.plans import pages
 from leaselight.sources import readers, sinks
 from leaselight.streaming import listings as stream
-from tests.test_rules import GOOD, KOIWA, index
+from tests.test_rules import GOOD, TOWN, index
 
-ROWS = [{"prefecture": "tokyo", "municipality": "江戸川区", "layout_type": "1K", "building_structure": s, "avg_rent_yen": r, "source_name": "a"} for s, r in (("", "95000.0"), ("rc", " 100000"), ("wood", "80000"))]
+ROWS = [{"prefecture": "tokyo", "municipality": "月見市", "layout_type": "1K", "building_structure": s, "avg_rent_yen": r, "source_name": "a"} for s, r in (("", "95000.0"), ("rc", " 100000"), ("wood", "80000"))]
 
 
 def test_market_rows(spark, tmp_path):
@@ -34,12 +34,12 @@ def test_market_rows(spark, tmp_path):
 
 
 def test_pasted_and_reports(spark, tmp_path):
-    lines = spark.createDataFrame([("region_country,prefecture",), ("JP,tokyo,江戸川区,1K,rc,90000,a,u,2024,2024,\"n, m\"",), ("JP,tokyo,江戸川区,1K,80000,a,u,2024,2024,n",), ("JP,tokyo,,1K,80000,a,u,2024,2024,n",), ("x",)], "value string")
+    lines = spark.createDataFrame([("region_country,prefecture",), ("JP,tokyo,月見市,1K,rc,90000,a,u,2024,2024,\"n, m\"",), ("JP,tokyo,月見市,1K,80000,a,u,2024,2024,n",), ("JP,tokyo,,1K,80000,a,u,2024,2024,n",), ("x",)], "value string")
     got = readers.pasted_rows(lines).orderBy("avg_rent_yen").collect()
     assert [(r.building_structure, r.avg_rent_yen, r.method_notes) for r in got] == [("all", 80_000, "n"), ("rc", 90_000, "n, m")]
-    gone = spark.createDataFrame([("tokyo", "江戸川区", "1K", "src")], "prefecture string, municipality string, layout_type string, building_structure string")
+    gone = spark.createDataFrame([("tokyo", "月見市", "1K", "src")], "prefecture string, municipality string, layout_type string, building_structure string")
     sinks.write_lines(market.report_lines(gone, spark), f"{tmp_path}/report")
-    assert [tuple(r) for r in readers.missing_report(spark.read.text(f"{tmp_path}/report")).collect()] == [("tokyo", "江戸川区", "1K", "src")]
+    assert [tuple(r) for r in readers.missing_report(spark.read.text(f"{tmp_path}/report")).collect()] == [("tokyo", "月見市", "1K", "src")]
 
 
 def test_listings_and_stream(spark, tmp_path):
@@ -48,7 +48,7 @@ def test_listings_and_stream(spark, tmp_path):
     assert readers.listings(spark, f"{tmp_path}/in").first().listing_id == "listing_001"
     (tmp_path / "jsonl").mkdir()
     (tmp_path / "jsonl/1.json").write_text(json.dumps(GOOD) + "\n" + json.dumps({**GOOD, "listing_id": "bad", "layout_type": "9K"}))
-    scored = stream.scored(stream.read_listings(spark, f"{tmp_path}/jsonl"), index(spark, KOIWA), 2024)
+    scored = stream.scored(stream.read_listings(spark, f"{tmp_path}/jsonl"), index(spark, TOWN), 2024)
     stream.write_scored(scored, f"{tmp_path}/scored", f"{tmp_path}/ck").awaitTermination(120)
     assert [r.listing_id for r in spark.read.parquet(f"{tmp_path}/scored").collect()] == ["a"]
 
