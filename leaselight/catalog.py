@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import spec
-from .functions import scoring, text
-from .operators import attempts, benchmark, bundles, comparables, derive, documents, market, report, validate
+from .functions import codebooks, scoring, text
+from .operators import attempts, benchmark, bundles, comparables, derive, documents, market, report, sketches, validate, visibility
 from .oracles import ORACLES
 from .plans import bundled, collection, engine, pages, regression
 from .scratch import new_folder
+from .streaming import market as market_stream
 from .plans.adapters import AS_OF_YEAR, frame, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -353,6 +354,91 @@ def bundled_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def streamed_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Market rows that arrive in files, some of them twice, absorbed batch by batch, the last batch once more."""
+    rows = frame(spark, sf_dir, "market").select(*market_stream.SAME, "l_linenumber")
+    arriving, store = new_folder(spark, "arriving"), new_folder(spark, "market-store")
+    for part in ("l_linenumber % 2 = 1", "l_linenumber % 2 = 0", "l_linenumber % 3 = 0"):  # the last have come before
+        rows.where(part).drop("l_linenumber").coalesce(1).write.mode("append").parquet(arriving)
+    schema = rows.drop("l_linenumber").schema
+    market_stream.follow(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(arriving), store, new_folder(spark, "market-checkpoint")).awaitTermination()
+    market_stream.absorb(store, rows.where("l_linenumber % 3 = 0").drop("l_linenumber"), 2)
+    return market_stream.read_index(spark, store)
+
+
+def list_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search URLs from the sources of market rows, by the ranked layouts of a place, and what they ask for when read again."""
+    known = frame(spark, sf_dir, "market").where("l_linenumber > 2 AND layout_type <> '1LDK'")
+    code = F.lpad((F.col("l_suppkey") % 7).cast("string"), 5, "1310")
+    sources = known.select("prefecture", "municipality", "layout_type", F.concat(F.lit("https://rooms.example/"), "prefecture", F.lit("/area/"), code, F.lit("/list/page3/?m=2")).alias("source_url"), F.col("l_orderkey").alias("pos"))
+    asked = frame(spark, sf_dir, "subjects").where("listing_id % 5 > 0")
+    placed = codebooks.first_source(asked.select("listing_id", "prefecture", "municipality", "layout_type", "area_sqm", "station_walk_min", "building_structure", "bathroom_toilet_separate"), sources, "rooms.example/")
+    walk, age = F.col("station_walk_min"), F.col("listing_id") % 45
+    url = codebooks.list_url(F.col("source_url"), F.col("layout_type"), F.col("listing_id") % 3 + 1, F.floor(F.col("area_sqm") / 5) * 5, F.ceil(F.col("area_sqm") / 5) * 5, walk, age, F.col("building_structure"), F.col("bathroom_toilet_separate"))
+    return placed.withColumn("url", url).withColumn("c", codebooks.list_conditions(F.col("url"))).select("listing_id", "url", "c.*")
+
+
+#: Fields that hang on others: a chain, one that must not be, and one that hangs on a hidden one.
+DEPENDENT = [
+    {"key": "hub_station"}, {"key": "hub_station_other_name", "depends_on": {"key": "hub_station", "equals": "other"}}, {"key": "contract_term_months", "depends_on": {"key": "hub_station_other_name", "equals": "Elsewhere"}},
+    {"key": "early_termination_penalty_yen", "depends_on": {"key": "contract_term_months", "not_equals": None}}, {"key": "reikin_yen", "depends_on": {"key": "layout_type", "not_equals": "1R"}},
+]
+
+
+def visible_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a form shows for each listing, by values alone and along the chain, what is missing, and what is left without the hidden fields."""
+    fields = visibility.declared(DEPENDENT)
+    step = visibility.visible_fields(frame(spark, sf_dir, "subjects"), fields)
+    step = visibility.missing(visibility.visible_fields(step, fields, True, "chained"), fields)
+    said = lambda c: F.array_join(c, ",").alias(c)
+    return visibility.pruned(step, fields, True).select("listing_id", said("visible"), said("chained"), said("missing"), "contract_term_months", "early_termination_penalty_yen", "reikin_yen")
+
+
+def level_quartiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quartiles of offers at three levels from merged sketches, each with whether its rank is within the stated error."""
+    offers = frame(spark, sf_dir, "offers").withColumn("access", F.greatest(F.lit(0.0), 100 - F.col("walk_min") * 3.0))
+    told = sketches.summary(offers, score="access")
+    fine = sketches.LEVELS["station"][0]
+    parts = []
+    for level, (keys, _) in sketches.LEVELS.items():
+        asked = told.where(F.col("level") == level).select(*keys, "p25", "p50", "p75")
+        met = offers.select(*keys, "rent_yen").join(asked, keys)
+        within = [F.greatest(F.avg((F.col("rent_yen") < F.col(p)).cast("double")) - q, q - F.avg((F.col("rent_yen") <= F.col(p)).cast("double"))) <= sketches.RANK_ERROR for p, q in (("p25", 0.25), ("p50", 0.5), ("p75", 0.75))]
+        parts.append(met.groupBy(*keys).agg((within[0] & within[1] & within[2]).alias("within")).select(F.lit(level).alias("level"), *(F.col(k) if k in keys else F.lit(None).cast("string").alias(k) for k in fine), "within"))
+    checked = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    same = [told["level"] == checked["level"], *(told[k].eqNullSafe(checked[k]) for k in fine)]
+    return told.join(checked, same).select(told["level"], *(told[k] for k in fine), "n_rows", F.bround("mean_score", 6).alias("mean_score"), "within")
+
+
+def decoded_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses as bytes in one of four encodings, of which one must be told, and read again."""
+    names = ("utf-8", "cp932", "shift_jis", "euc_jp")
+    said = frame(spark, sf_dir, "subjects").withColumns({"address": pages.filled(pages.ADDRESS), "name": F.element_at(F.array(*map(F.lit, names)), (F.col("listing_id") % 4 + 1).cast("int"))})
+    raw = said.withColumn("raw", pages.encoded(F.col("address"), F.col("name")))
+    return raw.select("listing_id", F.hex("raw").alias("bytes"), text.decoded(F.col("raw"), F.when(F.col("name") == "euc_jp", "euc_jp")).alias("decoded"))
+
+
+def detail_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each field of a detail page was found, counted."""
+    found = documents.detail_listing(pages.detail_pages(frame(spark, sf_dir, "subjects")), AS_OF_YEAR)
+    return found.groupBy("stages", "error", F.substring("snippet", 1, 20).alias("snippet")).agg(F.count("*").alias("n"))
+
+
+def archive_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of suppliers' folders that give way to the final document."""
+    n, folder = F.col("s_suppkey"), F.concat(F.lit("corp/"), F.col("s_suppkey").cast("string")).alias("folder")
+    suppliers = table(spark, sf_dir, "supplier")
+    kinds = {"analysis.md": "analysis", "answers.md": "answers", "other.txt": "other"}
+    listed = F.array(*(F.struct(F.lit(name).alias("name"), F.lit(kind).alias("kind")) for name, kind in kinds.items()), F.when(n % 3 > 0, F.struct(F.concat(n.cast("string"), F.lit("_企業分析_面接回答集.md")).alias("name"), F.lit("integrated").alias("kind"))))
+    files = suppliers.select(folder, F.explode(F.array_compact(listed)).alias("f")).select("folder", "f.*")
+    before = F.when(n % 4 == 0, F.array(F.lit("analysis.md"), F.lit("analysis.1.md"), F.lit("analysis.3.md"))).when(n % 4 == 1, F.array(F.lit("answers.md"))).otherwise(F.array(F.lit("answers.7.md")))
+    return documents.archive_moves(files, suppliers.select(folder, F.explode(before).alias("name")))
+
+
+def collection_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return market.summary_lines(frame(spark, sf_dir, "market"), missing_combinations(spark, sf_dir), "2001-01-01")
+
+
 def market_rows(operator: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: operator(frame(spark, sf_dir, "market"))
 
@@ -419,6 +505,14 @@ QUERIES: dict[str, Query] = {
     "bundle_findings": bundle_findings,
     "bundle_reports": bundle_reports,
     "bundled_reports": bundled_reports,
+    "streamed_index": streamed_index,
+    "list_urls": list_urls,
+    "visible_fields": visible_fields,
+    "level_quartiles": level_quartiles,
+    "decoded_addresses": decoded_addresses,
+    "detail_stages": detail_stages,
+    "archive_moves": archive_moves,
+    "collection_summary": collection_summary,
 }
 
 

@@ -161,3 +161,12 @@ def report_lines(missing_rows: DataFrame, spark: SparkSession) -> DataFrame:
     head = spark.createDataFrame([(0, "| Prefecture | Municipality | Layout | Structure |"), (1, "|---|---|---|---|")], "rank int, value string")
     body = missing_rows.select(F.lit(2).alias("rank"), F.concat(F.lit("| "), F.concat_ws(" | ", *KEY), F.lit(" |")).alias("value"))
     return head.union(body).orderBy("rank", "value").select("value")
+
+
+def summary_lines(rows: DataFrame, missing_rows: DataFrame, as_of: str, structures: Iterable[str] = spec.STRUCTURES[:5]) -> DataFrame:
+    """A summary of a collection as lines of Markdown, in order (``rank``, ``value``): rows, missing combinations, rows of each structure."""
+    names = list(structures)
+    counts = rows.agg(F.count("*").alias("n"), *(F.count_if(F.col("building_structure") == s).alias(f"n_{s}") for s in names)).join(missing_rows.agg(F.count("*").alias("missing")))  # one row each
+    lines = ["# Data collection summary", "", f"**Date:** {as_of}", F.concat(F.lit("**Rows:** "), F.col("n")), F.concat(F.lit("**Missing combinations:** "), F.col("missing")), "", "## Rows by structure", *(F.concat(F.lit(f"- **{s}:** "), F.col(f"n_{s}")) for s in names)]
+    listed = F.array(*(line if isinstance(line, Column) else F.lit(line) for line in lines))
+    return counts.select(F.posexplode(listed).alias("rank", "value"))

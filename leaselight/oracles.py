@@ -402,6 +402,54 @@ def _checks() -> dict[str, str]:
     }
 
 
+def _list_urls() -> str:
+    limits = lambda x, book: "CASE " + " ".join(f"WHEN {x} <= {limit} THEN '{code}'" for limit, code in book) + " END"
+    read = lambda x, book: "CASE " + " ".join(f"WHEN {x} <= {limit} THEN {limit}e0" for limit, _ in book) + " END"
+    walk = [(1, "1"), (3, "2"), (5, "3"), (7, "4"), (10, "5"), (15, "6"), (20, "7")]
+    age = [(0, "0"), (1, "1"), (3, "2"), (5, "3"), (7, "3.5"), (10, "4"), (15, "5"), (20, "6"), (25, "7"), (30, "8")]
+    kind = "CASE WHEN building_structure IN ('rc', 'src') THEN '1' WHEN building_structure IN ('steel', 'light_steel') THEN '2' WHEN building_structure = 'wood' THEN '3' END"
+    param = lambda name, value: f"coalesce('&{name}=' || {value}, '')"
+    low, high = "CAST(floor(area_sqm / 5) * 5 AS BIGINT)", "CAST(ceil(area_sqm / 5) * 5 AS BIGINT)"
+    return f"""{_MARKET}, s AS ({adapters.sql('subjects')}), k AS (
+  SELECT prefecture, municipality, layout_type, arg_min(code, lpad(CAST(l_orderkey AS VARCHAR), 12, '0') || code) AS code FROM (SELECT *, lpad(CAST(l_suppkey % 7 AS VARCHAR), 5, '1310') AS code FROM market WHERE l_linenumber > 2 AND layout_type <> '1LDK') GROUP BY ALL
+), p AS (SELECT prefecture, municipality, layout_type, arg_min(code, rank) AS code FROM (SELECT DISTINCT prefecture, municipality, layout_type FROM s) a JOIN (SELECT prefecture, municipality, layout_type AS known, code FROM k) USING (prefecture, municipality),
+    LATERAL (SELECT CASE WHEN known = layout_type THEN 0 ELSE list_position(['1R', '1K', '1DK', '1LDK'], known) END AS rank) GROUP BY ALL
+), o AS (SELECT listing_id, code, layout_type, area_sqm, listing_id % 3 + 1 AS page, bathroom_toilet_separate AS bath, {limits('station_walk_min', walk)} AS j, {limits('listing_id % 45', age)} AS h, {kind} AS kz, {read('station_walk_min', walk)} AS w, {read('listing_id % 45', age)} AS g, prefecture
+  FROM s LEFT JOIN p USING (prefecture, municipality, layout_type) WHERE listing_id % 5 > 0)
+SELECT listing_id, 'https://rooms.example/' || prefecture || '/area/' || code || '/list' || CASE WHEN bath THEN '/bath-toilet' ELSE '' END || CASE WHEN page > 1 THEN '/page' || page ELSE '' END || '/?m=' || list_position(['1R', '1K', '1DK', '1LDK'], layout_type) - 1 || '&rt=50&k=1&sf=' || {low} || '&st=' || {high} || {param('j', 'j')} || {param('h', 'h')} || {param('kz', 'kz')} AS url,
+  code AS area_code, CASE WHEN code IS NOT NULL THEN layout_type END AS layout_type, CASE WHEN code IS NOT NULL THEN {low} * 1e0 END AS area_low, CASE WHEN code IS NOT NULL THEN {high} * 1e0 END AS area_high, CASE WHEN code IS NOT NULL THEN w END AS walk_max, CASE WHEN code IS NOT NULL THEN g END AS age_max,
+  CASE WHEN code IS NOT NULL THEN CASE kz WHEN '1' THEN 'rc' WHEN '2' THEN 'steel' WHEN '3' THEN 'wood' END END AS structure, CASE WHEN code IS NOT NULL THEN bath END AS bath, CASE WHEN code IS NOT NULL THEN page ELSE 1 END AS page FROM o"""
+
+
+def _more() -> dict[str, str]:
+    """Visibility, sketches, encodings, archives and summaries."""
+    listed = lambda *pairs: f"array_to_string(list_filter([{', '.join(f"CASE WHEN {when} THEN '{name}' END" for name, when in pairs)}], lambda x: x IS NOT NULL), ',')"
+    other, elsewhere, term, layout = "hub_station = 'other'", "coalesce(hub_station_other_name = 'Elsewhere', false)", "contract_term_months IS NOT NULL", "layout_type <> '1R'"
+    chained_term = f"({other} AND {elsewhere})"
+    chained_penalty = f"({chained_term} AND {term})"
+    raw = {"hub_station_other_name": other, "contract_term_months": elsewhere, "early_termination_penalty_yen": term, "reikin_yen": layout}
+    places = {"saitama": ("埼玉県", "熊谷市"), "tokyo": ("東京都", "昭島市"), "chiba": ("千葉県", "銚子市"), "kanagawa": ("神奈川県", "秦野市"), "osaka": ("大阪府", "枚方市")}
+    codes = ("utf-8", "cp932", "shift_jis", "euc_jp")
+    text = {k: f"〒000 {a}{b}本町3-1" for k, (a, b) in places.items()}
+    data = "CASE " + " ".join(f"WHEN prefecture = '{k}' AND listing_id % 4 = {i} THEN '{t.encode(c).hex().upper()}'" for k, t in text.items() for i, c in enumerate(codes)) + " END"
+    levels = {"station": (["prefecture", "municipality", "station_name", "layout_type"], 30), "municipality": (["prefecture", "municipality", "layout_type"], 30), "prefecture": (["prefecture", "layout_type"], 200)}
+    sums = " UNION ALL ".join(f"SELECT '{level}' AS level, {', '.join(k if k in keys else f'CAST(NULL AS VARCHAR) AS {k}' for k in levels['station'][0])}, count(*) AS n_rows, round_even(avg(greatest(0e0, 100 - walk_min * 3e0)), 6) AS mean_score, true AS within FROM offers GROUP BY ALL HAVING count(*) >= {least}" for level, (keys, least) in levels.items())
+    went = "SELECT 'corp/' || s_suppkey AS folder, name, s_suppkey % 4 AS k FROM supplier, (SELECT unnest(['analysis.md', 'answers.md']) AS name) WHERE s_suppkey % 3 > 0"
+    lines = ["'# Data collection summary'", "''", "'**Date:** 2001-01-01'", "'**Rows:** ' || n", "'**Missing combinations:** ' || gone", "''", "'## Rows by structure'", *(f"'- **{s}:** ' || n_{s}" for s in spec.STRUCTURES[:5])]
+    return {
+        "visible_fields": f"""WITH {_base('subjects')} SELECT listing_id, {listed(('hub_station', 'true'), *raw.items())} AS visible, {listed(('hub_station', 'true'), ('hub_station_other_name', other), ('contract_term_months', chained_term), ('early_termination_penalty_yen', chained_penalty), ('reikin_yen', layout))} AS chained,
+  {listed(*((k, f"{when} AND coalesce(trim(CAST({k} AS VARCHAR)), '') = ''") for k, when in raw.items()))} AS missing, CASE WHEN {chained_term} THEN contract_term_months END AS contract_term_months, CASE WHEN {chained_penalty} THEN early_termination_penalty_yen END AS early_termination_penalty_yen, CASE WHEN {layout} THEN reikin_yen END AS reikin_yen FROM subjects""",
+        "level_quartiles": f"WITH {_base('market', 'offers')} {sums}",
+        "decoded_addresses": f"WITH {_base('subjects')} SELECT listing_id, {data} AS bytes, CASE prefecture {' '.join(f"WHEN '{k}' THEN '{t}'" for k, t in text.items())} END AS decoded FROM subjects",
+        "detail_stages": f"""WITH {_base('subjects')}, p AS (SELECT listing_id % 7 = 0 AS barred, listing_id % 2 = 0 AS linked, orientation, building_structure, CASE prefecture {' '.join(f"WHEN '{k}' THEN '{a}{b}'" for k, (a, b) in places.items())} END AS place FROM subjects)
+SELECT CASE WHEN barred THEN '' ELSE 'prefecture:label,municipality:label,nearest_station_name:text,station_walk_min:text,rent_yen:' || CASE WHEN linked THEN 'linked' ELSE 'beside' END || ',mgmt_fee_yen:label' || CASE WHEN orientation <> 'UNKNOWN' THEN ',orientation:beside' ELSE '' END
+  || ',area_sqm:' || CASE WHEN linked THEN 'linked' ELSE 'label' END || ',layout_type:label' || CASE WHEN building_structure <> 'other' THEN ',building_structure:label' ELSE '' END || ',building_age_years:derived,building_built_year:label,bathroom_toilet_separate:text' END AS stages,
+  CASE WHEN barred THEN 'challenge page' END AS error, CASE WHEN barred THEN substr(CASE WHEN linked THEN '{{"offers": {{"price":' ELSE '所在地 ' || place || '本町3 交通 みどり線' END, 1, 20) END AS snippet, count(*) AS n FROM p GROUP BY ALL""",
+        "archive_moves": f"SELECT folder, name, '_archive/' || CASE WHEN name = 'analysis.md' AND k = 0 THEN 'analysis.2.md' WHEN name = 'answers.md' AND k = 1 THEN 'answers.1.md' ELSE name END AS target FROM ({went})",
+        "collection_summary": f"{_MARKET}, {_COLLECTED}, {_GRID}, c AS (SELECT count(*) AS n, (SELECT count(*) FROM (SELECT w.* FROM w ANTI JOIN have USING (prefecture, municipality, layout_type, building_structure))) AS gone, {', '.join(f"count(*) FILTER (building_structure = '{s}') AS n_{s}" for s in spec.STRUCTURES[:5])} FROM market) SELECT unnest(range({len(lines)})) AS rank, unnest([{', '.join(lines)}]) AS value FROM c",
+    }
+
+
 def _bundled() -> str:
     """The two bundles of the pages module, written out by hand."""
     pick = lambda plain, strict: f"CASE bundle WHEN 'plain' THEN {plain} WHEN 'strict' THEN {strict} END"
@@ -490,6 +538,9 @@ SELECT a.prefecture, a.municipality, arg_min(known, lpad(CAST(abs(length(a.munic
     **_documents(),
     **_checks(),
     "bundled_reports": _bundled(),
+    **_more(),
+    "list_urls": _list_urls(),
+    "streamed_index": f"WITH {_base('market').replace('market AS (', 'arrived AS (')}, market AS (SELECT DISTINCT prefecture, municipality, layout_type, building_structure, avg_rent_yen, source_name, source_updated_at FROM arrived), {INDEX} SELECT * FROM idx",
 }
 #: Evaluation that prefers comparable offers.
 _PREFERRED = ("matched_level", "benchmark_confidence", "benchmark_yen", "benchmark_n_rows", "benchmark_raw_yen")

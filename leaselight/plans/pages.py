@@ -5,7 +5,8 @@ The queries read them back, and their SQL states what must come out from the lis
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 #: Words that a listing's codes are written as; the parsers must find the codes again.
 ORIENTATION_WORDS = {"N": "北", "NE": "北東", "E": "東", "SE": "南東", "S": "南", "SW": "南西", "W": "西", "NW": "北西"}
@@ -178,3 +179,13 @@ RULE_BUNDLES = {
 #: Addresses, ways and links of a listing, as texts.
 ADDRESS = "〒000 {prefecture}{municipality}本町3-1"
 ACCESS = "みどり線 {station}駅 徒歩{more_walk}分 / あお線 新 {station}駅 歩{walk}分"
+
+
+def encoded(said: Column, name: Column) -> Column:
+    """Texts as bytes in the encoding that is named beside each."""
+
+    @F.arrow_udf(T.BinaryType())
+    def to_bytes(texts: pa.Array, names: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else t.encode(n) for t, n in zip(texts.to_pylist(), names.to_pylist())], pa.binary())
+
+    return to_bytes(said, name)
