@@ -155,7 +155,8 @@ def parsed_places(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reject_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By step and reason, how many offers of its place fail a subject that takes the step."""
     subjects, offers = derive.with_measures(frame(spark, sf_dir, "subjects"), AS_OF_YEAR), comparables.prepared(frame(spark, sf_dir, "offers"))
-    return attempts.reject_counts(attempts.log(comparables.climb(subjects, offers, "cassette"), offers, "cassette"))
+    pairs = comparables.station_pairs(subjects, offers, "cassette")
+    return attempts.reject_counts(attempts.log(comparables.climb(subjects, offers, "cassette", pairs=pairs), offers, "cassette", pairs))
 
 
 def _detailed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -138,12 +138,17 @@ def _name(dialect: str, column: str) -> Column:
 
 def contained_pairs(wanted_names: DataFrame, offered_names: DataFrame, dialect: str = "lines") -> DataFrame:
     """Pairs (``station``, ``station_name``) of distinct names of which either contains the other; there are as many names as stations, however many offers."""
-    own = wanted_names.select("station").distinct().withColumn("own", _name(dialect, "station"))
-    others = offered_names.select("station_name").distinct().withColumn("other", _name(dialect, "station_name"))
+    own = cut(wanted_names.select("station").distinct().withColumn("own", _name(dialect, "station")))
+    others = cut(offered_names.select("station_name").distinct().withColumn("other", _name(dialect, "station_name")))
     met = names.either_contains(own, others, "own", "other")
     return own.join(met, "own").join(others, "other").select("station", "station_name")
 
 
+def station_pairs(subjects: DataFrame, offers: DataFrame, dialect: str) -> DataFrame:
+    """``contained_pairs`` of what subjects ask for and offers have, written out."""
+    return cut(contained_pairs(subjects.select(F.col("nearest_station_name").alias("station")), offers.select("station_name"), dialect))
+
+
 def open_parts(subjects: DataFrame, dialect: str) -> dict[str, bool]:
     """Which of the conditions that ask for a value any subject leaves open."""
     want = subjects.select(wanted(dialect, 0).alias("want"))
@@ -269,15 +274,17 @@ def with_details(few: DataFrame, complete: DataFrame, untold: DataFrame, details
 def prepared(offers: DataFrame, details: DataFrame | None = None, quota: int | None = None) -> DataFrame:
     """Offers as the ladder reads them, written out; without a quota all details are read at once."""
     known = ["station_name", *EQUAL.values(), "building_type", "area_sqm", "building_age_years", "walk_min", "rent_yen", "admin_fee_yen", "page", *(("detail_url", "pos") if quota else ())]
-    return cut((enrich(offers, details) if details is not None and not quota else offers).select(*PLACE, *known))
+    own = (enrich(offers, details) if details is not None and not quota else offers).select(*PLACE, *known)
+    # every step multiplies offers before its join: dealt evenly, however few files or places they come from
+    return cut(own.repartition(*PLACE, "rent_yen", "area_sqm"))
 
 
-def climb(subjects: DataFrame, offers: DataFrame, dialect: str, least: int = 2, skip: tuple[str, ...] = (), details: DataFrame | None = None, quota: int | None = None, stop_pages: bool = False) -> list[DataFrame]:
-    """For each step the subjects that take it (``USED``), with their profile, ``want``, ``n`` and figures of the step, and the ``best`` so far; ``offers`` are ``prepared``."""
+def climb(subjects: DataFrame, offers: DataFrame, dialect: str, least: int = 2, skip: tuple[str, ...] = (), details: DataFrame | None = None, quota: int | None = None, stop_pages: bool = False, pairs: DataFrame | None = None) -> list[DataFrame]:
+    """For each step the subjects that take it (``USED``), with their profile, ``want``, ``n`` and figures of the step, and the ``best`` so far; ``offers`` are ``prepared``, ``pairs`` those of ``station_pairs``."""
     open_ = subjects.withColumns({c: F.lit(None).cast(subjects.schema[c].dataType) for c in skip}).withColumn("layout_type", F.upper("layout_type")).select(*USED, F.lit(None).cast(_BEST).alias("best"))
-    open_ = cut(open_)
+    open_ = cut(open_.repartition("listing_id"))
     free = open_parts(open_, dialect)
-    pairs = cut(contained_pairs(open_.select(F.col("nearest_station_name").alias("station")), offers.select("station_name"), dialect))
+    pairs = station_pairs(open_, offers, dialect) if pairs is None else pairs
     limits = {k: F.col(f"want_{k}") for k in WANTED}
     steps = []
     for step in range(STEPS):

@@ -75,20 +75,25 @@ QUESTIONS = [("reason", "Reasons", False), ("strong", "(?i)strengths", True), ("
 
 def pages(subjects: DataFrame, template: str) -> DataFrame:
     """(``listing_id``, ``url``, ``html``)."""
-    return subjects.select("listing_id", F.col("listing_id").cast("string").alias("url"), filled(template).alias("html"))
+    return dealt(subjects).select("listing_id", F.col("listing_id").cast("string").alias("url"), filled(template).alias("html"))
+
+
+def dealt(subjects: DataFrame) -> DataFrame:
+    """Listings over all cores: they come from one small file, and become pages of many times their size."""
+    return subjects.repartition(subjects.sparkSession.sparkContext.defaultParallelism, "listing_id")
 
 
 def detail_pages(subjects: DataFrame) -> DataFrame:
     """Every second page states rent and area as linked data, too; one in seven is a test for bots."""
     linked = F.format_string(LINKED, F.col("rent_yen").cast("string"), F.col("area_sqm").cast("string"))
     html = F.concat(F.when(F.col("listing_id") % 2 == 0, linked).otherwise(""), filled(DETAIL), F.when(F.col("listing_id") % 7 == 0, '<div id="challenge-container"></div>').otherwise(""))
-    return subjects.select("listing_id", F.col("listing_id").cast("string").alias("url"), html.alias("html"))
+    return dealt(subjects).select("listing_id", F.col("listing_id").cast("string").alias("url"), html.alias("html"))
 
 
 def notes(subjects: DataFrame) -> DataFrame:
     """(``doc``, ``text``): Markdown in which every second listing lacks strengths and every third has a plan."""
     has = lambda n, part: F.when(F.col("listing_id") % n == 0, filled(part)).otherwise("")
-    return subjects.select(F.col("listing_id").alias("doc"), F.concat(filled(NOTES), has(2, STRENGTHS), has(3, PLAN)).alias("text"))
+    return dealt(subjects).select(F.col("listing_id").alias("doc"), F.concat(filled(NOTES), has(2, STRENGTHS), has(3, PLAN)).alias("text"))
 
 
 #: A schema that uses every keyword, and payloads that offend against it.
@@ -123,7 +128,7 @@ def payloads(subjects: DataFrame) -> DataFrame:
         "extra": F.when(n % 10 == 0, "1"),
     }
     said = F.array_compact(F.array(*(F.concat(F.lit(f'"{k}":'), v) for k, v in pairs.items())))
-    return subjects.select("listing_id", F.when(n % 50 == 49, "no json").otherwise(F.concat(F.lit("{"), F.array_join(said, ","), F.lit("}"))).alias("payload"))
+    return dealt(subjects).select("listing_id", F.when(n % 50 == 49, "no json").otherwise(F.concat(F.lit("{"), F.array_join(said, ","), F.lit("}"))).alias("payload"))
 
 
 #: Documents of a bundle: the texts of its parts, with what takes the place of ``@n`` in every n-th bundle and in others.
