@@ -12,6 +12,7 @@ from .operators import attempts, benchmark, bundles, comparables, derive, docume
 from .oracles import ORACLES
 from .plans import bundled, collection, engine, pages, regression
 from .scratch import new_folder
+from .sources import readers, sinks
 from .streaming import market as market_stream
 from .plans.adapters import AS_OF_YEAR, frame, table
 
@@ -440,6 +441,22 @@ def collection_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return market.summary_lines(frame(spark, sf_dir, "market"), missing_combinations(spark, sf_dir), "2001-01-01")
 
 
+def stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index as it is stored and found again."""
+    folder = new_folder(spark, "index")
+    sinks.write_index(index(spark, sf_dir), folder)
+    return readers.load_or_build_index(spark, folder, []).select("level", *market.KEY, "benchmark_rent_yen_median", "n_rows")
+
+
+def appended_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Market rows appended in two batches, of which one is written twice."""
+    rows, folder = frame(spark, sf_dir, "market"), new_folder(spark, "appended")
+    for name, part in (("early", "l_linenumber <= 3"), ("late", "l_linenumber > 3"), ("early", "l_linenumber <= 3")):
+        sinks.append_once(rows.where(part).select(*market.KEY, "avg_rent_yen"), folder, name)
+    found = spark.read.option("header", True).csv(folder)
+    return found.groupBy("batch", "building_structure").agg(F.count("*").alias("n"), F.sum(F.col("avg_rent_yen").cast("bigint")).alias("rents"))
+
+
 def market_rows(operator: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: operator(frame(spark, sf_dir, "market"))
 
@@ -508,6 +525,8 @@ QUERIES: dict[str, Query] = {
     "bundled_reports": bundled_reports,
     "streamed_index": streamed_index,
     "list_urls": list_urls,
+    "stored_index": stored_index,
+    "appended_rows": appended_rows,
     "visible_fields": visible_fields,
     "level_quartiles": level_quartiles,
     "decoded_addresses": decoded_addresses,

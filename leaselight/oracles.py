@@ -540,6 +540,8 @@ SELECT a.prefecture, a.municipality, arg_min(known, lpad(CAST(abs(length(a.munic
     "bundled_reports": _bundled(),
     **_more(),
     "list_urls": _list_urls(),
+    "stored_index": f"{_MARKET}, {INDEX} SELECT * FROM idx",
+    "appended_rows": f"{_MARKET} SELECT CASE WHEN l_linenumber <= 3 THEN 'early' ELSE 'late' END AS batch, building_structure, count(*) AS n, CAST(sum(avg_rent_yen) AS BIGINT) AS rents FROM market GROUP BY ALL",
     "streamed_index": f"WITH {_base('market').replace('market AS (', 'arrived AS (')}, market AS (SELECT DISTINCT prefecture, municipality, layout_type, building_structure, avg_rent_yen, source_name, source_updated_at FROM arrived), {INDEX} SELECT * FROM idx",
 }
 #: Evaluation that prefers comparable offers.
