@@ -367,13 +367,22 @@ def fallback(subjects: DataFrame, offers: DataFrame, dialects: tuple[str, ...] =
     return provider_fallback(results, dialects)
 
 
+def page_stop(found: DataFrame, least: int = 2) -> DataFrame:
+    """Rows up to the page on which a subject's running number of matches within a step reaches ``least``."""
+    return up_to_page(found, ["listing_id", "step"], least)
+
+
 def coverage(offers: DataFrame, by: str = "page") -> DataFrame:
     """How many offers of each page have each field."""
     fields = ["area_sqm", "walk_min", "building_age_years", "orientation", "building_structure", "bathroom_toilet_separate", "building_type"]
     return offers.groupBy(by).agg(F.count("*").alias("fetched_n"), *(F.count(f).alias(f"has_{f}") for f in fields))
 
 
-def enrich(offers: DataFrame, details: DataFrame) -> DataFrame:
-    """Fill fields that offers lack from the rows of their ``detail_url``."""
+def enrich(offers: DataFrame, details: DataFrame, budget: int | None = None) -> DataFrame:
+    """Fill fields that offers lack from the rows of their ``detail_url``; with a budget, of so many URLs only: those of offers that lack least first, then by position and URL."""
+    if budget is not None:
+        need = functools.reduce(Column.__add__, (F.col(c).isNull().cast("int") for c in EQUAL.values()))
+        lacking = offers.where((need > 0) & F.col("detail_url").isNotNull()).groupBy("detail_url").agg(F.min(F.struct(need.alias("need"), "pos")).alias("first"))
+        details = details.join(lacking.orderBy("first", "detail_url").limit(budget), "detail_url", "left_semi")  # a top-k, not a global sort
     joined = offers.join(one_detail(details), "detail_url", "left")
     return joined.withColumns({c: F.coalesce(c, f"told_{k}") for k, c in EQUAL.items()}).select(offers.columns)

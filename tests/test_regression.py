@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from leaselight.operators import report
 from leaselight.plans import engine, regression
-from tests.test_rules import KOIWA, index, listings
+from tests.test_rules import TOWN, index, listings
 
 
 def test_golden_run(spark):
@@ -26,7 +26,7 @@ def test_fee_cuts(spark):
 
 
 def test_words(spark):
-    df = engine.evaluate(listings(spark, {}, {"orientation": "UNKNOWN", "prefecture": "osaka"}), index(spark, KOIWA), 2024)
+    df = engine.evaluate(listings(spark, {}, {"orientation": "UNKNOWN", "prefecture": "osaka"}), index(spark, TOWN), 2024)
     told = df.select("listing_id", report.headline(df).alias("h"), *(c.alias(f"{k}_line") for k, c in report.descriptions(df).items()))
     a, b = told.orderBy("listing_id").collect()
     assert a.h[1] == "below others" and b.h[1] == "no comparison"
