@@ -28,9 +28,9 @@ anywhere has a chance of about 2**-40.  Repeats inside a document are compared w
 Edge cases: null and empty texts, and texts shorter than a window, lose nothing; a
 document longer than a batch stays whole; documents are ordered by id, those without
 an id come last; among rows of the same id, and among rows without one, only what a
-row repeats itself is removed, so that repeated rows come out alike.  Rows without an
-id are told what others have, in groups of about ``NAMELESS`` rows; rows of one id
-share what their id is told.
+row repeats itself is removed, so that repeated rows come out alike.  Rows that share
+an id, and rows without one, are told what others have before them, in groups of about
+``CROWD`` rows of one id: the work grows with their number, not with its square.
 """
 
 from __future__ import annotations
@@ -55,8 +55,8 @@ ROUNDS, GROUP = 3, 2
 SLICE_BYTES = 1_500_000
 #: Bytes up to which words are hashed side by side; longer ones are hashed one by one.
 LONG_WORD = 128
-#: Rows without an id that share a list of what others have.
-NAMELESS = 64
+#: Rows of one id, or without an id, that share a list of what others have.
+CROWD = 64
 _LAST = 2**63 - 1
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 #: Seeds of the words' names and of those that verify.
@@ -277,8 +277,8 @@ def removed(parse: Parse, held: pa.Array, firsts: pa.Array) -> np.ndarray:
     return covered(parse, gone | repeated(parse))
 
 
-def removed_nameless(parse: Parse, taken: pa.Array) -> np.ndarray:
-    """The same for texts without an id, which are told what texts with one have."""
+def removed_crowded(parse: Parse, taken: pa.Array) -> np.ndarray:
+    """The same for texts that are told which of their windows an earlier document has."""
     every = np.arange(len(parse.starts))
     return covered(parse, known(parse.hashes(every), parse.owner, taken) | repeated(parse))
 
@@ -341,32 +341,37 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out_c
         parse = Parse(texts, window)
         return _kept(texts, parse, removed(parse, held, firsts))
 
-    def kept_nameless(texts: pa.Array, taken: pa.Array) -> list[pa.Array]:
+    def kept_crowded(texts: pa.Array, taken: pa.Array) -> list[pa.Array]:
         parse = Parse(texts, window)
-        return _kept(texts, parse, removed_nameless(parse, taken))
+        return _kept(texts, parse, removed_crowded(parse, taken))
 
     long = lambda name: T.StructField(name, T.LongType())
     hashed, fields = T.StructType([long("hash"), long("proof")]), T.StructType([long("n_words"), long("n_removed"), T.StructField(out_col, T.StringType())])
-    keyed = docs.withColumn("__key", F.col(id_col))
-    named, nameless = keyed.where("__key IS NOT NULL"), keyed.where("__key IS NULL")
-    n_nameless = nameless.count()
+    keyed = docs.withColumn("__key", F.coalesce(id_col, F.lit(_LAST)))
+    # ids of more than one row, and the rows without an id as one of them
+    shared = keyed.groupBy("__key").agg(F.count("*").alias("__rows")).where(F.expr(f"__rows > 1 OR __key = {_LAST}"))
+    crowds = not shared.isEmpty()
+    single = keyed.join(shared, "__key", "left_anti") if crowds else keyed
+    crowded = keyed.join(shared, "__key").drop("__rows") if crowds else None
+    # with all columns, so that the exchange of the documents below is the one that the result needs, too
+    others = tuple(c for c in docs.columns if c != text_col)
 
-    votes = _votes(named, (text_col,), T.StructType([long("name"), long("proof")]), name_votes)
-    if n_nameless:
-        votes = votes.unionByName(_votes(nameless.withColumn("__key", F.lit(_LAST)), (text_col,), T.StructType([long("name"), long("proof")]), name_votes))
+    votes = _votes(keyed, (text_col,), T.StructType([long("name"), long("proof")]), name_votes)
     voted = votes.groupBy("name", "proof").agg(F.min("__key").alias("__key"), F.max("__key").alias("last"))
     told = voted.where((F.col("__key") == F.col("last")) | (F.col("name").bitwiseAND(1) == 1)).where(F.col("__key") < _LAST)  # anchors that are alone, and every text's first copy
     held = told.groupBy("__key").agg(F.collect_list("name").alias("__held"))
-    known_docs = named.join(held, "__key", "left")
-    # with all columns, so that the exchange of the documents below is the one that the result needs, too
-    others = tuple(c for c in docs.columns if c != text_col)
+    known_docs = single.join(held, "__key", "left")
     votes = _votes(known_docs, (text_col, "__held", *others), hashed, window_votes)
+    if crowds:
+        votes = votes.unionByName(_votes(crowded.where(F.col("__key") < _LAST), (text_col,), hashed, all_windows))
     first = votes.groupBy("hash", "proof").agg(F.min("__key").alias("__key"))
     firsts = first.groupBy("__key").agg(F.collect_list("hash").alias("__firsts"))
     out = map_slices(known_docs.join(firsts, "__key", "left"), (text_col, "__held", "__firsts"), fields, lambda: kept, ("__key", "__held", "__firsts", *drop), SLICE_BYTES)
-    if not n_nameless:
+    if not crowds:
         return out
-    grouped = nameless.withColumn("__key", F.pmod(F.xxhash64(text_col), F.lit(math.ceil(n_nameless / NAMELESS))))
-    taken = _votes(grouped, (text_col,), hashed, all_windows).distinct().join(first.select("hash", "proof"), ["hash", "proof"]).groupBy("__key").agg(F.collect_list("hash").alias("__taken"))
-    rest = map_slices(grouped.join(taken, "__key", "left"), (text_col, "__taken"), fields, lambda: kept_nameless, ("__key", "__taken", *drop), SLICE_BYTES)
+    parts = F.ceil(F.col("__rows") / CROWD)
+    grouped = keyed.join(shared, "__key").withColumn("__key", F.struct(F.col("__key").alias("id"), F.pmod(F.xxhash64(text_col), parts).alias("part"))).drop("__rows")
+    earlier = _votes(grouped, (text_col,), hashed, all_windows).distinct().join(first.withColumnRenamed("__key", "first"), ["hash", "proof"]).where("first < __key.id")
+    taken = earlier.groupBy("__key").agg(F.collect_list("hash").alias("__taken"))
+    rest = map_slices(grouped.join(taken, "__key", "left"), (text_col, "__taken"), fields, lambda: kept_crowded, ("__key", "__taken", *drop), SLICE_BYTES)
     return out.unionByName(rest)

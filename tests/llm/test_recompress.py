@@ -1,6 +1,7 @@
 """Substring dedup against a table of all windows."""
 
 import random
+import time
 
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -94,6 +95,21 @@ def test_many_rows_without_an_id(spark):
     check(spark, [(None, t) for t in own])
 
 
+def test_many_rows_of_one_id(spark):
+    """Texts of one id do not remove from each other, but are removed from and remove by what stands before and after them."""
+    own = texts(random.Random(8))
+    check(spark, [(i if i < 20 or i > 140 else 50, t) for i, t in enumerate(own)] + [(50, own[3])] * 70 + [(200, own[i]) for i in range(15, 30)] * 5)
+
+
+def test_work_follows_the_rows_of_one_id(spark):
+    """4,000 rows of one id are told no more than as many ids are."""
+    rng = random.Random(9)
+    rows = [(7, " ".join(rng.choices([f"w{i}" for i in range(5000)], k=300))) for _ in range(4000)]
+    began = time.monotonic()
+    found = recompress.dedup(spark.createDataFrame(rows, "doc_id long, text string")).agg(F.sum("n_removed"), F.sum("n_words")).first()
+    assert tuple(found) == (0, 4000 * 300) and time.monotonic() - began < 60  # quadratic work took over 60 s for 1,000
+
+
 def test_equal_windows_have_equal_anchors():
     rng = random.Random(4)
     parse = recompress.Parse(pa.array(texts(rng)), WINDOW)
