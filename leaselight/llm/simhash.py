@@ -3,11 +3,13 @@
 Every text gets a 64-bit fingerprint of its word shingles.  Distinct fingerprints,
 not documents, are linked, so a group of copies of any size is one point.  A tree
 of vantage points, built from a bounded sample, cuts the fingerprint space into
-shards: within ``mu`` of a vantage point, or beyond.  By the triangle inequality
-only points at distance ``mu - radius + 1 .. mu`` can link across that cut, so they
-alone visit the far side too, as queries.  Each shard finds its links exactly, by
-the same cuts further down, and reports them as stars; the stars are joined to
-components over all shards by alternating large- and small-star rounds.
+shards: within ``mu`` of a vantage point, or beyond.  By the triangle inequality a link
+across that cut joins a point at distance ``mu - radius + 1 .. mu`` to one at
+``mu + 1 .. mu + radius``.  These two bands alone meet in a third shard, and are cut
+further in the same way.  A shard that the sample could not cut small enough is dealt in
+blocks.  Each shard finds its links exactly, by the same cuts further down, and reports
+them as stars; the stars are joined to components over all shards by alternating large-
+and small-star rounds.
 
 Fingerprints count repeated shingles, a Jaccard similarity does not: of two texts with
 nearly one shingle set, of which one repeats a line, they may differ by any number of
@@ -41,9 +43,11 @@ from .scratch import cut
 
 BITS = 64
 SEED = 42
-#: Distinct fingerprints aimed at in a shard, and the largest sample that the tree is built from.
-SHARD_SIZE = 2_000
-SAMPLE_SIZE = 16_384
+#: Rows aimed at in a shard and never exceeded in one task, and the largest sample that the tree is built from.
+SHARD_SIZE, TASK_ROWS = 40_000, 120_000
+SAMPLE_SIZE = 131_072
+#: Points of the sample below which a shard is not cut, and rows that are routed at once.
+LEAST_SAMPLE, ROUTED = 32, 200_000
 #: Comparisons made at once within a shard, and shingles whose bits are counted at once.
 BLOCK = 4_000_000
 COUNTED = 65_536
@@ -143,55 +147,86 @@ def distances(points: np.ndarray, vantage: np.uint64) -> np.ndarray:
     return np.bitwise_count(points ^ vantage)
 
 
-def best_cut(d: np.ndarray, radius: int) -> int | None:
-    """The ``mu`` that leaves the least to compare, given that the near inner points visit the outer side; None if none parts the points."""
-    counts = np.bincount(d, minlength=BITS + 1)
-    inner = np.cumsum(counts) / len(d)
-    near = np.convolve(counts, np.ones(radius))[: BITS + 1] / len(d)  # at mu - radius + 1 .. mu
-    work = inner * inner + (1 - inner) * (1 - inner + near)
-    mu = int(np.argmin(work))
-    return mu if work[mu] < 0.95 else None
+def best_cut(points: np.ndarray, a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.uint64, int] | None:
+    """The vantage point, of three, and the ``mu`` that leave the least to compare; None if none parts the points.
+
+    ``a`` and ``b`` are places of ``points`` that meet each other; without ``b`` those of ``a`` meet.
+    """
+    best, found = 0.9 * len(a) * len(a if b is None else b), None
+    ordered = a[np.argsort(points[a], kind="stable")]
+    for quarter in (1, 2, 3):
+        vantage = points[ordered[len(a) * quarter // 4]]
+        x = np.bincount(distances(points[a], vantage), minlength=BITS + 1)
+        y = x if b is None else np.bincount(distances(points[b], vantage), minlength=BITS + 1)
+        (xi, xn, xf), (yi, yn, yf) = (_bands(c, radius) for c in (x, y))
+        work = xi * yi + (len(a) - xi) * (y.sum() - yi) + xn * yf + (0 if b is None else xf * yn)
+        mu = int(np.argmin(work))
+        if work[mu] < best:
+            best, found = work[mu], (vantage, mu)
+    return found
+
+
+def _bands(counts: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every ``mu`` how many points are within it, and how many of these, and of the others, at most ``radius`` from the cut."""
+    inner = np.cumsum(counts, dtype=np.float64)
+    near = inner - np.append(np.zeros(radius), inner[:-radius])
+    far = np.append(inner[radius:], np.full(radius, inner[-1])) - inner
+    return inner, near, far
+
+
+def parted(points: np.ndarray, a: np.ndarray, b: np.ndarray | None, vantage: np.uint64, mu: int, radius: int) -> list[tuple[np.ndarray, np.ndarray | None]]:
+    """What a cut makes of sets that meet: the inner ones, the outer ones, and the bands that meet across it (two pairs of bands where two sets meet)."""
+    d = distances(points[a], vantage)
+    inside, near, far = d <= mu, (d <= mu) & (d > mu - radius), (d > mu) & (d <= mu + radius)
+    if b is None:
+        return [(a[inside], None), (a[~inside], None), (a[near], a[far])]
+    e = distances(points[b], vantage)
+    within, close, beyond = e <= mu, (e <= mu) & (e > mu - radius), (e > mu) & (e <= mu + radius)
+    return [(a[inside], b[within]), (a[~inside], b[~within]), (a[near], b[beyond]), (a[far], b[close])]
 
 
 class VantageTree:
-    """Cuts of the fingerprint space: ``nodes[i]`` is (vantage point, mu, inner child, outer child); children below zero are shards."""
+    """Cuts of the fingerprint space: ``nodes[i]`` is (vantage point, mu, children); children below zero are shards.
+
+    ``each`` is how many points one of the sample stands for, ``size`` how many rows a shard may have by this estimate.
+    """
 
-    def __init__(self, sample: np.ndarray, shards: int, radius: int) -> None:
+    def __init__(self, sample: np.ndarray, each: int, size: int, radius: int) -> None:
         self.radius, self.nodes, self.shards = radius, [], 0
-        self.root = self._build(np.sort(sample), max(1, shards))
-
-    def _build(self, sample: np.ndarray, shards: int) -> int:
-        mu = None
-        if shards > 1 and len(sample) >= 8:
-            vantage = sample[len(sample) // 2]
-            mu = best_cut(distances(sample, vantage), self.radius)
-        if mu is None:
-            self.shards += 1
-            return -self.shards
-        at = len(self.nodes)
-        self.nodes.append(None)
-        inside = distances(sample, vantage) <= mu
-        within = min(shards - 1, max(1, round(shards * inside.mean())))
-        self.nodes[at] = (vantage, mu, self._build(sample[inside], within), self._build(sample[~inside], shards - within))
-        return at
-
-    def route(self, points: np.ndarray) -> Iterator[tuple[int, np.ndarray, bool]]:
-        """(shard, places of points, whether it is their home) for every shard that they reach."""
-        todo = [(self.root, np.arange(len(points)), True)]
+        self.root = -1
+        todo = [(np.arange(len(sample)), None, None, 0)]
         while todo:
-            at, places, home = todo.pop()
-            if not len(places):
-                continue
-            if at < 0:
-                yield -at, places, home
-                continue
-            vantage, mu, inner, outer = self.nodes[at]
-            d = distances(points[places], vantage)
-            inside = d <= mu
-            if home:  # links across the cut are found on the outer side
-                todo += [(inner, places[inside], True), (outer, places[~inside], True), (outer, places[inside & (d > mu - self.radius)], False)]
+            a, b, parent, child = todo.pop()
+            rows, cut_at = len(a) + (0 if b is None else len(b)), None
+            if rows * each > size and rows >= LEAST_SAMPLE and len(a) and (b is None or len(b)):
+                cut_at = best_cut(sample, a, b, radius)
+            if cut_at is None:
+                self.shards += 1
+                at = -self.shards
+            else:
+                at = len(self.nodes)
+                parts = parted(sample, a, b, *cut_at, radius)
+                self.nodes.append((*cut_at, [0] * len(parts)))
+                todo += [(*part, at, i) for i, part in enumerate(parts)]
+            if parent is None:
+                self.root = at
             else:
-                todo += [(inner, places[d <= mu + self.radius], False), (outer, places[d > mu - self.radius], False)]
+                self.nodes[parent][2][child] = at
+
+    def route(self, points: np.ndarray) -> Iterator[tuple[int, np.ndarray, int]]:
+        """(shard, places of points, side) for every shard that they reach; all points of side 0 meet, those of side 1 meet those of side 2."""
+        none = np.zeros(0, dtype=np.int64)
+        todo = [(self.root, np.arange(len(points)), None)]
+        while todo:
+            at, a, b = todo.pop()
+            if at >= 0:
+                vantage, mu, children = self.nodes[at]
+                parts = parted(points, a, b, vantage, mu, self.radius)
+                todo += [(child, x, y) for child, (x, y) in zip(children, parts) if len(x) or len(none if y is None else y)]
+            elif b is None:
+                yield -at, a, 0
+            else:
+                yield from ((-at, places, side) for places, side in ((a, 1), (b, 2)) if len(places))
 
 
 class Labels:
@@ -214,64 +249,80 @@ class Labels:
 
 
 def link_within(points: np.ndarray, home: np.ndarray, radius: int, alike: Callable[[int, np.ndarray], np.ndarray] | None = None) -> np.ndarray:
-    """Component labels of ``points`` under all links of at most ``radius`` that touch a home point.
+    """Component labels of ``points`` under all links of at most ``radius`` between home points or, where there are others, between home points and others.
 
     ``alike(i, others)`` verifies links; it is not asked about points that are one component already.
     """
     labels = Labels(len(points))
-    todo = [(np.flatnonzero(home), np.flatnonzero(~home))]
+    todo = [(np.flatnonzero(home), None if home.all() else np.flatnonzero(~home))]
     while todo:
-        own, guests = todo.pop()
-        if not len(own):
+        a, b = todo.pop()
+        every = a if b is None else b
+        if not len(a) or not len(every):
             continue
-        mu = None
-        if len(own) > 256 and len(own) * (len(own) + len(guests)) > BLOCK:
-            vantage = points[own[len(own) // 2]]
-            d, e = distances(points[own], vantage), distances(points[guests], vantage)
-            mu = best_cut(d, radius)
-        if mu is None:
-            every = np.concatenate([own, guests])
-            step = max(1, BLOCK // len(every))
-            for i in range(0, len(own), step):
-                near = np.bitwise_count(points[own[i : i + step], None] ^ points[None, every]) <= radius
-                if alike is None:
-                    x, y = np.nonzero(near)
-                    labels.join(own[i : i + step][x], every[y])
-                    continue
-                for one, row in zip(own[i : i + step].tolist(), near):
-                    others = every[row]
-                    others = others[labels.parent[others] != labels.parent[one]]
-                    if len(others):
-                        others = others[alike(one, others)]
-                        labels.join(np.full(len(others), one), others)
+        cut_at = best_cut(points, a, b, radius) if len(a) * len(every) > BLOCK else None
+        if cut_at:
+            todo += parted(points, a, b, *cut_at, radius)
             continue
-        inside, edge = d <= mu, d > mu - radius
-        todo.append((own[inside], guests[e <= mu + radius]))
-        todo.append((own[~inside], np.concatenate([guests[e > mu - radius], own[inside & edge]])))
+        step = max(1, BLOCK // len(every))
+        for i in range(0, len(a), step):
+            near = np.bitwise_count(points[a[i : i + step], None] ^ points[None, every]) <= radius
+            if alike is None:
+                x, y = np.nonzero(near)
+                labels.join(a[i : i + step][x], every[y])
+                continue
+            for one, row in zip(a[i : i + step].tolist(), near):
+                others = every[row]
+                others = others[labels.parent[others] != labels.parent[one]]
+                if len(others):
+                    others = others[alike(one, others)]
+                    labels.join(np.full(len(others), one), others)
     return labels.parent
 
 
-def links(prints: DataFrame, radius: int = 2, shard_size: int = SHARD_SIZE, sample_size: int = SAMPLE_SIZE) -> DataFrame:
-    """Links (``a``, ``b``) whose components are those of all pairs of distinct points (``node``, ``simhash``) within ``radius``."""
+def links(prints: DataFrame, radius: int = 2, shard_size: int = SHARD_SIZE, sample_size: int = SAMPLE_SIZE, task_rows: int = TASK_ROWS) -> DataFrame:
+    """Links (``a``, ``b``) whose components are those of all pairs of distinct points (``node``, ``simhash``) within ``radius``.
+
+    A shard of more than half of ``task_rows`` is dealt in blocks, of which every two meet in a task.
+    """
     n = prints.count()
-    every = max(16, math.ceil(n / sample_size))
+    every = max(4, math.ceil(n / sample_size))
     sample = prints.where(F.pmod(F.xxhash64("node"), F.lit(every)) == 0).select("simhash")  # about sample_size values at most
-    tree = VantageTree(np.array([r[0] for r in sample.collect()], dtype=np.int64).view(np.uint64), math.ceil(n / shard_size), radius)
+    tree = VantageTree(np.array([r[0] for r in sample.collect()], dtype=np.int64).view(np.uint64), every, shard_size, radius)
+
+    def routed(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches).combine_chunks()
+        for shard, places, side in tree.route(table.column("simhash").to_numpy().view(np.uint64)):
+            own = table.take(pa.array(places)).combine_chunks()
+            columns = [c.combine_chunks() for c in own.columns]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(places), shard)), pa.array(np.full(len(places), side)), *columns], ["shard", "side", *own.schema.names])
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
         for batch in batches:
-            points = batch.column("simhash").to_numpy().view(np.uint64)
-            for shard, places, home in tree.route(points):
-                own = batch.take(pa.array(places))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(places), shard)), pa.array(np.full(len(places), home)), *own.columns], ["shard", "home", *own.schema.names])
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= ROUTED:
+                yield from routed(held)
+                held, rows = [], 0
+        if held:
+            yield from routed(held)
 
     def linked(table: pa.Table) -> pa.Table:
-        nodes, points, home = (table.column(c).to_numpy() for c in ("node", "simhash", "home"))
-        label = link_within(points.view(np.uint64), home, radius)
+        nodes, points, side = (table.column(c).to_numpy() for c in ("node", "simhash", "side"))
+        if side.min() == 2 or side.max() == 1:  # a block in which one side is missing
+            return pa.table({"a": nodes[:0], "b": nodes[:0]})
+        label = link_within(points.view(np.uint64), side < 2, radius)
         moved = label != np.arange(len(points))
         return pa.table({"a": nodes[moved], "b": nodes[label[moved]]})
 
-    return prints.select("node", "simhash").mapInArrow(dealt, "shard long, home boolean, node long, simhash long").groupBy("shard").applyInArrow(linked, "a long, b long")
+    rows = cut(prints.select("node", "simhash").mapInArrow(dealt, "shard long, side long, node long, simhash long"))
+    sizes = rows.groupBy("shard").agg(F.count("*").alias("n"))
+    blocks = F.ceil(F.col("n") * 2 / task_rows).cast("int")
+    met = rows.join(sizes, "shard").withColumn("parts", blocks).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = met.select("shard", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "side", "node", "simhash")
+    return met.groupBy("shard", "low", "high").applyInArrow(linked, "a long, b long")
 
 
 def link_alike(home: np.ndarray, alike: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarray:

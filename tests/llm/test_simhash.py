@@ -78,6 +78,35 @@ def test_components_over_shards(spark):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, mine.values()))
 
 
+def test_shards_beyond_the_sample_are_dealt_in_blocks(spark):
+    """Few points of the sample, so that shards stay large: no task meets more than its rows, no link is lost."""
+    rng = random.Random(11)
+    points = clustered(rng, 2000)
+    signed = np.array(points, dtype=np.uint64).view(np.int64).tolist()
+    df = spark.createDataFrame([(p, p) for p in signed], "node long, simhash long").repartition(3)
+    want = plain_components(points)
+    for task_rows in (200, 700):
+        got = {r.node: r.root for r in simhash.components(simhash.links(df, shard_size=100, sample_size=100, task_rows=task_rows)).collect()}
+        groups = {}
+        for p, w in zip(signed, want):
+            groups.setdefault(w, set()).add(got.get(p, p))
+        assert all(len(g) == 1 for g in groups.values()) and len(set().union(*groups.values())) == len(groups)
+
+
+def test_shards_of_uniform_points_stay_bounded():
+    """Routed as ten million: the figures that the README states."""
+    rng = np.random.default_rng(12)
+    n, every = 10_000_000, 77
+    tree = simhash.VantageTree(rng.integers(0, 2**64, n // every, dtype=np.uint64), every, simhash.SHARD_SIZE, 2)
+    points, rows = rng.integers(0, 2**64, 200_000, dtype=np.uint64), {}
+    homes = np.zeros(len(points), dtype=np.int64)
+    for shard, places, side in tree.route(points):
+        rows[shard] = rows.get(shard, 0) + len(places)
+        homes[places] += side == 0
+    assert (homes == 1).all()  # every point meets its own shard once
+    assert max(rows.values()) * n / len(points) < 55_000 and sum(rows.values()) < 11 * len(points)
+
+
 def test_verified_links():
     rng = random.Random(6)
     points = clustered(rng, 300)
