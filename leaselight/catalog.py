@@ -457,6 +457,46 @@ def appended_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("batch", "building_structure").agg(F.count("*").alias("n"), F.sum(F.col("avg_rent_yen").cast("bigint")).alias("rents"))
 
 
+def _full_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Market rows with all fields of a row; some have no URL, and some no note, which holds what CSV and JSON have to quote."""
+    rows, n = frame(spark, sf_dir, "market"), F.col("l_linenumber")
+    note = F.concat(F.lit('by "'), "method_notes", F.lit('", of '), "municipality")
+    url = F.when(n % 3 > 0, F.concat(F.lit("https://rooms.example/?a=1,2&s="), "l_suppkey"))
+    return rows.withColumns({"region_country": F.lit("Japan"), "source_url": url, "method_notes": F.when(n % 2 == 0, note)}).select(*market.ROW)
+
+
+def written_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Market rows written as JSON lines and as CSV, and read again: every row of both."""
+    folder = new_folder(spark, "rows")
+    sinks.write_market_rows(_full_rows(spark, sf_dir), folder)
+    kinds = [readers.market_rows(spark, f"{folder}/{kind}").select(F.lit(kind).alias("kind"), "*") for kind in ("json", "csv")]
+    return kinds[0].unionByName(kinds[1])
+
+
+def pasted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Market rows as pasted lines: odd lines without a structure, some without a rent, headers and scraps between."""
+    rows, n = frame(spark, sf_dir, "market"), F.col("l_linenumber")
+    quoted = F.concat(F.lit('"'), "method_notes", F.lit(', ""est."""'))
+    fields = lambda *more: F.concat_ws(",", F.lit("Japan"), "prefecture", "municipality", "layout_type", *more, F.when(n == 5, "").otherwise(F.col("avg_rent_yen").cast("string")), "source_name", F.lit(""), "source_updated_at", "collected_at", quoted)
+    line = F.when(n % 2 == 0, fields("building_structure")).otherwise(fields())
+    scraps = F.when(n == 6, F.lit("a,b,c")).when(n == 7, F.lit(",".join(market.ROW)))
+    return readers.pasted_rows(rows.select(F.explode(F.array_compact(F.array(line, scraps))).alias("value")))
+
+
+def cached_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages from a store that has lost every third of them."""
+    found = table(spark, sf_dir, "pages")
+    store = found.where("page_id % 3 > 0").select(readers.cache_key(F.col("url")).alias("cache_key"), "html")
+    return readers.cached_pages(found.select("page_id", "url"), store).select("page_id", "cache_key", F.length("html").alias("n_chars"))
+
+
+def reported_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Missing combinations told by a Markdown table, written out and read from it again."""
+    folder = new_folder(spark, "gaps")
+    sinks.write_lines(market.report_lines(missing_combinations(spark, sf_dir), spark), folder)
+    return readers.missing_report(spark.read.text(folder))
+
+
 def market_rows(operator: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: operator(frame(spark, sf_dir, "market"))
 
@@ -527,6 +567,10 @@ QUERIES: dict[str, Query] = {
     "list_urls": list_urls,
     "stored_index": stored_index,
     "appended_rows": appended_rows,
+    "written_rows": written_rows,
+    "pasted_rows": pasted_rows,
+    "cached_pages": cached_pages,
+    "reported_gaps": reported_gaps,
     "visible_fields": visible_fields,
     "level_quartiles": level_quartiles,
     "decoded_addresses": decoded_addresses,

@@ -542,8 +542,15 @@ SELECT a.prefecture, a.municipality, arg_min(known, lpad(CAST(abs(length(a.munic
     "list_urls": _list_urls(),
     "stored_index": f"{_MARKET}, {INDEX} SELECT * FROM idx",
     "appended_rows": f"{_MARKET} SELECT CASE WHEN l_linenumber <= 3 THEN 'early' ELSE 'late' END AS batch, building_structure, count(*) AS n, CAST(sum(avg_rent_yen) AS BIGINT) AS rents FROM market GROUP BY ALL",
+    "written_rows": f"""{_MARKET}, kinds AS (SELECT unnest(['json', 'csv']) AS kind) SELECT kind, 'Japan' AS region_country, prefecture, municipality, layout_type, building_structure, avg_rent_yen, source_name,
+      CASE WHEN l_linenumber % 3 > 0 THEN 'https://rooms.example/?a=1,2&s=' || l_suppkey END AS source_url, source_updated_at, collected_at,
+      CASE WHEN l_linenumber % 2 = 0 THEN 'by "' || method_notes || '", of ' || municipality END AS method_notes FROM market, kinds""",
+    "pasted_rows": f"""{_MARKET} SELECT 'Japan' AS region_country, prefecture, municipality, layout_type, CASE WHEN l_linenumber % 2 = 0 THEN building_structure ELSE 'all' END AS building_structure, avg_rent_yen,
+      source_name, CAST(NULL AS VARCHAR) AS source_url, source_updated_at, collected_at, method_notes || ', "est."' AS method_notes FROM market WHERE l_linenumber <> 5""",
+    "cached_pages": "SELECT page_id, left(sha256(url), 32) AS cache_key, CASE WHEN page_id % 3 > 0 THEN CAST(length(html) AS INTEGER) END AS n_chars FROM pages",
     "streamed_index": f"WITH {_base('market').replace('market AS (', 'arrived AS (')}, market AS (SELECT DISTINCT prefecture, municipality, layout_type, building_structure, avg_rent_yen, source_name, source_updated_at FROM arrived), {INDEX} SELECT * FROM idx",
 }
+ORACLES["reported_gaps"] = ORACLES["missing_combinations"]
 #: Evaluation that prefers comparable offers.
 _PREFERRED = ("matched_level", "benchmark_confidence", "benchmark_yen", "benchmark_n_rows", "benchmark_raw_yen")
 ORACLES["evaluate_live"] = f"""{_LIVE_BASE},\n{INDEX},\n{MATCHED},\n{', '.join(_live(d) for d in comparables.LADDERS)}, {_FALLBACK.removesuffix(')')}), k3l AS (SELECT k3.* EXCLUDE ({', '.join(_PREFERRED)}), pf.benchmark_confidence <> 'none' AND pf.benchmark_yen IS NOT NULL AS use_live,

@@ -19,12 +19,17 @@ def _typed(raw: DataFrame) -> DataFrame:
 
 
 def market_rows(spark: SparkSession, path: str) -> DataFrame:
-    """Market rows from a JSON array, a CSV with header, or Parquet, by the path's suffix."""
-    if path.endswith(".json"):
-        return _typed(spark.read.schema(", ".join(f"{c} string" for c in market.ROW)).option("multiLine", True).json(path))
-    if path.endswith(".csv"):
+    """Market rows from a JSON array (``.json``), JSON lines (``.jsonl``), a CSV with header or Parquet, by the path's suffix.
+
+    The folders ``json`` and ``csv`` that ``sinks.write_market_rows`` makes are read as lines and as CSV.
+    """
+    kind = path.rstrip("/").replace("/", ".").rsplit(".", 1)[-1]
+    if kind in ("json", "jsonl"):
+        array = path.endswith(".json")
+        return _typed(spark.read.schema(", ".join(f"{c} string" for c in market.ROW)).option("multiLine", array).json(path))
+    if kind == "csv":
         return _typed(spark.read.option("header", True).option("escape", '"').csv(path))
-    if path.endswith(".parquet"):
+    if kind == "parquet":
         return _typed(spark.read.parquet(path))
     raise ValueError(f"no reader for {path}")
 
@@ -36,8 +41,9 @@ def pasted_rows(lines: DataFrame, column: str = "value") -> DataFrame:
     bare = F.regexp_replace(column, '"[^"]*"', "")
     fields = F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1
     body = lines.where(~F.startswith(column, F.lit(market.ROW[0])))
-    eleven = body.where(fields == 11).select(F.from_csv(column, full).alias("r")).select("r.*")
-    ten = body.where(fields == 10).select(F.from_csv(column, short).alias("r")).select("r.*")
+    quoting = {"escape": '"'}  # a quote inside quotes stands twice
+    eleven = body.where(fields == 11).select(F.from_csv(column, full, quoting).alias("r")).select("r.*")
+    ten = body.where(fields == 10).select(F.from_csv(column, short, quoting).alias("r")).select("r.*")
     rows = _typed(eleven.unionByName(ten, allowMissingColumns=True))
     return rows.where("prefecture IS NOT NULL AND municipality IS NOT NULL AND layout_type IS NOT NULL AND avg_rent_yen IS NOT NULL")
 

@@ -27,6 +27,8 @@ def test_market_rows(spark, tmp_path):
         readers.market_rows(spark, "rows.xls")
     sinks.write_market_rows(readers.market_rows(spark, f"{tmp_path}/rows.json"), f"{tmp_path}/out")
     assert spark.read.json(f"{tmp_path}/out/json").count() == 3
+    for kind in ("json", "csv"):  # what is written is read again
+        assert sorted(r.avg_rent_yen for r in readers.market_rows(spark, f"{tmp_path}/out/{kind}").collect()) == [80_000, 95_000, 100_000]
     built = readers.load_or_build_index(spark, f"{tmp_path}/index", [f"{tmp_path}/no.json", f"{tmp_path}/rows.json"])
     assert readers.load_or_build_index(spark, f"{tmp_path}/index", []).count() == built.count() == 4
     with pytest.raises(FileNotFoundError):
