@@ -547,7 +547,7 @@ SELECT a.prefecture, a.municipality, arg_min(known, lpad(CAST(abs(length(a.munic
       CASE WHEN l_linenumber % 2 = 0 THEN 'by "' || method_notes || '", of ' || municipality END AS method_notes FROM market, kinds""",
     "pasted_rows": f"""{_MARKET} SELECT 'Japan' AS region_country, prefecture, municipality, layout_type, CASE WHEN l_linenumber % 2 = 0 THEN building_structure ELSE 'all' END AS building_structure, avg_rent_yen,
       source_name, CAST(NULL AS VARCHAR) AS source_url, source_updated_at, collected_at, method_notes || ', "est."' AS method_notes FROM market WHERE l_linenumber <> 5""",
-    "cached_pages": "SELECT page_id, left(sha256(url), 32) AS cache_key, CASE WHEN page_id % 3 > 0 THEN CAST(length(html) AS INTEGER) END AS n_chars FROM pages",
+    "cached_pages": "SELECT page_id, left(sha256(url), 32) AS cache_key, page_id % 3 > 0 AS found, CASE WHEN page_id % 3 > 0 THEN CAST(length(html) AS BIGINT) ELSE 0 END AS n_chars FROM pages",
     "streamed_index": f"WITH {_base('market').replace('market AS (', 'arrived AS (')}, market AS (SELECT DISTINCT prefecture, municipality, layout_type, building_structure, avg_rent_yen, source_name, source_updated_at FROM arrived), {INDEX} SELECT * FROM idx",
 }
 ORACLES["reported_gaps"] = ORACLES["missing_combinations"]
