@@ -63,3 +63,17 @@ def test_pages_and_attempts(spark):
     one, two = result([(1, 5, "none"), (2, 7, "high"), (3, None, "none")]), result([(1, 6, "low"), (2, 8, "mid"), (3, None, "none")])
     got = {r.listing_id: (r.provider, r.benchmark_yen, r.attempts) for r in comparables.provider_fallback([one, two], ("x", "y")).collect()}
     assert got == {1: (1, 6, "x:none,y:low"), 2: (0, 7, "x:high"), 3: (1, None, "x:none,y:none")}
+
+
+def test_no_row_for_a_pair(spark, monkeypatch):
+    """An offer whose station is asked for by one name is dealt once in a round, however many ask for it."""
+    met, own = [], comparables.candidates
+
+    def counted(*given):
+        found = own(*given)
+        met.append(found.count())
+        return found
+
+    monkeypatch.setattr(comparables, "candidates", counted)
+    assert comparables.live_benchmark(subjects(spark, 400), offers(spark, 600), "cassette").count() == 400
+    assert met and max(met) <= 600
