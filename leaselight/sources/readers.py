@@ -82,10 +82,17 @@ def missing_report(lines: DataFrame, column: str = "value") -> DataFrame:
     return parts.select(*(F.col("c")[i].alias(k) for i, k in enumerate(market.KEY))).where(F.col("layout_type").isin(spec.LAYOUTS))
 
 
-def cached_pages(wanted: DataFrame, cache: DataFrame) -> DataFrame:
-    """Pages from a store of earlier fetches, by the first 32 digits of the URL's digest; html is null where there is none."""
+def cached_pages(wanted: DataFrame, cache: DataFrame, fetch: tuple[str, ...] = ()) -> DataFrame:
+    """Wanted pages, each once, from a store of earlier fetches, by the first 32 digits of the URL's digest; ``found`` tells whether the store has it, html is null where not.
+
+    A store that has fetched a URL more than once names each fetch by the columns ``fetch``, which ``wanted`` has, too;
+    of what else repeats there the least html counts.
+    """
     keyed = wanted.withColumn("cache_key", cache_key(F.col("url")))
-    return keyed.join(cache.select("cache_key", "html"), "cache_key", "left")
+    keys = ["cache_key", *fetch]
+    once = cache.groupBy(*keys).agg(F.min("html").alias("html"), F.lit(True).alias("__had")).withColumnsRenamed({k: f"__{k}" for k in keys})
+    met = keyed.join(once, [keyed[k].eqNullSafe(once[f"__{k}"]) for k in keys], "left")
+    return met.withColumn("found", F.coalesce("__had", F.lit(False))).select(*keyed.columns, "html", "found")
 
 
 def cache_key(url: Column) -> Column:

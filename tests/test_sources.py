@@ -105,3 +105,12 @@ def test_bundles(spark, tmp_path, monkeypatch):
     assert '"errors":1' in spark.read.text(str(tmp_path / "out" / "coherence")).first()[0].replace("\\", "") and spark.read.json(str(tmp_path / "out" / "merged")).count() == 1
     shapes = spark.createDataFrame([("b", "S1", '{"fields": {}}'), ("b", "C1", '{"rules": [{"id": 1}]}'), ("b", "S2", "no json")], "bundle string, part string, document string")
     assert sorted((r.code, r.place) for r in bundles.findings(shapes).collect()) == [("NO_ARRAY", "S1.fields"), ("NO_ARRAY", "S2.features"), ("WHEN_NOT_OBJECT", "C1.rules[0]")]
+
+
+def test_repeated_urls_in_a_store(spark):
+    """A wanted page comes once, however often its URL was fetched, and of named fetches its own."""
+    pages_ = spark.createDataFrame([(1, "u", "<p>"), (2, "u", "<pp>"), (3, "u", "<ppp>")], "page_id int, url string, html string")
+    cache = pages_.where("page_id < 3").select("page_id", readers.cache_key(F.col("url")).alias("cache_key"), "html")
+    wanted = pages_.select("page_id", "url")
+    assert sorted((r.page_id, r.html) for r in readers.cached_pages(wanted, cache).collect()) == [(1, "<p>"), (2, "<p>"), (3, "<p>")]
+    assert sorted((r.page_id, r.html, r.found) for r in readers.cached_pages(wanted, cache, ("page_id",)).collect()) == [(1, "<p>", True), (2, "<pp>", True), (3, None, False)]
