@@ -120,3 +120,12 @@ def test_widths_meet(spark):
     others = spark.createDataFrame([("A1",), ("ナンバ",)], "station_name string")
     assert sorted(map(tuple, comparables.contained_pairs(own, others, "cassette").collect())) == [("Ａ１駅", "A1"), ("ﾅﾝﾊﾞ", "ナンバ")]
     assert comparables.contained_pairs(own, others, "lines").count() == 0
+
+
+def test_cells_stand_once_where_stations_are_asked_for(spark):
+    """Offers are counted for their stations, and for a place as a whole only if somebody asks for it so."""
+    counted = attempts.cells(offers(spark, random.Random(8), 60))
+    assert counted.where(F.col("station_name") == "*").count() == 0
+    by_name = attempts._by_group(counted, True, False)
+    assert by_name.count() <= counted.count() and by_name.agg(F.sum("n")).first()[0] == counted.where("station_name IS NOT NULL").agg(F.sum("n")).first()[0]
+    assert attempts._by_group(counted, False, True).agg(F.sum("n")).first()[0] == counted.agg(F.sum("n")).first()[0]
