@@ -8,10 +8,10 @@ from ..operators import bundles, market
 
 
 def write_market_rows(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Rows as JSON lines and as CSV with header, fields in their fixed order."""
+    """Rows as JSON lines and as CSV with header, fields in their fixed order, both gzipped."""
     ordered = rows.select(*(F.col(c) for c in market.ROW))
-    ordered.write.mode(mode).json(f"{path}/json")
-    ordered.write.mode(mode).option("header", True).option("escape", '"').csv(f"{path}/csv")
+    ordered.write.mode(mode).option("compression", "gzip").json(f"{path}/json")
+    ordered.write.mode(mode).option("header", True).option("escape", '"').option("compression", "gzip").csv(f"{path}/csv")
 
 
 def append_csv(rows: DataFrame, path: str) -> None:
