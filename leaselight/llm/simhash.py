@@ -13,10 +13,11 @@ and small-star rounds.
 
 Fingerprints count repeated shingles, a Jaccard similarity does not: of two texts with
 nearly one shingle set, of which one repeats a line, they may differ by any number of
-bits.  ``similarity`` therefore takes no account of them.  Distinct shingle sets, not
-documents, are linked.  Candidates share one of ``KEYS`` least shingle hashes (sets
-that are 0.8 alike share one of eight but for a chance of 0.000003) and have sketches
-that do not rule the similarity out.  Candidates make rough components; within each,
+bits.  With a ``similarity`` distinct shingle sets, not documents, are linked.
+Candidates are, as above, sets with fingerprints within the radius, and beside them those
+that fingerprints miss: they share one of ``KEYS`` least shingle hashes (sets that are
+0.8 alike share one of eight but for a chance of 0.000003) and have sketches that do not
+rule the similarity out.  Candidates make rough components; within each,
 the Jaccard similarity of all pairs of shingle sets is computed from the texts, and
 only pairs that reach ``similarity`` link.  A crowded group, such as all texts that hold
 one common passage, is dealt in blocks, so no task meets it whole.
@@ -407,6 +408,17 @@ def alike_sets(sets: list[np.ndarray], similarity: float) -> Callable[[int, np.n
     return alike
 
 
+def fingerprint_links(prints: DataFrame, radius: int = 2, shard_size: int = SHARD_SIZE, sample_size: int = SAMPLE_SIZE) -> DataFrame:
+    """Links (``a``, ``b``) whose components are those of all nodes with fingerprints (``node``, ``simhash``, repeats included) within ``radius``: each distinct fingerprint is one point of the vantage tree, named by its least node."""
+    points = cut(prints.groupBy("simhash").agg(F.min("node").alias("least")))
+    own = prints.join(points, "simhash").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
+    # nodes of several fingerprints may name several points: a point goes by its fingerprint until links are found
+    found = links(points.select(F.col("simhash").alias("node"), "simhash"), radius, shard_size, sample_size)
+    name = lambda side: points.select(F.col("simhash").alias(side), F.col("least").alias(f"least_{side}"))
+    met = found.join(name("a"), "a").join(name("b"), "b").select(F.col("least_a").alias("a"), F.col("least_b").alias("b"))
+    return own.unionByName(met.where("a <> b"))
+
+
 def exact_links(members: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """Links (``a``, ``b``) whose components are those of all pairs within a ``group`` whose shingle sets are ``similarity`` alike.
 
@@ -460,7 +472,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row for each document: its id, ``fingerprint`` (16 hexadecimal digits) and ``component_id``, the least id that it reaches.
 
     Fingerprints link within ``radius``.  With a ``similarity`` texts link if the Jaccard
-    similarity of their sets of shingles reaches it, whatever their fingerprints are.
+    similarity of their sets of shingles reaches it; those whose fingerprints are within ``radius`` are candidates, and so are others that share a least hash.
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     if similarity is None:
@@ -471,7 +483,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         keyed = texts.withColumn("text_key", F.xxhash64("text"))
         rows = cut(with_profiles(keyed, shingle=shingle).select("doc_id", "node", "simhash", "sketch", "keys", "text_key"))
         classes = cut(rows.groupBy("node").agg(F.min("doc_id").alias("least"), *(F.min(c).alias(c) for c in ("sketch", "keys", "text_key"))))
-        rough = components(similar_links(classes, similarity)).withColumnRenamed("root", "group")
+        near = fingerprint_links(rows.where(F.size("keys") > 0).select("node", "simhash"), radius, shard_size, sample_size)
+        rough = components(near.unionByName(similar_links(classes, similarity))).withColumnRenamed("root", "group")
         members = classes.select("node", "text_key").join(rough, "node")
         linked = components(exact_links(members, keyed.select("text_key", "text"), similarity, shingle))
     rooted = classes.select("node", "least").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node")).withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))

@@ -214,3 +214,14 @@ def test_links_at_the_threshold(spark):
         finally:
             simhash.EXACT_SIZE = size
         assert got == {i: ids[r] for i, r in zip(ids, roots)}
+
+
+def test_similarity_asks_the_fingerprints(spark, monkeypatch):
+    """Near fingerprints alone make candidates: with sketches that find nothing, an appended word is still found."""
+    words = [f"w{i}" for i in range(600)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words, "more"])), (3, " ".join(reversed(words))), (4, ""), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    near = int(simhash.fingerprint(rows[0][1], 5) ^ simhash.fingerprint(rows[1][1], 5)).bit_count()
+    monkeypatch.setattr(simhash, "similar_links", lambda classes, similarity: spark.createDataFrame([], "a long, b long"))
+    found = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, shingle=5, radius=max(2, near), similarity=0.8).collect()}
+    assert found == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4}
