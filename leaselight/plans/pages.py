@@ -73,9 +73,14 @@ PLAN = "## The plan\nplan {id}\n"
 QUESTIONS = [("reason", "Reasons", False), ("strong", "(?i)strengths", True), ("plan", "plan", False)]
 
 
-def pages(subjects: DataFrame, template: str) -> DataFrame:
-    """(``listing_id``, ``url``, ``html``)."""
-    return dealt(subjects).select("listing_id", F.col("listing_id").cast("string").alias("url"), filled(template).alias("html"))
+def pages(subjects: DataFrame, template: str, *keep: str) -> DataFrame:
+    """(``listing_id``, ``url``, ``html``, and the columns ``keep``)."""
+    return dealt(subjects).select("listing_id", F.col("listing_id").cast("string").alias("url"), *keep, written(filled(template)).alias("html"))
+
+
+def written(page: Column) -> Column:
+    """The page as the row of a generator: what readers ask of it is asked once, of the page that is made, and not where listings are joined, before they are dealt."""
+    return F.explode(F.array(page))
 
 
 def dealt(subjects: DataFrame) -> DataFrame:
@@ -87,7 +92,7 @@ def detail_pages(subjects: DataFrame) -> DataFrame:
     """Every second page states rent and area as linked data, too; one in seven is a test for bots."""
     linked = F.format_string(LINKED, F.col("rent_yen").cast("string"), F.col("area_sqm").cast("string"))
     html = F.concat(F.when(F.col("listing_id") % 2 == 0, linked).otherwise(""), filled(DETAIL), F.when(F.col("listing_id") % 7 == 0, '<div id="challenge-container"></div>').otherwise(""))
-    return dealt(subjects).select("listing_id", F.col("listing_id").cast("string").alias("url"), html.alias("html"))
+    return dealt(subjects).select("listing_id", F.col("listing_id").cast("string").alias("url"), written(html).alias("html"))
 
 
 def notes(subjects: DataFrame) -> DataFrame:
