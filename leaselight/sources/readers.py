@@ -37,14 +37,14 @@ def market_rows(spark: SparkSession, path: str) -> DataFrame:
 def pasted_rows(lines: DataFrame, column: str = "value") -> DataFrame:
     """Market rows from CSV lines with or without header, of 11 fields or, without structure, 10; others are dropped."""
     full = ", ".join(f"{c} STRING" for c in market.ROW)
-    short = ", ".join(f"{c} STRING" for c in market.ROW if c != "building_structure")
+    short = [c for c in market.ROW if c != "building_structure"]
     bare = F.regexp_replace(column, '"[^"]*"', "")
-    fields = F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1
-    body = lines.where(~F.startswith(column, F.lit(market.ROW[0])))
     quoting = {"escape": '"'}  # a quote inside quotes stands twice
-    eleven = body.where(fields == 11).select(F.from_csv(column, full, quoting).alias("r")).select("r.*")
-    ten = body.where(fields == 10).select(F.from_csv(column, short, quoting).alias("r")).select("r.*")
-    rows = _typed(eleven.unionByName(ten, allowMissingColumns=True))
+    # lines of both kinds in one pass; each is counted and read once, as the row of a generator that no condition passes
+    counted = lines.where(~F.startswith(column, F.lit(market.ROW[0]))).select(F.col(column).alias("line"), F.size(F.split(bare, ",")).alias("n"))
+    filled_in = text.bound(F.from_csv("line", ", ".join(f"{c} STRING" for c in short), quoting), lambda r: F.struct(*((r[c] if c in short else F.lit(None).cast("string")).alias(c) for c in market.ROW)))
+    read = F.when(F.col("n") == 11, F.from_csv("line", full, quoting)).when(F.col("n") == 10, filled_in)
+    rows = _typed(counted.select(F.explode(F.array(read)).alias("r")).where("r IS NOT NULL").select("r.*"))
     return rows.where("prefecture IS NOT NULL AND municipality IS NOT NULL AND layout_type IS NOT NULL AND avg_rent_yen IS NOT NULL")
 
 
