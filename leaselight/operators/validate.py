@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import spec
-from ..functions import rules
+from ..functions import rules, text
 
 #: Types that a JSON value may have for each declared type, as Spark names a variant's type.
 _JSON_TYPES = {"integer": ("BIGINT",), "number": ("BIGINT", "DECIMAL", "DOUBLE", "FLOAT"), "boolean": ("BOOLEAN",), "string": ("STRING",), "enum": ("STRING",)}
@@ -125,38 +125,42 @@ def schema_findings(value: Column, schema: dict[str, Any], path: Column | None =
     if "if" in schema and "then" in schema:
         head.append(F.when(F.size(inner(value, schema["if"], path)) == 0, inner(value, schema["then"], path)).otherwise(F.array().cast(_NONE)))
 
-    named = F.schema_of_variant(value)
-    is_kind = {
-        "object": F.startswith(named, F.lit("OBJECT")), "array": F.startswith(named, F.lit("ARRAY")), "string": named == "STRING", "boolean": named == "BOOLEAN", "null": named == "VOID",
-        "integer": (named == "BIGINT") | F.rlike(named, F.lit(r"^DECIMAL\([0-9]+,0\)$")), "number": (named == "BIGINT") | F.startswith(named, F.lit("DECIMAL")) | named.isin("DOUBLE", "FLOAT"),
-    }
-    kinds = schema.get("type", [])
-    kinds = [kinds] if isinstance(kinds, str) else kinds
-    fits = F.lit(not kinds)
-    for kind in kinds:
-        fits = fits | is_kind[kind]
-
-    rest, as_json = [], lambda x: json.dumps(x, ensure_ascii=False, separators=(",", ":"))
-    said, number = F.to_json(value), F.try_variant_get(value, "$", "double")
-    word, items, members = F.try_variant_get(value, "$", "string"), F.try_variant_get(value, "$", "array<variant>"), F.try_variant_get(value, "$", "map<string,variant>")
-    if "enum" in schema:
-        rest.append(_finding(~said.isin([as_json(x) for x in schema["enum"]]), "enum", path))
-    if "const" in schema:
-        rest.append(_finding(said != as_json(schema["const"]), "const", path))
-    bounds = {"minLength": ("string", lambda n: F.length(word) < n), "pattern": ("string", lambda p: ~F.rlike(word, F.lit(p))), "minimum": ("number", lambda n: number < n), "maximum": ("number", lambda n: number > n), "minItems": ("array", lambda n: F.size(items) < n), "maxItems": ("array", lambda n: F.size(items) > n)}
-    rest += [_finding(is_kind[kind] & test(schema[rule]), rule, path) for rule, (kind, test) in bounds.items() if rule in schema]
-    if isinstance(schema.get("items"), dict):
-        each = F.transform(items, lambda x, i: inner(x, schema["items"], F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))))
-        rest.append(F.when(is_kind["array"], F.flatten(each)).otherwise(F.array().cast(_NONE)))
-    below = lambda key: F.concat(path, F.lit("."), key)
-    known, more = schema.get("properties", {}), schema.get("additionalProperties", True)
-    rest += [_finding(is_kind["object"] & ~F.map_contains_key(members, F.lit(key)), "required", below(F.lit(key))) for key in schema.get("required", [])]
-    rest += [F.when(is_kind["object"] & F.map_contains_key(members, F.lit(key)), inner(F.try_element_at(members, F.lit(key)), own, below(F.lit(key)))).otherwise(F.array().cast(_NONE)) for key, own in known.items()]
-    if more is False or isinstance(more, dict):
-        strange = F.array_sort(F.array_except(F.map_keys(members), F.array(*map(F.lit, known)).cast(_NONE)))
-        found = F.transform(strange, lambda k: F.concat(F.lit("additional:"), below(k))) if more is False else F.flatten(F.transform(strange, lambda k: inner(F.try_element_at(members, k), more, below(k))))
-        rest.append(F.when(is_kind["object"], found).otherwise(F.array().cast(_NONE)))
-    return _parts([*head, F.when(fits, _parts(rest)).otherwise(F.array(F.concat(F.lit("type:"), path)))])
+    def judged(named: Column, members: Column) -> Column:
+        is_kind = {
+            "object": F.startswith(named, F.lit("OBJECT")), "array": F.startswith(named, F.lit("ARRAY")), "string": named == "STRING", "boolean": named == "BOOLEAN", "null": named == "VOID",
+            "integer": (named == "BIGINT") | F.rlike(named, F.lit(r"^DECIMAL\([0-9]+,0\)$")), "number": (named == "BIGINT") | F.startswith(named, F.lit("DECIMAL")) | named.isin("DOUBLE", "FLOAT"),
+        }
+        kinds = schema.get("type", [])
+        kinds = [kinds] if isinstance(kinds, str) else kinds
+        fits = F.lit(not kinds)
+        for kind in kinds:
+            fits = fits | is_kind[kind]
+
+        rest, as_json = [], lambda x: json.dumps(x, ensure_ascii=False, separators=(",", ":"))
+        said, number = F.to_json(value), F.try_variant_get(value, "$", "double")
+        word, items = F.try_variant_get(value, "$", "string"), F.try_variant_get(value, "$", "array<variant>")
+        if "enum" in schema:
+            rest.append(_finding(~said.isin([as_json(x) for x in schema["enum"]]), "enum", path))
+        if "const" in schema:
+            rest.append(_finding(said != as_json(schema["const"]), "const", path))
+        bounds = {"minLength": ("string", lambda n: F.length(word) < n), "pattern": ("string", lambda p: ~F.rlike(word, F.lit(p))), "minimum": ("number", lambda n: number < n), "maximum": ("number", lambda n: number > n), "minItems": ("array", lambda n: F.size(items) < n), "maxItems": ("array", lambda n: F.size(items) > n)}
+        rest += [_finding(is_kind[kind] & test(schema[rule]), rule, path) for rule, (kind, test) in bounds.items() if rule in schema]
+        if isinstance(schema.get("items"), dict):
+            each = F.transform(items, lambda x, i: inner(x, schema["items"], F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))))
+            rest.append(F.when(is_kind["array"], F.flatten(each)).otherwise(F.array().cast(_NONE)))
+        below = lambda key: F.concat(path, F.lit("."), key)
+        known, more = schema.get("properties", {}), schema.get("additionalProperties", True)
+        rest += [_finding(is_kind["object"] & ~F.map_contains_key(members, F.lit(key)), "required", below(F.lit(key))) for key in schema.get("required", [])]
+        rest += [F.when(is_kind["object"] & F.map_contains_key(members, F.lit(key)), inner(F.try_element_at(members, F.lit(key)), own, below(F.lit(key)))).otherwise(F.array().cast(_NONE)) for key, own in known.items()]
+        if more is False or isinstance(more, dict):
+            strange = F.array_sort(F.array_except(F.map_keys(members), F.array(*map(F.lit, known)).cast(_NONE)))
+            found = F.transform(strange, lambda k: F.concat(F.lit("additional:"), below(k))) if more is False else F.flatten(F.transform(strange, lambda k: inner(F.try_element_at(members, k), more, below(k))))
+            rest.append(F.when(is_kind["object"], found).otherwise(F.array().cast(_NONE)))
+        return F.when(fits, _parts(rest)).otherwise(F.array(F.concat(F.lit("type:"), path)))
+
+    # what a value is, and its members, are told once and not for each keyword and each member below
+    told = {"named": F.schema_of_variant(value), "members": F.try_variant_get(value, "$", "map<string,variant>")}
+    return _parts([*head, text.bound(F.struct(*(c.alias(k) for k, c in told.items())), lambda v: judged(v["named"], v["members"]))])
 
 
 def checked_by_schema(df: DataFrame, schema: dict[str, Any], json_col: str = "payload") -> DataFrame:
