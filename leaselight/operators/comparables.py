@@ -347,6 +347,22 @@ def _slices(keys: np.ndarray) -> tuple[np.ndarray, dict[int, tuple[int, int]]]:
     return order, dict(zip(own.tolist(), zip(starts.tolist(), [*starts[1:].tolist(), len(keys)])))
 
 
+def _alike(values: list[np.ndarray], limits: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """What profiles ask for at a step, each once: the place of one that asks for it, in order of ``values``; which of these each profile has; and where other values begin."""
+    columns = [*values, *(np.nan_to_num(x, nan=-1e300) for x in limits)]
+    order = np.lexsort(columns[::-1])
+    first = np.append(True, np.zeros(len(order) - 1, bool))
+    other = first.copy()
+    for i, x in enumerate(columns):
+        changed = np.diff(x[order]) != 0
+        first[1:] |= changed
+        if i < len(values):
+            other[1:] |= changed
+    of = np.empty(len(order), np.int64)
+    of[order] = np.cumsum(first) - 1
+    return order[first], of, [*np.flatnonzero(other[first]).tolist(), int(first.sum())]
+
+
 def _climber(dialect: str, steps: tuple[int, ...], least: int, quota: int | None, stop_pages: bool):
     """Turns a bucket of profiles and of offers into answers (``_ANSWER``), one for each profile and step that it takes."""
     active = {step: {k for k, last in LADDERS[dialect].items() if step <= last} for step in steps}
@@ -363,18 +379,15 @@ def _climber(dialect: str, steps: tuple[int, ...], least: int, quota: int | None
             a, b = offered.get(key, (0, 0))
             group = _Group(had.slice(a, b - a), least, quota, stop_pages)
             open_ = np.arange(start, end)
+            own_rows = asking.slice(start, end - start)
             for step in steps:
-                limits = {k: _real(asking.slice(start, end - start), f"{k}_{step}")[open_ - start] for k in _LIMITS}
-                own = np.stack([x[open_] if k in active[step] else np.full(len(open_), _NULL) for k, x in zip(("building_type", *EQUAL), (kinds, *values))], axis=1)
-                alike, of = np.unique(own, axis=0, return_inverse=True)
-                by_values = np.argsort(of.ravel(), kind="stable")
-                edges = np.searchsorted(of.ravel()[by_values], np.arange(len(alike) + 1))
-                enough = np.zeros(len(open_), bool)
-                for (kind, *asked_for), i, j in zip(alike.tolist(), edges, edges[1:]):
-                    places = by_values[i:j]
-                    told = group.step(kind, asked_for, {k: v[places] for k, v in limits.items()})
-                    enough[places] = told[0] >= least
-                    rows.append((names[:, open_[places]], np.full(len(places), step), *told))
+                limits = {k: _real(own_rows, f"{k}_{step}")[open_ - start] for k in _LIMITS}
+                own = [x[open_] if k in active[step] else np.full(len(open_), _NULL) for k, x in zip(("building_type", *EQUAL), (kinds, *values))]
+                asks, of, edges = _alike(own, list(limits.values()))
+                told = [group.step(int(own[0][asks[i]]), [int(x[asks[i]]) for x in own[1:]], {k: v[asks[i:j]] for k, v in limits.items()}) for i, j in zip(edges, edges[1:])]
+                told = [np.concatenate(part)[of] for part in zip(*told)]
+                enough = told[0] >= least
+                rows.append((names[:, open_], np.full(len(open_), step), *told))
                 open_ = open_[~enough]
                 if not len(open_):
                     break
