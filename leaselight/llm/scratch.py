@@ -6,9 +6,9 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-from ..scratch import cut, ensure_checkpoint_dir
+from ..scratch import cut, ensure_checkpoint_dir, shuffled
 
-__all__ = ["cut", "ensure_checkpoint_dir", "new_folder", "remove"]
+__all__ = ["cut", "ensure_checkpoint_dir", "new_folder", "remove", "shuffled"]
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
