@@ -49,3 +49,18 @@ def test_equal_questions_are_answered_once(monkeypatch):
     fitting = [r for r in had.to_pylist() if 20 <= r["area_sqm"] <= 30 and r["building_age_years"] <= 10]
     assert sorted((a["ladder"], a["step"], a["n"], a["last"]) for a in answers) == [*((i, 2, len(fitting), True) for i in range(500)), (500, 2, 40, True)]
     assert {a["benchmark_yen"] for a in answers if a["ladder"] < 500} == {int(np.rint((fitting[0]["rent_yen"] + fitting[-1]["rent_yen"]) / 2))}
+
+
+def test_steps_shuffle_subjects_once(spark):
+    """What a subject takes is met with its answers once and written; a step only reads it."""
+    steps = comparables.climb(subjects(spark, 40), comparables.prepared(offers(spark, 60)), "lines")
+    assert [s.count() > 0 for s in steps][0] and not any("Join" in s._jdf.queryExecution().optimizedPlan().toString() for s in steps)
+
+
+def test_cells_without_stations(spark):
+    """Where nobody asks for a station, offers are not told apart by theirs."""
+    own = offers(spark, 60)
+    own = own.unionByName(own.withColumn("station_name", own.station_name.substr(1, 0)))
+    known, whole = attempts.cells(own), attempts.cells(own, named=False)
+    assert "station_name" not in whole.columns and whole.count() < known.count()
+    assert whole.agg({"n": "sum"}).first()[0] == known.agg({"n": "sum"}).first()[0] == 120
