@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from leaselight.operators import attempts, comparables
 
@@ -64,3 +65,12 @@ def test_cells_without_stations(spark):
     known, whole = attempts.cells(own), attempts.cells(own, named=False)
     assert "station_name" not in whole.columns and whole.count() < known.count()
     assert whole.agg({"n": "sum"}).first()[0] == known.agg({"n": "sum"}).first()[0] == 120
+
+
+def test_answers_are_not_broadcast(spark):
+    """Subjects meet their answers, and offers their details, by shuffles, in each form of the ladder."""
+    own, had = subjects(spark, 40), offers(spark, 60).withColumn("detail_url", F.col("pos").cast("string"))
+    details = had.select("detail_url", "orientation", "building_structure", "bathroom_toilet_separate")
+    for dialect, form in (("cassette", {}), ("lines", {"stop_pages": True}), ("cassette", {"details": details, "quota": 16})):
+        assert not broadcast_joins(comparables.live_benchmark(own, had, dialect, **form), "ladder")
+    assert not broadcast_joins(comparables.enrich(had, details), "detail_url")
